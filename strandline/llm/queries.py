@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, secret_scan, simhash
+from . import mixing, packing, quality, secret_scan, simhash
 from .common import table
 
 
@@ -21,10 +21,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(found.fp).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op4_mixing, op9_simhash, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op3_quality, op4_mixing, op6_packing, op9_simhash, op10_secrets)}
 ORACLES = {"op3_quality": quality.ORACLE, "op4_mixing": mixing.ORACLE, "op10_secrets": secret_scan.ORACLE}
