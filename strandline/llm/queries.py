@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secret_scan, simhash
+from . import mixing, packing, quality, secret_scan, sharding, simhash
 from .common import table
 
 
@@ -17,6 +18,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(scanned)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")}).select(
+        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
+    )
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -30,5 +38,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(found.fp).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op4_mixing, op6_packing, op9_simhash, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_quality, op4_mixing, op6_packing, op9_simhash, op10_secrets)}
 ORACLES = {"op3_quality": quality.ORACLE, "op4_mixing": mixing.ORACLE, "op10_secrets": secret_scan.ORACLE}
