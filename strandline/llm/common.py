@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,3 +71,10 @@ def prefix_sums(rows: DataFrame, keys: list[str], bucket: str, order: list, valu
     )
     local = rows.withColumn("__local", running(value, [*keys, bucket], order))
     return local.join(offsets, [*keys, bucket]).withColumn(out, F.col("__offset") + F.col("__local")).drop("__offset", "__local")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As durable(), as a compressed Parquet table in the shared folder: for what is too large to keep as rows."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, shared_dir
+from .common import durable, stored
 
 #: Tokens are little-endian unsigned 32-bit ids.
 WIDTH = 4
@@ -198,10 +197,7 @@ def pack(
 
     pieces = digested(pieces)
     if keep_ids:
-        spark = docs.sparkSession
-        path = f"{shared_dir(spark)}/packed-{uuid.uuid4().hex}"
-        pieces.write.option("compression", "zstd").parquet(path)
-        pieces = spark.read.parquet(path)
+        pieces = stored(pieces, "packed")
     else:
         pieces = durable(pieces.withColumn("ids", F.when(F.col("left"), F.col("ids"))))
     left = pieces.filter("left").withColumn("group", F.floor(F.col("part") / together)).groupBy("group").applyInPandas(_merge(length, together), SCHEMA)

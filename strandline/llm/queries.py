@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality, secret_scan, sharding, simhash
+from . import language, mixing, neighbours, packing, quality, secret_scan, sharding, simhash, spans
 from .common import table
 
 
@@ -33,14 +33,22 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.drop_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(found.fp).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language, op3_quality, op4_mixing, op6_packing, op9_simhash, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language, op3_quality, op4_mixing, op5_spans, op6_packing, op8_neighbours, op9_simhash, op10_secrets)}
 ORACLES = {"op3_quality": quality.ORACLE, "op4_mixing": mixing.ORACLE, "op10_secrets": secret_scan.ORACLE}
