@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, bucket_bits, durable, hash60, prefix_sums
+from .common import WORD, bucket_bits, durable, hash60, prefix_sums, salt
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most_epochs: int) -> DataFrame:
@@ -46,63 +46,80 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     )
 
 
-def mix(
-    docs: DataFrame,
-    *,
-    weights: tuple[int, ...] = (3, 1, 2),
-    share: float = 1.5,
-    most_epochs: int = 2,
-    seed: str = "mix",
-    size: Column | None = None,
-    straddling: str = "cut",
-) -> DataFrame:
-    """How many words the mix takes of each row of docs (doc_id, text, source).
+def own_columns(seed: str, size: Column | None) -> dict[str, Column]:
+    """What the mix needs of a row: its size, its place in its source's order, and a source key that is never null."""
+    words = size if size is not None else F.regexp_count("text", F.lit(WORD))
+    return {
+        "size": F.coalesce(words, F.lit(0)).cast("long"),
+        "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")),
+        "key": hash60(seed, F.col("doc_id")),
+        "source_key": F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")),
+    }
 
-    Rows of a source are ordered by a hash-random key of doc_id and text, so that reruns agree. A
-    source whose target passes its size is repeated in whole epochs; the rest of the target is cut from
-    the order by prefix sums of words. The row on the cut gives the part that fits (straddling='cut')
-    or all of it (straddling='whole').
 
-    Returns doc_id, text_crc32, source, size, source_size, target, taken. Null text has size 0 and gives
-    nothing, a null source is a source of its own (the last), null doc_ids and repeated rows are rows like any
-    other, and an empty table gives no rows.
-    """
-    narrow = docs.select(
-        "doc_id",
-        "source",
-        F.coalesce(size if size is not None else F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-    ).withColumns(
-        {
-            "key": hash60(seed, F.col("doc_id")),
-            "source_key": F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")),
-        }
-    )
-    rows = durable(narrow)
+ORDER = ["key", "doc_id", "size", "text_crc32"]
+
+
+def ordered(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most_epochs: int = 2, seed: str = "mix", size: Column | None = None) -> DataFrame:
+    """Rows of docs in the random order of their sources: `before` (words of the source that come earlier), `epochs` (whole
+    passes over the source) and `left` (words that the last, partial pass takes)."""
+    own = own_columns(seed, size)
+    rows = durable(docs.select("doc_id", "source", *[c.alias(k) for k, c in own.items()]))
     bits = bucket_bits(rows.count())
     rows = rows.withColumn("bucket", F.shiftright("key", 60 - bits))
-    placed = prefix_sums(rows, ["source_key"], "bucket", ["key", "doc_id", "size", "text_crc32"], "size")
+    placed = prefix_sums(rows, ["source_key"], "bucket", ORDER, "size")
 
     sizes = rows.groupBy("source_key", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
     totals = sizes.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
     targets = source_targets(totals.select("source", "source_size"), weights, share, most_epochs)
-    targets = targets.select(
-        F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")).alias("source_key"), "source_size", "target"
-    )
+    targets = targets.select(own["source_key"].alias("source_key"), "source_size", "target")
     # One row per source and bucket carries the target, so no task gets all rows of a large source.
     plan = sizes.select("source_key", "bucket").join(targets, "source_key")
     epochs = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0))
     left = F.floor("target") - F.col("epochs") * F.col("source_size")
+    return placed.join(plan, ["source_key", "bucket"]).withColumn("epochs", epochs).withColumn("left", left)
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """How many words the mix takes of each row of docs (doc_id, text, source).
+
+    Rows of a source are ordered by a hash-random key of doc_id, so that reruns agree. A source whose target
+    passes its size is repeated in whole epochs; the rest of the target is cut from the order by prefix sums
+    of words, so that the row on the cut gives just the part that fits.
+
+    Returns doc_id, source, size, source_size, target, taken. Null text has size 0 and gives nothing, a null
+    source is a source of its own (the last), null doc_ids and repeated rows are rows like any other, and an
+    empty table gives no rows. Settings: see ordered() and source_targets().
+    """
     part = F.least("size", F.greatest(F.col("left") - F.col("before"), F.lit(0)))
-    if straddling == "whole":
-        part = F.when(F.col("before") < F.col("left"), F.col("size")).otherwise(0)
-    return (
-        placed.join(plan, ["source_key", "bucket"])
-        .withColumn("epochs", epochs)
-        .withColumn("left", left)
-        .withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
-        .select("doc_id", "text_crc32", "source", "size", "source_size", "target", "taken")
-    )
+    taken = (F.col("epochs") * F.col("size") + part).cast("long").alias("taken")
+    return ordered(docs, **settings).select("doc_id", "source", "size", "source_size", "target", taken)
+
+
+#: Sources up to which the table of cuts is small enough to send to every executor.
+SMALL = 10_000
+
+
+def repeated(docs: DataFrame, *, seed: str = "mix", size: Column | None = None, **settings) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with all their columns.
+
+    As mix(), but the row on a source's cut comes whole; rows that are equal in doc_id, size and text CRC come alike.
+    Rows without words are not taken. What a row needs to know is its source's cut, one row per source: that table is
+    broadcast after counting it, or else met by source and salt, so texts are not shuffled for few sources.
+    """
+    own = own_columns(seed, size)
+    at = F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "size", "text_crc32")
+    taken = F.when((F.col("before") < F.col("left")) & (F.col("size") > 0), at)
+    cuts = durable(ordered(docs, seed=seed, size=size, **settings).groupBy("source_key").agg(F.max(taken).alias("cut"), F.first("epochs").alias("epochs")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", *[c.alias(k) for k, c in own.items()])
+    if cuts.count() <= SMALL:
+        joined = rows.join(F.broadcast(cuts), "source_key")
+    else:
+        parts = 32
+        salted = cuts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        joined = rows.withColumn("part", salt("key", parts)).join(salted, ["source_key", "part"])
+    copies = F.col("epochs") + F.coalesce((at <= F.col("cut")).cast("int"), F.lit(0))
+    return joined.filter("size > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("row.*")
 
 
 ORACLE = r"""

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, neighbours, packing, quality, secret_scan, sharding, simhash, spans
+from . import language, mixing, neighbours, packing, quality, secret_scan, sharding, simhash, spans, warc
 from .common import table
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("text_crc32")
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.resolve(warc.captures(table(spark, sf_dir, "pages"))))
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -50,5 +54,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(found.fp).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language, op3_quality, op4_mixing, op5_spans, op6_packing, op8_neighbours, op9_simhash, op10_secrets)}
-ORACLES = {"op3_quality": quality.ORACLE, "op4_mixing": mixing.ORACLE, "op10_secrets": secret_scan.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language, op3_quality, op4_mixing, op5_spans, op6_packing, op7_warc, op8_neighbours, op9_simhash, op10_secrets)}
+ORACLES = {"op3_quality": quality.ORACLE, "op4_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op10_secrets": secret_scan.ORACLE}
