@@ -1,4 +1,4 @@
-"""Names of all queries and of the SQL that must give the same rows."""
+"""All queries and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import history_queries, outage_queries, telemetry_queries  # noqa: F401  registers
+from .base import ORACLES, QUERIES  # noqa: F401
