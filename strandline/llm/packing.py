@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from .common import durable, stored
 #: Tokens are little-endian unsigned 32-bit ids.
 WIDTH = 4
 #: Chunks of text whose ids a worker remembers, for each tokenizer; then it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+STOPS = ".,;:!?"
 ROWS = 2048
 
 _chunks: dict[str, Chunks] = {}
@@ -23,8 +25,9 @@ _chunks: dict[str, Chunks] = {}
 class Chunks(dict):
     """Ids of chunks between white space, as bytes.
 
-    Only for tokenizers whose pieces never cross a space or line break: then the ids of a text are those of its
-    chunks, one after the other, and frequent chunks are tokenized once.
+    Only for tokenizers whose pieces never cross a space or line break, nor the place between letters and a following
+    stop: then the ids of a text are those of its chunks, one after the other, and frequent chunks are tokenized
+    once. Words of Latin-1 letters are looked up without their stops and, if the tokenizer lowers letters, in lower case.
     """
 
     def __init__(self, path: str):
@@ -33,23 +36,56 @@ class Chunks(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.lowers = self.encode("ÀB") == self.encode("àb")
+
+    def encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def parts(self, chunk: str) -> tuple[str, str]:
+        """The chunk's word, and its stops; or the chunk as it is, and nothing."""
+        word = chunk.rstrip(STOPS)
+        if word and word.isalpha() and max(chunk) < "\u0100":
+            return word.lower() if self.lowers else word, chunk[len(word) :]
+        return chunk, ""
 
     def learn(self, chunks: set[str]) -> None:
         if len(self) > REMEMBERED:
             self.clear()
-        new = list(chunks.difference(self))
-        for at in range(0, len(new), 4096):
-            for chunk, e in zip(new[at : at + 4096], self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False), strict=True):
-                self[chunk] = b"".join([i.to_bytes(WIDTH, "little") for i in e.ids])
+        new = {c: self.parts(c) for c in chunks if c not in self}
+        self.tokenize([c for c in {x for both in new.values() for x in both} if c not in self])
+        self.update({c: self[word] + self[stops] for c, (word, stops) in new.items() if c != word})
+
+    def tokenize(self, chunks: list[str]) -> None:
+        """Many chunks in one call, with a special token between them, unless a chunk holds one itself."""
+        odd = [c for c in chunks if not self.special or any(t in c for t in self.special)]
+        for c in odd:
+            self[c] = np.array(self.encode(c), "<u4").tobytes()
+        plain = list(set(chunks).difference(odd)) if odd else chunks
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            mark, mark_id = next(iter(self.special.items()))
+            ids = np.array(self.encode(f" {mark} ".join(some)), "<u4")
+            cuts = np.flatnonzero(ids == mark_id)
+            for c, a, b in zip(some, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
+                self[c] = ids[a:b].tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
         self.learn({chunk})
         return self[chunk]
 
-    def ids(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        self.learn(set(chunks))
-        return b"".join(map(self.__getitem__, chunks))
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; what is new in the next texts is learned at once."""
+        at = 0
+        while at < len(texts):
+            some, held = [], 0
+            while at + len(some) < len(texts) and held < 1 << 16:
+                some.append(texts[at + len(some)].replace("\n", " ").split(" "))
+                held += len(some[-1])
+            self.learn(set().union(*some))
+            for chunks in some:
+                yield b"".join(map(self.__getitem__, chunks))
+            at += len(some)
 
 
 def chunks_of(tokenizer: str) -> Chunks:
@@ -131,8 +167,8 @@ def _pack_partition(tokenizer: str, end_id: int, length: int, windows: int, min_
         chunks, end = chunks_of(tokenizer), end_id.to_bytes(WIDTH, "little")
         packer = Packer(length, windows, min_cut, part * PER_PARTITION)
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                packer.add(None if pd.isna(doc) else doc, (chunks.ids(text) if text else b"") + end)
+            for doc, ids in zip(batch["doc_id"].tolist(), chunks.ids([t or "" for t in batch["text"].tolist()]), strict=True):
+                packer.add(None if pd.isna(doc) else doc, ids + end)
                 if len(packer.out) >= ROWS:
                     yield _frame(packer.out, False, part)
                     packer.out = []
