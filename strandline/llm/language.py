@@ -14,59 +14,115 @@ from pyspark.sql import functions as F
 from .common import durable
 
 #: The longest piece, in characters, and the longest word that is scored in plain rather than in log space.
-PIECE, PLAIN = 16, 40
+PIECE, PLAIN = 12, 40
 #: Words whose scores a worker remembers for each model; then it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 START = "▁"
+#: What only separates words.
+STOPS = ".,;:!?|\"()"
 
 _pieces: dict[str, dict[str, int]] = {}
 _scorers: dict[str, Scorer] = {}
 
 
 def vocabulary(model: str) -> dict[str, int]:
-    """Pieces of a fixed public vocabulary, with their numbers. model: a path, or the name of a public tokenizer."""
+    """Pieces of a fixed public vocabulary, with their numbers, and -1 for what only begins one. model: a path, or the name
+    of a public tokenizer."""
     if model not in _pieces:
         import public_tokenizers
         from sentencepiece import SentencePieceProcessor
 
         p = SentencePieceProcessor(model_file=model if os.path.isabs(model) else public_tokenizers.path(model))
-        _pieces[model] = {x: i for i in range(p.get_piece_size()) if len(x := p.id_to_piece(i)) <= PIECE}
+        known = {x: i for i in range(p.get_piece_size()) if len(x := p.id_to_piece(i)) <= PIECE}
+        _pieces[model] = {x[:k]: -1 for x in known for k in range(1, len(x))} | known
     return _pieces[model]
 
 
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    text = text.lower()
+    for c in STOPS:
+        text = text.replace(c, " ")
+    return text.split()
 
 
 def edges_of(word: str, pieces: dict[str, int]) -> list[tuple[int, int, int]]:
     """(from, to, piece): the pieces found in a word with its start mark. A character that is no piece is the first of its
     byte pieces, which all languages share alike."""
-    out, n = [], len(word)
+    out, n, get = [], len(word), pieces.get
     for i in range(n):
-        for j in range(i + 1, min(n, i + PIECE) + 1):
-            p = pieces.get(word[i:j], -1)
+        found = False
+        for j in range(i + 1, n + 1):
+            p = get(word[i:j])
+            if p is None:
+                break
             if p >= 0:
                 out.append((i, j, p))
-            elif j == i + 1:
-                out.append((i, j, pieces.get(f"<0x{word[i].encode('utf-8', 'replace')[0]:02X}>", 0)))
+                found = found or j == i + 1
+        if not found:
+            out.append((i, i + 1, get(f"<0x{word[i].encode('utf-8', 'replace')[0]:02X}>", 0)))
     return out
 
 
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Lookup:
+    """Pieces by the hash of their characters, for many substrings at a time."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.tables = {}
+        for k in range(1, PIECE + 1):
+            some = [(x, p) for x, p in pieces.items() if p >= 0 and len(x) == k]
+            hashes = np.zeros(len(some), np.uint64)
+            for c in np.array([[ord(y) for y in x] for x, _ in some], np.uint64).reshape(len(some), k).T:
+                hashes = hashes * BASE + c + np.uint64(1)
+            order = np.argsort(hashes)
+            self.tables[k] = hashes[order], np.array([p for _, p in some], np.int64)[order]
+        self.bytes = np.array([pieces.get(f"<0x{b:02X}>", 0) for b in range(256)])
+
+    def find(self, hashes: np.ndarray, k: int) -> np.ndarray:
+        """Numbers of the pieces of k characters with these hashes, -1 for none."""
+        keys, numbers = self.tables[k]
+        if not len(keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        return np.where(keys[at] == hashes, numbers[at], -1)
+
+    def first_byte(self, c: np.ndarray) -> np.ndarray:
+        """The byte piece of the first byte of each character."""
+        return self.bytes[np.select([c < 0x80, c < 0x800, c < 0x10000], [c, 0xC0 | (c >> 6), 0xE0 | (c >> 12)], 0xF0 | (c >> 18)).astype(np.int64) & 255]
+
+
+_lookups: dict[int, Lookup] = {}
+
+
 def lattices(words: list[str], pieces: dict[str, int]) -> Iterator[tuple[int, list[int], dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]]]:
-    """Words of one length at a time: (length, their places, {(from, to): (which of them, pieces)})."""
+    """Words of one length at a time: (length, their places, {(from, to): (which of them, pieces)}), as edges_of() has them."""
+    if id(pieces) not in _lookups:
+        _lookups[id(pieces)] = Lookup(pieces)
+    lookup = _lookups[id(pieces)]
     by_length: dict[int, list[int]] = {}
     for k, w in enumerate(words):
-        by_length.setdefault(len(w) + 1, []).append(k)
+        by_length.setdefault(len(w), []).append(k)
     for n, places in by_length.items():
         for at in range(0, len(places), 8192):
             some = places[at : at + 8192]
-            arcs: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
-            for row, k in enumerate(some):
-                for i, j, p in edges_of(START + words[k], pieces):
-                    rows, ps = arcs.setdefault((i, j), ([], []))
-                    rows.append(row)
-                    ps.append(p)
-            yield n, some, {k: (np.array(r), np.array(p)) for k, (r, p) in arcs.items()}
+            chars = np.empty((n + 1, len(some)), np.uint64)
+            chars[0] = ord(START)
+            if n:
+                chars[1:] = np.array([words[k] for k in some], f"<U{n}").view(np.uint32).reshape(len(some), n).T
+            arcs = {}
+            for i in range(n + 1):
+                hashes = np.zeros(len(some), np.uint64)
+                for j in range(i + 1, min(n + 1, i + PIECE) + 1):
+                    hashes = hashes * BASE + chars[j - 1] + np.uint64(1)
+                    p = lookup.find(hashes, j - i)
+                    if j == i + 1:
+                        p = np.where(p >= 0, p, lookup.first_byte(chars[i]))
+                    rows = np.flatnonzero(p >= 0)
+                    if len(rows):
+                        arcs[i, j] = rows, p[rows]
+            yield n + 1, some, arcs
 
 
 def forward(n: int, rows: int, arcs: dict, prob: np.ndarray) -> np.ndarray:
