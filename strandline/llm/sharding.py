@@ -31,16 +31,21 @@ def _place(rank: Column, upto: list[int]) -> Column:
     return (F.size(F.filter(_array(upto[1:]), lambda b: b <= rank))).cast("int")
 
 
+def _cut_into(rows: DataFrame, cuts: list[int], seed: str) -> DataFrame:
+    """(key, shard, n) of rows (key, part, n): ranked in hash order, in the intervals between the cuts."""
+    bits = bucket_bits(rows.count())
+    hashed = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key", "part"), 4))
+    ranked = prefix_sums(hashed.withColumn("bucket", F.shiftright("h", 60 - bits)), [], "bucket", ["h", "key", "part"], "n")
+    pieces = [F.struct(F.lit(i).alias("shard"), F.lit(a).cast("long").alias("lo"), F.lit(b).cast("long").alias("hi")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    inside = F.least("s.hi", F.col("before") + F.col("n")) - F.greatest("s.lo", "before")
+    spread = ranked.withColumn("s", F.explode(F.array(*pieces))).select("key", "s.shard", inside.alias("n")).filter("n > 0")
+    return spread.groupBy("key", "shard").agg(F.sum("n").alias("n"))
+
+
 def first_cells(linked: DataFrame, quota: list[int], rows: int) -> DataFrame:
     """(key, shard, n): linked rows in hash order, cut in proportion to the quotas, so that none is passed."""
     total = linked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    cuts = [c * total // max(rows, 1) for c in bounds(quota)]
-    bits = bucket_bits(linked.count())
-    hashed = linked.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit("first"), "key", "part"), 4))
-    ranked = prefix_sums(hashed.withColumn("bucket", F.shiftright("h", 60 - bits)), [], "bucket", ["h", "key", "part"], "n")
-    spans = F.array(*[F.struct(F.lit(i).alias("shard"), F.lit(a).cast("long").alias("lo"), F.lit(b).cast("long").alias("hi")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
-    inside = F.least("s.hi", F.col("before") + F.col("n")) - F.greatest("s.lo", "before")
-    return ranked.withColumn("s", F.explode(spans)).select("key", "s.shard", inside.alias("n")).filter("n > 0").groupBy("key", "shard").agg(F.sum("n").alias("n"))
+    return _cut_into(linked, [c * total // max(rows, 1) for c in bounds(quota)], "first")
 
 
 def move(cells: DataFrame, room: list[int], bits: int) -> DataFrame:
@@ -79,14 +84,34 @@ def propagate(cells: DataFrame, quota: list[int], rounds: int, bits: int) -> Dat
     return cells
 
 
+def settle(cells: DataFrame, quota: list[int], bits: int) -> DataFrame:
+    """Cells within the exact quotas: each shard keeps its largest cells; those that don't fit go to shards with room.
+
+    Cells stay whole, apart from one that fills a shard alone and those on the bounds of the room they are put into.
+    """
+    order = (64 - F.length(F.bin("n"))) * (1 << HASH_BITS) + F.pmod(F.xxhash64(F.lit("settle"), "key", "shard"), F.lit(1 << HASH_BITS))
+    rows = cells.withColumn("order", order).withColumn("bucket", F.shiftright("order", HASH_BITS - bits))
+    placed = prefix_sums(rows, ["shard"], "bucket", ["order", "key"], "n")
+    most = F.element_at(_array(quota), F.col("shard") + 1)
+    kept = F.when(F.col("before") + F.col("n") <= most, F.col("n")).when(F.col("before") == 0, most).otherwise(F.lit(0).cast("long"))
+    placed = durable(placed.select("key", "shard", "n", kept.alias("kept")))
+    stay = placed.filter("kept > 0").select("key", "shard", F.col("kept").alias("n"))
+    pool = placed.filter("n > kept").select("key", F.col("shard").alias("part"), (F.col("n") - F.col("kept")).alias("n"))
+    if pool.isEmpty():
+        return stay
+    room = bounds([q - n for q, n in zip(quota, _loads(stay, len(quota)), strict=True)])
+    moved = _cut_into(pool, room, "pool")
+    return durable(stay.unionByName(moved).groupBy("key", "shard").agg(F.sum("n").alias("n")))
+
+
 def shard(docs: DataFrame, *, link: Column | None = None, shards: int = 8, rounds: int = 8) -> DataFrame:
     """docs (doc_id, text) dealt over shards whose row counts are at most one apart, keeping linked rows together.
 
     Rows with equal `link` (by default equal texts) are neighbours. Rows of a group are interchangeable, so
     labels are kept per group and shard, with counts: a group that holds a third of all rows is a few cells,
     and no task or round sees its rows one by one. Rounds of joins move cells towards the shard that holds most
-    of their group, under each shard's quota; rows without neighbours then fill what is left exactly. A group is
-    cut only where it doesn't fit.
+    of their group, under each shard's quota with a quarter to spare; what is over the exact quotas then moves on
+    in whole cells, and rows without neighbours fill the rest. A group is cut only where it doesn't fit.
 
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, key (of the group), shard, slot (gapless from 0 in each
     shard). A null text has size 1 and CRC 0 and is linked to other null texts only; null doc_ids and repeated
@@ -110,7 +135,9 @@ def shard(docs: DataFrame, *, link: Column | None = None, shards: int = 8, round
     parts = durable(parts.withColumn("total", F.sum("n").over(group)).withColumn("offset", running("n", ["key"], ["part"])))
     linked, single = parts.filter("total > 1"), parts.filter("total = 1")
     bits = min(bucket_bits(n), HASH_BITS)
-    cells = propagate(durable(first_cells(linked, quota, n)), quota, rounds, bits)
+    # Where nearly all rows are linked there is no room to move into, so quotas are wider until the end.
+    wide = [q + q // 4 + 1 for q in quota]
+    cells = settle(propagate(durable(first_cells(linked, quota, n)), wide, rounds, bits), quota, bits)
 
     # Ranks within a group are cut at the shards' counts, part by part.
     spans = cells.withColumn("from", running("n", ["key"], ["shard"])).select("key", "shard", "from", (F.col("from") + F.col("n")).alias("to"))
