@@ -27,7 +27,7 @@ VIEWS = {
     "links": """SELECT c_custkey AS link_pk, c_name AS code, c_nationkey AS side_a, CAST((c_nationkey + c_custkey) % 25 AS INT) AS side_z,
         CAST(100 + c_custkey % 150 AS DOUBLE) AS committed_rtt_us, CAST(1000 * (1 + c_custkey % 10) AS DOUBLE) AS bandwidth_bps,
         CASE WHEN c_custkey % 17 = 0 THEN 'soft-drained' WHEN c_custkey % 23 = 0 THEN 'hard-drained' ELSE 'activated' END AS status,
-        CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'WAN' ELSE 'DZX' END AS link_type, CAST(CASE WHEN c_custkey % 31 = 0 THEN 1 ELSE 0 END AS BIGINT) AS delay_override_ns,
+        CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'WAN' ELSE 'LOCAL' END AS link_type, CAST(CASE WHEN c_custkey % 31 = 0 THEN 1 ELSE 0 END AS BIGINT) AS delay_override_ns,
         c_custkey % 5 AS contributor_pk FROM {customer}""",
     "metros": "SELECT n_nationkey AS metro_pk, n_name AS code, n_regionkey AS region_pk FROM {nation}",
     "devices": "SELECT s_suppkey AS device_pk, s_name AS code, s_nationkey AS metro_pk, CAST(8 + s_suppkey % 40 AS INT) AS max_users, CASE WHEN s_suppkey % 13 = 0 THEN 'drained' ELSE 'activated' END AS status, s_suppkey % 5 AS contributor_pk FROM {supplier}",
