@@ -73,6 +73,16 @@ def prefix_sums(rows: DataFrame, keys: list[str], bucket: str, order: list, valu
     return local.join(offsets, [*keys, bucket]).withColumn(out, F.col("__offset") + F.col("__local")).drop("__offset", "__local")
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def text_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Arrow batches of a few MB for the rest of the session, unless it names a size: texts differ a thousandfold in length, and
+    a worker holds a batch several times over."""
+    if spark.conf.get(BATCH_BYTES) in ("67108864b", "64MB"):  # Spark's own default
+        spark.conf.set(BATCH_BYTES, size)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """As durable(), as a compressed Parquet table in the shared folder: for what is too large to keep as rows."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -18,7 +18,7 @@ def _star(near: DataFrame) -> DataFrame:
     """
     least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     least = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return near.withColumn("s", salt("v", PARTS)).join(least, ["u", "s"]).select("u", "v", "m")
+    return near.withColumn("s", salt("v", PARTS)).join(least.hint("merge"), ["u", "s"]).select("u", "v", "m")
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, salt, salt_count
+from .common import durable, salt, salt_count, text_batches
 from .components import components
 
 EVEN = 0x5555555555555555
@@ -219,6 +219,7 @@ def near_duplicates(docs: DataFrame, *, most: int = 4, width: int = 4, seed: int
     """
     if most % 2 or not 0 < most < bands:
         raise ValueError("most must be even and less than bands")
+    text_batches(docs.sparkSession)
     rows = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint("text", width, seed).alias("fp")))
     parts_n = salt_count(rows.count())
     rows = rows.withColumn("part", salt(F.coalesce("doc_id", F.lit(0)), parts_n))
@@ -238,11 +239,11 @@ def near_duplicates(docs: DataFrame, *, most: int = 4, width: int = 4, seed: int
         # Two fingerprints within 4 bits have a common neighbour within 2 bits of either.
         flipped = crowded.select("a", F.explode(flips(F.col("fp"), most)).alias("flip"))
         stars = flipped.groupBy("flip").agg(F.min("a").alias("m"), F.count("*").alias("n")).filter("n > 1").select("flip", "m")
-        edges = edges.unionByName(flipped.join(stars, "flip").filter("a <> m").select("a", F.col("m").alias("b")).distinct())
+        edges = edges.unionByName(flipped.join(stars.hint("merge"), "flip").filter("a <> m").select("a", F.col("m").alias("b")).distinct())
     roots = components(edges)
-    named = reps.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    whole = parts.select("fp", "part").join(named, "fp")
-    return rows.join(whole, ["fp", "part"]).select("doc_id", "fp", "component_id")
+    named = reps.join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    whole = parts.select("fp", "part").join(named.hint("merge"), "fp")
+    return rows.join(whole.hint("merge"), ["fp", "part"]).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -257,7 +258,7 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """
     found = near_duplicates(docs, **settings)
     wanted = found.filter("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct()
-    named = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     lost = found.filter("component_id IS NULL").select("fp").distinct()
-    nameless = docs.filter("doc_id IS NULL").withColumn("__fp", fingerprint("text")).join(lost.withColumnRenamed("fp", "__fp"), "__fp", "left_semi")
+    nameless = docs.filter("doc_id IS NULL").withColumn("__fp", fingerprint("text")).join(lost.withColumnRenamed("fp", "__fp").hint("merge"), "__fp", "left_semi")
     return named.unionByName(nameless.dropDuplicates(["__fp"]).drop("__fp"))
