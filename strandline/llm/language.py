@@ -11,12 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, text_batches
 
 #: The longest piece, in characters, and the longest word that is scored in plain rather than in log space.
 PIECE, PLAIN = 12, 40
 #: Words whose scores a worker remembers for each model; then it starts afresh.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 START = "▁"
 #: What only separates words.
 STOPS = ".,;:!?|\"()"
@@ -271,6 +271,7 @@ def identify(docs: DataFrame, *, model: str = "piece_bpe_32k.model", sample: int
     Texts that are null or have no letter, and all texts if nothing is labelled, are 'und' with score 0. Rows without doc_id
     are not held out and nothing is learned from them. Repeated rows are rows like any other, and an empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     fitted = fit(docs.select("doc_id", "text", "lang"), model=model, sample=sample, rounds=rounds)
     if fitted is None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import durable, salt
+from .common import durable, salt, text_batches
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps", "n_marks", "n_same_next")
 COUNTS_TYPE = StructType([StructField(c, LongType()) for c in COUNTS])
@@ -106,6 +106,7 @@ FENCE = 3
 
 def measured(docs: DataFrame) -> DataFrame:
     """docs with c (the counts), base_failed, and one integer per measure in m."""
+    text_batches(docs.sparkSession)
     counted = docs.withColumn("c", text_counts(F.col("text")))
     failed = (F.col("c.n_words") < 20) | (100 * F.col("c.n_repeat_words") > 30 * F.col("c.n_words"))
     return counted.withColumn("base_failed", failed).withColumn("m", F.struct(*[_share(p, w, s).alias(k) for k, (p, w, s, *_) in MEASURES.items()]))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from .common import durable, stored
+from .common import durable, stored, text_batches
 
 #: A sentence: words, at most 24, with the stops and white space that follow. Every character is in exactly one.
 SENTENCE = re.compile(r"(?:[^\s.!?]+[^\S\n]*){1,24}[.!?\s]*|[.!?\s]+")
@@ -99,6 +99,7 @@ def drop_repeats(docs: DataFrame, *, span: int = 2, min_words: int = 12, hot_run
     Null, empty and short texts have no runs and stay as they are. Rows with the same doc_id and text are one
     document, and an empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))))
     runs = stored(rows.mapInPandas(_runs(span, min_words), "run long, doc_id long, row long, place int"), "runs")
     where = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "place")
