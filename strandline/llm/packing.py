@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, stored
+from .common import durable, stored, text_batches
 
-#: Tokens are little-endian unsigned 32-bit ids.
+#: Tokens are little-endian unsigned 32-bit ids, as array('I') has them.
 WIDTH = 4
 #: Chunks of text whose ids a worker remembers, for each tokenizer; then it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 STOPS = ".,;:!?"
 ROWS = 2048
 
@@ -36,12 +36,19 @@ class Chunks(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.lowers = self.encode("ÀB") == self.encode("àb")
+        self.model = self.tokenizer.model
+        split = self.tokenizer.pre_tokenizer
+        self.bytes = {ord(c): split.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xAA, 0x100)) if c.isalpha()} if split else {}
+        # A word of small letters may be one piece of text to the tokenizer; then its model can be asked at once.
+        self.direct = all(self.whole(w) == self.encode(w) for w in ("a", "thorre", "élan", "straße", "ñandú", "œuvre"[1:], "wordsinarow"))
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def whole(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.bytes))]
+
     def parts(self, chunk: str) -> tuple[str, str]:
         """The chunk's word, and its stops; or the chunk as it is, and nothing."""
         word = chunk.rstrip(STOPS)
@@ -49,43 +56,21 @@ class Chunks(dict):
             return word.lower() if self.lowers else word, chunk[len(word) :]
         return chunk, ""
 
-    def learn(self, chunks: set[str]) -> None:
+    def __missing__(self, chunk: str) -> bytes:
+        word, stops = self.parts(chunk)
+        if word != chunk:
+            ids = self[word] + self[stops] if stops else self[word]
+        elif self.direct and chunk.isalpha() and chunk.islower() and max(chunk) < "\u0100":
+            ids = array("I", self.whole(chunk)).tobytes()
+        else:
+            ids = array("I", self.encode(chunk)).tobytes()
+        self[chunk] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
         if len(self) > REMEMBERED:
             self.clear()
-        new = {c: self.parts(c) for c in chunks if c not in self}
-        self.tokenize([c for c in {x for both in new.values() for x in both} if c not in self])
-        self.update({c: self[word] + self[stops] for c, (word, stops) in new.items() if c != word})
-
-    def tokenize(self, chunks: list[str]) -> None:
-        """Many chunks in one call, with a special token between them, unless a chunk holds one itself."""
-        odd = [c for c in chunks if not self.special or any(t in c for t in self.special)]
-        for c in odd:
-            self[c] = np.array(self.encode(c), "<u4").tobytes()
-        plain = list(set(chunks).difference(odd)) if odd else chunks
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            mark, mark_id = next(iter(self.special.items()))
-            ids = np.array(self.encode(f" {mark} ".join(some)), "<u4")
-            cuts = np.flatnonzero(ids == mark_id)
-            for c, a, b in zip(some, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
-                self[c] = ids[a:b].tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        self.learn({chunk})
-        return self[chunk]
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text; what is new in the next texts is learned at once."""
-        at = 0
-        while at < len(texts):
-            some, held = [], 0
-            while at + len(some) < len(texts) and held < 1 << 16:
-                some.append(texts[at + len(some)].replace("\n", " ").split(" "))
-                held += len(some[-1])
-            self.learn(set().union(*some))
-            for chunks in some:
-                yield b"".join(map(self.__getitem__, chunks))
-            at += len(some)
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def chunks_of(tokenizer: str) -> Chunks:
@@ -167,8 +152,8 @@ def _pack_partition(tokenizer: str, end_id: int, length: int, windows: int, min_
         chunks, end = chunks_of(tokenizer), end_id.to_bytes(WIDTH, "little")
         packer = Packer(length, windows, min_cut, part * PER_PARTITION)
         for batch in batches:
-            for doc, ids in zip(batch["doc_id"].tolist(), chunks.ids([t or "" for t in batch["text"].tolist()]), strict=True):
-                packer.add(None if pd.isna(doc) else doc, ids + end)
+            for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
+                packer.add(None if pd.isna(doc) else doc, (chunks.ids(text) if text else b"") + end)
                 if len(packer.out) >= ROWS:
                     yield _frame(packer.out, False, part)
                     packer.out = []
@@ -225,6 +210,7 @@ def pack(
     must not cross spaces or line breaks. Null and empty texts have the end id alone, null doc_ids and repeated rows are
     packed like other rows, and an empty table gives no rows.
     """
+    text_batches(docs.sparkSession)
     run = _pack_partition(tokenizer, end_id, length, windows, min_cut)
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
 

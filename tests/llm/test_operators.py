@@ -1,6 +1,5 @@
 """Each operator on odd rows, on an empty table, and against a plain version."""
 
-import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -222,7 +221,7 @@ class TestPacking:
         plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
         said = ["It's THE river, don't!", "ÀÉÎ straße µ ª", "a<|endoftext|>b <|startoftext|>", "tab\tand more\x85x", "é é 日本 ½ 12.5", "x" * 500, "", " \n ", "!!!", "ΣΑΣ İi"]
         chunks = packing.Chunks(public_tokenizers.path("word_bpe_49k.json"))
-        assert [np.frombuffer(b, "<u4").tolist() for b in chunks.ids(said)] == [plain.encode(t, add_special_tokens=False).ids for t in said]
+        assert [np.frombuffer(b, "<u4").tolist() for b in map(chunks.ids, said)] == [plain.encode(t, add_special_tokens=False).ids for t in said]
 
 
 class TestWarc:
