@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -23,39 +24,63 @@ def sentences(text: str) -> list[str]:
     return SENTENCE.findall(text)
 
 
-def runs_of(text: str, span: int, min_words: int) -> tuple[list[int], list[int]]:
-    """(hashes, places) of the runs of `span` sentences in a row, white space normalised, that have min_words words or more.
-
-    A piece without a word is no sentence; places count all pieces.
+def shortest_runs(n: list[int], span: int, min_words: int) -> list[tuple[int, int]]:
+    """(start, end) of the shortest runs of `span` sentences or more with min_words words or more, from each sentence on and up
+    to each sentence; n: words of the sentences. They depend on nothing outside them, and all sentences of a passage
+    with enough words are in one that lies within it."""
+    found, total = set(), list(accumulate(n, initial=0))
+    ahead = 0
+    for k in range(len(n)):
+        ahead = max(ahead, k + span)
+        while ahead <= len(n) and total[ahead] - total[k] < min_words:
+            ahead += 1
+        if ahead > len(n):
+            break
+        found.add((k, ahead))
+    back = 0
+    for end in range(span, len(n) + 1):
+        while back + 1 <= end - span and total[end] - total[back + 1] >= min_words:
+            back += 1
+        if total[end] - total[back] >= min_words:
+            found.add((back, end))
+    return sorted(found)
+
+
+def long_runs(text: str, span: int, min_words: int) -> tuple[list[int], list[int], list[int]]:
+    """(hashes, places, lengths) of the shortest runs of sentences, white space normalised.
+
+    A piece without a word is no sentence; places count the others.
     """
     from xxhash import xxh64_intdigest as digest
 
-    said, at, n = [], [], []
-    for i, s in enumerate(sentences(text)):
+    said, n = [], []
+    for s in sentences(text):
         words = s.split()
         if words and any(c.isalnum() for c in s):
             said.append(" ".join(words))
-            at.append(i)
             n.append(len(words))
-    hashes, places = [], []
-    for k in range(len(said) - span + 1):
-        if sum(n[k : k + span]) >= min_words:
-            hashes.append(digest("\n".join(said[k : k + span]).encode("utf-8", "surrogatepass")))
-            places.append(k)
-    return hashes, places
+    runs = shortest_runs(n, span, min_words)
+    hashes = [digest("\n".join(said[a:b]).encode("utf-8", "surrogatepass")) for a, b in runs]
+    return hashes, [a for a, _ in runs], [b - a for a, b in runs]
+
+
+def runs_of(text: str, span: int, min_words: int) -> tuple[list[int], list[int]]:
+    """(hashes, places) of the runs."""
+    return long_runs(text, span, min_words)[:2]
 
 
 def _runs(span: int, min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [runs_of(t, span, min_words) if t else ([], []) for t in batch["text"].tolist()]
-            n = [len(h) for h, _ in found]
+            found = [long_runs(t, span, min_words) if t else ([], [], []) for t in batch["text"].tolist()]
+            n = [len(h) for h, *_ in found]
             yield pd.DataFrame(
                 {
-                    "run": np.fromiter((x for h, _ in found for x in h), np.uint64, sum(n)).view(np.int64),
+                    "run": np.fromiter((x for h, *_ in found for x in h), np.uint64, sum(n)).view(np.int64),
                     "doc_id": np.repeat(batch["doc_id"].astype("Int64").array, n),
                     "row": np.repeat(batch["row"].to_numpy(), n),
-                    "place": np.fromiter((x for _, p in found for x in p), np.int32, sum(n)),
+                    "place": np.fromiter((x for _, p, _ in found for x in p), np.int32, sum(n)),
+                    "length": np.fromiter((x for *_, c in found for x in c), np.int32, sum(n)),
                 }
             )
 
@@ -66,12 +91,12 @@ CLEANED = StructType([StructField("text", StringType()), StructField("n_sentence
 
 
 @F.pandas_udf(CLEANED)
-def _without(texts: pd.Series, runs: pd.Series, spans: pd.Series) -> pd.DataFrame:
+def _without(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
     out = []
-    for text, starts, span in zip(texts.tolist(), runs.tolist(), spans.tolist(), strict=True):
+    for text, found in zip(texts.tolist(), runs.tolist(), strict=True):
         pieces = sentences(text) if text else []
         real = [i for i, s in enumerate(pieces) if any(c.isalnum() for c in s)]
-        gone = {real[k] for s in (starts if starts is not None else ()) for k in range(s, s + span)}
+        gone = {real[k] for s, n in (found if found is not None else ()) for k in range(s, s + n)}
         kept, cut, at = [], [], 0
         for i, s in enumerate(pieces):
             if i not in gone:
@@ -88,7 +113,8 @@ def _without(texts: pd.Series, runs: pd.Series, spans: pd.Series) -> pd.DataFram
 def drop_repeats(docs: DataFrame, *, span: int = 2, min_words: int = 12, hot_runs: int = HOT_RUNS) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed, removed) for every row of docs (doc_id, text).
 
-    Every run of `span` consecutive sentences with min_words words in all is hashed and joined over all documents. The
+    Runs of `span` consecutive sentences with min_words words in all, and of as many more as it takes to reach min_words
+    where sentences are short, are hashed and joined over all documents (shortest_runs). The
     first, by doc_id (null last), row hash and place, stays; sentences that any later one covers are removed.
     removed lists the spans that went, as start:end in code points of the original text. Sentences of more than 24 words
     count as several.
@@ -101,15 +127,15 @@ def drop_repeats(docs: DataFrame, *, span: int = 2, min_words: int = 12, hot_run
     """
     text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))))
-    runs = stored(rows.mapInPandas(_runs(span, min_words), "run long, doc_id long, row long, place int"), "runs")
+    runs = stored(rows.mapInPandas(_runs(span, min_words), "run long, doc_id long, row long, place int, length int"), "runs")
     where = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "place")
     firsts = durable(runs.groupBy("run").agg(F.min(where).alias("first"), F.count("*").alias("n")).filter("n > 1"))
     limit = max(1000, runs.count() // hot_runs)
     hot = F.broadcast(firsts.filter(F.col("n") > limit))
     later = (F.col("row") != F.col("first.row")) | (F.col("place") != F.col("first.place"))
-    again = runs.join(hot.select("run", "first"), "run").filter(later).select("row", "place")
+    again = runs.join(hot.select("run", "first"), "run").filter(later).select("row", "place", "length")
     rare = runs.join(hot.select("run"), "run", "left_anti").join(firsts.filter(F.col("n") <= limit).select("run", "first"), "run")
-    again = again.unionByName(rare.filter(later).select("row", "place"))
-    cuts = again.groupBy("row").agg(F.sort_array(F.collect_set("place")).alias("runs"))
-    joined = rows.join(cuts.hint("merge"), "row", "left").withColumn("x", _without("text", "runs", F.lit(span)))
+    again = again.unionByName(rare.filter(later).select("row", "place", "length"))
+    cuts = again.groupBy("row").agg(F.sort_array(F.collect_set(F.array("place", "length"))).alias("runs"))
+    joined = rows.join(cuts.hint("merge"), "row", "left").withColumn("x", _without("text", "runs"))
     return joined.select("doc_id", "x.*")
