@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.shared import shared_dir
+from ..sources.shared import durable, shared_dir
 
 
 def read_stream(spark: SparkSession, folder: str, file: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -87,7 +88,14 @@ def apply_batches(stream: DataFrame, step: Callable[[DataFrame, int], None]) ->
     stream.writeStream.foreachBatch(step).option("checkpointLocation", root).trigger(availableNow=True).start().awaitTermination()
 
 
-def late_rows(rows: DataFrame, ts: str, arrival: str, delay: str) -> DataFrame:
+def arrival_blocks(rows: DataFrame, arrival: str, block_rows: int) -> DataFrame:
+    """rows with a block number that rises with arrival; blocks have about block_rows rows, whatever the unit of arrival."""
+    known = rows.filter(F.col(arrival).isNotNull())
+    n = max(1, math.ceil(known.count() / block_rows))
+    return durable(known.repartitionByRange(n, arrival).withColumn("block", F.spark_partition_id()))
+
+
+def late_rows(rows: DataFrame, ts: str, arrival: str, delay: str, block_rows: int = 100_000) -> DataFrame:
     """Rows older than the watermark when they come: the newest time among earlier arrivals, less the delay.
 
     A batch query over arrivals, which finds what the stream has dropped and the backfill must derive again.
@@ -95,7 +103,7 @@ def late_rows(rows: DataFrame, ts: str, arrival: str, delay: str) -> DataFrame:
     from pyspark.sql import Window
 
     # Arrivals are cut into blocks, so that no task holds them all: a running maximum within blocks, and one over blocks.
-    blocks = rows.withColumn("block", F.floor(F.col(arrival) / 100_000))
+    blocks = arrival_blocks(rows, arrival, block_rows)
     tops = blocks.groupBy("block").agg(F.max(ts).alias("top"))
     tops = tops.withColumn("earlier", F.max("top").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).drop("top")
     inside = F.max(ts).over(Window.partitionBy("block").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1))
