@@ -114,7 +114,7 @@ def host_port_split(t):
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'error') > 0 AS is_delinquent, max(event_id) AS credits_epoch, max(event_id) * 2 AS credits FROM events GROUP BY 1")
 def vote_activity_rows(t):
-    lists = t.events.groupBy("user_id").agg(F.to_json(F.sort_array(F.collect_list(F.array("event_id", F.col("event_id") * 2)))).alias("epoch_credits"), (F.count_if(F.col("event_type") == "error") > 0).alias("bad"))
+    lists = t.events.groupBy("user_id").agg(F.to_json(F.array(F.max(F.array("event_id", F.col("event_id") * 2)))).alias("epoch_credits"), (F.count_if(F.col("event_type") == "error") > 0).alias("bad"))
     rows = records.vote_rows(lists.filter("NOT bad").drop("bad"), lists.filter("bad").drop("bad"), F.lit(7))
     return rows.select("user_id", "is_delinquent", "credits_epoch", "credits")
 
