@@ -15,6 +15,8 @@ from .common import durable, text_batches
 
 #: The longest piece, in characters, and the longest word that is scored in plain rather than in log space.
 PIECE, PLAIN = 12, 40
+#: Numbers that the sums of words of one length may hold at a time, for each of their characters.
+CELLS = 1 << 16
 #: Words whose scores a worker remembers for each model; then it starts afresh.
 REMEMBERED = 600_000
 START = "▁"
@@ -96,8 +98,8 @@ class Lookup:
 _lookups: dict[int, Lookup] = {}
 
 
-def lattices(words: list[str], pieces: dict[str, int]) -> Iterator[tuple[int, list[int], dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]]]:
-    """Words of one length at a time: (length, their places, {(from, to): (which of them, pieces)}), as edges_of() has them."""
+def lattices(words: list[str], pieces: dict[str, int], rows: int = 8192) -> Iterator[tuple[int, list[int], dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]]]:
+    """Up to `rows` words of one length at a time: (length, their places, {(from, to): (which of them, pieces)}), as edges_of() has them."""
     if id(pieces) not in _lookups:
         _lookups[id(pieces)] = Lookup(pieces)
     lookup = _lookups[id(pieces)]
@@ -105,8 +107,8 @@ def lattices(words: list[str], pieces: dict[str, int]) -> Iterator[tuple[int, li
     for k, w in enumerate(words):
         by_length.setdefault(len(w), []).append(k)
     for n, places in by_length.items():
-        for at in range(0, len(places), 8192):
-            some = places[at : at + 8192]
+        for at in range(0, len(places), rows):
+            some = places[at : at + rows]
             chars = np.empty((n + 1, len(some)), np.uint64)
             chars[0] = ord(START)
             if n:
@@ -125,33 +127,43 @@ def lattices(words: list[str], pieces: dict[str, int]) -> Iterator[tuple[int, li
             yield n + 1, some, arcs
 
 
-def forward(n: int, rows: int, arcs: dict, prob: np.ndarray) -> np.ndarray:
-    """alpha[j]: the sum over all segmentations of the first j characters; rows x languages."""
+def stretch(logs: np.ndarray) -> float:
+    """What each character adds to a log probability while words of fewer than PLAIN characters are summed in plain space.
+
+    Half of the least log of a piece, turned round: sums of n characters then lie within exp(+-n * stretch), whatever the
+    pieces, so that they neither vanish nor overflow. All ways to cut a word have all its characters, so the factor is the same.
+    """
+    return -float(logs.min()) / 2
+
+
+def forward(n: int, rows: int, arcs: dict, prob: np.ndarray, factor: float = 1.0) -> np.ndarray:
+    """alpha[j]: the sum over all segmentations of the first j characters, times factor ** j; rows x languages."""
     alpha = np.zeros((n + 1, rows, prob.shape[1]))
     alpha[0] = 1
     for j in range(1, n + 1):
         for i in range(max(0, j - PIECE), j):
             if (i, j) in arcs:
                 r, p = arcs[i, j]
-                alpha[j, r] += alpha[i, r] * prob[p]
+                alpha[j, r] += alpha[i, r] * (prob[p] * factor ** (j - i))
     return alpha
 
 
 def expected(words: list[str], counts: np.ndarray, pieces: dict[str, int], prob: np.ndarray) -> np.ndarray:
     """How often each piece is expected in the words of one language; prob: one column."""
     out = np.zeros(len(prob))
+    factor = float(np.exp(stretch(np.log(prob))))
     for n, places, arcs in lattices(words, pieces):
-        alpha = forward(n, len(places), arcs, prob)[:, :, 0]
+        alpha = forward(n, len(places), arcs, prob, factor)[:, :, 0]
         beta = np.zeros_like(alpha)
         beta[n] = 1
         for i in range(n - 1, -1, -1):
             for j in range(i + 1, min(n, i + PIECE) + 1):
                 if (i, j) in arcs:
                     r, p = arcs[i, j]
-                    beta[i, r] += beta[j, r] * prob[p, 0]
-        weight = counts[places] / alpha[n]
+                    beta[i, r] += beta[j, r] * (prob[p, 0] * factor ** (j - i))
         for (i, j), (r, p) in arcs.items():
-            out += np.bincount(p, alpha[i, r] * prob[p, 0] * beta[j, r] * weight[r], minlength=len(out))
+            part = alpha[i, r] * (prob[p, 0] * factor ** (j - i)) * beta[j, r] / alpha[n, r]
+            out += np.bincount(p, part * counts[places][r], minlength=len(out))
     return out
 
 
@@ -174,7 +186,7 @@ class Scorer:
     """Log probabilities of words in each language, remembered."""
 
     def __init__(self, pieces: dict[str, int], logs: np.ndarray):
-        self.pieces, self.logs, self.prob = pieces, logs, np.exp(logs)
+        self.pieces, self.logs, self.prob, self.stretch = pieces, logs, np.exp(logs), stretch(logs)
         self.place: dict[str, int] = {}
         self.scores = np.zeros((0, logs.shape[1]))
 
@@ -184,8 +196,9 @@ class Scorer:
         new = list(words.difference(self.place))
         scores = np.zeros((len(new), self.logs.shape[1]))
         short = [k for k, w in enumerate(new) if len(w) < PLAIN]
-        for n, places, arcs in lattices([new[k] for k in short], self.pieces):
-            scores[[short[k] for k in places]] = np.log(forward(n, len(places), arcs, self.prob)[n])
+        factor, rows = float(np.exp(self.stretch)), max(64, CELLS // self.logs.shape[1])
+        for n, places, arcs in lattices([new[k] for k in short], self.pieces, rows):
+            scores[[short[k] for k in places]] = np.log(forward(n, len(places), arcs, self.prob, factor)[n]) - n * self.stretch
         for k, w in enumerate(new):
             if len(w) >= PLAIN:
                 scores[k] = long_word(w, self.pieces, self.logs)
@@ -218,6 +231,11 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen: Counter = Counter()
             for text in texts:
                 seen.update(words_of(text))
+            # Long words, as of languages without spaces, are learned from in pieces.
+            for word in [w for w in seen if len(w) >= PLAIN]:
+                n = seen.pop(word)
+                for at in range(0, len(word), PLAIN - 1):
+                    seen[word[at : at + PLAIN - 1]] += n
             yield pd.DataFrame({"lang": lang, "word": list(seen), "n": list(seen.values())})
 
 
@@ -247,7 +265,7 @@ def fit(docs: DataFrame, *, model: str, sample: int, rounds: int, floor: float =
     limit = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample / total[k]))]), F.col("lang"))
     chosen = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit * (1 << 30)).select("lang", "text")
     words = chosen.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = durable(words.filter(F.length("word") < PLAIN))
+    words = durable(words)
     size = max(vocabulary(model).values()) + 1
     prob = np.full((size, len(langs)), 1.0 / size)
     for _ in range(rounds):
@@ -266,7 +284,9 @@ def identify(docs: DataFrame, *, model: str = "piece_bpe_32k.model", sample: int
 
     A text's probability in a language is the product over its words of the sum, over all ways to cut the word into pieces
     of the vocabulary, of the pieces' probabilities. score is the posterior of the best language; ties go to the first
-    by name. Languages are learned from about `sample` labelled texts each that are not held out; lang serves for that alone.
+    by name. Languages are learned from about `sample` labelled texts each that are not held out; lang serves for that alone. Words are
+    cut at white space and ASCII stops; of a word of 40 characters or more, as in languages without spaces, consecutive parts are learned
+    from, while it is scored whole. Pieces of more than 12 characters are left out. Very long texts are scored whole, by logs of their words.
 
     Texts that are null or have no letter, and all texts if nothing is labelled, are 'und' with score 0. Rows without doc_id
     are not held out and nothing is learned from them. Repeated rows are rows like any other, and an empty table gives no rows.
