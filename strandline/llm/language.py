@@ -16,7 +16,7 @@ from .common import durable, text_batches
 #: The longest piece, in characters, and the longest word that is scored in plain rather than in log space.
 PIECE, PLAIN = 12, 40
 #: Numbers that the sums of words of one length may hold at a time, for each of their characters.
-CELLS = 1 << 16
+CELLS = 1 << 15
 #: Words whose scores a worker remembers for each model; then it starts afresh.
 REMEMBERED = 600_000
 START = "▁"
@@ -98,8 +98,8 @@ class Lookup:
 _lookups: dict[int, Lookup] = {}
 
 
-def lattices(words: list[str], pieces: dict[str, int], rows: int = 8192) -> Iterator[tuple[int, list[int], dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]]]:
-    """Up to `rows` words of one length at a time: (length, their places, {(from, to): (which of them, pieces)}), as edges_of() has them."""
+def lattices(words: list[str], pieces: dict[str, int], most: int = 8192) -> Iterator[tuple[int, list[int], dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]]]:
+    """Up to `most` words of one length at a time: (length, their places, {(from, to): (which of them, pieces)}), as edges_of() has them."""
     if id(pieces) not in _lookups:
         _lookups[id(pieces)] = Lookup(pieces)
     lookup = _lookups[id(pieces)]
@@ -107,8 +107,8 @@ def lattices(words: list[str], pieces: dict[str, int], rows: int = 8192) -> Iter
     for k, w in enumerate(words):
         by_length.setdefault(len(w), []).append(k)
     for n, places in by_length.items():
-        for at in range(0, len(places), rows):
-            some = places[at : at + rows]
+        for at in range(0, len(places), most):
+            some = places[at : at + most]
             chars = np.empty((n + 1, len(some)), np.uint64)
             chars[0] = ord(START)
             if n:
@@ -196,8 +196,8 @@ class Scorer:
         new = list(words.difference(self.place))
         scores = np.zeros((len(new), self.logs.shape[1]))
         short = [k for k, w in enumerate(new) if len(w) < PLAIN]
-        factor, rows = float(np.exp(self.stretch)), max(64, CELLS // self.logs.shape[1])
-        for n, places, arcs in lattices([new[k] for k in short], self.pieces, rows):
+        factor, most = float(np.exp(self.stretch)), max(64, CELLS // self.logs.shape[1])
+        for n, places, arcs in lattices([new[k] for k in short], self.pieces, most):
             scores[[short[k] for k in places]] = np.log(forward(n, len(places), arcs, self.prob, factor)[n]) - n * self.stretch
         for k, w in enumerate(new):
             if len(w) >= PLAIN:
