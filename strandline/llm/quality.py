@@ -91,15 +91,17 @@ def _share(part: str, whole: str, scale: int) -> Column:
     return F.coalesce(F.expr(f"try_divide(c.{part} * {scale}L, c.{whole})").cast("long"), F.lit(0).cast("long"))
 
 
-#: What is compared with thresholds: scaled integer, whether low values count as well, and the least spread.
+#: What is compared with fences: a count, what it is a share of, the scale of the share in sketches, whether low shares count as
+#: well, and whether the fence comes from texts with a share above zero only. Repetition and exclamation come in bursts, so that texts
+#: without any say nothing about how much of it is usual.
 MEASURES = {
-    "symbols": ("n_symbols", "n_words", 10_000, False, 300),
-    "repeats": ("n_repeat_words", "n_words", 10_000, False, 1500),
-    "dup_lines": ("n_dup_lines", "n_lines", 10_000, False, 3000),
-    "word_length": ("word_chars", "n_words", 100, True, 100),
-    "caps": ("n_caps", "word_chars", 10_000, False, 1500),
-    "marks": ("n_marks", "n_words", 10_000, False, 500),
-    "stutter": ("n_same_next", "n_words", 10_000, False, 1000),
+    "symbols": ("n_symbols", "n_words", 10_000, False, False),
+    "repeats": ("n_repeat_words", "n_words", 10_000, False, True),
+    "dup_lines": ("n_dup_lines", "n_lines", 10_000, False, True),
+    "word_length": ("word_chars", "n_words", 100, True, False),
+    "caps": ("n_caps", "word_chars", 10_000, False, False),
+    "marks": ("n_marks", "n_words", 10_000, False, True),
+    "stutter": ("n_same_next", "n_words", 10_000, False, False),
 }
 FENCE = 3
 
@@ -139,10 +141,11 @@ def sketches(rows: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(sketch: DataFrame, least_rows: int = 100) -> DataFrame:
+def thresholds(sketch: DataFrame, least_rows: int = 30) -> DataFrame:
     """(lang_key, source_key, limits): the fences of each language and source, limits.<measure>.lo and .hi.
 
-    A group with fewer than least_rows rows takes those of its language, merged over all
+    A fence is FENCE quartile distances beyond the upper (or lower) quartile, of all texts or of those with a share above zero; 0
+    where there is none. A group with fewer than least_rows rows takes the fences of its language, merged over all
     sources, and a language with fewer those of the whole table.
     """
     everywhere = F.lit("*")
@@ -151,15 +154,16 @@ def thresholds(sketch: DataFrame, least_rows: int = 100) -> DataFrame:
     whole = by_lang.groupBy("measure", "low").agg(F.sum("n").alias("n")).withColumns({"lang_key": everywhere, "source_key": everywhere})
     levels = own.unionByName(by_lang).unionByName(whole)
     w = Window.partitionBy("lang_key", "source_key", "measure")
+    some = [k for k, v in MEASURES.items() if v[4]]
+    levels = levels.filter(~F.col("measure").isin(some) | (F.col("low") > 0))
     ranked = levels.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("low")))
     quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("low")))
     found = ranked.groupBy("lang_key", "source_key", "measure").agg(F.first("total").alias("total"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    slack = F.create_map(*[F.lit(x) for k, v in MEASURES.items() for x in (k, v[4])])
     both = F.create_map(*[F.lit(x) for k, v in MEASURES.items() for x in (k, v[3])])
-    reach = (F.col("q3") - F.col("q1")) * FENCE + slack[F.col("measure")]
+    reach = (F.col("q3") - F.col("q1")) * FENCE
     fences = (
         found.withColumn("hi", F.col("q3") + reach)
-        .withColumn("lo", F.when(both[F.col("measure")], F.col("q1") - reach).otherwise(F.lit(-1)))
+        .withColumn("lo", F.when(both[F.col("measure")], F.greatest(F.col("q1") - reach, F.lit(0))))
         .groupBy("lang_key", "source_key")
         .agg(
             F.max("total").alias("total"),
@@ -193,12 +197,24 @@ SMALL = 10_000
 def with_verdict(rows: DataFrame, limits: DataFrame, order: Column) -> DataFrame:
     """rows with kept: within all fences of its language and source.
 
+    A short text may pass a fence by chance. So its count is compared with what the fence allows, give or take FENCE standard
+    deviations of a count (as many as the fence allows, and one in a hundred more) and 1.
+
     Few groups are broadcast, after counting them. Otherwise both sides are dealt by group and salt, so
     that a source with a third of all rows is spread over tasks.
     """
     within = F.lit(True)
-    for k in MEASURES:
-        within = within & F.col(f"m.{k}").between(F.col(f"limits.{k}.lo"), F.col(f"limits.{k}.hi"))
+    for k, (part, whole, scale, two_sided, _) in MEASURES.items():
+        count, n = F.col(f"c.{part}").cast("double"), F.col(f"c.{whole}").cast("double")
+
+        def apart(edge: str, sign: int, k=k, count=count, n=n, scale=scale) -> Column:
+            allowed = F.coalesce(F.col(f"limits.{k}.{edge}"), F.lit(0)).cast("double") * n / scale
+            over = (count - allowed) * sign - 1
+            return (over <= 0) | (over * over <= FENCE**2 * (allowed + n / 100))
+
+        within = within & apart("hi", 1)
+        if two_sided:
+            within = within & apart("lo", -1)
     kept = ~F.col("base_failed") & F.coalesce(within, F.lit(False))
     if limits.count() <= SMALL:
         joined = rows.join(F.broadcast(limits), ["lang_key", "source_key"], "left")
@@ -209,11 +225,12 @@ def with_verdict(rows: DataFrame, limits: DataFrame, order: Column) -> DataFrame
     return joined.withColumn("kept", kept).drop("limits")
 
 
-def judge(docs: DataFrame, *, least_rows: int = 100) -> DataFrame:
+def judge(docs: DataFrame, *, least_rows: int = 30) -> DataFrame:
     """(doc_id, counts, base_failed, kept) for every row of docs (doc_id, text, lang, source).
 
     A text fails the base with fewer than 20 words or if more than 30 % of its words lie in repeated
-    8-word windows. The others are kept if every measure lies within the fences of their language and source.
+    8-word windows. The others are kept if every measure lies within the fences of their language and source (thresholds(),
+    with_verdict()). Very long texts are counted whole. Other columns are ignored.
     Null and empty texts have no words and fail. Null languages and sources are groups like any other, null
     doc_ids and repeated rows are judged like any row, and an empty table gives no rows.
     """
@@ -222,8 +239,9 @@ def judge(docs: DataFrame, *, least_rows: int = 100) -> DataFrame:
     return with_verdict(rows, limits, F.coalesce("doc_id", F.lit(0))).select("doc_id", "c.*", "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, *, least_rows: int = 100) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns.
+def keep_good(docs: DataFrame, *, least_rows: int = 30) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns, whatever their names. Null and empty texts go; rows
+    that are equal go or stay together; an empty table gives no rows.
 
     Texts are read twice, once for the sketches and once to filter: cheaper than to store or shuffle them.
     """
@@ -235,7 +253,7 @@ def keep_good(docs: DataFrame, *, least_rows: int = 100) -> DataFrame:
 
 def _oracle() -> str:
     measure = lambda k: f"coalesce(({MEASURES[k][0]} * {MEASURES[k][2]}) // nullif({MEASURES[k][1]}, 0), 0)"
-    pairs = "\n    UNION ALL ".join(f"SELECT id, '{k}' AS measure, {measure(k)} AS v, {v[4]} AS slack, {str(v[3]).lower()} AS two_sided FROM counts" for k, v in MEASURES.items())
+    pairs = "\n    UNION ALL ".join(f"SELECT id, '{k}' AS measure, {measure(k)} AS v, {v[0]}::DOUBLE AS part, {v[1]}::DOUBLE AS whole, {v[2]} AS scale, {str(v[3]).lower()} AS two_sided, {str(v[4]).lower()} AS bursts FROM counts" for k, v in MEASURES.items())
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(lang, '~null') AS lang, coalesce(source, '~null') AS source, coalesce(text, '') AS text FROM documents),
 listed AS (SELECT id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs),
@@ -256,23 +274,25 @@ judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base
 measures AS ({pairs}),
 good AS (SELECT m.*, lang, source, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS low FROM measures m JOIN judged USING (id) WHERE NOT base_failed),
 leveled AS (
-  SELECT lang, source, measure, low, slack, two_sided FROM good
-  UNION ALL SELECT lang, '*', measure, low, slack, two_sided FROM good
-  UNION ALL SELECT '*', '*', measure, low, slack, two_sided FROM good),
+  SELECT lang, source, measure, low, bursts FROM good
+  UNION ALL SELECT lang, '*', measure, low, bursts FROM good
+  UNION ALL SELECT '*', '*', measure, low, bursts FROM good),
 quartiles AS (
-  SELECT lang, source, measure, slack, two_sided, count(*) AS total, quantile_disc(low, 0.25) AS q1, quantile_disc(low, 0.75) AS q3
+  SELECT lang, source, measure, count(*) AS total, quantile_disc(low, 0.25) FILTER (NOT bursts OR low > 0) AS q1, quantile_disc(low, 0.75) FILTER (NOT bursts OR low > 0) AS q3
   FROM leveled GROUP BY ALL),
 fences AS (
-  SELECT *, q3 + (q3 - q1) * {FENCE} + slack AS hi, CASE WHEN two_sided THEN q1 - (q3 - q1) * {FENCE} - slack ELSE -1 END AS lo FROM quartiles),
-verdicts AS (
-  SELECT m.id, bool_and(m.v BETWEEN
-      CASE WHEN a.total >= 100 THEN a.lo WHEN b.total >= 100 THEN b.lo ELSE c.lo END AND
-      CASE WHEN a.total >= 100 THEN a.hi WHEN b.total >= 100 THEN b.hi ELSE c.hi END) AS within
+  SELECT *, coalesce(q3 + (q3 - q1) * {FENCE}, 0) AS hi, greatest(coalesce(q1 - (q3 - q1) * {FENCE}, 0), 0) AS lo FROM quartiles),
+allowed AS (
+  SELECT m.*, CASE WHEN a.total >= 30 THEN a.lo WHEN b.total >= 30 THEN b.lo ELSE c.lo END::DOUBLE * whole / scale AS least,
+    CASE WHEN a.total >= 30 THEN a.hi WHEN b.total >= 30 THEN b.hi ELSE c.hi END::DOUBLE * whole / scale AS most
   FROM measures m JOIN judged j USING (id)
   LEFT JOIN fences a ON a.lang = j.lang AND a.source = j.source AND a.measure = m.measure
   LEFT JOIN fences b ON b.lang = j.lang AND b.source = '*' AND b.measure = m.measure
-  LEFT JOIN fences c ON c.lang = '*' AND c.source = '*' AND c.measure = m.measure
-  GROUP BY m.id)
+  LEFT JOIN fences c ON c.lang = '*' AND c.source = '*' AND c.measure = m.measure),
+verdicts AS (
+  SELECT id, bool_and((part - most <= 1 OR pow(part - most - 1, 2) <= {FENCE**2} * (most + whole / 100))
+    AND (NOT two_sided OR least - part <= 1 OR pow(least - part - 1, 2) <= {FENCE**2} * (least + whole / 100))) AS within
+  FROM allowed GROUP BY id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_caps, n_marks, n_same_next, base_failed,
        NOT base_failed AND coalesce(within, false) AS kept
 FROM judged JOIN verdicts USING (id)
