@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, stored
 
 
 def either_case(word: str) -> str:
@@ -48,26 +49,35 @@ RULES = BASE + EXTRA
 FINDINGS = "array<struct<start:long,place:int,kind:string,end:long>>"
 
 
-def find(rule: Rule, place: int, text: str, matches: str) -> Column:
-    """Spans of the rule in column text; column matches holds its matches.
+LEDGER = f"blob string, rule_keys array<string>, findings {FINDINGS}"
+
+
+def hits(rule: Rule, place: int, text: str, matches: str) -> Column:
+    """Lengths of the rule's matches in column text, of what lies before each, and of what must be long enough; column matches
+    holds the matches.
 
     Spark has no function for the places of all matches. The pieces between them are what split() leaves,
-    so a match starts after all earlier pieces and matches.
+    so a match starts after all earlier pieces and matches: a running sum of lengths, which spans_of() makes.
     """
     pieces = F.split(F.col(text), rule.pattern, -1)
     told = F.regexp_extract_all(F.col(text), F.lit(rule.pattern), rule.group) if rule.group else F.col(matches)
-    steps = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("piece"), F.col(matches).alias("whole"), told.alias("told"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(FINDINGS).alias("spans"))
+    lengths = lambda c: F.transform(c, lambda x: F.length(x))
+    steps = F.arrays_zip(F.slice(lengths(pieces), 1, F.size(matches)).alias("gap"), lengths(F.col(matches)).alias("len"), lengths(told).alias("told"))
+    rows = F.transform(steps, lambda x, i: F.struct(F.lit(place).alias("place"), i.alias("i"), x["gap"].alias("gap"), x["len"].alias("len"), x["told"].alias("told")))
+    return F.when(F.size(matches) > 0, rows).otherwise(F.array().cast("array<struct<place:int,i:int,gap:int,len:int,told:int>>"))
 
-    def step(so_far: Column, x: Column) -> Column:
-        begin = so_far["at"] + F.length(x["piece"])
-        end = begin + F.length(x["whole"])
-        span = F.struct(begin.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        more = F.when(F.length(x["told"]) >= rule.min_chars, F.concat(so_far["spans"], F.array(span))).otherwise(so_far["spans"])
-        return F.struct(end.cast("long").alias("at"), more.cast(FINDINGS).alias("spans"))
 
-    spans = F.aggregate(steps, start, step, lambda x: x["spans"])
-    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast(FINDINGS))
+def spans_of(scanned: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, rule_keys, findings) from (blob, rule_keys, hits); the matches of one text are added up one by one."""
+    none = scanned.filter(F.size("hits") == 0).select("blob", "rule_keys", F.array().cast(FINDINGS).alias("findings"))
+    rows = scanned.filter(F.size("hits") > 0).select("blob", "rule_keys", F.inline("hits"))
+    upto = Window.partitionBy("blob", "place").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum((F.col("gap") + F.col("len")).cast("long")).over(upto))
+    of = lambda what: F.element_at(F.array(*[F.lit(x) for x in what]), F.col("place") + 1)
+    span = F.struct((F.col("end") - F.col("len")).alias("start"), "place", of([r.kind for r in rules]).alias("kind"), "end")
+    found = F.collect_list(F.when(F.col("told") >= of([r.min_chars for r in rules]), span))
+    some = rows.groupBy("blob").agg(F.first("rule_keys").alias("rule_keys"), F.array_sort(found).cast(FINDINGS).alias("findings"))
+    return none.unionByName(some)
 
 
 def with_blob(docs: DataFrame) -> DataFrame:
@@ -78,7 +88,7 @@ def with_blob(docs: DataFrame) -> DataFrame:
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New rows of the ledger: (blob, rule_keys, findings), one per text that some rule version has not seen.
 
-    docs: (doc_id, text), one row per path or historical version. ledger: rows of earlier calls. Map-side
+    docs: (text), one row per path or historical version. ledger: rows of earlier calls. Map-side
     aggregation keeps one text per blob and task before anything is shuffled, so copies cost nothing.
     """
     blobs = with_blob(docs.select(F.coalesce("text", F.lit("")).alias("text"))).groupBy("blob").agg(F.first("text").alias("text"))
@@ -96,11 +106,18 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     for r in rules:
         wanted = F.lit(True) if ledger is None else F.array_contains("todo", r.key)
         todo = todo.withColumn(f"m_{r.kind}", F.when(wanted, F.regexp_extract_all("text", F.lit(r.pattern), 0)).otherwise(F.array().cast("array<string>")))
-    found = F.array_sort(F.concat(*[find(r, i, "text", f"m_{r.kind}") for i, r in enumerate(rules)]))
-    any_match = F.lit(False)
-    for r in rules:
-        any_match = any_match | (F.size(f"m_{r.kind}") > 0)
-    return todo.select("blob", F.col("todo").alias("rule_keys"), F.when(any_match, found).otherwise(F.array().cast(FINDINGS)).alias("findings"))
+    found = F.concat(*[hits(r, i, "text", f"m_{r.kind}") for i, r in enumerate(rules)])
+    return spans_of(durable(todo.select("blob", F.col("todo").alias("rule_keys"), found.alias("hits"))), rules)
+
+
+def ledger_at(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger in a folder, None if there is none yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def findings_of(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -117,15 +134,25 @@ def findings_of(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     )
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, *, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(docs with a column findings, the whole ledger).
 
     docs keeps all its rows and columns, apart from columns named blob or findings, which are replaced. findings is
     array<(start, place, kind, end)> in code points, sorted, empty where there is none. Null and empty texts
-    have none, repeated rows get the same findings, and an empty table gives no rows and an empty ledger.
+    have none, very long ones are scanned whole, repeated rows get the same findings, and an empty table gives no rows and an empty ledger.
+
+    path: a folder that all machines see. The ledger is what lies there, and what this scan adds is appended to it as Parquet;
+    without one, new rows are kept in the shared folder. Only pairs of a text and a rule version that the ledger lacks are scanned.
     """
-    fresh = durable(scan_unseen(docs, ledger, rules))
-    whole = fresh if ledger is None else ledger.unionByName(fresh)
+    if path is not None:
+        ledger = ledger_at(docs.sparkSession, path)
+    fresh = scan_unseen(docs, ledger, rules)
+    if path is not None:
+        fresh.write.mode("append").parquet(path)
+        whole = ledger_at(docs.sparkSession, path)
+    else:
+        fresh = stored(fresh, "ledger")
+        whole = fresh if ledger is None else ledger.unionByName(fresh)
     # The repartitioned side is an exchange of its own, so that AQE can split a blob that very many paths share.
     hits = findings_of(whole, rules).withColumnRenamed("blob", "__blob").withColumnRenamed("findings", "__found")
     hits = durable(hits)
@@ -140,7 +167,11 @@ def told(findings: Column) -> Column:
 
 
 def redact(docs: DataFrame, mask: str = "[redacted]") -> DataFrame:
-    """docs with a column findings: its spans, overlaps merged, are replaced by the mask in text."""
+    """docs with a column findings: its spans, overlaps merged, are replaced by the mask in text.
+
+    All rows and columns stay. A text without findings, null and empty ones among them, stays as it is; spans must lie within
+    the text, in order. An empty table gives no rows.
+    """
     empty = F.array().cast("array<struct<start:long,end:long>>")
 
     def merge(spans: Column, f: Column) -> Column:
