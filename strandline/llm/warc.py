@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import durable
+
 #: Fields that a not-modified answer may not change in a stored response (RFC 9111, 3.2, and hop-by-hop fields).
 KEPT_FIELDS = (
     "connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization",
@@ -44,25 +48,29 @@ def merged_headers(stored: Column, fresh: Column) -> Column:
     return F.map_concat(old, allowed)
 
 
-def latest_earlier(rows: DataFrame, keys: list[str], ts: str, value: Column, valid: Column, bucket_seconds: int, out: str) -> DataFrame:
-    """rows with the value of the row of the same keys with the latest ts before theirs, among valid rows; ties to the greatest value.
+def latest_earlier(rows: DataFrame, key: str, ts: str, value: Column, valid: Column, part_rows: int, out: str) -> DataFrame:
+    """rows with the value of the row of the same key with the latest ts before theirs, among valid rows; ties to the greatest value.
 
-    Time is cut into buckets. Within one, a window finds the last valid row; the last one of earlier buckets comes from a
-    table of one row per key and bucket. So a key with a third of all rows is spread over its buckets.
+    Rows are range-partitioned by key and ts into parts of about part_rows, whatever the keys and times. Within a part, a
+    window finds the last valid row of a key; the last one of earlier parts comes from a table of one row per key and part. So a key
+    with a third of all rows is spread over its parts; only rows of one key at the same ts stay together. Rows without key
+    or ts find nothing and are left out.
     """
-    cut = rows.withColumn("__bucket", F.floor(F.unix_micros(ts) / (bucket_seconds * 1_000_000)))
-    candidate = F.when(valid, F.struct(F.unix_micros(ts).alias("at"), value.alias("value")))
-    cut = cut.withColumn("__own", candidate)
-    ends = cut.groupBy(*keys, "__bucket").agg(F.max("__own").alias("__end"))
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.unix_micros(ts)
+    rows = durable(rows.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()))
+    parts = max(8, math.ceil(rows.count() / part_rows))
+    dealt = rows.repartitionByRange(parts, F.col(key), at)
+    cut = dealt.withColumns({"__part": F.spark_partition_id(), "__own": F.when(valid, F.struct(at.alias("at"), value.alias("value")))})
+    ends = cut.groupBy(key, "__part").agg(F.max("__own").alias("__end"))
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("__carry", F.max("__end").over(before)).drop("__end")
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(F.unix_micros(ts)).rangeBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, "__part").orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
     local = cut.withColumn("__local", F.max("__own").over(inside))
-    joined = local.join(ends, [*keys, "__bucket"])
-    return joined.withColumn(out, F.coalesce("__local", "__carry")["value"]).drop("__bucket", "__own", "__local", "__carry")
+    joined = local.join(ends, [key, "__part"])
+    return joined.withColumn(out, F.coalesce("__local", "__carry")["value"]).drop("__part", "__own", "__local", "__carry")
 
 
-def resolve(records: DataFrame, *, bucket_seconds: int = 3600) -> DataFrame:
+def resolve(records: DataFrame, *, part_rows: int = 200_000) -> DataFrame:
     """One row for each revisit among the records, with the response it stands for.
 
     records: record_id long, url, capture_ts timestamp, kind ('response' or 'revisit'), status int, headers map<string,string>,
@@ -74,8 +82,8 @@ def resolve(records: DataFrame, *, bucket_seconds: int = 3600) -> DataFrame:
     validator to check), 'changed' (a validator differs) or 'missing' (no earlier response, or no URL or time).
     Resolved and unverified revisits get the response's payload and its headers, updated by the permitted ones.
 
-    Header names are compared in lower case. Null headers are empty, repeated records are rows like any other, other columns
-    are ignored, and an empty table gives no rows.
+    Header names are compared in lower case. Null headers are empty, repeated records are rows like any other, very long
+    values are compared whole, other columns are ignored, and an empty table gives no rows.
     """
     heads = F.transform(F.array_sort(F.map_entries("own")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
     full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("capture_ts").isNotNull() & F.col("canonical_url").isNotNull()
@@ -84,7 +92,7 @@ def resolve(records: DataFrame, *, bucket_seconds: int = 3600) -> DataFrame:
         canonical_url(F.col("url")).alias("canonical_url"), lower_keys(F.col("headers")).alias("own"),
     ).filter("kind IN ('response', 'revisit')")
     value = F.struct("record_id", heads.alias("heads"), "payload_digest", "payload_length")
-    joined = latest_earlier(rows, ["canonical_url"], "capture_ts", value, F.coalesce(full, F.lit(False)), bucket_seconds, "found")
+    joined = latest_earlier(rows, "canonical_url", "capture_ts", value, F.coalesce(full, F.lit(False)), part_rows, "found")
     # Rows without URL or time find nothing and are lost to the join; they come back as missing.
     nowhere = rows.filter("canonical_url IS NULL OR capture_ts IS NULL").withColumn("found", F.lit(None).cast(joined.schema["found"].dataType))
     joined = joined.unionByName(nowhere).filter("kind = 'revisit'").withColumn("stored", F.map_from_entries("found.heads"))
