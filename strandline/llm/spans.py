@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -12,16 +13,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from .common import durable, stored, text_batches
+from .common import durable, salt, stored, text_batches
 
-#: A sentence: words, at most 24, with the stops and white space that follow. Every character is in exactly one.
-SENTENCE = re.compile(r"(?:[^\s.!?]+[^\S\n]*){1,24}[.!?\s]*|[.!?\s]+")
-#: Runs with more occurrences than this share of all runs are hot; so there are at most that many of them.
-HOT_RUNS = 10_000
+#: A sentence: words, with the stops and white space that follow. Every character is in exactly one.
+SENTENCE = re.compile(r"(?:[^\s.!?]+[^\S\n]*)+[.!?\s]*|[.!?\s]+")
+WORD = re.compile(r"\S+\s*")
+#: Sentences of more words are cut after words whose hash is divisible by CUT, wherever they begin, and after as many words without one.
+LONG, CUT = 24, 8
+#: Runs with more occurrences are hot. Hot runs are looked up in a table that is broadcast if it has at most SMALL rows.
+HOT, SMALL = 10_000, 10_000
 
 
 def sentences(text: str) -> list[str]:
-    return SENTENCE.findall(text)
+    out = []
+    for s in SENTENCE.findall(text):
+        if len(s) <= 2 * LONG or s.count(" ") + s.count("\t") < LONG:
+            out.append(s)
+            continue
+        part: list[str] = []
+        for word in WORD.findall(s):
+            part.append(word)
+            if crc32(word.rstrip().encode("utf-8", "surrogatepass")) % CUT == 0 or len(part) == LONG:
+                out.append("".join(part))
+                part = []
+        if part:
+            out.append("".join(part))
+    return out
 
 
 def shortest_runs(n: list[int], span: int, min_words: int) -> list[tuple[int, int]]:
@@ -47,11 +64,11 @@ def shortest_runs(n: list[int], span: int, min_words: int) -> list[tuple[int, in
 
 
 def long_runs(text: str, span: int, min_words: int) -> tuple[list[int], list[int], list[int]]:
-    """(hashes, places, lengths) of the shortest runs of sentences, white space normalised.
+    """(128-bit hashes, places, lengths) of the shortest runs of sentences, white space normalised.
 
     A piece without a word is no sentence; places count the others.
     """
-    from xxhash import xxh64_intdigest as digest
+    from xxhash import xxh128_intdigest as digest
 
     said, n = [], []
     for s in sentences(text):
@@ -64,9 +81,9 @@ def long_runs(text: str, span: int, min_words: int) -> tuple[list[int], list[int
     return hashes, [a for a, _ in runs], [b - a for a, b in runs]
 
 
-def runs_of(text: str, span: int, min_words: int) -> tuple[list[int], list[int]]:
-    """(hashes, places) of the runs."""
-    return long_runs(text, span, min_words)[:2]
+#: Of the 128 bits of a run's hash, 64 deal it and 32 more tell it from others.
+LOW = (1 << 64) - 1
+RUN = ["run", "check"]
 
 
 def _runs(span: int, min_words: int):
@@ -76,7 +93,8 @@ def _runs(span: int, min_words: int):
             n = [len(h) for h, *_ in found]
             yield pd.DataFrame(
                 {
-                    "run": np.fromiter((x for h, *_ in found for x in h), np.uint64, sum(n)).view(np.int64),
+                    "run": np.fromiter((x & LOW for h, *_ in found for x in h), np.uint64, sum(n)).view(np.int64),
+                    "check": np.fromiter((x >> 96 for h, *_ in found for x in h), np.uint32, sum(n)).view(np.int32),
                     "doc_id": np.repeat(batch["doc_id"].astype("Int64").array, n),
                     "row": np.repeat(batch["row"].to_numpy(), n),
                     "place": np.fromiter((x for _, p, _ in found for x in p), np.int32, sum(n)),
@@ -110,31 +128,38 @@ def _without(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed", "removed"])
 
 
-def drop_repeats(docs: DataFrame, *, span: int = 2, min_words: int = 12, hot_runs: int = HOT_RUNS) -> DataFrame:
+def meet(runs: DataFrame, hot: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """runs joined with the hot ones among them: by a broadcast table if it is small, counted before, or else by run and salt."""
+    if hot.count() <= SMALL:
+        return runs.join(F.broadcast(hot.select(*RUN, *columns)), RUN, how)
+    salted = hot.select(*RUN, *columns, F.explode(F.sequence(F.lit(0), F.lit(255))).alias("salt"))
+    return runs.withColumn("salt", salt("row", 256)).join(salted.hint("merge"), [*RUN, "salt"], how).drop("salt")
+
+
+def drop_repeats(docs: DataFrame, *, span: int = 2, min_words: int = 25, hot: int = HOT) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed, removed) for every row of docs (doc_id, text).
 
     Runs of `span` consecutive sentences with min_words words in all, and of as many more as it takes to reach min_words
     where sentences are short, are hashed and joined over all documents (shortest_runs). The
     first, by doc_id (null last), row hash and place, stays; sentences that any later one covers are removed.
     removed lists the spans that went, as start:end in code points of the original text. Sentences of more than 24 words
-    count as several.
+    count as several, cut by content, so that a passage which begins inside one is cut as elsewhere.
 
-    Runs that are very frequent, of which there can only be hot_runs, are looked up in a broadcast table;
-    the others are joined by shuffle, where each is rare.
+    Repeats of fewer than min_words words (common lines, phrases) stay. A run with more than `hot` occurrences is looked up apart
+    (meet()); the others are joined by shuffle, where each is rare. Runs are told apart by 96 bits of hash.
 
-    Null, empty and short texts have no runs and stay as they are. Rows with the same doc_id and text are one
-    document, and an empty table gives no rows.
+    Very long texts are read whole. Null, empty and short texts have no runs and stay as they are. Rows with the same doc_id and text
+    are one document, other columns are ignored, and an empty table gives no rows.
     """
     text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))))
-    runs = stored(rows.mapInPandas(_runs(span, min_words), "run long, doc_id long, row long, place int, length int"), "runs")
+    runs = stored(rows.mapInPandas(_runs(span, min_words), "run long, check int, doc_id long, row long, place int, length int"), "runs")
     where = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "place")
-    firsts = durable(runs.groupBy("run").agg(F.min(where).alias("first"), F.count("*").alias("n")).filter("n > 1"))
-    limit = max(1000, runs.count() // hot_runs)
-    hot = F.broadcast(firsts.filter(F.col("n") > limit))
+    firsts = durable(runs.groupBy(*RUN).agg(F.min(where).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    many = firsts.filter(F.col("n") > hot)
     later = (F.col("row") != F.col("first.row")) | (F.col("place") != F.col("first.place"))
-    again = runs.join(hot.select("run", "first"), "run").filter(later).select("row", "place", "length")
-    rare = runs.join(hot.select("run"), "run", "left_anti").join(firsts.filter(F.col("n") <= limit).select("run", "first"), "run")
+    again = meet(runs, many, ["first"], "inner").filter(later).select("row", "place", "length")
+    rare = meet(runs, many, [], "left_anti").join(firsts.filter(F.col("n") <= hot).select(*RUN, "first").hint("merge"), RUN)
     again = again.unionByName(rare.filter(later).select("row", "place", "length"))
     cuts = again.groupBy("row").agg(F.sort_array(F.collect_set(F.array("place", "length"))).alias("runs"))
     joined = rows.join(cuts.hint("merge"), "row", "left").withColumn("x", _without("text", "runs"))
