@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, salt
 
-PARTS = 16
+#: Neighbours of one node that meet its least one in one task.
+TOGETHER = 250_000
 
 
 def _star(near: DataFrame) -> DataFrame:
     """(v, least of u's star) for each neighbour v of u in near; near: (u, v).
 
     The least neighbour is a map-side aggregate. It meets the neighbours by node and salt, so that a node with
-    very many neighbours is spread over tasks.
+    very many neighbours is spread over as many tasks as its neighbours call for.
     """
     least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    least = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return near.withColumn("s", salt("v", PARTS)).join(least.hint("merge"), ["u", "s"]).select("u", "v", "m")
+    most = near.groupBy("u").count().agg(F.max("count")).first()[0] or 0
+    parts = math.ceil(most / TOGETHER)
+    if parts <= 1:
+        return near.join(least.hint("merge"), "u").select("u", "v", "m")
+    least = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return near.withColumn("s", salt("v", parts)).join(least.hint("merge"), ["u", "s"]).select("u", "v", "m")
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -16,8 +16,10 @@ from .components import components
 EVEN = 0x5555555555555555
 #: Shingles whose bits are counted together.
 CHUNK = 1 << 18
-#: Members of a grid cell that are compared pair by pair; more meet by their bit flips, which takes linear room.
+#: Members of a grid cell that are compared pair by pair; more are dealt into the cells of finer grids.
 CELL = 4096
+#: Bands of the finer grids: a pair within 4 bits shares a cell of one over 8 of 12 bands, which hold 21 of the 32 segments.
+FINE = 12
 
 
 def shingle_hashes(text: str | None, width: int, seed: int) -> list[int]:
@@ -211,9 +213,10 @@ def near_duplicates(docs: DataFrame, *, most: int = 4, width: int = 4, seed: int
 
     Fingerprints (signed longs) link at `most` or fewer differing bits (an even number); component_id is the least doc_id
     reachable. Equal fingerprints are one node from the start. Nodes are dealt into the cells of several grids over
-    segment bit counts, in which every close pair meets, and verified there.
+    segment bit counts, in which every close pair meets, and verified there. Members of crowded cells (over cell_cap) are dealt
+    again, by finer grids, and what is still crowded then meets by its bit flips.
 
-    Null, empty and blank texts have fingerprint 0 and link like others. A row without doc_id makes no link of its own and
+    Very long texts are read whole, other columns ignored. Null, empty and blank texts have fingerprint 0 and link like others. A row without doc_id makes no link of its own and
     gets the component of documents with its fingerprint (null if none has a doc_id). Repeated rows are
     returned as often as they come, and an empty table gives no rows.
     """
@@ -226,18 +229,20 @@ def near_duplicates(docs: DataFrame, *, most: int = 4, width: int = 4, seed: int
     # One row per fingerprint and part, so that neither copies nor their join meet in one task.
     parts = durable(rows.groupBy("fp", "part").agg(F.min("doc_id").alias("least")))
     reps = durable(parts.groupBy("fp").agg(F.min("least").alias("rep")))
-    masks = F.array(*map(F.lit, grids(bands, most)))
-    cells = reps.filter("rep IS NOT NULL").select(
-        F.posexplode(F.transform(masks, lambda m: m.bitwiseAND(bit_counts(F.col("fp"))))).alias("grid", "counts"), "fp", "rep"
-    )
-    cells = cells.select(F.xxhash64("grid", "counts").alias("cell"), "fp", "rep")
-    dealt = cells.repartition("cell").sortWithinPartitions("cell")
-    found = durable(dealt.mapInPandas(cell_links(most, cell_cap), "a long, b long, fp long").distinct())
-    edges = found.filter("b IS NOT NULL").select("a", "b")
-    crowded = found.filter("b IS NULL").select("a", "fp").distinct()
-    if not crowded.isEmpty():
-        # Two fingerprints within 4 bits have a common neighbour within 2 bits of either.
-        flipped = crowded.select("a", F.explode(flips(F.col("fp"), most)).alias("flip"))
+    edges, crowded = None, reps.filter("rep IS NOT NULL")
+    for n in (bands, FINE):
+        masks = F.array(*map(F.lit, grids(n, most)))
+        cells = crowded.select(F.posexplode(F.transform(masks, lambda m: m.bitwiseAND(bit_counts(F.col("fp"))))).alias("grid", "counts"), "fp", "rep")
+        dealt = cells.select(F.xxhash64("grid", "counts").alias("cell"), "fp", "rep").repartition("cell").sortWithinPartitions("cell")
+        found = durable(dealt.mapInPandas(cell_links(most, cell_cap), "a long, b long, fp long").distinct())
+        links = found.filter("b IS NOT NULL").select("a", "b")
+        edges = links if edges is None else edges.unionByName(links)
+        crowded = found.filter("b IS NULL").select("fp", F.col("a").alias("rep")).distinct()
+        if crowded.isEmpty():
+            break
+    else:
+        # Fingerprints of which thousands have the same counts in 21 segments: two within 4 bits have a common neighbour within 2 of either.
+        flipped = crowded.select(F.col("rep").alias("a"), F.explode(flips(F.col("fp"), most)).alias("flip"))
         stars = flipped.groupBy("flip").agg(F.min("a").alias("m"), F.count("*").alias("n")).filter("n > 1").select("flip", "m")
         edges = edges.unionByName(flipped.join(stars.hint("merge"), "flip").filter("a <> m").select("a", F.col("m").alias("b")).distinct())
     roots = components(edges)
