@@ -31,10 +31,10 @@ def _place(rank: Column, upto: list[int]) -> Column:
     return (F.size(F.filter(_array(upto[1:]), lambda b: b <= rank))).cast("int")
 
 
-def _cut_into(rows: DataFrame, cuts: list[int], seed: str) -> DataFrame:
-    """(key, shard, n) of rows (key, part, n): ranked in hash order, in the intervals between the cuts."""
+def _cut_into(rows: DataFrame, cuts: list[int], seed: str, by: tuple[str, ...] = ("key", "part")) -> DataFrame:
+    """(key, shard, n) of rows (key, part, n): ranked in the order of a hash of `by`, in the intervals between the cuts."""
     bits = bucket_bits(rows.count())
-    hashed = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "key", "part"), 4))
+    hashed = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), *by), 4))
     ranked = prefix_sums(hashed.withColumn("bucket", F.shiftright("h", 60 - bits)), [], "bucket", ["h", "key", "part"], "n")
     pieces = [F.struct(F.lit(i).alias("shard"), F.lit(a).cast("long").alias("lo"), F.lit(b).cast("long").alias("hi")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
     inside = F.least("s.hi", F.col("before") + F.col("n")) - F.greatest("s.lo", "before")
@@ -100,7 +100,7 @@ def settle(cells: DataFrame, quota: list[int], bits: int) -> DataFrame:
     if pool.isEmpty():
         return stay
     room = bounds([q - n for q, n in zip(quota, _loads(stay, len(quota)), strict=True)])
-    moved = _cut_into(pool, room, "pool")
+    moved = _cut_into(pool, room, "pool", ("key",))  # what is left of a group stays together
     return durable(stay.unionByName(moved).groupBy("key", "shard").agg(F.sum("n").alias("n")))
 
 
@@ -114,8 +114,9 @@ def shard(docs: DataFrame, *, link: Column | None = None, shards: int = 8, round
     in whole cells, and rows without neighbours fill the rest. A group is cut only where it doesn't fit.
 
     Returns doc_id, size (UTF-8 bytes plus 1), text_crc32, key (of the group), shard, slot (gapless from 0 in each
-    shard). A null text has size 1 and CRC 0 and is linked to other null texts only; null doc_ids and repeated
-    rows are rows like any other; an empty table gives no rows.
+    shard). A null text has size 1 and CRC 0 and is linked to other null texts only, an empty one to other empty ones; very long
+    texts count as one row; null doc_ids and repeated rows are rows like any other; other columns are ignored, whatever their
+    names; an empty table gives no rows.
     """
     own = link if link is not None else F.col("text")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -125,11 +126,13 @@ def shard(docs: DataFrame, *, link: Column | None = None, shards: int = 8, round
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(own, own.isNull()).alias("key"),
+            F.monotonically_increasing_id().alias("nth"),
         )
     )
     n = rows.count()
     quota = quotas(n, shards)
-    rows = rows.withColumn("part", salt(F.coalesce("doc_id", F.lit(0)), salt_count(n)))
+    # By row, not by doc_id: equal texts without an id, or with the same, are many rows too.
+    rows = rows.withColumn("part", salt("nth", salt_count(n)))
     group = Window.partitionBy("key")
     parts = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
     parts = durable(parts.withColumn("total", F.sum("n").over(group)).withColumn("offset", running("n", ["key"], ["part"])))
@@ -149,9 +152,9 @@ def shard(docs: DataFrame, *, link: Column | None = None, shards: int = 8, round
     lone = lone.select("key", "part", _place(F.col("before"), free).alias("shard"), F.lit(0).cast("long").alias("lo"), F.lit(1).cast("long").alias("hi"))
     ranges = held.unionByName(lone)
 
-    rank = F.row_number().over(Window.partitionBy("key", "part").orderBy("doc_id", "size", "text_crc32")) - 1
+    rank = F.row_number().over(Window.partitionBy("key", "part").orderBy("doc_id", "size", "text_crc32", "nth")) - 1
     placed = rows.withColumn("rank", rank).join(ranges, ["key", "part"]).filter("rank >= lo AND rank < hi")
-    placed = durable(placed.select("doc_id", "size", "text_crc32", "key", "shard", F.lit(1).cast("long").alias("one")))
-    slots = placed.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit("slot"), "doc_id", "key"), 4)).withColumn("bucket", F.shiftright("h", 60 - bits))
-    slots = prefix_sums(slots, ["shard"], "bucket", ["h", "doc_id", "key"], "one", out="slot")
+    placed = durable(placed.select("doc_id", "size", "text_crc32", "key", "shard", "nth", F.lit(1).cast("long").alias("one")))
+    slots = placed.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit("slot"), "nth"), 4)).withColumn("bucket", F.shiftright("h", 60 - bits))
+    slots = prefix_sums(slots, ["shard"], "bucket", ["h", "nth"], "one", out="slot")
     return slots.select("doc_id", "size", "text_crc32", "key", "shard", "slot")
