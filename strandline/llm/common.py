@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see; a temporary one only where the session names none, as in tests."""
+    """The folder that all machines see, which spark.checkpoint.dir names; a temporary one only on a single machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all machines see")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
@@ -57,18 +60,21 @@ def running(value: str, keys: list[str], order: list, *, inclusive: bool = False
     return F.coalesce(F.sum(value).over(w), F.lit(0).cast("long"))
 
 
+#: Buckets whose totals are added up together.
+FAN = 1024
+
+
 def prefix_sums(rows: DataFrame, keys: list[str], bucket: str, order: list, value: str, out: str = "before") -> DataFrame:
     """rows with the sum of value over all rows of the same keys that come before, by (bucket, order).
 
-    No task sees more than one bucket of a key: sums run within buckets, and what lies in earlier
-    buckets comes from a table of one row per bucket. bucket must rise with the order; keys must not be null.
+    No task sees more than one bucket of a key: sums run within buckets; those of earlier buckets are added up over FAN
+    buckets at a time, and then over those groups. bucket must rise with the order, from 0 on; keys must not be null.
     """
-    offsets = (
-        rows.groupBy(*keys, bucket)
-        .agg(F.sum(value).alias("__total"))
-        .withColumn("__offset", running("__total", keys, [bucket]))
-        .drop("__total")
-    )
+    totals = rows.groupBy(*keys, bucket).agg(F.sum(value).alias("__total")).withColumn("__group", F.floor(F.col(bucket) / FAN))
+    groups = totals.groupBy(*keys, "__group").agg(F.sum("__total").alias("__sum"))
+    groups = groups.withColumn("__earlier", running("__sum", keys, ["__group"])).drop("__sum")
+    inside = totals.withColumn("__near", running("__total", [*keys, "__group"], [bucket])).drop("__total")
+    offsets = inside.join(groups, [*keys, "__group"]).select(*keys, bucket, (F.col("__earlier") + F.col("__near")).alias("__offset"))
     local = rows.withColumn("__local", running(value, [*keys, bucket], order))
     return local.join(offsets, [*keys, bucket]).withColumn(out, F.col("__offset") + F.col("__local")).drop("__offset", "__local")
 

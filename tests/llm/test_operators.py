@@ -155,15 +155,15 @@ class TestMixing:
 
 class TestSpans:
     def test_against_plain(self, odd, odd_rows, none):
-        got = spans.drop_repeats(odd).collect()
+        got = spans.drop_repeats(odd, min_words=12).collect()
         seen, want = set(), Counter()
         order = sorted({(i is None, i or 0, t or "") for i, t, *_ in odd_rows})
         gone = {}
         for nameless, i, t in order:
             cut = set()
-            for h, p in zip(*spans.runs_of(t, 2, 12), strict=True) if t else ():
+            for h, p, n in zip(*spans.long_runs(t, 2, 12), strict=True) if t else ():
                 if h in seen:
-                    cut |= {p, p + 1}
+                    cut |= set(range(p, p + n))
                 seen.add(h)
             gone[nameless, i, t] = len(cut)
         want = Counter((i, gone[i is None, i or 0, t or ""]) for i, t, *_ in odd_rows)
@@ -172,18 +172,27 @@ class TestSpans:
         assert all((r.doc_id, r.text) in texts for r in got if not r.n_removed)
         assert spans.drop_repeats(none).count() == 0
 
-    def test_hot_runs_are_joined_alike(self, docs_of):
+    def test_hot_runs_are_joined_alike(self, docs_of, monkeypatch):
         common = "This sentence is said everywhere by everyone. And so is the one that follows after it."
         rows = [(i, f"Here document number {i} says something of its own first. {common} Then it ends as number {i} alone.", "en", "a") for i in range(1500)]
-        for hot in (10_000, 1):
-            got = spans.drop_repeats(docs_of(rows), hot_runs=hot).toPandas().set_index("doc_id")
+        for hot, small in ((10_000, 10_000), (100, 10_000), (100, 0)):
+            monkeypatch.setattr(spans, "SMALL", small)
+            got = spans.drop_repeats(docs_of(rows), min_words=12, hot=hot).toPandas().set_index("doc_id")
             assert got.n_removed[0] == 0 and (got.n_removed.drop(0) == 2).all()
             assert common not in got.text[7] and "number 7 says" in got.text[7] and "number 7 alone" in got.text[7]
 
     def test_every_character_is_in_one_sentence(self):
-        for t in ("", "a", " . a..b\n\nc! ", "é" * 50, "x " * 100, "...", "1.5 is ok?\tYes"):
+        for t in ("", "a", " . a..b\n\nc! ", "é" * 50, "x " * 100, "...", "1.5 is ok?\tYes", " ".join(f"w{k}" for k in range(300)) + "\u2003\x0b" * 30 + "end"):
             assert "".join(spans.sentences(t)) == t
 
+    def test_a_passage_within_long_sentences_is_cut_alike(self, docs_of):
+        passage = " ".join(f"word{k}" for k in range(80))
+        rows = [(i, " ".join(f"own{i}x{k}" for k in range(30 + i)) + f" {passage} " + " ".join(f"end{i}x{k}" for k in range(30)), "en", "a") for i in range(4)]
+        got = spans.drop_repeats(docs_of(rows)).toPandas().set_index("doc_id")
+        assert got.n_removed[0] == 0 and (got.n_removed.drop(0) > 0).all()
+        left = got.text.drop(0).str.findall("word").str.len()
+        assert (left < 40).all() and all(f"own{i}x0" in got.text[i] and f"end{i}x29" in got.text[i] for i in range(4))
+
 
 class TestPacking:
     def check(self, df, rows, **settings):
@@ -234,8 +243,8 @@ class TestWarc:
         df = spark.createDataFrame([(i, u, at(m), k, s, h, d, n, "x") for i, u, m, k, s, h, d, n in rows], self.RECORD)
         return {r.record_id: r for r in warc.resolve(df, **settings).collect()}
 
-    @pytest.mark.parametrize("bucket", [60, 3600, 10**7])
-    def test_cases(self, spark, bucket):
+    @pytest.mark.parametrize("part_rows", [1, 3, 10**7])
+    def test_cases(self, spark, part_rows):
         u = "http://Ex.org:80/a/?b=2&utm_source=x&a=1#f"
         full = lambda i, m, tag, **h: (i, "http://ex.org/a?a=1&b=2", m, "response", 200, {"ETag": tag, "Content-Length": "9", "X": "old"} | h, f"d{i}", 9)
         rows = [
@@ -244,7 +253,7 @@ class TestWarc:
             (12, u, 0, "revisit", 304, None, None, 0), (13, None, 900, "revisit", 304, None, None, 0), (14, u, None, "revisit", 304, None, None, 0),
             (15, u, 900, "revisit", 304, None, None, 0), (16, u, 900, "revisit", 304, None, "d2", 0), (17, u, 900, "revisit", 304, None, "zz", 0), (18, "not a url", 9, "revisit", 304, None, None, 0),
         ]
-        got = self.resolve(spark, rows, bucket_seconds=bucket)
+        got = self.resolve(spark, rows, part_rows=part_rows)
         assert {i: (r.outcome, r.response_id) for i, r in got.items()} == {
             10: ("resolved", 1), 11: ("changed", 2), 12: ("missing", None), 13: ("missing", None), 14: ("missing", None), 15: ("unverified", 2), 16: ("resolved", 2), 17: ("changed", 2), 18: ("missing", None),
         }
@@ -265,7 +274,7 @@ class TestNeighbours:
         for i in range(300, 420):
             v[i] = v[300]
         bad = [(1000, None, 0), (1100, [0.0] * 16, 0), (1200, [float("nan")] * 16, 0), (1300, [None] * 16, 0), (None, [1.0] * 16, 0), (1400, [1.0, 2.0], 0)]
-        got = neighbours.nearest(self.table(spark, [(i, x.tolist(), 0) for i, x in v.items()] + bad), block_rows=300, query_rows=4).toPandas()
+        got = neighbours.nearest(self.table(spark, [(i, x.tolist(), 0) for i, x in v.items()] + bad), block_rows=300, together=2).toPandas()
         assert set(got.query_id) == set(range(0, 900, 100))
         ids, m = np.array(list(v)), np.stack(list(v.values())).astype(float)
         hit = 0
