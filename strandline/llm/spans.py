@@ -9,7 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
@@ -18,8 +18,8 @@ from .common import durable, salt, stored, text_batches
 #: A sentence: words, with the stops and white space that follow. Every character is in exactly one.
 SENTENCE = re.compile(r"(?:[^\s.!?]+[^\S\n]*)+[.!?\s]*|[.!?\s]+")
 WORD = re.compile(r"\S+\s*")
-#: Sentences of more words are cut after words whose hash is divisible by CUT, wherever they begin, and after as many words without one.
-LONG, CUT = 24, 8
+#: Sentences of more words are cut into parts of LEAST to LONG words, after words whose hash is divisible by CUT if there are such.
+LONG, LEAST, CUT = 24, 6, 6
 #: Runs with more occurrences are hot. Hot runs are looked up in a table that is broadcast if it has at most SMALL rows.
 HOT, SMALL = 10_000, 10_000
 
@@ -33,7 +33,7 @@ def sentences(text: str) -> list[str]:
         part: list[str] = []
         for word in WORD.findall(s):
             part.append(word)
-            if crc32(word.rstrip().encode("utf-8", "surrogatepass")) % CUT == 0 or len(part) == LONG:
+            if len(part) == LONG or len(part) >= LEAST and crc32(word.rstrip().encode("utf-8", "surrogatepass")) % CUT == 0:
                 out.append("".join(part))
                 part = []
         if part:
@@ -154,13 +154,15 @@ def drop_repeats(docs: DataFrame, *, span: int = 2, min_words: int = 25, hot: in
     text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))))
     runs = stored(rows.mapInPandas(_runs(span, min_words), "run long, check int, doc_id long, row long, place int, length int"), "runs")
+    # Who repeats is found by hashes and counts alone; only repeated runs are joined with their places.
+    again = durable(runs.groupBy(*RUN).agg(F.count("*").alias("n")).filter("n > 1"))
+    many, few = again.filter(F.col("n") > hot), again.filter(F.col("n") <= hot).select(*RUN)
     where = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "place")
-    firsts = durable(runs.groupBy(*RUN).agg(F.min(where).alias("first"), F.count("*").alias("n")).filter("n > 1"))
-    many = firsts.filter(F.col("n") > hot)
     later = (F.col("row") != F.col("first.row")) | (F.col("place") != F.col("first.place"))
-    again = meet(runs, many, ["first"], "inner").filter(later).select("row", "place", "length")
-    rare = meet(runs, many, [], "left_anti").join(firsts.filter(F.col("n") <= hot).select(*RUN, "first").hint("merge"), RUN)
-    again = again.unionByName(rare.filter(later).select("row", "place", "length"))
+    rare = meet(runs, many, [], "left_anti").join(few.hint("merge"), RUN).withColumn("first", F.min(where).over(Window.partitionBy(*RUN)))
+    common = meet(runs, many, ["n"], "inner").drop("n")
+    common = meet(common, durable(common.groupBy(*RUN).agg(F.min(where).alias("first"))), ["first"], "inner")
+    again = rare.unionByName(common).filter(later).select("row", "place", "length")
     cuts = again.groupBy("row").agg(F.sort_array(F.collect_set(F.array("place", "length"))).alias("runs"))
     joined = rows.join(cuts.hint("merge"), "row", "left").withColumn("x", _without("text", "runs"))
     return joined.select("doc_id", "x.*")
