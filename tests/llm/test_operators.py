@@ -104,6 +104,46 @@ class TestQuality:
         kept = quality.keep_good(docs_of(fine + junk))
         assert Counter(r.doc_id for r in kept.select("doc_id").collect()) == Counter(i for i, *_ in fine)
 
+    def test_sources_have_fences_of_their_own(self, docs_of):
+        """In one source symbols, capitals, repeats and marks are common: a text that is usual there is an outlier elsewhere, in each measure."""
+        import random
+
+        r = random.Random(3)
+        say = lambda n: [r.choice("river stone light night water under small green house walk".split()) + str(r.randrange(10**6)) for _ in range(n)]
+
+        def odd(k):
+            w, n = say(40), 4 + r.randrange(12)
+            if k == "symbols":
+                w[:n] = [x + "#" for x in w[:n]]
+            if k == "caps":
+                w[: 2 * n] = [x.upper() for x in w[: 2 * n]]
+            if k == "marks":
+                w[:n] = [x + "!" for x in w[:n]]
+            if k == "stutter":
+                w[: n // 2 + 1] = [w[0]] * (n // 2 + 1)
+            if k == "word_length":
+                w = [x * (1 + n // 3) for x in w]
+            if k == "dup_lines":
+                return "\n".join([" ".join(w), *[w[0]] * (1 + n // 4)])
+            if k == "repeats":
+                return " ".join(say(150) + w[: 4 + n] + say(30) + w[: 4 + n])
+            return " ".join(w)
+
+        kinds, rows = list(quality.MEASURES), []
+        for k in kinds:
+            rows += [(len(rows) + i, odd(k), "en", k) for i in range(60)]
+        plain = [(10_000 + i, odd(None), "en", "plain") for i in range(60)]
+        strange = [(20_000 + i, odd(k), "en", "plain") for i, k in enumerate(kinds)]
+        sketch = quality.sketches(quality.measured(docs_of(rows + plain)).withColumns(quality.group_keys()))
+        limits = {r.source_key[1:]: r.limits for r in quality.thresholds(sketch).collect()}
+        for k in kinds:
+            own, other = limits[k][k], limits["plain"][k]
+            assert own.hi > (other.hi if other else 0), k
+        got = {r.doc_id: r.kept for r in quality.judge(docs_of(rows + plain + strange)).collect()}
+        kept = [sum(got[i] for i, _, _, s in rows if s == k) for k in kinds]
+        assert min(kept) >= 54 and all(got[i] for i, *_ in plain)
+        assert not any(got[20_000 + kinds.index(k)] for k in ("symbols", "caps", "word_length", "stutter"))
+
     def test_wide_and_narrow_thresholds_agree(self, odd, monkeypatch):
         want = sorted(map(str, quality.judge(odd).collect()))
         monkeypatch.setattr(quality, "SMALL", -1)
