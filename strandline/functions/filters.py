@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -20,13 +19,24 @@ RANGES = {"1h": 1, "3h": 3, "6h": 6, "12h": 12, "24h": 24, "3d": 72, "7d": 168,
 BUCKETS = ((1, 10), (3, 30), (6, 60), (12, 120), (24, 300), (72, 900), (168, 1800), (720, 3600))
 
 
+#: Comparisons that a text may begin with.
+COMPARISONS = {
+    ">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v, "=": lambda c, v: c == v, "==": lambda c, v: c == v,
+}
+
+
 def numeric(column: Column, text: str, kind: str = "number") -> Column | None:
     """A predicate from text like '>10k' or '<= 5gbps'; None if the text is none."""
-    m = re.fullmatch(r"(>=|<=|==|=|>|<)\s*(-?\d+(?:\.\d+)?)([A-Za-z]*)", text.strip())
-    if not m or m[3].lower() not in UNITS[kind]:
+    text = text.strip()
+    sign = max((c for c in COMPARISONS if text.startswith(c)), key=len, default=None)
+    if sign is None:
+        return None
+    rest = text[len(sign) :].strip().lower()
+    number = rest.rstrip("abcdefghijklmnopqrstuvwxyz")
+    unit, digits = rest[len(number) :], number.removeprefix("-").split(".", 1)
+    if unit not in UNITS[kind] or not all(d.isascii() and d.isdigit() for d in digits):
         return None
-    value = float(m[2]) * UNITS[kind][m[3].lower()]
-    return {">": column > value, ">=": column >= value, "<": column < value, "<=": column <= value}.get(m[1], column == value)
+    return COMPARISONS[sign](column, float(number) * UNITS[kind][unit])
 
 
 def boolean(column: Column, text: str) -> Column | None:

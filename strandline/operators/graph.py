@@ -42,31 +42,44 @@ def adjacency_list(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_set("dst")), lambda x: x.cast("string")), ",").alias("neighbors"))
 
 
-def best_paths(edges: DataFrame, sources: DataFrame, *, cost: str = "metric", max_hops: int = 12, scenarios: DataFrame | None = None) -> DataFrame:
+NO_NODES, NO_EDGES = "array<int>", "array<struct<src:int,dst:int>>"
+
+
+def scenario(nodes: list[Column] | None = None, edges: list[tuple[Column, Column]] | None = None) -> list[Column]:
+    """What a scenario leaves out: nodes, and edges in both directions."""
+    both = [F.struct(x.cast("int").alias("src"), y.cast("int").alias("dst")) for a, b in edges or [] for x, y in ((a, b), (b, a))]
+    return [F.array(*(nodes or [])).cast(NO_NODES).alias("no_nodes"), F.array(*both).cast(NO_EDGES).alias("no_edges")]
+
+
+def best_paths(edges: DataFrame, sources: DataFrame, *, cost: str = "metric", max_hops: int | None = None, scenarios: DataFrame | None = None) -> DataFrame:
     """(scenario, src, dst, cost, hops, path): the best path from each source (column src) to each node it reaches.
 
-    scenarios: (scenario, no_node, no_src, no_dst), nulls for nothing; each leaves out a node or an edge, in both
-    directions for undirected edges given twice. All sources and scenarios are relaxed together, one join a round; a round
-    keeps the best row of each (scenario, source, node), in the shared folder, until nothing changes.
+    scenarios: (scenario, no_nodes, no_edges), see scenario(), with or without a column src; with it, each has sources of its own
+    and `sources` isn't asked. All sources and scenarios are relaxed together, one join a round; a round keeps the best row of each
+    (scenario, source, node), in the shared folder, until nothing changes: paths are simple, so that is at most one round a
+    node. max_hops, where given, is part of the question.
     """
     if scenarios is None:
-        begin = sources.select(F.lit(0).alias("scenario"), F.lit(None).cast("int").alias("no_node"), F.lit(None).cast("int").alias("no_src"), F.lit(None).cast("int").alias("no_dst"), "src")
+        begin = sources.select(F.lit(0).alias("scenario"), *scenario(), "src")
+    elif "src" in scenarios.columns:
+        begin = scenarios
     else:
-        begin = scenarios.crossJoin(sources.select("src")).filter("no_node IS NULL OR no_node <> src")  # the result has a row for each
-    keys = ["scenario", "no_node", "no_src", "no_dst", "src"]
-    best = begin.select(*keys, F.col("src").alias("node"), F.struct(F.lit(START[cost]).cast("long").alias("cost"), F.lit(0).alias("hops"), F.array("src").alias("path")).alias("p"), F.lit(True).alias("fresh"))
-    best, e = durable(best), edges.alias("e")
-    for _ in range(max_hops):
+        begin = scenarios.crossJoin(sources.select("src"))  # the result has a row for each
+    begin = begin.filter(~F.array_contains("no_nodes", F.col("src").cast("int")))
+    start = F.struct(F.lit(START[cost]).cast("long").alias("cost"), F.lit(0).alias("hops"), F.array("src").alias("path"))
+    best = durable(begin.select("scenario", "src", F.col("src").alias("node"), "no_nodes", "no_edges", start.alias("p"), F.lit(True).alias("fresh")))
+    e, rounds = edges.alias("e"), 0
+    while (max_hops is None or rounds < max_hops) and not best.filter("fresh").isEmpty():
+        rounds += 1
         step = best.filter("fresh").alias("b").join(e, F.col("b.node") == F.col("e.src"))
-        allowed = (F.col("no_node").isNull() | (F.col("e.dst") != F.col("no_node"))) & (F.col("no_src").isNull() | ~((F.col("e.src") == F.col("no_src")) & (F.col("e.dst") == F.col("no_dst"))))
+        used = F.struct(F.col("e.src").cast("int").alias("src"), F.col("e.dst").cast("int").alias("dst"))
+        allowed = ~F.array_contains("no_nodes", F.col("e.dst").cast("int")) & ~F.array_contains("no_edges", used) & ~F.array_contains("p.path", F.col("e.dst"))
         grown = F.struct(COSTS[cost](F.col("p.cost"), "e").alias("cost"), (F.col("p.hops") + 1).alias("hops"), F.concat("p.path", F.array("e.dst")).alias("path"))
-        step = step.filter(allowed & ~F.array_contains("p.path", F.col("e.dst"))).select(*[F.col(f"b.{k}") for k in keys], F.col("e.dst").alias("node"), grown.alias("p"), F.lit(True).alias("fresh"))
+        step = step.filter(allowed).select("scenario", "b.src", F.col("e.dst").alias("node"), "no_nodes", "no_edges", grown.alias("p"), F.lit(True).alias("fresh"))
         both = best.withColumn("fresh", F.lit(False)).unionByName(step)
-        chosen = both.groupBy(*keys, "node").agg(F.min(F.struct("p", "fresh")).alias("m"))
-        best = durable(chosen.select(*keys, "node", "m.p", "m.fresh"))
-        if best.filter("fresh").isEmpty():
-            break
-    return best.select("scenario", "no_node", "no_src", "no_dst", "src", F.col("node").alias("dst"), "p.cost", "p.hops", "p.path")
+        chosen = both.groupBy("scenario", "src", "node").agg(F.min(F.struct("p", "fresh")).alias("m"), F.first("no_nodes").alias("no_nodes"), F.first("no_edges").alias("no_edges"))
+        best = durable(chosen.select("scenario", "src", "node", "no_nodes", "no_edges", "m.p", "m.fresh"))
+    return best.select("scenario", "src", F.col("node").alias("dst"), "p.cost", "p.hops", "p.path")
 
 
 def reachable(edges: DataFrame, sources: DataFrame, max_hops: int) -> DataFrame:
@@ -90,23 +103,41 @@ def hops_of(paths: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("running_metric", F.sum("metric").over(w))
 
 
-def ranked_paths(edges: DataFrame, pairs: DataFrame, *, k: int, max_hops: int) -> DataFrame:
-    """(src, dst, n, cost, hops, path): the k best simple paths by metric of each pair (src, dst), of at most max_hops.
+def _prefix(path: Column, n: Column) -> Column:
+    return F.slice(path, 1, n)
+
+
+def ranked_paths(edges: DataFrame, pairs: DataFrame, *, k: int) -> DataFrame:
+    """(src, dst, n, cost, hops, path): the k best simple paths by metric of each pair (src, dst); ties to fewer hops and the smaller path.
 
-    Paths grow one edge a round and all are kept, so max_hops must be small.
+    Each further path leaves a known one at some node: for every such node, the best way on that avoids the nodes before it and the
+    steps that known paths with the same beginning take there (Yen 1971). The ways of all pairs and nodes are scenarios of one
+    search, so that there are k - 1 searches in all, and k paths a pair are kept.
     """
-    grown = pairs.select("src", F.col("dst").alias("goal"), F.col("src").alias("node"), F.lit(0).cast("long").alias("cost"), F.array("src").alias("path"))
-    found = []
-    for _ in range(max_hops):
-        step = grown.alias("b").join(edges.alias("e"), F.col("b.node") == F.col("e.src")).filter(~F.array_contains("b.path", F.col("e.dst")))
-        grown = durable(step.select("b.src", "b.goal", F.col("e.dst").alias("node"), (F.col("b.cost") + F.col("e.metric")).alias("cost"), F.concat("b.path", F.array("e.dst")).alias("path")))
-        found.append(grown.filter("node = goal"))
-        grown = grown.filter("node <> goal")
-    rows = found[0]
-    for f in found[1:]:
-        rows = rows.unionByName(f)
-    w = Window.partitionBy("src", "goal").orderBy("cost", F.size("path"), "path")
-    return rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k).select("src", F.col("goal").alias("dst"), "n", "cost", (F.size("path") - 1).alias("hops"), "path")
+    pairs = durable(pairs.select("src", "dst").distinct())
+    first = best_paths(edges, pairs.select("src").distinct()).join(pairs, ["src", "dst"]).filter("src <> dst")
+    known = durable(first.select("src", "dst", F.lit(1).alias("n"), "cost", "hops", "path"))
+    waiting = None
+    metrics = edges.groupBy("src", "dst").agg(F.min("metric").alias("metric"))
+    for n in range(2, k + 1):
+        last = known.filter(F.col("n") == n - 1)
+        spurs = last.select("src", "dst", "path", F.explode(F.sequence(F.lit(1), F.col("hops"))).alias("at"))
+        spurs = spurs.withColumn("root", _prefix(F.col("path"), F.col("at")))
+        same = known.select("src", "dst", F.col("path").alias("other"))
+        taken = spurs.join(same, ["src", "dst"]).filter(_prefix(F.col("other"), F.col("at")) == F.col("root"))
+        step = F.struct(F.get("other", F.col("at") - 1).cast("int").alias("src"), F.get("other", F.col("at")).cast("int").alias("dst"))
+        cases = taken.groupBy("src", "dst", "root", "at").agg(F.collect_set(step).alias("no_edges"))
+        name = F.struct("src", "dst", "root").alias("scenario")
+        cases = cases.select(name, F.slice("root", 1, F.col("at") - 1).cast(NO_NODES).alias("no_nodes"), F.col("no_edges").cast(NO_EDGES).alias("no_edges"), F.element_at("root", -1).alias("src"))
+        way = best_paths(edges, pairs, scenarios=cases).filter(F.col("dst") == F.col("scenario.dst"))
+        whole = way.select("scenario.src", "scenario.dst", F.concat(F.slice("scenario.root", 1, F.size("scenario.root") - 1), "path").alias("path"))
+        steps = whole.distinct().select("src", "dst", "path", F.explode(F.expr("transform(sequence(1, size(path) - 1), i -> struct(path[i - 1] AS a, path[i] AS b))")).alias("x"))
+        priced = steps.select("src", "dst", "path", "x.*").join(metrics.select(F.col("src").alias("a"), F.col("dst").alias("b"), "metric"), ["a", "b"])
+        found = priced.groupBy("src", "dst", "path").agg(F.sum("metric").alias("cost")).select("src", "dst", "cost", (F.size("path") - 1).alias("hops"), "path")
+        waiting = durable((found if waiting is None else waiting.unionByName(found)).distinct().join(known.select("src", "dst", "path"), ["src", "dst", "path"], "left_anti"))
+        best = waiting.groupBy("src", "dst").agg(F.min(F.struct("cost", "hops", "path")).alias("p"))
+        known = durable(known.unionByName(best.select("src", "dst", F.lit(n).alias("n"), "p.cost", "p.hops", "p.path")))
+    return known
 
 
 def compare(configured: DataFrame, adjacency_edges: DataFrame) -> DataFrame:
@@ -128,14 +159,36 @@ def compare(configured: DataFrame, adjacency_edges: DataFrame) -> DataFrame:
     return rows.select("a", "z", "expected", "az", "za", state.alias("state"))
 
 
-def lost_pairs(base: DataFrame, changed: DataFrame) -> DataFrame:
-    """Per scenario: ordered pairs that are cut, and pairs whose best path costs more. Pairs of the excluded node don't count."""
-    before = base.filter("src <> dst").select("src", "dst", F.col("cost").alias("before"))
-    names = changed.select("scenario", "no_node").distinct()
-    every = names.crossJoin(before).filter("no_node IS NULL OR (src <> no_node AND dst <> no_node)")  # the question is about each of them
-    after = changed.select("scenario", "src", "dst", F.col("cost").alias("after"))
-    rows = every.join(after, ["scenario", "src", "dst"], "left")
-    return rows.groupBy("scenario").agg(F.count_if(F.col("after").isNull()).alias("n_cut"), F.count_if(F.col("after") > F.col("before")).alias("n_longer"), F.sum(F.when(F.col("after") > F.col("before"), F.col("after") - F.col("before")).otherwise(0)).alias("added_cost"))
+def affected_pairs(edges: DataFrame, base: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """(scenario, src, dst, before, after): ordered pairs whose best path uses what a scenario leaves out, with the cost before and
+    after, null where they are cut. base: best_paths() of all sources. Pairs of a node that is left out don't count.
+
+    All other pairs keep their path and cost, so only the sources of these are searched again.
+    """
+    paths = base.filter("src <> dst").select("src", "dst", F.col("cost").alias("before"), "path")
+    nodes = paths.select("src", "dst", F.explode(F.slice("path", 2, F.greatest(F.size("path") - 2, F.lit(0)))).alias("node"))
+    steps = paths.select("src", "dst", F.explode(F.expr("transform(sequence(1, size(path) - 1), i -> struct(path[i - 1] AS src, path[i] AS dst))")).alias("step"))
+    by_node = scenarios.select("scenario", F.explode("no_nodes").alias("node")).join(nodes, "node").select("scenario", "src", "dst")
+    by_edge = scenarios.select("scenario", F.explode("no_edges").alias("x")).join(steps, F.col("x") == F.col("step").cast("struct<src:int,dst:int>")).select("scenario", "src", "dst")
+    hit = durable(by_node.unionByName(by_edge).distinct().join(scenarios, "scenario").filter(~F.array_contains("no_nodes", F.col("src").cast("int")) & ~F.array_contains("no_nodes", F.col("dst").cast("int"))))
+    again = best_paths(edges, hit.select("src"), scenarios=hit.select("scenario", "no_nodes", "no_edges", "src").distinct())
+    after = again.select("scenario", "src", "dst", F.col("cost").alias("after"))
+    return hit.select("scenario", "src", "dst").join(paths.drop("path"), ["src", "dst"]).join(after, ["scenario", "src", "dst"], "left")
+
+
+def impact(scenarios: DataFrame, affected: DataFrame, regions: DataFrame) -> DataFrame:
+    """Per scenario: pairs affected, cut and longer, the cost added, nodes that some other can't reach any more, and pairs of regions
+    between which a path is affected. regions: node, region."""
+    side = lambda c, n: regions.select(F.col("node").alias(c), F.col("region").alias(n))
+    rows = affected.join(side("src", "from_region"), "src").join(side("dst", "to_region"), "dst")
+    longer = F.col("after") > F.col("before")
+    sums = rows.groupBy("scenario").agg(
+        F.count("*").alias("n_affected"), F.count_if(F.col("after").isNull()).alias("n_cut"), F.count_if(longer).alias("n_longer"),
+        F.sum(F.when(longer, F.col("after") - F.col("before")).otherwise(0)).alias("added_cost"), F.count_distinct(F.when(F.col("after").isNull(), F.col("dst"))).alias("n_nodes_cut"),
+        F.count_distinct(F.when(F.col("from_region") != F.col("to_region"), F.struct("from_region", "to_region"))).alias("n_regions"),
+    )
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("n_affected", "n_cut", "n_longer", "added_cost", "n_nodes_cut", "n_regions")}
+    return scenarios.select("scenario").join(sums, "scenario", "left").withColumns(zero)
 
 
 def critical_links(edges: DataFrame) -> DataFrame:
@@ -148,23 +201,29 @@ def critical_links(edges: DataFrame) -> DataFrame:
 
 
 def redundancy(edges: DataFrame, regions: DataFrame) -> DataFrame:
-    """(kind, name, severity): leaf nodes, critical links, and regions with one link out. regions: node, region."""
+    """(kind, name, severity): leaf nodes, critical links, and regions with one node that has a link out. regions: node, region."""
     leaves = degree(edges).filter("n = 1").select(F.lit("leaf").alias("kind"), F.col("node").cast("string").alias("name"), F.lit("critical").alias("severity"))
     links = critical_links(edges).filter("state = 'critical'").select(F.lit("link").alias("kind"), F.concat_ws("-", "a", "z").alias("name"), F.lit("critical").alias("severity"))
     side = lambda c, n: regions.select(F.col("node").alias(c), F.col("region").alias(n))
     pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("z")).distinct().join(side("a", "ra"), "a").join(side("z", "rz"), "z").filter("ra <> rz")
-    exits = pairs.select(F.col("ra").alias("region")).unionByName(pairs.select(F.col("rz").alias("region"))).groupBy("region").agg(F.count("*").alias("n"))
-    single = exits.filter("n <= 8").select(F.lit("region").alias("kind"), F.col("region").cast("string").alias("name"), F.lit("warning").alias("severity"))
+    exits = pairs.select(F.col("ra").alias("region"), F.col("a").alias("node")).unionByName(pairs.select(F.col("rz").alias("region"), F.col("z").alias("node")))
+    single = exits.groupBy("region").agg(F.count_distinct("node").alias("n")).filter("n = 1")
+    single = single.select(F.lit("region").alias("kind"), F.col("region").cast("string").alias("name"), F.lit("warning").alias("severity"))
     return leaves.unionByName(links).unionByName(single)
 
 
-def region_matrix(by_metric: DataFrame, by_width: DataFrame, regions: DataFrame) -> DataFrame:
-    """Between regions: pairs with a path, fewest hops of a best path, least metric, and the widest bottleneck."""
+def region_matrix(by_metric: DataFrame, by_hops: DataFrame, by_width: DataFrame, regions: DataFrame) -> DataFrame:
+    """Between two regions, in either direction: pairs with a path, the least hops, the least metric, and the widest bottleneck."""
     side = lambda c, n: regions.select(F.col("node").alias(c), F.col("region").alias(n))
-    at = lambda df: df.filter("src <> dst").join(side("src", "from_region"), "src").join(side("dst", "to_region"), "dst")
-    m = at(by_metric).groupBy("from_region", "to_region").agg(F.count("*").alias("n_paths"), F.min("hops").cast("long").alias("min_hops"), F.min("cost").alias("min_metric"))
-    b = at(by_width).groupBy("from_region", "to_region").agg((-F.min("cost")).alias("bottleneck"))
-    return m.join(b, ["from_region", "to_region"])
+
+    def at(df: DataFrame) -> DataFrame:
+        rows = df.filter("src <> dst").join(side("src", "x"), "src").join(side("dst", "y"), "dst")
+        return rows.groupBy(F.least("x", "y").alias("from_region"), F.greatest("x", "y").alias("to_region"))
+
+    m = at(by_metric).agg(F.count("*").alias("n_paths"), F.min("cost").alias("min_metric"))
+    h = at(by_hops).agg(F.min("hops").cast("long").alias("min_hops"))
+    b = at(by_width).agg((-F.min("cost")).alias("bottleneck"))
+    return m.join(h, ["from_region", "to_region"]).join(b, ["from_region", "to_region"])
 
 
 def addition_impact(all_pairs: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from ..functions.numbers import clamped_sum, is_lost, ratio
 LATENCY_PCT, LOSS_PCT, USED_PCT = (20.0, 50.0), (1.0, 10.0), (70.0, 90.0)
 #: Fixed values of the service level: percent lost, and times the committed round trip.
 SLA_LOSS, SLA_RTT = (0.1, 10.0), (1.5, 2.0)
+#: Fixed value: percent used that is called high.
+BUSY_PCT = 80.0
 
 
 def links_health(latency: DataFrame, links: DataFrame, *, as_of: Column, lookback: str = "1 HOUR", recent: str = "5 MINUTES", dark_after: str = "2 HOURS", strict: bool = True) -> DataFrame:
@@ -74,10 +76,25 @@ def spine(start: Column, end: Column, step: str) -> Column:
     return F.explode(F.sequence(start, end - F.expr(f"INTERVAL {step}"), F.expr(f"INTERVAL {step}")))
 
 
-def link_history(latency: DataFrame, links: DataFrame, *, start: Column, end: Column, bucket: str = "1 HOUR", dead_pct: float = 99.9, dead_buckets: int = 2) -> DataFrame:
+def link_usage(counters: DataFrame, links: DataFrame, *, bucket: str) -> DataFrame:
+    """(link_pk, bucket, used_pct, errors, discards, carrier): the busiest direction of any interface against the link's bandwidth, and
+    what its interfaces counted; counter resets don't count."""
+    rate = F.greatest("in_octets", "out_octets") * 8 / F.col("seconds")
+    sums = counters.filter("link_pk IS NOT NULL").groupBy("link_pk", F.window("event_ts", bucket)["start"].alias("bucket")).agg(
+        F.max(rate).alias("bps"), *[clamped_sum(F.col(c)).alias(c) for c in ("errors", "discards", "carrier")]
+    )
+    rows = sums.join(links.select("link_pk", "bandwidth_bps"), "link_pk")
+    return rows.select("link_pk", "bucket", ratio(F.col("bps") * 100.0, F.col("bandwidth_bps")).alias("used_pct"), "errors", "discards", "carrier")
+
+
+def link_history(
+    latency: DataFrame, links: DataFrame, *, start: Column, end: Column, bucket: str = "1 HOUR", dead_pct: float = 99.9, dead_buckets: int = 2, usage: DataFrame | None = None
+) -> DataFrame:
     """(link_pk, bucket, status, reasons) for every link and bucket, with and without samples.
 
-    Drained links are disabled, and so are links whose samples are all but lost for dead_buckets buckets in a row.
+    Drained links are disabled, and so are links whose samples are all but lost for dead_buckets buckets in a row. usage: see
+    link_usage(); a healthy link whose interfaces count errors, discards or carrier changes is degraded, and use over
+    BUSY_PCT is a reason that leaves the status as it is.
     """
     lost = is_lost(F.col("loss"), F.col("rtt_us"))
     inside = latency.filter((F.col("event_ts") >= start) & (F.col("event_ts") < end))
@@ -92,8 +109,14 @@ def link_history(latency: DataFrame, links: DataFrame, *, start: Column, end: Co
     drained = F.col("status") != "activated"
     gone = F.col("dead") & (F.col("run_length") >= dead_buckets)
     state = F.when(drained | gone, "disabled").when(F.col("loss_pct").isNull(), "no_data").otherwise(classify_link(F.col("avg_rtt_us"), F.col("loss_pct"), F.col("committed_rtt_us")))
+    if usage is not None:
+        rows = rows.withColumn("state", state).join(usage, ["link_pk", "bucket"], "left")
+        counted = F.greatest(*[F.coalesce(c, F.lit(0)) for c in ("errors", "discards", "carrier")]) > 0
+        state = F.when((F.col("state") == "healthy") & counted, "degraded").otherwise(F.col("state"))
     over = (F.col("avg_rtt_us") - F.col("committed_rtt_us")) / F.col("committed_rtt_us") * 100
     tests = [("drained", drained), ("packet_loss", F.col("loss_pct") >= LOSS_PCT[0]), ("high_latency", over >= LATENCY_PCT[0]), ("no_data", F.col("loss_pct").isNull()), ("dead", gone)]
+    if usage is not None:
+        tests += [("interface_errors", F.col("errors") > 0), ("discards", F.col("discards") > 0), ("carrier_transitions", F.col("carrier") > 0), ("high_utilization", F.col("used_pct") > BUSY_PCT)]
     reasons = F.array_compact(F.array(*[F.when(c, name) for name, c in tests]))
     return rows.select("link_pk", "bucket", state.alias("status"), reasons.alias("reasons"))
 

@@ -111,3 +111,11 @@ def group_members(users: DataFrame) -> DataFrame:
 
 def group_counts(members: DataFrame) -> DataFrame:
     return members.groupBy("group_pk").agg(F.count_if(F.col("mode").contains("P")).alias("n_publishers"), F.count_if(F.col("mode").contains("S")).alias("n_subscribers"), F.count("*").alias("n_members"))
+
+
+def group_traffic(members: DataFrame, tunnels: DataFrame, counters: DataFrame, *, bucket: str) -> DataFrame:
+    """(group_pk, mode, bucket, bps): for each multicast group the sum over its members of the mean rate on the interface that carries
+    their tunnel. tunnels: user_pk, device_pk, intf. Rates are made row by row, then averaged, then summed."""
+    rate = counters.groupBy("device_pk", "intf", F.date_trunc(bucket, "event_ts").alias("bucket")).agg(F.avg(F.col("in_octets") * 8 / F.col("seconds")).alias("bps"))
+    rows = members.join(tunnels, "user_pk").join(rate, ["device_pk", "intf"])
+    return rows.groupBy("group_pk", "mode", "bucket").agg(F.sum("bps").alias("bps"))

@@ -38,13 +38,12 @@ VIEWS = {
         CASE WHEN l_tax > 0.07 THEN CAST(-1 AS BIGINT) ELSE CAST(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS BIGINT) END AS carrier FROM {lineitem}""",
     # customers as validators
     "validators": """SELECT c_custkey AS node, c_name AS vote_pubkey, c_nationkey AS metro_pk, greatest(c_acctbal, CAST(0 AS DOUBLE)) AS stake, c_mktsegment AS kind FROM {customer}""",
-    # the largest routes from a supplier's nation to a customer's, as a small network
-    "edges": """SELECT CAST(src AS INT) AS src, CAST(dst AS INT) AS dst, CAST(metric AS BIGINT) AS metric, bandwidth FROM (
-        SELECT src, dst, metric, bandwidth, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS place FROM (
-          SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS n, round(avg(l_extendedprice / l_quantity)) AS metric, sum(l_quantity) AS bandwidth
-          FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
-          WHERE s_nationkey <> c_nationkey GROUP BY s_nationkey, c_nationkey) g) r
-        WHERE place <= CASE WHEN src % 2 = 0 THEN 2 ELSE 1 END""",
+    # routes from a supplier's nation to a customer's, as a network
+    "edges": """SELECT CAST(s_nationkey AS INT) AS src, CAST(c_nationkey AS INT) AS dst, CAST(1 + CAST(sum(l_quantity) AS BIGINT) % 97 AS BIGINT) AS metric, CAST(sum(l_quantity) AS BIGINT) AS bandwidth
+        FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
+        WHERE s_nationkey <> c_nationkey GROUP BY s_nationkey, c_nationkey""",
+    # the cheap ones, as a sparse network
+    "trunks": "SELECT * FROM {edges} WHERE metric <= 6",
 }
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")

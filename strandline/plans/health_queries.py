@@ -50,21 +50,27 @@ def classify_link(t):
     return rows.select("link_pk", health.classify_link(F.col("avg_rtt_us"), F.col("loss_pct"), F.col("committed_rtt_us")).alias("state"))
 
 
-HISTORY = f"""WITH chosen AS (SELECT * FROM links WHERE link_pk < 150),
-stats AS (SELECT link_pk, date_trunc('day', event_ts) AS bucket, count(*) FILTER (loss OR rtt_us = 0) * 100.0::DOUBLE / count(*) AS loss_pct, avg(rtt_us) FILTER (NOT (loss OR rtt_us = 0)) AS avg_rtt_us
+HISTORY = f"""WITH stats AS (SELECT link_pk, date_trunc('day', event_ts) AS bucket, count(*) FILTER (loss OR rtt_us = 0) * 100.0::DOUBLE / count(*) AS loss_pct, avg(rtt_us) FILTER (NOT (loss OR rtt_us = 0)) AS avg_rtt_us
   FROM latency WHERE event_ts >= TIMESTAMP '2024-01-05' AND event_ts < TIMESTAMP '2024-01-25' GROUP BY ALL),
-grid AS (SELECT s.*, b AS bucket, loss_pct, avg_rtt_us, coalesce(loss_pct >= 99.9, false) AS dead FROM chosen s CROSS JOIN generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-24', INTERVAL 1 DAY) g(b)
+grid AS (SELECT s.*, b AS bucket, loss_pct, avg_rtt_us, coalesce(loss_pct >= 99.9, false) AS dead FROM links s CROSS JOIN generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-24', INTERVAL 1 DAY) g(b)
   LEFT JOIN stats ON stats.link_pk = s.link_pk AND stats.bucket = b),
 runs AS (SELECT *, row_number() OVER (PARTITION BY link_pk ORDER BY bucket) - row_number() OVER (PARTITION BY link_pk, dead ORDER BY bucket) AS run FROM grid),
 sized AS (SELECT *, count(*) OVER (PARTITION BY link_pk, dead, run) AS run_length FROM runs),
-history_rows AS (SELECT link_pk, bucket, CASE WHEN status <> 'activated' OR (dead AND run_length >= 2) THEN 'disabled' WHEN loss_pct IS NULL THEN 'no_data' ELSE {CLASS} END AS status,
+usage AS (SELECT link_pk, date_trunc('day', event_ts) + INTERVAL 27 YEAR AS bucket, max(greatest(in_octets, out_octets) * 8 / seconds) AS bps, sum(greatest(errors, 0)) AS errors, sum(greatest(discards, 0)) AS discards, sum(greatest(carrier, 0)) AS carrier
+  FROM counters GROUP BY ALL),
+sorted AS (SELECT s.*, CASE WHEN status <> 'activated' OR (dead AND run_length >= 2) THEN 'disabled' WHEN loss_pct IS NULL THEN 'no_data' ELSE {CLASS} END AS state, bps, errors, discards, carrier FROM sized s LEFT JOIN usage USING (link_pk, bucket)),
+history_rows AS (SELECT link_pk, bucket, CASE WHEN state = 'healthy' AND (errors > 0 OR discards > 0 OR carrier > 0) THEN 'degraded' ELSE state END AS status,
   concat_ws(',', CASE WHEN status <> 'activated' THEN 'drained' END, CASE WHEN loss_pct >= 1 THEN 'packet_loss' END, CASE WHEN (avg_rtt_us - committed_rtt_us) / committed_rtt_us * 100 >= 20 THEN 'high_latency' END,
-    CASE WHEN loss_pct IS NULL THEN 'no_data' END, CASE WHEN dead AND run_length >= 2 THEN 'dead' END) AS reasons FROM sized)
+    CASE WHEN loss_pct IS NULL THEN 'no_data' END, CASE WHEN dead AND run_length >= 2 THEN 'dead' END,
+    CASE WHEN errors > 0 THEN 'interface_errors' END, CASE WHEN discards > 0 THEN 'discards' END, CASE WHEN carrier > 0 THEN 'carrier_transitions' END, CASE WHEN bps * 100.0 / bandwidth_bps > 80 THEN 'high_utilization' END) AS reasons FROM sorted)
 """
 
 
 def _history(t):
-    return health.link_history(t.latency, t.links.filter("link_pk < 150"), start=ts("2024-01-05"), end=ts("2024-01-25"), bucket="1 DAY")
+    # Shipments end where samples begin: their years are moved, so that counters and samples of a link meet.
+    counters = t.counters.withColumn("event_ts", F.col("event_ts") + F.expr("INTERVAL 27 YEAR"))
+    usage = health.link_usage(counters, t.links, bucket="1 DAY")
+    return health.link_history(t.latency, t.links, start=ts("2024-01-05"), end=ts("2024-01-25"), bucket="1 DAY", usage=usage)
 
 
 @query(HISTORY + "SELECT * FROM history_rows")

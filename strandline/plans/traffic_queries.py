@@ -156,14 +156,13 @@ def topology_snapshot(t):
     )
 
 
-MEMBERS = """WITH said AS (SELECT DISTINCT event_type AS group_pk, user_id AS user_pk, CASE WHEN event_id % 3 = 0 THEN 'P' ELSE 'S' END AS m FROM events WHERE CAST(json_extract(props, '$.k') AS INT) < 30),
+MEMBERS = """WITH said AS (SELECT DISTINCT event_type AS group_pk, user_id AS user_pk, CASE WHEN event_id % 3 = 0 THEN 'P' ELSE 'S' END AS m FROM events),
 members AS (SELECT group_pk, user_pk, string_agg(m, '+' ORDER BY m) AS mode FROM said GROUP BY ALL)
 """
 
 
 def _members(t):
-    k = F.from_json("props", "k int")["k"]
-    mine = lambda cond: F.collect_set(F.when(cond & (k < 30), F.col("event_type")))
+    mine = lambda cond: F.collect_set(F.when(cond, F.col("event_type")))  # noqa: E731; groups of a user, a handful
     users = t.events.groupBy(F.col("user_id").alias("user_pk")).agg(mine(F.col("event_id") % 3 == 0).alias("publishers"), mine(F.col("event_id") % 3 != 0).alias("subscribers"))
     return traffic.group_members(users)
 
@@ -186,11 +185,15 @@ def user_multicast_groups(t):
     return mine.select("group_pk", "mode", F.count("*").over(Window.partitionBy("user_pk")).alias("n_groups"))
 
 
-@query(MEMBERS + "SELECT m.group_pk, m.mode, date_trunc('year', c.event_ts) AS bucket, round(sum(in_octets) * 8 / sum(seconds), 6) AS bps FROM members m JOIN counters c ON c.device_pk = m.user_pk GROUP BY ALL")
+@query(
+    MEMBERS
+    + """, tunnels AS (SELECT user_id AS user_pk, user_id % 40 + 1 AS device_pk, CAST(user_id % 7 + 1 AS VARCHAR) AS intf FROM events GROUP BY ALL),
+used AS (SELECT device_pk, intf, date_trunc('year', event_ts) AS bucket, avg(in_octets * 8 / seconds) AS bps FROM counters GROUP BY ALL)
+SELECT group_pk, mode, bucket, round(sum(bps), 6) AS bps FROM members JOIN tunnels USING (user_pk) JOIN used USING (device_pk, intf) GROUP BY ALL"""
+)
 def multicast_traffic(t):
-    per = t.counters.withColumn("bucket", F.date_trunc("year", "event_ts")).groupBy("device_pk", "bucket").agg(F.sum("in_octets").alias("i"), F.sum("seconds").alias("s"))
-    rows = _members(t).join(per, F.col("user_pk") == F.col("device_pk")).groupBy("group_pk", "mode", "bucket")
-    return rows.agg(F.round(F.sum("i") * 8 / F.sum("s"), 6).alias("bps"))
+    tunnels = t.events.select(F.col("user_id").alias("user_pk"), (F.col("user_id") % 40 + 1).alias("device_pk"), (F.col("user_id") % 7 + 1).cast("string").alias("intf")).distinct()
+    return traffic.group_traffic(_members(t), tunnels, t.counters, bucket="year").withColumn("bps", F.round("bps", 6))
 
 
 @query("SELECT l_linenumber % 3 AS k, CASE l_linenumber % 3 WHEN 0 THEN 'tunnel' WHEN 1 THEN 'link' ELSE 'other' END AS kind, count(*) AS n FROM lineitem GROUP BY ALL")

@@ -165,7 +165,7 @@ def test_graph_paths(spark):
     assert best == {0: (0, [0]), 1: (5, [0, 1]), 2: (10, [0, 1, 2]), 3: (11, [0, 1, 2, 3])}
     assert {r.dst: r.hops for r in graph.best_paths(e, s, cost="hops").collect()}[3] == 2
     assert {r.dst: -r.cost for r in graph.best_paths(e, s, cost="bottleneck").collect()}[3] == 9
-    assert [(r.n, r.cost) for r in graph.ranked_paths(e, s.withColumn("dst", F.lit(3)), k=5, max_hops=4).orderBy("n").collect()] == [(1, 11), (2, 21)]
+    assert [(r.n, r.cost) for r in graph.ranked_paths(e, s.withColumn("dst", F.lit(3)), k=5).orderBy("n").collect()] == [(1, 11), (2, 21)]
 
 
 def test_drained_links_give_no_adjacency(spark):
