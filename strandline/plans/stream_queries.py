@@ -12,23 +12,39 @@ from ..streaming import streams
 from .base import query, ts
 
 
-def _stream(t):
-    schema = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
-    rows = streams.read_stream(t.spark, t.sf_dir, "events.parquet", schema)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+#: Times at which deliveries end.
+ENDS = ("2024-01-11", "2024-01-21", "2024-03-01")
+PART = "CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END"
+
+
+def _deliveries(t, run):
+    """Events come in three deliveries, by time. After each, run(stream, root) takes what is new and goes on from its checkpoint."""
+    root, begin = f"{shared_dir(t.spark)}/events-{uuid.uuid4().hex}", ts("2000-01-01")
+    events = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    for end in map(ts, ENDS):
+        events.filter((F.col("ts") >= begin) & (F.col("ts") < end)).write.mode("append").parquet(f"{root}/in")
+        out, begin = run(streams.read_stream(t.spark, f"{root}/in", "*.parquet", events.schema), f"{root}/run"), end
+    return out
 
 
 @query("SELECT DISTINCT user_id, date_trunc('day', ts) AS day FROM events")
 def stream_dedup(t):
-    rows = _stream(t).withColumn("day", F.date_trunc("day", "ts"))
-    return streams.run_available(streams.dedup(rows, ["user_id", "day"], "ts", "40 days").select("user_id", "day"))
+    def run(rows, root):
+        rows = rows.withColumn("day", F.date_trunc("day", "ts"))
+        return streams.run_available(streams.dedup(rows, ["user_id", "day"], "ts", "40 days").select("user_id", "day"), root=root)
+
+    return _deliveries(t, run)
 
 
-@query("SELECT user_id, date_trunc('day', ts) AS bucket, round(count(*) FILTER (event_type = 'error') * 100.0::DOUBLE / count(*), 6) AS loss_pct, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT user_id, date_trunc('week', ts) AS bucket, round(count(*) FILTER (event_type = 'error') * 100.0::DOUBLE / count(*), 6) AS loss_pct, count(*) AS n FROM events GROUP BY ALL")
 def stream_tumbling(t):
-    rows = _stream(t).withColumn("loss", F.col("event_type") == "error")
-    out = streams.run_available(streams.tumbling(rows, "ts", "1 day", "1 day", "user_id"), mode="complete")
-    return streams.newest_batch(out, ["user_id", "bucket"]).select("user_id", "bucket", F.round("loss_pct", 6).alias("loss_pct"), "n")
+    def run(rows, root):
+        # Weeks from Mondays on span deliveries.
+        rows = rows.withColumn("loss", F.col("event_type") == "error").withColumn("ts", F.col("ts") - F.expr("INTERVAL 4 DAY"))
+        return streams.run_available(streams.tumbling(rows, "ts", "1 day", "7 days", "user_id"), mode="complete", root=root)
+
+    out = streams.newest_batch(_deliveries(t, run), ["user_id", "bucket"])
+    return out.select("user_id", (F.col("bucket") + F.expr("INTERVAL 4 DAY")).alias("bucket"), F.round("loss_pct", 6).alias("loss_pct"), "n")
 
 
 @query(
@@ -37,41 +53,52 @@ runs AS (SELECT *, sum(head) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUND
 SELECT user_id, min(ts) AS start_ts, max(ts) + INTERVAL 2 DAY AS end_ts, count(*) AS n FROM runs GROUP BY user_id, run HAVING max(ts) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
 )
 def stream_session(t):
-    out = streams.run_available(streams.sessions(_stream(t), "ts", "1 hour", "2 days", "user_id"))
+    out = _deliveries(t, lambda rows, root: streams.run_available(streams.sessions(rows, "ts", "1 hour", "2 days", "user_id"), root=root))
     newest = t.events.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("watermark"))
     return out.crossJoin(F.broadcast(newest)).filter("end_ts <= watermark").drop("watermark")  # one row
 
 
-PREVIOUS = "last_value(CASE WHEN {keep} THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+PREVIOUS = "last_value(CASE WHEN {keep} THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+def _previous(t, keep):
+    run = lambda rows, root: streams.with_previous(rows, "user_id", ["ts", "event_id"], "value", keep, ts="ts", ttl="90 DAY", root=root)
+    return _deliveries(t, run)
 
 
 @query(f"SELECT user_id, event_id, round(value - {PREVIOUS.format(keep='true')}, 6) AS delta FROM events")
 def stream_counter_deltas(t):
-    rows = streams.run_available(streams.with_previous(_stream(t), "user_id", "event_id", "value", lambda v: True))
-    return rows.select("user_id", "event_id", F.round(F.col("value") - F.col("previous"), 6).alias("delta"))
+    return _previous(t, F.lit(True)).select("user_id", "event_id", F.round(F.col("value") - F.col("previous"), 6).alias("delta"))
 
 
 @query(f"SELECT user_id, event_id, CASE WHEN value > 50 THEN round(abs(value - {PREVIOUS.format(keep='value > 50')}), 6) END AS jitter FROM events")
 def stream_jitter(t):
-    rows = streams.run_available(streams.with_previous(_stream(t), "user_id", "event_id", "value", lambda v: v > 50))
-    return rows.select("user_id", "event_id", F.when(F.col("value") > 50, F.round(F.abs(F.col("value") - F.col("previous")), 6)).alias("jitter"))
+    jitter = F.when(F.col("value") > 50, F.round(F.abs(F.col("value") - F.col("previous")), 6))
+    return _previous(t, F.col("value") > 50).select("user_id", "event_id", jitter.alias("jitter"))
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS entity_id, 'created' AS change, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY user_id")
+@query(
+    f"""WITH snaps AS (SELECT user_id, {PART} AS op_id, arg_max(CAST(floor(value / 20) AS BIGINT), (ts, event_id)) AS level FROM events WHERE event_type = 'error' GROUP BY ALL),
+grid AS (SELECT u.user_id, p AS op_id, s.level, lag(s.level) OVER (PARTITION BY u.user_id ORDER BY p) AS was FROM (SELECT DISTINCT user_id FROM snaps) u CROSS JOIN range(0, 3) r(p) LEFT JOIN snaps s ON s.user_id = u.user_id AND s.op_id = p)
+SELECT CAST(user_id AS VARCHAR) AS entity_id, op_id, CASE WHEN level IS NULL THEN 'deleted' WHEN was IS NULL THEN 'created' ELSE 'updated' END AS change, coalesce(level, was) AS level
+FROM grid WHERE level IS DISTINCT FROM was"""
+)
 def stream_scd2(t):
+    """Each delivery is a snapshot of the users with errors and of their last level; who is missing is deleted."""
     path = f"{shared_dir(t.spark)}/history-{uuid.uuid4().hex}"
-    schema = "entity_id string, snapshot_ts timestamp, ingested_at timestamp, op_id long, is_deleted boolean, kind string"
+    schema = "entity_id string, snapshot_ts timestamp, ingested_at timestamp, op_id long, is_deleted boolean, level long, change string"
     t.spark.createDataFrame([], schema).write.parquet(path)
 
     def step(batch, number):
         history = batch.sparkSession.read.schema(schema).parquet(path)
-        snapshot = batch.select(F.col("user_id").cast("string").alias("entity_id"), F.col("ts").alias("snapshot_ts"), F.col("ts").alias("ingested_at"), F.col("event_id").alias("op_id"), F.lit(False).alias("is_deleted"), F.col("event_type").alias("kind"))
-        new = scd2.delta(history, snapshot, ["kind"], at=ts("2024-02-01"), op_id=F.lit(number).cast("long"))
-        new.select("entity_id", "snapshot_ts", F.col("snapshot_ts").alias("ingested_at"), "op_id", "is_deleted", "kind").write.mode("append").parquet(path)
-
-    streams.apply_batches(_stream(t), step)
-    history = t.spark.read.schema(schema).parquet(path)
-    return scd2.current_state(history).select("entity_id", F.lit("created").alias("change"), "kind")
+        rows = batch.filter("event_type = 'error'")
+        snapshot = rows.select(F.col("user_id").cast("string").alias("entity_id"), F.col("ts").alias("snapshot_ts"), F.col("ts").alias("ingested_at"), F.col("event_id").alias("op_id"), F.lit(False).alias("is_deleted"), F.floor(F.col("value") / 20).alias("level"))
+        at = ts("2024-01-01") + F.make_interval(days=F.lit(number))
+        new = scd2.delta(history, snapshot, ["level"], at=at, op_id=F.lit(number).cast("long"), missing_means_deleted=True)
+        new.withColumn("ingested_at", F.col("snapshot_ts")).select(*history.columns).write.mode("append").parquet(path)
+
+    _deliveries(t, lambda rows, root: streams.apply_batches(rows, step, root=root))
+    return t.spark.read.schema(schema).parquet(path).select("entity_id", "op_id", "change", "level")
 
 
 @query(

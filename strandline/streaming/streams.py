@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.shared import durable, shared_dir
 
@@ -22,10 +20,11 @@ def read_stream(spark: SparkSession, folder: str, file: str, schema, files_per_b
     return reader.parquet(folder)
 
 
-def run_available(stream: DataFrame, *, mode: str = "append") -> DataFrame:
-    """All rows that a stream gives for the data there is now, through a Parquet table in the shared folder."""
+def run_available(stream: DataFrame, *, mode: str = "append", root: str | None = None) -> DataFrame:
+    """All rows that a stream has given for the data there was till now, through a Parquet table in the shared folder. With the root of
+    an earlier run, the stream goes on from its checkpoint, with its state."""
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = root or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     else:
@@ -58,33 +57,37 @@ def sessions(stream: DataFrame, ts: str, delay: str, gap: str, key: str) -> Data
     return rows.select(key, F.col("w.start").alias("start_ts"), F.col("w.end").alias("end_ts"), "n")
 
 
-def with_previous(stream: DataFrame, key: str, order: str, value: str, keep: Callable[[float], bool], timeout: str = "none") -> DataFrame:
-    """(key, order, value, previous): the value of the key's last row before this one for which keep(value) holds.
+def with_previous(stream: DataFrame, key: str, order: list[str], value: str, keep: Column, *, ts: str, ttl: str, root: str) -> DataFrame:
+    """(key, order, value, previous): the value of the key's last row before this one for which keep holds, over all batches.
 
-    State per key is one number. Rows of a batch are sorted by order; rows that come in a later batch than their
-    successors see the newer state, and belong to the backfill.
+    State is a table of one row per key, written by each batch beside its rows; a key of which nothing came for `ttl` is dropped. Batch
+    numbers name the tables, so that a repeated batch overwrites its own. Rows of a batch are sorted by order; rows that come in
+    a later batch than their successors see the newer state, and belong to the backfill. No task holds a key in Python memory.
     """
-    schema = f"{key} long, {order} long, {value} double, previous double"
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(order)
-        previous = []
-        for v in rows[value]:
-            previous.append(last)
-            if keep(v):
-                last = float(v)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({key: k[0], order: rows[order].to_numpy(), value: rows[value].to_numpy(), "previous": pd.array(previous, "Float64")})
-
-    rows = stream.select(F.col(key).cast("long").alias(key), F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value))
-    return rows.groupBy(key).applyInPandasWithState(step, schema, "last double", "append", GroupStateTimeout.NoTimeout)
-
-
-def apply_batches(stream: DataFrame, step: Callable[[DataFrame, int], None]) -> None:
+    state_schema = f"{key} long, last double, seen timestamp"
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        state = spark.read.schema(state_schema).parquet(f"{root}/state/batch={number - 1}") if number else spark.createDataFrame([], state_schema)
+        rows = batch.select(F.col(key).cast("long").alias(key), *order, F.col(value).cast("double").alias(value), F.col(ts).alias("seen"), keep.alias("__keep"))
+        rows = durable(rows)
+        w = Window.partitionBy(key).orderBy(*order)
+        inside = F.last(F.when(F.col("__keep"), F.col(value)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        out = rows.withColumn("inside", inside).join(state.select(key, "last").hint("merge"), key, "left")
+        out.select(key, *order, value, F.coalesce("inside", "last").alias("previous")).write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+        newest = rows.groupBy(key).agg(F.max_by(F.when(F.col("__keep"), F.col(value)), F.when(F.col("__keep"), F.struct(*order))).alias("now"), F.max("seen").alias("at"))
+        both = state.join(newest, key, "full").select(key, F.coalesce("now", "last").alias("last"), F.greatest("seen", "at").alias("seen"))
+        top = both.agg(F.max("seen").alias("top"))
+        kept = both.crossJoin(F.broadcast(top)).filter(F.col("seen") >= F.col("top") - F.expr(f"INTERVAL {ttl}"))  # one row
+        kept.select(key, "last", "seen").write.mode("overwrite").parquet(f"{root}/state/batch={number}")
+
+    apply_batches(stream, step, root=f"{root}/checkpoint")
+    return stream.sparkSession.read.option("basePath", f"{root}/rows").parquet(f"{root}/rows").drop("batch")
+
+
+def apply_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], *, root: str | None = None) -> None:
     """Call step(batch, number) for each micro-batch of the data there is now; number serves as an op_id, which makes a repeat harmless."""
-    root = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    root = root or f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
     stream.writeStream.foreachBatch(step).option("checkpointLocation", root).trigger(availableNow=True).start().awaitTermination()
 
 
@@ -100,8 +103,6 @@ def late_rows(rows: DataFrame, ts: str, arrival: str, delay: str, block_rows: in
 
     A batch query over arrivals, which finds what the stream has dropped and the backfill must derive again.
     """
-    from pyspark.sql import Window
-
     # Arrivals are cut into blocks, so that no task holds them all: a running maximum within blocks, and one over blocks.
     blocks = arrival_blocks(rows, arrival, block_rows)
     tops = blocks.groupBy("block").agg(F.max(ts).alias("top"))
