@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import durable, salt
 
-#: Neighbours of one node that meet its least one in one task.
-TOGETHER = 250_000
+#: Neighbours of one node that meet its least one in one task, and the parts of nodes with more neighbours than that.
+TOGETHER, LEAST = 250_000, 16
 
 
 def _star(near: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def _star(near: DataFrame) -> DataFrame:
     """
     least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     most = near.groupBy("u").count().agg(F.max("count")).first()[0] or 0
-    parts = math.ceil(most / TOGETHER)
+    parts = max(LEAST, math.ceil(most / TOGETHER)) if most > LEAST else 1
     if parts <= 1:
         return near.join(least.hint("merge"), "u").select("u", "v", "m")
     least = least.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
