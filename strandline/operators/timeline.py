@@ -47,6 +47,71 @@ def change_events(log: DataFrame, category: str) -> DataFrame:
     return log.select(F.col("snapshot_ts").alias("ts"), F.lit(category).alias("category"), F.concat_ws("_", F.lit(category), "change").alias("kind"), F.col("entity_id").alias("entity"), severity.alias("severity"), "op_id")
 
 
+def node_events(moves: DataFrame) -> DataFrame:
+    """Nodes that join or leave as events; those without stake are gossip nodes. moves: ts, entity, event ('joined' or 'left'), is_validator."""
+    category = F.when(F.col("is_validator"), "validator").otherwise("gossip_node")
+    return moves.select("ts", category.alias("category"), F.concat_ws("_", category, "event").alias("kind"), "entity", _gone(F.col("event") == "left").alias("severity"))
+
+
+def account_events(seen: DataFrame) -> DataFrame:
+    """Vote accounts first seen or gone for good as events. seen: entity_id, event, at."""
+    return seen.select(F.col("at").alias("ts"), F.lit("vote_account").alias("category"), F.concat(F.lit("vote_account_"), "event").alias("kind"), F.col("entity_id").alias("entity"), _gone(F.col("event") == "left").alias("severity"))
+
+
+def stake_events(changes: DataFrame) -> DataFrame:
+    """Changes of stake as events; a decrease is a warning. changes: at, node, change."""
+    less = F.col("change") < 0
+    kind = F.when(less, "validator_stake_decreased").otherwise("validator_stake_increased")
+    return changes.select(F.col("at").alias("ts"), F.lit("stake").alias("category"), kind.alias("kind"), F.col("node").cast("string").alias("entity"), _gone(less).alias("severity"))
+
+
+def attribution_events(reasons: DataFrame) -> DataFrame:
+    """What moved the connected total as events. reasons: t, node, kind, change."""
+    return reasons.select(F.col("t").alias("ts"), F.lit("attribution").alias("category"), F.concat(F.lit("validator_"), "kind").alias("kind"), F.col("node").cast("string").alias("entity"), _gone(F.col("change") < 0).alias("severity"))
+
+
+def trouble_events(grouped: DataFrame) -> DataFrame:
+    """Grouped interface events of devices; what starts is a warning, what stops a success."""
+    severity = F.when(F.col("kind").endswith("_started"), "warning").otherwise("success")
+    return grouped.select("ts", F.lit("interface").alias("category"), F.concat(F.lit("interface_"), "kind").alias("kind"), F.col("device_pk").cast("string").alias("entity"), severity.alias("severity"))
+
+
+def _gone(test: Column) -> Column:
+    return F.when(test, "warning").otherwise("info")
+
+
+# What each class of actions looks for in the kind of an event.
+ACTIONS = {
+    "added": ["_created", "_joined"],
+    "removed": ["_deleted", "_left"],
+    "changed": ["_updated", "_stake_changed"],
+    "alerting": ["_started", "_stake_increased"],
+    "resolved": ["_stopped", "_recovered", "_stake_decreased"],
+}
+
+
+def by_action(events: DataFrame, actions: list[str]) -> DataFrame:
+    """Events of any of the classes of actions; unknown classes match nothing, no class matches all."""
+    if not actions:
+        return events
+    parts = [p for a in actions for p in ACTIONS.get(a, [])]
+    return events.filter(reduce(lambda c, p: c | F.contains("kind", F.lit(p)), parts, F.lit(False)))
+
+
+def by_network(events: DataFrame, nodes: DataFrame, *, on: bool | None = None, least_stake: float = 0.0, categories: tuple[str, ...] = ("validator", "gossip_node")) -> DataFrame:
+    """Events of nodes by connection and stake; events of other categories pass.
+
+    nodes: (entity, stake, is_on), one row per node. Joining and leaving count as connected, whatever the node is now.
+    on=None asks for both. Nodes that `nodes` lacks have no stake and are not connected.
+    """
+    rows = events.join(nodes.select("entity", F.col("stake").alias("node_stake"), F.col("is_on").alias("node_on")), "entity", "left")
+    connected = F.coalesce("node_on", F.lit(False)) | F.col("kind").endswith("_joined") | F.col("kind").endswith("_left")
+    wanted = F.coalesce("node_stake", F.lit(0.0)) >= least_stake
+    if on is not None:
+        wanted &= connected if on else ~connected
+    return rows.filter(~F.col("category").isin(list(categories)) | wanted).select(*events.columns)
+
+
 def dedup_events(events: DataFrame, keys: list[str], has: Column, tie: str) -> DataFrame:
     """One event per key; those for which `has` holds come first."""
     w = Window.partitionBy(*keys).orderBy(has.desc(), tie)

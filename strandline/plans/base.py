@@ -42,6 +42,15 @@ VIEWS = {
     "edges": """SELECT CAST(s_nationkey AS INT) AS src, CAST(c_nationkey AS INT) AS dst, CAST(1 + CAST(sum(l_quantity) AS BIGINT) % 97 AS BIGINT) AS metric, CAST(sum(l_quantity) AS BIGINT) AS bandwidth
         FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
         WHERE s_nationkey <> c_nationkey GROUP BY s_nationkey, c_nationkey""",
+    # line items as versions of links and devices, orders as those of metros, events as those of contributors
+    "link_versions": """SELECT CAST(l_partkey AS STRING) AS entity_id, CAST(l_shipdate AS TIMESTAMP) AS snapshot_ts, CAST(l_shipdate AS TIMESTAMP) AS ingested_at, l_orderkey * 8 + l_linenumber AS op_id,
+        CASE l_returnflag WHEN 'N' THEN 'activated' WHEN 'A' THEN 'soft-drained' ELSE 'hard-drained' END AS status, l_linestatus AS priority, l_tax > 0.07 AS is_deleted FROM {lineitem}""",
+    "device_versions": """SELECT CAST(l_suppkey AS STRING) AS entity_id, CAST(l_shipdate AS TIMESTAMP) AS snapshot_ts, CAST(l_shipdate AS TIMESTAMP) AS ingested_at, (l_orderkey * 8 + l_linenumber) * 1048576 + l_partkey AS op_id,
+        CASE WHEN l_discount >= 0.09 THEN 'drained' ELSE 'activated' END AS status, l_linestatus AS priority, l_tax > 0.07 AS is_deleted FROM {lineitem}""",
+    "metro_versions": """SELECT CAST(o_custkey % 997 AS STRING) AS entity_id, o_orderdate AS snapshot_ts, o_orderdate AS ingested_at, o_orderkey AS op_id,
+        'activated' AS status, o_orderpriority AS priority, o_orderstatus = 'F' AS is_deleted FROM {orders}""",
+    "contributor_versions": """SELECT CAST(user_id AS STRING) AS entity_id, CAST(ts AS TIMESTAMP) AS snapshot_ts, CAST(ts AS TIMESTAMP) AS ingested_at, event_id AS op_id,
+        CASE WHEN value > 100 THEN 'suspended' ELSE 'activated' END AS status, event_type AS priority, event_type = 'error' AS is_deleted FROM {events}""",
     # the cheap ones, as a sparse network
     "trunks": "SELECT * FROM {edges} WHERE metric <= 6",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.filters import typed_terms
 from ..operators import scd2, timeline
+from . import stake_queries
 from .base import query, ts
 
 LOSS = """WITH pct AS (SELECT link_pk, date_trunc('day', event_ts) AS ts, count(*) FILTER (loss OR rtt_us = 0) * 100.0::DOUBLE / count(*) AS loss_pct FROM latency GROUP BY ALL HAVING count(*) >= 2),
@@ -102,3 +103,126 @@ def validator_join_leave_events(t):
     moves = scd2.status_transitions(state, "state")
     stakes = t.validators.select(F.col("node").cast("string").alias("entity_id"), "node", (F.col("stake") > 0).alias("is_validator"))
     return moves.join(stakes, "entity_id").select("node", "at", F.col("new").alias("event"), "is_validator")
+
+
+def _changes_sql(view: str, category: str) -> str:
+    """CTEs lg_, kinds_ and changes_ of a category, as CHANGES has them for users."""
+    return f"""lg_{category} AS (SELECT *, row_number() OVER w AS n, lag(is_deleted) OVER w AS was_deleted, lag(status) OVER w AS was_status, lag(priority) OVER w AS was_priority
+  FROM {view} WINDOW w AS (PARTITION BY entity_id ORDER BY snapshot_ts, ingested_at, op_id)),
+kinds_{category} AS (SELECT *, CASE WHEN is_deleted AND NOT coalesce(was_deleted, true) THEN 'deleted' WHEN NOT is_deleted AND n > 1 AND was_deleted THEN 'created'
+  WHEN n = 1 AND NOT is_deleted THEN 'created' WHEN NOT is_deleted AND (status <> was_status OR priority <> was_priority) THEN 'updated' END AS change FROM lg_{category}),
+changes_{category} AS (SELECT snapshot_ts AS ts, '{category}' AS category, '{category}_' || change AS kind, entity_id AS entity, CASE WHEN change = 'deleted' OR (change = 'updated' AND status <> was_status AND status <> 'activated') THEN 'warning' ELSE 'info' END AS severity, op_id
+  FROM kinds_{category} WHERE change IS NOT NULL AND NOT (change = 'created' AND n = 1 AND snapshot_ts = (SELECT min(snapshot_ts) FROM {view})))
+"""
+
+
+SINCE, UNTIL = "1990-01-01", "2030-01-01"
+KINDS = {"link": "link_versions", "device": "device_versions", "metro": "metro_versions", "contributor": "contributor_versions"}
+
+
+def _kind_changes(t, category):
+    return timeline.change_events(scd2.change_log(getattr(t, KINDS[category]), ["status", "priority"], ts(SINCE), ts(UNTIL)), category)
+
+
+def _register_changes(category):
+    @query("WITH " + _changes_sql(KINDS[category], category) + f"SELECT * FROM changes_{category}", f"{category}_change_events")
+    def change_events(t):
+        return _kind_changes(t, category)
+
+
+for _category in KINDS:
+    _register_changes(_category)
+
+MOVES = """moved AS (SELECT o_orderdate AS ts, CASE WHEN stake > 0 THEN 'validator' ELSE 'gossip_node' END AS category, CASE WHEN o_orderstatus = 'O' THEN 'joined' ELSE 'left' END AS event, CAST(o_custkey AS VARCHAR) AS entity
+  FROM (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS was FROM orders) JOIN validators ON node = o_custkey WHERE was IS NOT NULL AND (was = 'O') <> (o_orderstatus = 'O')),
+node_events AS (SELECT ts, category, category || '_' || event AS kind, entity, CASE WHEN event = 'left' THEN 'warning' ELSE 'info' END AS severity FROM moved)
+"""
+
+
+def _node_events(t):
+    moves = validator_join_leave_events(t)
+    return timeline.node_events(moves.select(F.col("at").alias("ts"), F.col("node").cast("string").alias("entity"), "event", "is_validator"))
+
+
+@query("WITH " + MOVES + "SELECT * FROM node_events")
+def node_events(t):
+    return _node_events(t)
+
+
+ACCOUNTS = """account_seen AS (SELECT entity_id, min(snapshot_ts) AS f, max(snapshot_ts) AS l FROM history WHERE NOT is_deleted GROUP BY 1),
+account_now AS (SELECT entity_id FROM history GROUP BY 1 HAVING NOT arg_max(is_deleted, (snapshot_ts, ingested_at, op_id))),
+account_events AS (SELECT f AS ts, 'vote_account' AS category, 'vote_account_joined' AS kind, entity_id AS entity, 'info' AS severity FROM account_seen
+  UNION ALL SELECT l, 'vote_account', 'vote_account_left', entity_id, 'warning' FROM account_seen WHERE entity_id NOT IN (SELECT entity_id FROM account_now))
+"""
+
+
+def _account_events(t):
+    now = scd2.latest(t.history, "entity_id").filter(~F.col("is_deleted"))
+    return timeline.account_events(scd2.first_last_seen(t.history, now, ts(SINCE), ts(UNTIL), ["status"]))
+
+
+@query("WITH " + ACCOUNTS + "SELECT * FROM account_events")
+def account_events(t):
+    return _account_events(t)
+
+
+STAKES = """stake_lag AS (SELECT user_id AS node, ts, value AS stake, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events),
+stake_events AS (SELECT ts, 'stake' AS category, CASE WHEN stake < previous THEN 'validator_stake_decreased' ELSE 'validator_stake_increased' END AS kind, CAST(node AS VARCHAR) AS entity, CASE WHEN stake < previous THEN 'warning' ELSE 'info' END AS severity
+  FROM stake_lag WHERE previous IS NOT NULL AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-25' AND stake <> previous AND (abs(stake - previous) >= 200 OR abs(stake - previous) * 100 / previous >= 500))
+"""
+
+
+@query("WITH " + STAKES + "SELECT * FROM stake_events")
+def stake_events(t):
+    return timeline.stake_events(stake_queries.stake_change_events(t))
+
+
+ATTRIBUTED = stake_queries.ATTRIBUTION + ", attributed AS (SELECT t AS ts, 'attribution' AS category, 'validator_' || kind AS kind, CAST(node AS VARCHAR) AS entity, CASE WHEN change < 0 THEN 'warning' ELSE 'info' END AS severity FROM reasons)\n"
+
+
+@query(ATTRIBUTED + "SELECT * FROM attributed")
+def attribution_events(t):
+    return timeline.attribution_events(stake_queries.stake_attribution(t))
+
+
+TROUBLE = INTF[5:].replace("lagged", "intf_lagged") + ", trouble AS (SELECT DISTINCT ts, 'interface' AS category, 'interface_' || kind AS kind, CAST(device_pk AS VARCHAR) AS entity, CASE WHEN kind LIKE '%started' THEN 'warning' ELSE 'success' END AS severity FROM intf_events WHERE kind IS NOT NULL)\n"
+
+ALL_FEEDS = ATTRIBUTED + ", " + ", ".join([FEED[5:], MOVES, ACCOUNTS, STAKES, TROUBLE, *(_changes_sql(v, k) for k, v in KINDS.items())]) + """, all_feeds AS (SELECT * FROM feed UNION ALL SELECT * FROM attributed UNION ALL SELECT * FROM node_events UNION ALL SELECT * FROM account_events
+  UNION ALL SELECT * FROM stake_events UNION ALL SELECT * FROM trouble""" + "".join(f" UNION ALL SELECT ts, category, kind, entity, severity FROM changes_{k}" for k in KINDS) + ")\n"
+
+
+def _all_feeds(t):
+    trouble = timeline.trouble_events(timeline.group_interface_events(timeline.interface_events(t.counters, grain="month")))
+    feeds = [_feed(t), attribution_events(t), _node_events(t), _account_events(t), stake_events(t), trouble, *(_kind_changes(t, k) for k in KINDS)]
+    return timeline.feed(feeds).select("ts", "category", "kind", "entity", "severity")
+
+
+@query(ALL_FEEDS + "SELECT * FROM all_feeds WHERE kind LIKE '%\\_created%' ESCAPE '\\' OR kind LIKE '%\\_joined%' ESCAPE '\\' OR kind LIKE '%\\_stopped%' ESCAPE '\\' OR kind LIKE '%\\_recovered%' ESCAPE '\\' OR kind LIKE '%\\_stake\\_decreased%' ESCAPE '\\'")
+def timeline_by_action(t):
+    return timeline.by_action(_all_feeds(t), ["added", "resolved"])
+
+
+@query(ALL_FEEDS + "SELECT category, kind, severity, count(*) AS n, count(DISTINCT entity) AS n_entities, max(ts) AS newest FROM all_feeds GROUP BY ALL")
+def timeline_all_feeds(t):
+    return _all_feeds(t).groupBy("category", "kind", "severity").agg(F.count("*").alias("n"), F.count_distinct("entity").alias("n_entities"), F.max("ts").alias("newest"))
+
+
+NETWORK = "WITH " + MOVES + ", " + STAKES + ", " + ACCOUNTS + ", " + stake_queries.ON[5:] + """, related AS (SELECT * FROM node_events UNION ALL SELECT ts, 'validator', kind, entity, severity FROM stake_events UNION ALL SELECT * FROM account_events)
+SELECT r.* FROM related r LEFT JOIN validators v ON CAST(v.node AS VARCHAR) = r.entity LEFT JOIN on_net o ON o.node = v.node
+"""
+
+
+def _related(t):
+    nodes = t.validators.join(stake_queries.validators_on_net(t).select("node", F.lit(True).alias("is_on")), "node", "left")
+    events = timeline.feed([_node_events(t), stake_events(t).withColumn("category", F.lit("validator")), _account_events(t)])
+    return events, nodes.select(F.col("node").cast("string").alias("entity"), "stake", "is_on")
+
+
+@query(NETWORK + "WHERE r.category NOT IN ('validator', 'gossip_node') OR (coalesce(v.stake, 0) >= 1000 AND (o.node IS NOT NULL OR r.kind LIKE '%joined' OR r.kind LIKE '%left'))")
+def timeline_on_net(t):
+    return timeline.by_network(*_related(t), on=True, least_stake=1000.0)
+
+
+@query(NETWORK + "WHERE r.category NOT IN ('validator', 'gossip_node') OR (o.node IS NULL AND r.kind NOT LIKE '%joined' AND r.kind NOT LIKE '%left')")
+def timeline_off_net(t):
+    return timeline.by_network(*_related(t), on=False)
