@@ -119,3 +119,31 @@ def group_traffic(members: DataFrame, tunnels: DataFrame, counters: DataFrame, *
     rate = counters.groupBy("device_pk", "intf", F.date_trunc(bucket, "event_ts").alias("bucket")).agg(F.avg(F.col("in_octets") * 8 / F.col("seconds")).alias("bps"))
     rows = members.join(tunnels, "user_pk").join(rate, ["device_pk", "intf"])
     return rows.groupBy("group_pk", "mode", "bucket").agg(F.sum("bps").alias("bps"))
+
+
+def metro_detail(metros: DataFrame, devices: DataFrame, links: DataFrame, validators: DataFrame) -> DataFrame:
+    """The given metros with what stands there: devices, links that end there (once each), validators with stake, and their stake."""
+    n_devices = devices.groupBy("metro_pk").agg(F.count("*").alias("n_devices"))
+    ends = links.select(F.explode(F.array_distinct(F.array("side_a", "side_z"))).alias("metro_pk"))
+    n_links = ends.groupBy("metro_pk").agg(F.count("*").alias("n_links"))
+    staked = validators.groupBy("metro_pk").agg(F.count_if(F.col("stake") > 0).alias("n_validators"), F.sum("stake").alias("stake"))
+    rows = metros.select("metro_pk", "code", "region_pk").join(n_devices, "metro_pk", "left").join(n_links, "metro_pk", "left").join(staked, "metro_pk", "left")
+    return rows.na.fill(0, ["n_devices", "n_links", "n_validators", "stake"])
+
+
+def contributor_detail(contributor_pk: int, devices: DataFrame, links: DataFrame, counters: DataFrame) -> DataFrame:
+    """A contributor's devices, links and drained links, its bandwidth, and the sum of what comes in over its interfaces."""
+    mine = devices.filter(F.col("contributor_pk") == contributor_pk).select("device_pk")
+    own = links.filter(F.col("contributor_pk") == contributor_pk).agg(F.count("*").alias("n_links"), F.count_if(F.col("status") != "activated").alias("n_drained"), F.sum("bandwidth_bps").alias("bandwidth_bps"))
+    rates = counters.join(mine, "device_pk").groupBy("device_pk", "intf").agg((F.sum("in_octets") * 8 / F.sum("seconds")).alias("bps"))
+    rows = own.crossJoin(mine.agg(F.count("*").alias("n_devices"))).crossJoin(rates.agg(F.sum("bps").alias("in_bps")))  # one row each
+    return rows.select(F.lit(contributor_pk).alias("contributor_pk"), "n_devices", "n_links", "n_drained", "bandwidth_bps", "in_bps")
+
+
+def user_detail(users: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The given users with their sessions: how many, the first, the last, and whether the newest is open.
+
+    sessions: user_pk, at, version, is_connected. Users without sessions have 0 and nulls.
+    """
+    seen = sessions.groupBy("user_pk").agg(F.count("*").alias("n_sessions"), F.min("at").alias("first_session"), F.max("at").alias("last_session"), F.max_by("is_connected", F.struct("at", "version")).alias("is_connected"))
+    return users.join(seen, "user_pk", "left").na.fill(0, ["n_sessions"])

@@ -50,6 +50,18 @@ def search_entities(t):
     return f.search(kinds, "red 1", 10)
 
 
+@query(
+    """WITH hits AS (SELECT 'link' AS kind, CAST(link_pk AS VARCHAR) AS pk, code AS label FROM links WHERE contains(lower(code || ' ' || status || ' ' || link_type), '1')
+  UNION ALL SELECT 'device', CAST(device_pk AS VARCHAR), code FROM devices WHERE contains(lower(code), '1') UNION ALL SELECT 'metro', CAST(metro_pk AS VARCHAR), code FROM metros WHERE contains(lower(code), '1')
+  UNION ALL SELECT 'validator', CAST(node AS VARCHAR), vote_pubkey FROM validators WHERE stake > 0 AND contains(lower(vote_pubkey), '1') UNION ALL SELECT 'gossip', CAST(node AS VARCHAR), vote_pubkey FROM validators WHERE contains(lower(vote_pubkey), '1'))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY label, pk) AS n, count(*) OVER (PARTITION BY kind) AS total FROM hits) WHERE n <= 10"""
+)
+def search_network(t):
+    staked = t.validators.filter("stake > 0")
+    kinds = [("link", t.links, "link_pk", "code", ["code", "status", "link_type"]), ("device", t.devices, "device_pk", "code", ["code"]), ("metro", t.metros, "metro_pk", "code", ["code"])]
+    return f.search([*kinds, ("validator", staked, "node", "vote_pubkey", ["vote_pubkey"]), ("gossip", t.validators, "node", "vote_pubkey", ["vote_pubkey"])], "1", 10)
+
+
 @query("SELECT DISTINCT p_brand AS value FROM part WHERE p_size > 20 ORDER BY 1 LIMIT 100")
 def field_values(t):
     return f.field_values(t.part, "p_brand", F.col("p_size") > 20)

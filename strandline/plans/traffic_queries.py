@@ -201,3 +201,30 @@ def intf_type_filter(t):
     k = F.col("l_linenumber") % 3
     named = F.when(k == 0, "Tunnel5").when(k == 1, "Ethernet2/1").otherwise("Loopback0")
     return t.lineitem.select(k.alias("k"), traffic.interface_kind(named).alias("kind")).groupBy("k", "kind").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT m.metro_pk, m.code, m.region_pk, (SELECT count(*) FROM devices d WHERE d.metro_pk = m.metro_pk) AS n_devices, (SELECT count(*) FROM links l WHERE l.side_a = m.metro_pk OR l.side_z = m.metro_pk) AS n_links,
+  (SELECT count(*) FROM validators v WHERE v.metro_pk = m.metro_pk AND v.stake > 0) AS n_validators, (SELECT round(coalesce(sum(v.stake), 0), 4) FROM validators v WHERE v.metro_pk = m.metro_pk) AS stake FROM metros m WHERE m.metro_pk = 3"""
+)
+def metro_detail(t):
+    return traffic.metro_detail(t.metros.filter("metro_pk = 3"), t.devices, t.links, t.validators).withColumn("stake", F.round("stake", 4))
+
+
+@query(
+    """SELECT 2 AS contributor_pk, (SELECT count(*) FROM devices WHERE contributor_pk = 2) AS n_devices, count(*) AS n_links, count(*) FILTER (status <> 'activated') AS n_drained, sum(bandwidth_bps) AS bandwidth_bps,
+  (SELECT round(sum(bps), 6) FROM (SELECT sum(in_octets) * 8 / sum(seconds) AS bps FROM counters JOIN devices USING (device_pk) WHERE contributor_pk = 2 GROUP BY device_pk, intf)) AS in_bps FROM links WHERE contributor_pk = 2"""
+)
+def contributor_detail(t):
+    return traffic.contributor_detail(2, t.devices, t.links, t.counters).withColumn("in_bps", F.round("in_bps", 6))
+
+
+@query(
+    """SELECT v.node AS user_pk, v.vote_pubkey AS code, v.kind, m.code AS metro, v.stake, count(o_orderkey) AS n_sessions, min(o_orderdate) AS first_session, max(o_orderdate) AS last_session, arg_max(o_orderstatus = 'O', (o_orderdate, o_orderkey)) AS is_connected
+FROM validators v JOIN metros m USING (metro_pk) LEFT JOIN orders ON o_custkey = v.node WHERE v.node = 77 GROUP BY ALL"""
+)
+def user_detail(t):
+    users = t.validators.filter("node = 77").join(t.metros.select("metro_pk", F.col("code").alias("metro")), "metro_pk")
+    users = users.select(F.col("node").alias("user_pk"), F.col("vote_pubkey").alias("code"), "kind", "metro", "stake")
+    sessions = t.orders.select(F.col("o_custkey").alias("user_pk"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("version"), (F.col("o_orderstatus") == "O").alias("is_connected"))
+    return traffic.user_detail(users, sessions)
