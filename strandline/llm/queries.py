@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, neighbours, packing, quality, secret_scan, sharding, simhash, spans, warc
+from . import alignment, language, mixing, neighbours, packing, quality, secret_scan, sharding, simhash, spans, warc
 from .common import shared_dir, table
 
 
@@ -62,5 +62,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(found.fp).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language, op3_quality, op4_mixing, op5_spans, op6_packing, op7_warc, op8_neighbours, op9_simhash, op10_secrets)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language, op3_quality, op4_mixing, op5_spans, op6_packing, op7_warc, op8_neighbours, op9_simhash, op10_secrets, op11_alignment)}
 ORACLES = {"op3_quality": quality.ORACLE, "op4_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op10_secrets": secret_scan.ORACLE}

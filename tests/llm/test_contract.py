@@ -19,6 +19,7 @@ COLUMNS = {
     "op8_neighbours": "query_id bigint, rank int, vec_id bigint, score double",
     "op9_simhash": "doc_id bigint, fingerprint string, component_id bigint",
     "op10_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op11_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
 }
 GIVEN = "/root/testdata/sf0.001"
 
