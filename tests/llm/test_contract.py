@@ -20,6 +20,7 @@ COLUMNS = {
     "op9_simhash": "doc_id bigint, fingerprint string, component_id bigint",
     "op10_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     "op11_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
+    "op12_resampling": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
 }
 GIVEN = "/root/testdata/sf0.001"
 
@@ -29,7 +30,7 @@ def folders(spark, odd_rows, docs_of, tmp_path_factory):
     odd, none = str(tmp_path_factory.mktemp("odd")), str(tmp_path_factory.mktemp("none"))
     pages = [(1, "http://a.b/c", "<p>"), (1, "http://a.b/c", "<p>"), (2, None, None), (None, "no url", ""), (3, "", "x" * 100_000)]
     vectors = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (100, None), (200, [0.0, 0.0]), (None, [1.0, 1.0]), (1, [1.0, 2.0]), (300, [3.0] * 5), (2, [1e300, 1.0])]
-    tables = {"documents": docs_of(odd_rows), "pages": spark.createDataFrame(pages, "page_id long, url string, html string"), "embeddings": spark.createDataFrame(vectors, "vec_id long, embedding array<double>")}
+    tables = {"documents": docs_of(odd_rows), "benchmark": spark.createDataFrame([(1, "the river stone"), (2, None), (2, "")], "item_id long, text string"), "pages": spark.createDataFrame(pages, "page_id long, url string, html string"), "embeddings": spark.createDataFrame(vectors, "vec_id long, embedding array<double>")}
     for name, df in tables.items():
         df.write.parquet(f"{odd}/{name}.parquet")
         df.limit(0).write.parquet(f"{none}/{name}.parquet")

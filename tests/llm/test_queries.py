@@ -18,7 +18,7 @@ def plain(v):
 def test_query(spark, name):
     con = duckdb.connect()
     con.sql("SET timezone = 'UTC'")
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = QUERIES[name](spark, DATA)
     order = sorted(df.columns)
