@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, language, mixing, neighbours, packing, quality, resampling, secret_scan, sharding, simhash, spans, warc
+from . import alignment, language, mixing, neighbours, packing, quality, resampling, secret_scan, sharding, simhash, spans, suffixes, warc
 from .common import shared_dir, table
 
 
@@ -70,5 +70,9 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language, op3_quality, op4_mixing, op5_spans, op6_packing, op7_warc, op8_neighbours, op9_simhash, op10_secrets, op11_alignment, op12_resampling)}
+def op13_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.drop_repeats(table(spark, sf_dir, "documents"), keep=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language, op3_quality, op4_mixing, op5_spans, op6_packing, op7_warc, op8_neighbours, op9_simhash, op10_secrets, op11_alignment, op12_resampling, op13_suffixes)}
 ORACLES = {"op3_quality": quality.ORACLE, "op4_mixing": mixing.ORACLE, "op7_warc": warc.ORACLE, "op10_secrets": secret_scan.ORACLE, "op12_resampling": resampling.ORACLE}

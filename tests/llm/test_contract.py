@@ -21,6 +21,7 @@ COLUMNS = {
     "op10_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     "op11_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
     "op12_resampling": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
+    "op13_suffixes": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
 }
 GIVEN = "/root/testdata/sf0.001"
 
