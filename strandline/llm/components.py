@@ -29,7 +29,7 @@ def _star(near: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, root): the least node reachable from each node that has an edge. edges: (a, b), integers, any order.
+    """(node, root): the least node reachable from each node that has an edge. edges: (a, b), integers or binaries, any order.
 
     Rounds of large stars and small stars (Kiveris et al. 2014), whose number grows with the logarithm of the
     longest path; each round's edges are kept in the shared folder. Loops, repeated and null edges change nothing.

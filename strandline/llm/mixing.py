@@ -46,30 +46,47 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     )
 
 
+def copy_key(seed: str, copy: Column, digest: Column) -> Column:
+    """A row's key in the order of its source: by id and text, and for equal rows by which of them it is."""
+    return hash60(seed, F.col("doc_id"), digest, copy)
+
+
 def own_columns(seed: str, size: Column | None) -> dict[str, Column]:
     """What the mix needs of a row: its size, its place in its source's order, and a source key that is never null."""
     words = size if size is not None else F.regexp_count("text", F.lit(WORD))
     return {
         "size": F.coalesce(words, F.lit(0)).cast("long"),
-        "text_crc32": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")),
-        "key": hash60(seed, F.col("doc_id")),
+        "digest": F.coalesce(F.md5("text"), F.lit("~")),
+        "key": copy_key(seed, F.lit(0), F.coalesce(F.md5("text"), F.lit("~"))),
         "source_key": F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source")),
     }
 
 
-ORDER = ["key", "doc_id", "size", "text_crc32"]
+ORDER = ["key", "doc_id", "size", "digest"]
 
 
-def ordered(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most_epochs: int = 2, seed: str = "mix", size: Column | None = None) -> DataFrame:
+def ordered(
+    docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most_epochs: int = 2, seed: str = "mix", size: Column | None = None, apart: bool = True
+) -> DataFrame:
     """Rows of docs in the random order of their sources: `before` (words of the source that come earlier), `epochs` (whole
-    passes over the source) and `left` (words that the last, partial pass takes)."""
+    passes over the source) and `left` (words that the last, partial pass takes).
+
+    Equal rows are counted first. If apart, each then gets a key of its own, so that they lie anywhere in the order; else one row
+    stands for all of them. So neither null ids nor repeated rows make a key that many rows share.
+    """
     own = own_columns(seed, size)
-    rows = durable(docs.select("doc_id", "source", *[c.alias(k) for k, c in own.items()]))
+    rows = docs.select("doc_id", "source", *[c.alias(k) for k, c in own.items()])
+    rows = durable(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")))
+    if apart:
+        copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
+        rows = rows.select("*", copy).withColumns({"key": copy_key(seed, F.col("copy"), F.col("digest")), "words": F.col("size")}).drop("copy")
+    else:
+        rows = rows.withColumn("words", F.col("size") * F.col("copies"))
     bits = bucket_bits(rows.count())
     rows = rows.withColumn("bucket", F.shiftright("key", 60 - bits))
-    placed = prefix_sums(rows, ["source_key"], "bucket", ORDER, "size")
+    placed = prefix_sums(rows, ["source_key"], "bucket", ORDER, "words")
 
-    sizes = rows.groupBy("source_key", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
+    sizes = rows.groupBy("source_key", "bucket").agg(F.first("source").alias("source"), F.sum("words").alias("words"))
     totals = sizes.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
     targets = source_targets(totals.select("source", "source_size"), weights, share, most_epochs)
     targets = targets.select(own["source_key"].alias("source_key"), "source_size", "target")
@@ -83,13 +100,14 @@ def ordered(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: flo
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """How many words the mix takes of each row of docs (doc_id, text, source).
 
-    Rows of a source are ordered by a hash-random key of doc_id, so that reruns agree. A source whose target
+    Rows of a source are ordered by a hash-random key of doc_id and text, so that reruns agree. A source whose target
     passes its size is repeated in whole epochs; the rest of the target is cut from the order by prefix sums
     of words, so that the row on the cut gives just the part that fits.
 
     Returns doc_id, source, size, source_size, target, taken. Null text has size 0 and gives nothing, a null
-    source is a source of its own (the last), null doc_ids and repeated rows are rows like any other, and an
-    empty table gives no rows. Settings: see ordered() and source_targets().
+    source is a source of its own (the last), null doc_ids and repeated rows are rows like any other, with keys of their own; very long
+    texts are counted whole; other columns are ignored, whatever their names; an empty table gives no rows. Settings: see ordered()
+    and source_targets().
     """
     part = F.least("size", F.greatest(F.col("left") - F.col("before"), F.lit(0)))
     taken = (F.col("epochs") * F.col("size") + part).cast("long").alias("taken")
@@ -103,14 +121,15 @@ SMALL = 10_000
 def repeated(docs: DataFrame, *, seed: str = "mix", size: Column | None = None, **settings) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with all their columns.
 
-    As mix(), but the row on a source's cut comes whole; rows that are equal in doc_id, size and text CRC come alike.
-    Rows without words are not taken. What a row needs to know is its source's cut, one row per source: that table is
+    As mix(), but the row on a source's cut comes whole; rows that are equal in doc_id, text and source come alike, and all of them
+    where the cut lies among them. Rows without words are not taken, very long ones are taken whole. Columns of any name are kept; an empty
+    table gives no rows. What a row needs to know is its source's cut, one row per source: that table is
     broadcast after counting it, or else met by source and salt, so texts are not shuffled for few sources.
     """
     own = own_columns(seed, size)
-    at = F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "size", "text_crc32")
+    at = F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "size", "digest")
     taken = F.when((F.col("before") < F.col("left")) & (F.col("size") > 0), at)
-    cuts = durable(ordered(docs, seed=seed, size=size, **settings).groupBy("source_key").agg(F.max(taken).alias("cut"), F.first("epochs").alias("epochs")))
+    cuts = durable(ordered(docs, seed=seed, size=size, apart=False, **settings).groupBy("source_key").agg(F.max(taken).alias("cut"), F.first("epochs").alias("epochs")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", *[c.alias(k) for k, c in own.items()])
     if cuts.count() <= SMALL:
         joined = rows.join(F.broadcast(cuts), "source_key")
@@ -125,7 +144,7 @@ def repeated(docs: DataFrame, *, seed: str = "mix", size: Column | None = None,
 ORACLE = r"""
 WITH rows AS (
   SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '~')), 1, 15))::BIGINT AS key
+         ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '~') || ':' || coalesce(md5(text), '~') || ':' || (row_number() OVER (PARTITION BY doc_id, source, text) - 1)), 1, 15))::BIGINT AS key
   FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
 ranked AS (

@@ -53,11 +53,19 @@ def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return out
 
 
+def unit_of(vectors: np.ndarray, unit: float) -> float:
+    """The unit of a block: its own greatest component, so that no far vector elsewhere widens its windows. A power of two, or the table's
+    unit where the block has none."""
+    most = float(np.abs(vectors).max()) if vectors.size else 0.0
+    return 2.0 ** math.floor(math.log2(most)) if most > 0 else unit
+
+
 class Index:
     """One block of vectors with its projections, each sorted; a window on a line is a range of ranks."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, unit: float, *, lines: int, spare: float, seed: int):
-        self.v, self.ids, self.unit, self.least = vectors, ids, unit, least_hits(lines, spare)
+        self.v, self.ids, self.least = vectors, ids, least_hits(lines, spare)
+        self.unit = unit = unit_of(vectors, unit)
         self.axes = axes(vectors.shape[1], lines, seed)
         p = (vectors / unit) @ self.axes
         order = np.argsort(p, axis=0, kind="stable")

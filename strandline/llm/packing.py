@@ -133,15 +133,16 @@ class Packer:
                 self.emit(window)
 
 
-COLUMNS = ("doc_id", "start", "ids", "doc_tokens", "sequence_id", "offset")
+#: A document is its id and whether it has none: a column with nulls would reach Python as doubles, which round ids.
+COLUMNS = ("doc", "start", "ids", "doc_tokens", "sequence_id", "offset")
 #: Sequence ids of one partition, and of those that merge its leftovers.
 PER_PARTITION, MERGED = 1 << 33, 1 << 32
 
 
 def _frame(rows: list[tuple], left: bool, part: int) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=list(COLUMNS))
-    frame["doc_id"] = frame["doc_id"].astype("Int64")
-    return frame.assign(left=left, part=part)
+    frame = pd.DataFrame([r[1:] for r in rows], columns=list(COLUMNS[1:]))
+    ids, nameless = [r[0][0] for r in rows], [r[0][1] for r in rows]
+    return frame.assign(doc_id=pd.array(ids, "int64"), nameless=pd.array(nameless, "bool"), left=left, part=part)
 
 
 def _pack_partition(tokenizer: str, end_id: int, length: int, windows: int, min_cut: int):
@@ -152,8 +153,8 @@ def _pack_partition(tokenizer: str, end_id: int, length: int, windows: int, min_
         chunks, end = chunks_of(tokenizer), end_id.to_bytes(WIDTH, "little")
         packer = Packer(length, windows, min_cut, part * PER_PARTITION)
         for batch in batches:
-            for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                packer.add(None if pd.isna(doc) else doc, (chunks.ids(text) if text else b"") + end)
+            for doc, none, text in zip(batch["doc_id"].tolist(), batch["nameless"].tolist(), batch["text"].tolist(), strict=True):
+                packer.add((doc, none), (chunks.ids(text) if text else b"") + end)
                 if len(packer.out) >= ROWS:
                     yield _frame(packer.out, False, part)
                     packer.out = []
@@ -171,8 +172,8 @@ def _merge(length: int, together: int):
         """The pieces, window by window, fill new windows to the brim; only the last has room left."""
         packer = Packer(length, 1, 1, key[0] * together * PER_PARTITION + MERGED)
         window = packer.fresh()
-        for row in pieces.sort_values(["sequence_id", "offset"])[list(COLUMNS)].itertuples(index=False):
-            piece = (None if pd.isna(row.doc_id) else row.doc_id, row.start, row.ids, row.doc_tokens)
+        for row in pieces.sort_values(["sequence_id", "offset"]).itertuples(index=False):
+            piece = ((row.doc_id, row.nameless), row.start, row.ids, row.doc_tokens)
             while piece:
                 n = min(length - window[0], len(piece[2]) // WIDTH)
                 piece = packer.put(window, piece, n)
@@ -185,7 +186,7 @@ def _merge(length: int, together: int):
     return run
 
 
-SCHEMA = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long, left boolean, part long"
+SCHEMA = "doc_id long, nameless boolean, start long, ids binary, doc_tokens long, sequence_id long, offset long, left boolean, part long"
 
 
 def pack(
@@ -207,12 +208,14 @@ def pack(
     partitions, where pieces are cut so that only the last sequence has padding.
 
     Pieces are made once and kept in the shared folder, with ids as compressed Parquet. The tokenizer's pieces
-    must not cross spaces or line breaks. Null and empty texts have the end id alone, null doc_ids and repeated rows are
-    packed like other rows, and an empty table gives no rows.
+    must not cross spaces or line breaks. Null and empty texts have the end id alone, very long ones make many pieces; null
+    doc_ids and repeated rows are packed like other rows, texts of equal length in the order in which they come; other columns are
+    ignored, whatever their names, and an empty table gives no rows.
     """
     text_batches(docs.sparkSession)
     run = _pack_partition(tokenizer, end_id, length, windows, min_cut)
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCHEMA)
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("nameless"), "text")
+    pieces = named.mapInPandas(run, SCHEMA)
 
     def digested(df: DataFrame) -> DataFrame:
         return df.withColumn("length", F.floor(F.length("ids") / WIDTH)).withColumn("ids_crc32", F.crc32("ids"))
@@ -224,4 +227,5 @@ def pack(
         pieces = durable(pieces.withColumn("ids", F.when(F.col("left"), F.col("ids"))))
     left = pieces.filter("left").withColumn("group", F.floor(F.col("part") / together)).groupBy("group").applyInPandas(_merge(length, together), SCHEMA)
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids]
-    return pieces.filter("NOT left").select(*out).unionByName(digested(left).select(*out))
+    packed = pieces.filter("NOT left").drop("left", "part").unionByName(digested(left).drop("left", "part"))
+    return packed.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id"))).select(*out)

@@ -104,6 +104,8 @@ MEASURES = {
     "stutter": ("n_same_next", "n_words", 10_000, False, False),
 }
 FENCE = 3
+#: Where the upper quartile is 0, the fence is the value that this share of all texts stays within: seven eighths.
+TAIL = (7, 8)
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -144,9 +146,10 @@ def sketches(rows: DataFrame) -> DataFrame:
 def thresholds(sketch: DataFrame, least_rows: int = 30) -> DataFrame:
     """(lang_key, source_key, limits): the fences of each language and source, limits.<measure>.lo and .hi.
 
-    A fence is FENCE quartile distances beyond the upper (or lower) quartile, of all texts or of those with a share above zero; 0
-    where there is none. A group with fewer than least_rows rows takes the fences of its language, merged over all
-    sources, and a language with fewer those of the whole table.
+    A fence is FENCE quartile distances beyond the upper (or lower) quartile, of all texts or of those with a share above zero. Where the upper
+    quartile is 0, it is the TAIL quantile of all texts. A measure for which a group has fewer than least_rows such texts takes the fence of its
+    language, merged over all sources, and then that of the whole table; so no few texts set a fence of their own. Where the
+    whole table has fewer texts with a share above zero, the fence is its TAIL quantile.
     """
     everywhere = F.lit("*")
     own = sketch
@@ -154,38 +157,39 @@ def thresholds(sketch: DataFrame, least_rows: int = 30) -> DataFrame:
     whole = by_lang.groupBy("measure", "low").agg(F.sum("n").alias("n")).withColumns({"lang_key": everywhere, "source_key": everywhere})
     levels = own.unionByName(by_lang).unionByName(whole)
     w = Window.partitionBy("lang_key", "source_key", "measure")
-    some = [k for k, v in MEASURES.items() if v[4]]
-    levels = levels.filter(~F.col("measure").isin(some) | (F.col("low") > 0))
-    ranked = levels.withColumn("total", F.sum("n").over(w)).withColumn("upto", F.sum("n").over(w.orderBy("low")))
-    quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("low")))
-    found = ranked.groupBy("lang_key", "source_key", "measure").agg(F.first("total").alias("total"), quartile(1).alias("q1"), quartile(3).alias("q3"))
+    bursts = F.col("measure").isin([k for k, v in MEASURES.items() if v[4]])
+    skipped = F.coalesce(F.sum(F.when(bursts & (F.col("low") == 0), F.col("n"))).over(w), F.lit(0))
+    ranked = levels.withColumns({"all": F.sum("n").over(w), "upto": F.sum("n").over(w.orderBy("low")), "skipped": skipped})
+    counted = ~bursts | (F.col("low") > 0)
+    of = F.col("all") - F.col("skipped")
+    quartile = lambda q: F.min(F.when(counted & ((F.col("upto") - F.col("skipped")) * 4 >= of * q), F.col("low")))
+    tail = F.min(F.when(F.col("upto") * TAIL[1] >= F.col("all") * TAIL[0], F.col("low")))
+    found = ranked.groupBy("lang_key", "source_key", "measure").agg(F.first(of).alias("total"), quartile(1).alias("q1"), quartile(3).alias("q3"), tail.alias("tail"))
+    last = F.col("lang_key") == "*"
+    found = found.filter(last | (F.col("total") >= least_rows))
+    scarce = last & bursts & (F.col("total") < least_rows)
     both = F.create_map(*[F.lit(x) for k, v in MEASURES.items() for x in (k, v[3])])
     reach = (F.col("q3") - F.col("q1")) * FENCE
     fences = (
-        found.withColumn("hi", F.col("q3") + reach)
+        found.withColumn("hi", F.when(scarce | (F.col("q3") == 0), F.col("tail")).otherwise(F.col("q3") + reach))
         .withColumn("lo", F.when(both[F.col("measure")], F.greatest(F.col("q1") - reach, F.lit(0))))
         .groupBy("lang_key", "source_key")
-        .agg(
-            F.max("total").alias("total"),
-            F.struct(*[F.max(F.when(F.col("measure") == k, F.struct("lo", "hi"))).alias(k) for k in MEASURES]).alias("limits"),
-        )
+        .agg(*[F.max(F.when(F.col("measure") == k, F.struct("lo", "hi"))).alias(k) for k in MEASURES])
+        .withColumn("limits", F.struct(*MEASURES))
     )
     named = lambda name, cond: fences.filter(cond).select(
         *[c for c in ("lang_key", "source_key") if c not in ("source_key",) * (name != "own") and c not in ("lang_key",) * (name == "whole")],
-        F.col("total").alias(f"{name}_total"),
         F.col("limits").alias(f"{name}_limits"),
     )
+    groups = own.select("lang_key", "source_key").distinct()
     return (
-        named("own", F.col("source_key") != "*")
+        groups.join(named("own", F.col("source_key") != "*"), ["lang_key", "source_key"], "left")
         .join(named("lang", (F.col("source_key") == "*") & (F.col("lang_key") != "*")), "lang_key", "left")
         .crossJoin(F.broadcast(named("whole", F.col("lang_key") == "*")))  # one row
         .select(
             "lang_key",
             "source_key",
-            F.when(F.col("own_total") >= least_rows, F.col("own_limits"))
-            .when(F.col("lang_total") >= least_rows, F.col("lang_limits"))
-            .otherwise(F.col("whole_limits"))
-            .alias("limits"),
+            F.struct(*[F.coalesce(f"own_limits.{k}", f"lang_limits.{k}", f"whole_limits.{k}").alias(k) for k in MEASURES]).alias("limits"),
         )
     )
 
@@ -278,10 +282,11 @@ leveled AS (
   UNION ALL SELECT lang, '*', measure, low, bursts FROM good
   UNION ALL SELECT '*', '*', measure, low, bursts FROM good),
 quartiles AS (
-  SELECT lang, source, measure, count(*) AS total, quantile_disc(low, 0.25) FILTER (NOT bursts OR low > 0) AS q1, quantile_disc(low, 0.75) FILTER (NOT bursts OR low > 0) AS q3
-  FROM leveled GROUP BY ALL),
+  SELECT lang, source, measure, count(*) FILTER (NOT bursts OR low > 0) AS total, quantile_disc(low, 0.25) FILTER (NOT bursts OR low > 0) AS q1,
+    quantile_disc(low, 0.75) FILTER (NOT bursts OR low > 0) AS q3, quantile_disc(low, 0.875) AS tail, bool_or(bursts) AS bursts
+  FROM leveled GROUP BY lang, source, measure),
 fences AS (
-  SELECT *, coalesce(q3 + (q3 - q1) * {FENCE}, 0) AS hi, greatest(coalesce(q1 - (q3 - q1) * {FENCE}, 0), 0) AS lo FROM quartiles),
+  SELECT *, CASE WHEN lang = '*' AND bursts AND total < 30 OR q3 = 0 THEN tail ELSE q3 + (q3 - q1) * {FENCE} END AS hi, greatest(coalesce(q1 - (q3 - q1) * {FENCE}, 0), 0) AS lo FROM quartiles),
 allowed AS (
   SELECT m.*, CASE WHEN a.total >= 30 THEN a.lo WHEN b.total >= 30 THEN b.lo ELSE c.lo END::DOUBLE * whole / scale AS least,
     CASE WHEN a.total >= 30 THEN a.hi WHEN b.total >= 30 THEN b.hi ELSE c.hi END::DOUBLE * whole / scale AS most

@@ -129,7 +129,7 @@ def findings_of(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
     return (
         hits.withColumn("own", own)
         .groupBy("blob")
-        .agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("findings"))
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("findings"))
         .filter(F.size("findings") > 0)
     )
 

@@ -216,20 +216,21 @@ def near_duplicates(docs: DataFrame, *, most: int = 4, width: int = 4, seed: int
     segment bit counts, in which every close pair meets, and verified there. Members of crowded cells (over cell_cap) are dealt
     again, by finer grids, and what is still crowded then meets by its bit flips.
 
-    Very long texts are read whole, other columns ignored. Null, empty and blank texts have fingerprint 0 and link like others. A row without doc_id makes no link of its own and
-    gets the component of documents with its fingerprint (null if none has a doc_id). Repeated rows are
-    returned as often as they come, and an empty table gives no rows.
+    Very long texts are read whole, other columns ignored. Null, empty and blank texts have fingerprint 0 and link like others. Rows without
+    doc_id link like others too, but name no component: one in which no row has a doc_id is null. Repeated rows are returned as
+    often as they come, and an empty table gives no rows.
     """
     if most % 2 or not 0 < most < bands:
         raise ValueError("most must be even and less than bands")
     text_batches(docs.sparkSession)
     rows = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint("text", width, seed).alias("fp")))
     parts_n = salt_count(rows.count())
-    rows = rows.withColumn("part", salt(F.coalesce("doc_id", F.lit(0)), parts_n))
+    # Rows, not ids, are dealt: ids may all be null or equal.
+    rows = durable(rows.withColumn("part", salt(F.monotonically_increasing_id(), parts_n)))
     # One row per fingerprint and part, so that neither copies nor their join meet in one task.
     parts = durable(rows.groupBy("fp", "part").agg(F.min("doc_id").alias("least")))
-    reps = durable(parts.groupBy("fp").agg(F.min("least").alias("rep")))
-    edges, crowded = None, reps.filter("rep IS NOT NULL")
+    reps = durable(parts.groupBy("fp").agg(F.min("least").alias("least")))
+    edges, crowded = None, reps.select("fp", F.col("fp").alias("rep"))
     for n in (bands, FINE):
         masks = F.array(*map(F.lit, grids(n, most)))
         cells = crowded.select(F.posexplode(F.transform(masks, lambda m: m.bitwiseAND(bit_counts(F.col("fp"))))).alias("grid", "counts"), "fp", "rep")
@@ -245,25 +246,13 @@ def near_duplicates(docs: DataFrame, *, most: int = 4, width: int = 4, seed: int
         flipped = crowded.select(F.col("rep").alias("a"), F.explode(flips(F.col("fp"), most)).alias("flip"))
         stars = flipped.groupBy("flip").agg(F.min("a").alias("m"), F.count("*").alias("n")).filter("n > 1").select("flip", "m")
         edges = edges.unionByName(flipped.join(stars.hint("merge"), "flip").filter("a <> m").select("a", F.col("m").alias("b")).distinct())
-    roots = components(edges)
-    named = reps.join(roots.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    roots = components(edges).withColumnRenamed("node", "fp")
+    rooted = durable(reps.join(roots.hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    labels = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(labels.hint("merge"), "root").select("fp", "component_id")
     whole = parts.select("fp", "part").join(named.hint("merge"), "fp")
     return rows.join(whole.hint("merge"), ["fp", "part"]).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
-
-
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """One row of docs for each component: the one with the least doc_id, with all its columns.
-
-    Of rows with the same doc_id one stays. Rows without doc_id can't be told apart and stay only where no document with
-    a doc_id has their component; of equal fingerprints one stays.
-    """
-    found = near_duplicates(docs, **settings)
-    wanted = found.filter("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct()
-    named = docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    lost = found.filter("component_id IS NULL").select("fp").distinct()
-    nameless = docs.filter("doc_id IS NULL").withColumn("__fp", fingerprint("text")).join(lost.withColumnRenamed("fp", "__fp").hint("merge"), "__fp", "left_semi")
-    return named.unionByName(nameless.dropDuplicates(["__fp"]).drop("__fp"))

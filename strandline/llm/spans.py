@@ -95,7 +95,8 @@ def _runs(span: int, min_words: int):
                 {
                     "run": np.fromiter((x & LOW for h, *_ in found for x in h), np.uint64, sum(n)).view(np.int64),
                     "check": np.fromiter((x >> 96 for h, *_ in found for x in h), np.uint32, sum(n)).view(np.int32),
-                    "doc_id": np.repeat(batch["doc_id"].astype("Int64").array, n),
+                    "doc_id": np.repeat(batch["doc_id"].to_numpy(), n),
+                    "nameless": np.repeat(batch["nameless"].to_numpy(), n),
                     "row": np.repeat(batch["row"].to_numpy(), n),
                     "place": np.fromiter((x for _, p, _ in found for x in p), np.int32, sum(n)),
                     "length": np.fromiter((x for *_, c in found for x in c), np.int32, sum(n)),
@@ -152,17 +153,20 @@ def drop_repeats(docs: DataFrame, *, span: int = 2, min_words: int = 25, hot: in
     are one document, other columns are ignored, and an empty table gives no rows.
     """
     text_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))))
-    runs = stored(rows.mapInPandas(_runs(span, min_words), "run long, check int, doc_id long, row long, place int, length int"), "runs")
+    # A column with nulls would reach Python as doubles, which round ids.
+    named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("nameless"), "text")
+    rows = named.withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    doc = ["nameless", "doc_id", "row"]
+    runs = stored(rows.mapInPandas(_runs(span, min_words), "run long, check int, doc_id long, nameless boolean, row long, place int, length int"), "runs")
     # Who repeats is found by hashes and counts alone; only repeated runs are joined with their places.
     again = durable(runs.groupBy(*RUN).agg(F.count("*").alias("n")).filter("n > 1"))
     many, few = again.filter(F.col("n") > hot), again.filter(F.col("n") <= hot).select(*RUN)
-    where = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row", "place")
-    later = (F.col("row") != F.col("first.row")) | (F.col("place") != F.col("first.place"))
+    where = F.struct(*doc, "place")
+    later = where != F.col("first")
     rare = meet(runs, many, [], "left_anti").join(few.hint("merge"), RUN).withColumn("first", F.min(where).over(Window.partitionBy(*RUN)))
     common = meet(runs, many, ["n"], "inner").drop("n")
     common = meet(common, durable(common.groupBy(*RUN).agg(F.min(where).alias("first"))), ["first"], "inner")
-    again = rare.unionByName(common).filter(later).select("row", "place", "length")
-    cuts = again.groupBy("row").agg(F.sort_array(F.collect_set(F.array("place", "length"))).alias("runs"))
-    joined = rows.join(cuts.hint("merge"), "row", "left").withColumn("x", _without("text", "runs"))
-    return joined.select("doc_id", "x.*")
+    again = rare.unionByName(common).filter(later).select(*doc, "place", "length")
+    cuts = again.groupBy(*doc).agg(F.sort_array(F.collect_set(F.array("place", "length"))).alias("runs"))
+    joined = rows.join(cuts.hint("merge"), doc, "left").withColumn("x", _without("text", "runs"))
+    return joined.select(F.when(~F.col("nameless"), F.col("doc_id")).alias("doc_id"), "x.*")

@@ -59,8 +59,9 @@ def latest_earlier(rows: DataFrame, key: str, ts: str, value: Column, valid: Col
     at = F.unix_micros(ts)
     rows = durable(rows.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()))
     parts = max(8, math.ceil(rows.count() / part_rows))
-    dealt = rows.repartitionByRange(parts, F.col(key), at)
-    cut = dealt.withColumns({"__part": F.spark_partition_id(), "__own": F.when(valid, F.struct(at.alias("at"), value.alias("value")))})
+    # Part numbers are kept before they are used twice: two shuffles could cut at other places.
+    dealt = durable(rows.repartitionByRange(parts, F.col(key), at).withColumn("__part", F.spark_partition_id()))
+    cut = dealt.withColumn("__own", F.when(valid, F.struct(at.alias("at"), value.alias("value"))))
     ends = cut.groupBy(key, "__part").agg(F.max("__own").alias("__end"))
     before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.withColumn("__carry", F.max("__end").over(before)).drop("__end")

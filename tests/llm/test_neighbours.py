@@ -24,6 +24,18 @@ def vectors(kind):
     return centers[r.integers(0, 200, 6000)] + r.standard_normal((6000, 32)) * 0.3
 
 
+def test_one_far_vector_widens_no_other_block(spark):
+    m = vectors("clusters")[:3000]
+    m[7] = 1e12
+    rows = [(int(i), v.tolist()) for i, v in enumerate(m)]
+    got = neighbours.answers(table(spark, rows), block_rows=512).toPandas()
+    far = got[got.vec_id.isna()].groupby("query_id").verified.sum()
+    assert far.median() / len(m) <= 0.2
+    ids = np.arange(len(m))
+    hit = sum(len(set(brute(ids, m, q)[0]) & set(g.sort_values(["score", "vec_id"]).vec_id[:10])) for q, g in got.dropna(subset=["vec_id"]).groupby("query_id"))
+    assert hit >= 0.9 * 300
+
+
 @pytest.mark.parametrize("kind,most", [("random", 0.15), ("clusters", 0.05)])
 def test_recall_and_share_verified(spark, kind, most):
     m = vectors(kind)
