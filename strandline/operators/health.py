@@ -7,14 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import clamped_sum, is_lost, ratio
+from ..functions.numbers import clamped_sum, is_lost, mean_rate, ratio
 
 #: Percent over the committed round trip, percent lost, and percent used, for a warning and for a critical state.
 LATENCY_PCT, LOSS_PCT, USED_PCT = (20.0, 50.0), (1.0, 10.0), (70.0, 90.0)
 #: Fixed values of the service level: percent lost, and times the committed round trip.
 SLA_LOSS, SLA_RTT = (0.1, 10.0), (1.5, 2.0)
-#: Fixed value: percent used that is called high.
-BUSY_PCT = 80.0
+#: Percent used above which a bucket of a link is worn, and what an interface counts in a bucket to make it unhealthy.
+BUSY_PCT, MANY = 80.0, 100
+#: Fixed values of the verdict: percent of links that are unhealthy, and that are degraded, above which all is called so.
+VERDICT_PCT = (10.0, 20.0)
 
 
 def links_health(latency: DataFrame, links: DataFrame, *, as_of: Column, lookback: str = "1 HOUR", recent: str = "5 MINUTES", dark_after: str = "2 HOURS", strict: bool = True) -> DataFrame:
@@ -67,8 +69,20 @@ def classify_link(avg_rtt: Column, loss: Column, committed: Column) -> Column:
     return F.when((loss >= LOSS_PCT[1]) | (over >= LATENCY_PCT[1]), "unhealthy").when((loss >= LOSS_PCT[0]) | (over >= LATENCY_PCT[0]), "degraded").otherwise("healthy")
 
 
-def classify_device(errors: Column, drained: Column) -> Column:
-    return F.when(drained, "disabled").when(errors >= 100, "unhealthy").when(errors > 0, "degraded").otherwise("healthy")
+def classify_device(errors: Column, discards: Column, carrier: Column, drained: Column) -> Column:
+    """By the worst of the three counts of a bucket; they are not added up."""
+    most = F.greatest(*[F.coalesce(c, F.lit(0)) for c in (errors, discards, carrier)])
+    return F.when(drained, "disabled").when(most >= MANY, "unhealthy").when(most > 0, "degraded").otherwise("healthy")
+
+
+def judged_rtt(links: DataFrame) -> Column:
+    """The committed round trip of a WAN link between two metros; 0, which no latency exceeds, for others."""
+    inside = F.lit(False)
+    if "link_type" in links.columns:
+        inside = inside | (F.col("link_type") != "WAN")
+    if {"side_a", "side_z"} <= set(links.columns):
+        inside = inside | (F.col("side_a") == F.col("side_z"))
+    return F.when(F.coalesce(inside, F.lit(False)), F.lit(0.0)).otherwise(F.col("committed_rtt_us"))
 
 
 def spine(start: Column, end: Column, step: str) -> Column:
@@ -77,14 +91,16 @@ def spine(start: Column, end: Column, step: str) -> Column:
 
 
 def link_usage(counters: DataFrame, links: DataFrame, *, bucket: str) -> DataFrame:
-    """(link_pk, bucket, used_pct, errors, discards, carrier): the busiest direction of any interface against the link's bandwidth, and
-    what its interfaces counted; counter resets don't count."""
-    rate = F.greatest("in_octets", "out_octets") * 8 / F.col("seconds")
+    """(link_pk, bucket, in_pct, out_pct, errors, discards, carrier): the mean rate of each direction over the bucket against the
+    link's bandwidth, and what its interfaces counted; counter resets don't count."""
     sums = counters.filter("link_pk IS NOT NULL").groupBy("link_pk", F.window("event_ts", bucket)["start"].alias("bucket")).agg(
-        F.max(rate).alias("bps"), *[clamped_sum(F.col(c)).alias(c) for c in ("errors", "discards", "carrier")]
+        mean_rate(F.col("in_octets"), F.col("seconds")).alias("in_bps"),
+        mean_rate(F.col("out_octets"), F.col("seconds")).alias("out_bps"),
+        *[clamped_sum(F.col(c)).alias(c) for c in ("errors", "discards", "carrier")],
     )
     rows = sums.join(links.select("link_pk", "bandwidth_bps"), "link_pk")
-    return rows.select("link_pk", "bucket", ratio(F.col("bps") * 100.0, F.col("bandwidth_bps")).alias("used_pct"), "errors", "discards", "carrier")
+    used = [ratio(F.col(f"{d}_bps") * 100.0, F.when(F.col("bandwidth_bps") > 0, F.col("bandwidth_bps"))).alias(f"{d}_pct") for d in ("in", "out")]
+    return rows.select("link_pk", "bucket", *used, "errors", "discards", "carrier")
 
 
 def link_history(
@@ -92,41 +108,50 @@ def link_history(
 ) -> DataFrame:
     """(link_pk, bucket, status, reasons) for every link and bucket, with and without samples.
 
-    Drained links are disabled, and so are links whose samples are all but lost for dead_buckets buckets in a row. usage: see
-    link_usage(); a healthy link whose interfaces count errors, discards or carrier changes is degraded, and use over
-    BUSY_PCT is a reason that leaves the status as it is.
+    Drained links are disabled, and so are links whose samples are all but lost for dead_buckets buckets in a row. Latency counts for WAN links
+    between metros. usage: see link_usage(); MANY or more errors, discards or carrier changes make a healthy or degraded link
+    unhealthy, fewer a healthy one degraded, and so does use over BUSY_PCT in either direction.
     """
     lost = is_lost(F.col("loss"), F.col("rtt_us"))
     inside = latency.filter((F.col("event_ts") >= start) & (F.col("event_ts") < end))
     stats = inside.groupBy("link_pk", F.window("event_ts", bucket)["start"].alias("bucket")).agg(
         (F.count_if(lost) * 100.0 / F.count("*")).alias("loss_pct"), F.avg(F.when(~lost, F.col("rtt_us"))).alias("avg_rtt_us")
     )
-    every = links.select("link_pk", "status", "committed_rtt_us").withColumn("bucket", spine(start, end, bucket))
+    every = links.select("link_pk", "status", judged_rtt(links).alias("committed_rtt_us")).withColumn("bucket", spine(start, end, bucket))
     rows = every.join(stats, ["link_pk", "bucket"], "left").withColumn("dead", F.coalesce(F.col("loss_pct") >= dead_pct, F.lit(False)))
     w = Window.partitionBy("link_pk").orderBy("bucket")
-    rows = rows.withColumn("edge", F.when(F.lag("dead").over(w).eqNullSafe(F.col("dead")), 0).otherwise(1)).withColumn("run", F.sum("edge").over(w))
-    rows = rows.withColumn("run_length", F.count("*").over(Window.partitionBy("link_pk", "run")))
+    # Dead for dead_buckets in a row: this bucket lies in such a run if the dead ones around it are many enough, so one sort serves.
+    back = F.max(F.when(~F.col("dead"), F.col("bucket"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.min(F.when(~F.col("dead"), F.col("bucket"))).over(w.rowsBetween(0, Window.unboundedFollowing))
+    step = F.expr(f"INTERVAL {bucket}")
+    first = F.coalesce(back + step, start.cast("timestamp"))
+    rows = rows.withColumn("run_length", F.round((F.coalesce(ahead, end.cast("timestamp")).cast("double") - first.cast("double")) / ((start + step).cast("double") - start.cast("double"))))
     drained = F.col("status") != "activated"
     gone = F.col("dead") & (F.col("run_length") >= dead_buckets)
     state = F.when(drained | gone, "disabled").when(F.col("loss_pct").isNull(), "no_data").otherwise(classify_link(F.col("avg_rtt_us"), F.col("loss_pct"), F.col("committed_rtt_us")))
     if usage is not None:
         rows = rows.withColumn("state", state).join(usage, ["link_pk", "bucket"], "left")
-        counted = F.greatest(*[F.coalesce(c, F.lit(0)) for c in ("errors", "discards", "carrier")]) > 0
-        state = F.when((F.col("state") == "healthy") & counted, "degraded").otherwise(F.col("state"))
-    over = (F.col("avg_rtt_us") - F.col("committed_rtt_us")) / F.col("committed_rtt_us") * 100
+        most = F.greatest(*[F.coalesce(c, F.lit(0)) for c in ("errors", "discards", "carrier")])
+        busy = F.greatest(F.coalesce("in_pct", F.lit(0.0)), F.coalesce("out_pct", F.lit(0.0))) > BUSY_PCT
+        state = (
+            F.when((most >= MANY) & F.col("state").isin("healthy", "degraded"), "unhealthy")
+            .when(((most > 0) | busy) & (F.col("state") == "healthy"), "degraded")
+            .otherwise(F.col("state"))
+        )
+    over = ratio((F.col("avg_rtt_us") - F.col("committed_rtt_us")) * 100, F.col("committed_rtt_us"))
     tests = [("drained", drained), ("packet_loss", F.col("loss_pct") >= LOSS_PCT[0]), ("high_latency", over >= LATENCY_PCT[0]), ("no_data", F.col("loss_pct").isNull()), ("dead", gone)]
     if usage is not None:
-        tests += [("interface_errors", F.col("errors") > 0), ("discards", F.col("discards") > 0), ("carrier_transitions", F.col("carrier") > 0), ("high_utilization", F.col("used_pct") > BUSY_PCT)]
+        tests += [("interface_errors", F.col("errors") > 0), ("discards", F.col("discards") > 0), ("carrier_transitions", F.col("carrier") > 0), ("high_utilization", busy)]
     reasons = F.array_compact(F.array(*[F.when(c, name) for name, c in tests]))
     return rows.select("link_pk", "bucket", state.alias("status"), reasons.alias("reasons"))
 
 
 def device_history(counters: DataFrame, devices: DataFrame, *, bucket: str) -> DataFrame:
-    """(device_pk, bucket, errors, status) by truncated time; errors, discards and carrier changes count, resets don't."""
-    sums = counters.groupBy("device_pk", F.date_trunc(bucket, "event_ts").alias("bucket")).agg((clamped_sum(F.col("errors")) + clamped_sum(F.col("discards")) + clamped_sum(F.col("carrier"))).alias("errors"))
-    return sums.join(devices.select("device_pk", (F.col("status") != "activated").alias("drained")), "device_pk").select(
-        "device_pk", "bucket", "errors", classify_device(F.col("errors"), F.col("drained")).alias("status")
-    )
+    """(device_pk, bucket, errors, discards, carrier, status) by truncated time; resets of counters don't count."""
+    counted = ("errors", "discards", "carrier")
+    sums = counters.groupBy("device_pk", F.date_trunc(bucket, "event_ts").alias("bucket")).agg(*[clamped_sum(F.col(c)).alias(c) for c in counted])
+    state = classify_device(*[F.col(c) for c in counted], F.col("drained"))
+    return sums.join(devices.select("device_pk", (F.col("status") != "activated").alias("drained")), "device_pk").select("device_pk", "bucket", *counted, state.alias("status"))
 
 
 def interface_history(counters: DataFrame, *, bucket: str) -> DataFrame:
@@ -201,14 +226,51 @@ def historical_loss(latency: DataFrame, *, grain: str, least_pct: float) -> Data
     return rows.filter(F.col("loss_pct") >= least_pct)
 
 
-def status_counts(rows: DataFrame, status: str = "status") -> DataFrame:
-    """Entities by state, and the verdict over all: unhealthy or degraded from a tenth of them on."""
-    n = rows.groupBy(status).agg(F.count("*").alias("n"))
-    bad = F.sum(F.when(F.col(status).isin("unhealthy", "disabled", "no_data"), F.col("n")).otherwise(0)).over(Window.partitionBy())
-    worn = F.sum(F.when(F.col(status) == "degraded", F.col("n")).otherwise(0)).over(Window.partitionBy())
-    total = F.sum("n").over(Window.partitionBy())
-    verdict = F.when(bad * 10 >= total, "unhealthy").when((bad + worn) * 10 >= total, "degraded").otherwise("healthy")
-    return n.withColumn("verdict", verdict)
+def links_now(health: DataFrame, links: DataFrame) -> DataFrame:
+    """(link_pk, code, status, loss_pct, over_pct): what each link is now, from links_health(). over_pct: latency over what was promised."""
+    own = links.select("link_pk", judged_rtt(links).alias("promised"))
+    rows = health.drop("committed_rtt_us").join(own, "link_pk")
+    state = (
+        F.when(F.col("status") != "activated", "disabled").when(F.col("loss_pct").isNull(), "no_data").otherwise(classify_link(F.col("avg_rtt_us"), F.col("loss_pct"), F.col("promised")))
+    )
+    over = F.when(F.col("avg_rtt_us") > 0, ratio((F.col("avg_rtt_us") - F.col("promised")) * 100, F.col("promised")))
+    return rows.select("link_pk", "code", state.alias("status"), "loss_pct", over.alias("over_pct"))
+
+
+def network_status(links: DataFrame, devices: DataFrame, performance: DataFrame) -> DataFrame:
+    """(kind, status, n, verdict): links and devices by state, and the verdict on the network.
+
+    links, devices: (status). performance: one row with loss_pct, see network_performance(). More than a tenth of the links
+    unhealthy, or a mean loss of LOSS_PCT's critical share, is unhealthy; more than a fifth degraded, any unhealthy, or its warning share is
+    degraded. Links are counted first, then loss. All that is joined has one row.
+    """
+    n = [df.groupBy("status").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "status", "n") for kind, df in (("link", links), ("device", devices))]
+    part = lambda s: ratio(F.count_if(F.col("status") == s) * 100.0, F.count("*"))
+    whole = links.agg(part("unhealthy").alias("bad"), part("degraded").alias("worn")).crossJoin(performance.select("loss_pct"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    verdict = (
+        F.when(yes(F.col("bad") > VERDICT_PCT[0]), "unhealthy")
+        .when(yes((F.col("worn") > VERDICT_PCT[1]) | (F.col("bad") > 0)), "degraded")
+        .when(yes(F.col("loss_pct") >= LOSS_PCT[1]), "unhealthy")
+        .when(yes(F.col("loss_pct") >= LOSS_PCT[0]), "degraded")
+        .otherwise("healthy")
+    )
+    return n[0].unionByName(n[1]).crossJoin(F.broadcast(whole.select(verdict.alias("verdict"))))  # one row
+
+
+def top_issues(now: DataFrame, limit: int = 10) -> DataFrame:
+    """(link_pk, code, issue, value, threshold) of links_now(): losses and latencies over their first limit, the worst first."""
+    live = now.filter("status <> 'disabled'")
+    kinds = (("packet_loss", "loss_pct", LOSS_PCT[0]), ("high_latency", "over_pct", LATENCY_PCT[0]))
+    feeds = [live.filter(F.col(c) >= least).select("link_pk", "code", F.lit(k).alias("issue"), F.col(c).alias("value"), F.lit(least).alias("threshold")) for k, c, least in kinds]
+    return reduce(DataFrame.unionByName, feeds).orderBy(F.col("value").desc(), "link_pk", "issue").limit(limit)
+
+
+def busiest_links(usage: DataFrame, limit: int = 10) -> DataFrame:
+    """(link_pk, bucket, in_pct, out_pct, is_high) of link_usage(): the most used first; high from USED_PCT's warning on."""
+    most = F.greatest(F.coalesce("in_pct", F.lit(0.0)), F.coalesce("out_pct", F.lit(0.0)))
+    rows = usage.select("link_pk", "bucket", "in_pct", "out_pct", (most >= USED_PCT[0]).alias("is_high"), most.alias("most"))
+    return rows.orderBy(F.col("most").desc(), "link_pk", "bucket").limit(limit).drop("most")
 
 
 def non_activated(links: DataFrame, devices: DataFrame) -> DataFrame:

@@ -52,15 +52,16 @@ def classify_link(t):
 
 HISTORY = f"""WITH stats AS (SELECT link_pk, date_trunc('day', event_ts) AS bucket, count(*) FILTER (loss OR rtt_us = 0) * 100.0::DOUBLE / count(*) AS loss_pct, avg(rtt_us) FILTER (NOT (loss OR rtt_us = 0)) AS avg_rtt_us
   FROM latency WHERE event_ts >= TIMESTAMP '2024-01-05' AND event_ts < TIMESTAMP '2024-01-25' GROUP BY ALL),
-grid AS (SELECT s.*, b AS bucket, loss_pct, avg_rtt_us, coalesce(loss_pct >= 99.9, false) AS dead FROM links s CROSS JOIN generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-24', INTERVAL 1 DAY) g(b)
+grid AS (SELECT s.* REPLACE (CASE WHEN link_type <> 'WAN' OR side_a = side_z THEN 0 ELSE committed_rtt_us END AS committed_rtt_us), b AS bucket, loss_pct, avg_rtt_us, coalesce(loss_pct >= 99.9, false) AS dead FROM links s CROSS JOIN generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-24', INTERVAL 1 DAY) g(b)
   LEFT JOIN stats ON stats.link_pk = s.link_pk AND stats.bucket = b),
 runs AS (SELECT *, row_number() OVER (PARTITION BY link_pk ORDER BY bucket) - row_number() OVER (PARTITION BY link_pk, dead ORDER BY bucket) AS run FROM grid),
 sized AS (SELECT *, count(*) OVER (PARTITION BY link_pk, dead, run) AS run_length FROM runs),
-usage AS (SELECT link_pk, date_trunc('day', event_ts) + INTERVAL 27 YEAR AS bucket, max(greatest(in_octets, out_octets) * 8 / seconds) AS bps, sum(greatest(errors, 0)) AS errors, sum(greatest(discards, 0)) AS discards, sum(greatest(carrier, 0)) AS carrier
+usage AS (SELECT link_pk, date_trunc('day', event_ts) + INTERVAL 27 YEAR AS bucket, greatest(sum(in_octets) * 8 / sum(seconds), sum(out_octets) * 8 / sum(seconds)) AS bps, sum(greatest(errors, 0)) AS errors, sum(greatest(discards, 0)) AS discards, sum(greatest(carrier, 0)) AS carrier
   FROM counters GROUP BY ALL),
-sorted AS (SELECT s.*, CASE WHEN status <> 'activated' OR (dead AND run_length >= 2) THEN 'disabled' WHEN loss_pct IS NULL THEN 'no_data' ELSE {CLASS} END AS state, bps, errors, discards, carrier FROM sized s LEFT JOIN usage USING (link_pk, bucket)),
-history_rows AS (SELECT link_pk, bucket, CASE WHEN state = 'healthy' AND (errors > 0 OR discards > 0 OR carrier > 0) THEN 'degraded' ELSE state END AS status,
-  concat_ws(',', CASE WHEN status <> 'activated' THEN 'drained' END, CASE WHEN loss_pct >= 1 THEN 'packet_loss' END, CASE WHEN (avg_rtt_us - committed_rtt_us) / committed_rtt_us * 100 >= 20 THEN 'high_latency' END,
+sorted AS (SELECT s.*, CASE WHEN status <> 'activated' OR (dead AND run_length >= 2) THEN 'disabled' WHEN loss_pct IS NULL THEN 'no_data' ELSE {CLASS.replace("/ committed_rtt_us", "/ nullif(committed_rtt_us, 0)")} END AS state, bps, errors, discards, carrier FROM sized s LEFT JOIN usage USING (link_pk, bucket)),
+history_rows AS (SELECT link_pk, bucket, CASE WHEN state IN ('healthy', 'degraded') AND (errors >= 100 OR discards >= 100 OR carrier >= 100) THEN 'unhealthy'
+    WHEN state = 'healthy' AND (errors > 0 OR discards > 0 OR carrier > 0 OR bps * 100.0 / bandwidth_bps > 80) THEN 'degraded' ELSE state END AS status,
+  concat_ws(',', CASE WHEN status <> 'activated' THEN 'drained' END, CASE WHEN loss_pct >= 1 THEN 'packet_loss' END, CASE WHEN (avg_rtt_us - committed_rtt_us) * 100 / nullif(committed_rtt_us, 0) >= 20 THEN 'high_latency' END,
     CASE WHEN loss_pct IS NULL THEN 'no_data' END, CASE WHEN dead AND run_length >= 2 THEN 'dead' END,
     CASE WHEN errors > 0 THEN 'interface_errors' END, CASE WHEN discards > 0 THEN 'discards' END, CASE WHEN carrier > 0 THEN 'carrier_transitions' END, CASE WHEN bps * 100.0 / bandwidth_bps > 80 THEN 'high_utilization' END) AS reasons FROM sorted)
 """
@@ -83,18 +84,53 @@ def single_link_history(t):
     return _history(t).filter("link_pk = 7").select("bucket", "status")
 
 
+NOW = HEALTH + f""", promised AS (SELECT h.* REPLACE (CASE WHEN link_type <> 'WAN' OR side_a = side_z THEN 0 ELSE l.committed_rtt_us END AS committed_rtt_us) FROM health h JOIN links l USING (link_pk)),
+now AS (SELECT link_pk, code, CASE WHEN status <> 'activated' THEN 'disabled' WHEN loss_pct IS NULL THEN 'no_data' ELSE {CLASS.replace("/ committed_rtt_us", "/ nullif(committed_rtt_us, 0)")} END AS status, loss_pct,
+  CASE WHEN avg_rtt_us > 0 THEN (avg_rtt_us - committed_rtt_us) * 100 / nullif(committed_rtt_us, 0) END AS over_pct FROM promised)
+"""
+
+
+def _now(t):
+    return health.links_now(_health(t), t.links)
+
+
 @query(
-    HISTORY
-    + """, counted AS (SELECT status, count(*) AS n FROM history_rows GROUP BY status)
-SELECT status, n, CASE WHEN sum(CASE WHEN status IN ('unhealthy', 'disabled', 'no_data') THEN n ELSE 0 END) OVER () * 10 >= sum(n) OVER () THEN 'unhealthy'
-  WHEN sum(CASE WHEN status IN ('unhealthy', 'disabled', 'no_data', 'degraded') THEN n ELSE 0 END) OVER () * 10 >= sum(n) OVER () THEN 'degraded' ELSE 'healthy' END AS verdict FROM counted"""
+    NOW
+    + """, counted AS (SELECT device_pk, sum(greatest(errors, 0)) AS e, sum(greatest(discards, 0)) AS d, sum(greatest(carrier, 0)) AS c FROM counters WHERE event_ts >= TIMESTAMP '1998-06-01' GROUP BY 1),
+device_states AS (SELECT CASE WHEN status <> 'activated' THEN 'disabled' WHEN greatest(e, d, c) >= 100 THEN 'unhealthy' WHEN greatest(e, d, c) > 0 THEN 'degraded' ELSE 'healthy' END AS status FROM counted JOIN devices USING (device_pk)),
+share AS (SELECT count(*) FILTER (status = 'unhealthy') * 100.0 / count(*) AS bad, count(*) FILTER (status = 'degraded') * 100.0 / count(*) AS worn FROM now),
+lost AS (SELECT count(*) FILTER (loss OR rtt_us = 0) * 100.0 / count(*) AS pct FROM latency WHERE event_ts <= TIMESTAMP '2024-01-30' AND event_ts > TIMESTAMP '2024-01-23' AND link_pk IN (SELECT link_pk FROM links WHERE link_type = 'WAN'))
+SELECT kind, status, n, CASE WHEN bad > 10 THEN 'unhealthy' WHEN worn > 20 OR bad > 0 THEN 'degraded' WHEN pct >= 10 THEN 'unhealthy' WHEN pct >= 1 THEN 'degraded' ELSE 'healthy' END AS verdict
+FROM (SELECT 'link' AS kind, status, count(*) AS n FROM now GROUP BY status UNION ALL SELECT 'device', status, count(*) FROM device_states GROUP BY status), share, lost"""
 )
 def network_status(t):
-    return health.status_counts(_history(t))
+    late = t.counters.filter(F.col("event_ts") >= ts("1998-06-01"))
+    devices = health.device_history(late.withColumn("event_ts", ts("1998-06-01")), t.devices, bucket="month")
+    return health.network_status(_now(t), devices, health.network_performance(t.latency, t.links, as_of=ts(AS_OF), lookback="7 DAYS"))
+
+
+@query(
+    NOW
+    + """SELECT link_pk, code, issue, round(value, 6) AS value, threshold FROM (SELECT link_pk, code, 'packet_loss' AS issue, loss_pct AS value, 1.0::DOUBLE AS threshold FROM now WHERE status <> 'disabled' AND loss_pct >= 1
+  UNION ALL SELECT link_pk, code, 'high_latency', over_pct, 20.0 FROM now WHERE status <> 'disabled' AND over_pct >= 20) ORDER BY value DESC, link_pk, issue LIMIT 25"""
+)
+def network_top_issues(t):
+    return health.top_issues(_now(t), 25).withColumn("value", F.round("value", 6))
+
+
+@query(
+    """WITH used AS (SELECT link_pk, date_trunc('day', event_ts) AS bucket, sum(in_octets) * 8 / sum(seconds) AS i, sum(out_octets) * 8 / sum(seconds) AS o FROM counters GROUP BY ALL),
+pct AS (SELECT link_pk, bucket, i * 100.0 / bandwidth_bps AS in_pct, o * 100.0 / bandwidth_bps AS out_pct FROM used JOIN links USING (link_pk))
+SELECT link_pk, bucket, round(in_pct, 6) AS in_pct, round(out_pct, 6) AS out_pct, greatest(in_pct, out_pct) >= 70 AS is_high FROM pct ORDER BY greatest(in_pct, out_pct) DESC, link_pk, bucket LIMIT 50"""
+)
+def busiest_links(t):
+    return R4(health.busiest_links(health.link_usage(t.counters, t.links, bucket="1 DAY"), 50), "in_pct", "out_pct")
 
 
-DEVICE = """WITH sums AS (SELECT device_pk, date_trunc('month', event_ts) AS bucket, sum(greatest(errors, 0)) + sum(greatest(discards, 0)) + sum(greatest(carrier, 0)) AS errors FROM counters GROUP BY ALL)
-SELECT s.device_pk, bucket, CAST(errors AS BIGINT) AS errors, CASE WHEN d.status <> 'activated' THEN 'disabled' WHEN errors >= 100 THEN 'unhealthy' WHEN errors > 0 THEN 'degraded' ELSE 'healthy' END AS status FROM sums s JOIN devices d USING (device_pk)"""
+DEVICE = """WITH sums AS (SELECT device_pk, date_trunc('month', event_ts) AS bucket, CAST(sum(greatest(errors, 0)) AS BIGINT) AS errors, CAST(sum(greatest(discards, 0)) AS BIGINT) AS discards,
+  CAST(sum(greatest(carrier, 0)) AS BIGINT) AS carrier FROM counters GROUP BY ALL)
+SELECT s.device_pk, bucket, errors, discards, carrier, CASE WHEN d.status <> 'activated' THEN 'disabled' WHEN errors >= 100 OR discards >= 100 OR carrier >= 100 THEN 'unhealthy'
+  WHEN errors > 0 OR discards > 0 OR carrier > 0 THEN 'degraded' ELSE 'healthy' END AS status FROM sums s JOIN devices d USING (device_pk)"""
 
 
 @query(DEVICE)
