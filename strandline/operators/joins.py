@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import overlapping
+
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], tie: list[str] | None = None, tolerance_seconds: int | None = None) -> DataFrame:
     """left with the values of the latest right row of its key at or before its time.
@@ -24,10 +26,11 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, ri
 
 
 def overlap_anti(gaps: DataFrame, periods: DataFrame, by: list[str]) -> DataFrame:
-    """Gaps (by, start_ts, end_ts) that overlap no period (by, start_ts, end_ts or null if open) of their key."""
-    p = periods.select(*by, F.col("start_ts").alias("p_start"), F.col("end_ts").alias("p_end"))
-    cond = [gaps[k] == p[k] for k in by] + [(gaps["start_ts"] < p["p_end"]) | p["p_end"].isNull(), gaps["end_ts"] > p["p_start"]]
-    return gaps.join(p, cond, "left_anti")
+    """Gaps (by, start_ts, end_ts) that overlap no period (by, start_ts, end_ts or null if open) of their key. Both meet in cells of
+    time, so a key with many gaps and periods is not compared all with all."""
+    own, span = [*by, "start_ts", "end_ts"], ("start_ts", "end_ts")
+    met = overlapping(gaps.select(*own).distinct(), periods.select(*own).distinct(), by, a_span=span, b_span=span)
+    return gaps.join(met.select(*by, "a.start_ts", "a.end_ts").distinct(), own, "left_anti")
 
 
 def with_fallback(rows: DataFrame, direct: DataFrame, key: str, parent: Column, value: str) -> DataFrame:

@@ -128,6 +128,21 @@ def feed(events: list[DataFrame], *, start: Column | None = None, end: Column |
     return reduce(lambda df, c: df if c is None else df.filter(c), tests, out)
 
 
+def with_id(events: DataFrame) -> DataFrame:
+    """events with event_id: 16 hexadecimal digits of the SHA-256 of entity, time (RFC 3339, fraction without closing zeros) and kind."""
+    fraction = F.rtrim(F.rtrim(F.date_format("ts", ".SSSSSS"), F.lit("0")), F.lit("."))
+    at = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z"))
+    return events.withColumn("event_id", F.substring(F.sha2(F.concat_ws(":", "entity", at, "kind"), 256), 1, 16))
+
+
+def feed_page(feeds: list[DataFrame], limit: int, offset: int) -> DataFrame:
+    """Rows offset to offset + limit of all feeds, the newest first, then by id. No more rows than that are taken of each feed before
+    they are put together, so a page costs no sort of all events."""
+    order = [F.col("ts").desc(), "event_id", "category", "severity"]
+    heads = [with_id(f).orderBy(*order).limit(offset + limit) for f in feeds]
+    return feed(heads).orderBy(*order).offset(offset).limit(limit)
+
+
 def histogram(events: DataFrame, *, start: Column, end: Column, bucket: str, one_row: DataFrame) -> DataFrame:
     """Events per bucket, zeros included. one_row: any frame of one row."""
     from .health import spine

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
+from .intervals import merged, moves, over_spine, overlapping, validity
 
 
 def on_net(users: DataFrame, validators: DataFrame, metros: DataFrame) -> DataFrame:
@@ -21,19 +22,95 @@ def off_net(validators: DataFrame, connected: DataFrame) -> DataFrame:
     return validators.filter("stake > 0").join(connected.select("node"), "node", "left_anti")
 
 
-def connections(users_history: DataFrame, validators: DataFrame) -> DataFrame:
-    """Each validator's first connection, with the attributes of its latest; one aggregate instead of a self-join."""
-    active = users_history.filter("status = 'activated'")
-    first = active.groupBy("node").agg(F.min("at").alias("first_connected"), F.max_by("kind", F.struct("at", "version")).alias("kind"), F.count("*").alias("n_connections"))
-    return first.join(validators.select("node", "stake"), "node")
+def connected_spans(users: DataFrame, gossip: DataFrame, votes: DataFrame) -> DataFrame:
+    """(vote_pubkey, node, user_pk, device_pk, address, stake, start, end): when a validator was connected, from three histories.
 
+    users (user_pk, address, device_pk, status, at, version, is_deleted), gossip (node, address, at, version, is_deleted) and votes
+    (vote_pubkey, node, stake, at, version, is_deleted). A validator is connected while an activated user has the address of
+    a gossip node that has a vote account with stake. So a connection begins at the latest of the three starts and ends at the
+    first of the three ends.
+    """
+    u = validity(users, ["user_pk"], "at", ["version"], "NOT is_deleted AND status = 'activated' AND address <> ''").select("user_pk", "device_pk", "address", "start", "end")
+    g = validity(gossip, ["node"], "at", ["version"], "NOT is_deleted AND address <> ''").select("node", "address", "start", "end")
+    v = validity(votes, ["vote_pubkey"], "at", ["version"], "NOT is_deleted AND stake > 0").select("vote_pubkey", "node", "stake", "start", "end")
+    held = overlapping(u, g, ["address"]).select("address", "a.user_pk", "a.device_pk", "b.node", "start", "end")
+    return overlapping(held, v, ["node"]).select("b.vote_pubkey", "node", "a.user_pk", "a.device_pk", "a.address", "b.stake", "start", "end")
+
+
+def first_connections(spans: DataFrame) -> DataFrame:
+    """Each validator's first connection, how many there were, and the latest one's user, device and stake."""
+    newest = F.struct("start", "user_pk")
+    return spans.groupBy("vote_pubkey", "node").agg(
+        F.min("start").alias("first_connected"), F.count("*").alias("n_connections"), *[F.max_by(c, newest).alias(c) for c in ("user_pk", "device_pk", "stake")]
+    )
+
+
+def connected_at(spans: DataFrame, as_of: Column) -> DataFrame:
+    """The validators connected at a time, since when, and by how many users."""
+    now = spans.filter((F.col("start") <= as_of) & (F.col("end").isNull() | (F.col("end") > as_of)))
+    return now.groupBy("vote_pubkey", "node").agg(F.max("start").alias("connected_ts"), F.max("stake").alias("stake"), F.count_distinct("user_pk").alias("n_users"))
+
+
+def disconnections(spans: DataFrame, as_of: Column) -> DataFrame:
+    """The latest end of a connection for validators that are not connected at a time, with its start and user."""
+    ended = spans.filter(F.col("end") <= as_of)
+    newest = F.struct("end", "start", "user_pk")
+    last = ended.groupBy("vote_pubkey", "node").agg(F.max("end").alias("disconnected"), F.max_by("start", newest).alias("connected_ts"), F.max_by("user_pk", newest).alias("user_pk"))
+    return last.join(connected_at(spans, as_of).select("vote_pubkey", "node"), ["vote_pubkey", "node"], "left_anti")
+
+
+def join_leave_events(spans: DataFrame) -> DataFrame:
+    """(vote_pubkey, node, at, event): when a validator came to be connected, and ceased to be; changes of user or stake between are neither."""
+    runs = merged(spans, ["vote_pubkey", "node"])
+    ends = runs.filter(F.col("end").isNotNull())
+    return runs.select("vote_pubkey", "node", F.col("start").alias("at"), F.lit("joined").alias("event")).unionByName(
+        ends.select("vote_pubkey", "node", F.col("end").alias("at"), F.lit("left").alias("event"))
+    )
+
+
+def stake_series(spans: DataFrame, votes: DataFrame, *, start: Column, end: Column, step: str = "1 HOUR", spark_frame: DataFrame | None = None) -> DataFrame:
+    """(t, on_stake, total_stake, n_on, share_pct) for each instant from start to end. spans: connected_spans(), or others with node, stake, start, end.
+
+    A validator with several users at a time counts once: its connected time and its stake's validity are unions and intervals of its own.
+    """
+    v = validity(votes, ["vote_pubkey"], "at", ["version"], "NOT is_deleted AND stake > 0").select("vote_pubkey", "stake", "start", "end")
+    on = own_stake(spans, votes)
+    exact = F.col("stake").cast("decimal(30,6)")
+    frame = spark_frame if spark_frame is not None else votes.sparkSession.range(1)
+    at = {"start": start, "end": end, "step": step, "spark_frame": frame}
+    total = over_spine(v, {"total_stake": exact}, **at)
+    some = over_spine(on, {"on_stake": exact, "n_on": F.lit(1).cast("long")}, **at)
+    rows = total.join(some, "t").withColumns({c: F.col(c).cast("double") for c in ("on_stake", "total_stake")})
+    return rows.select("t", "on_stake", "total_stake", "n_on", F.coalesce(ratio(F.col("on_stake") * 100, F.col("total_stake")), F.lit(0.0)).alias("share_pct"))
+
+
+def own_stake(spans: DataFrame, votes: DataFrame) -> DataFrame:
+    """(vote_pubkey, stake, start, end): each validator's stake while it was connected, by however many users."""
+    v = validity(votes, ["vote_pubkey"], "at", ["version"], "NOT is_deleted AND stake > 0").select("vote_pubkey", "stake", "start", "end")
+    on = merged(spans.select("vote_pubkey", "start", "end"), ["vote_pubkey"])
+    return overlapping(on, v, ["vote_pubkey"]).select("vote_pubkey", "b.stake", "start", "end")
 
-def disconnections(users_history: DataFrame, connected: DataFrame) -> DataFrame:
-    """The latest end of a connection for validators that are not connected now."""
-    w = Window.partitionBy("node").orderBy("at", "version")
-    ends = users_history.withColumn("was", F.lag("status").over(w)).filter("was = 'activated' AND status <> 'activated'")
-    last = ends.groupBy("node").agg(F.max("at").alias("disconnected"))
-    return last.join(connected.select("node"), "node", "left_anti")
+
+def stake_overview(series: DataFrame, now: Column, ago: dict[str, str]) -> DataFrame:
+    """One row: stake and share now, at each earlier time (name: interval), and the change of connected stake, all stake and share since.
+
+    series has some rows for the instants that are asked for; one aggregate picks them.
+    """
+    at = lambda c, t: F.max(F.when(F.col("t") == t, F.col(c)))
+    kept = {"on_stake": "on_stake", "total_stake": "total_stake", "share_pct": "share"}
+    out = [at(c, now).alias(c) for c in kept]
+    for name, back in ago.items():
+        then = now - F.expr(f"INTERVAL {back}")
+        for c, short in kept.items():
+            out += [at(c, then).alias(f"{c}_{name}"), (at(c, now) - at(c, then)).alias(f"{short}_change_{name}")]
+    return series.agg(*out)
+
+
+def stake_moves(on: DataFrame, *, start: Column, end: Column, step: str) -> DataFrame:
+    """(vote_pubkey, t, kind, change): why the connected total changed from one instant to the next: joined, left or stake_changed. on: own_stake()."""
+    rows = moves(on, ["vote_pubkey"], F.col("stake").cast("decimal(30,6)"), start=start, end=end, step=step)
+    kind = F.when(F.col("n_before") == 0, "joined").when(F.col("n_after") == 0, "left").otherwise("stake_changed")
+    return rows.select("vote_pubkey", "t", kind.alias("kind"), (F.col("after") - F.col("before")).cast("double").alias("change"))
 
 
 def performance(activity: DataFrame, production: DataFrame, connected: DataFrame) -> DataFrame:
@@ -60,28 +137,6 @@ def ranked(validators: DataFrame, connected: DataFrame, *, only: str = "all", li
     return rows if limit is None else rows.limit(limit)
 
 
-def state_at(history: DataFrame, times: DataFrame, key: str, value: list[str], version: list[str]) -> DataFrame:
-    """The state of each entity at each of a few times (column t): one aggregate over history x times.
-
-    times is broadcast; it has one row per instant that is asked for.
-    """
-    rows = history.join(F.broadcast(times), F.col("at") <= F.col("t"))
-    found = rows.groupBy("t", key).agg(F.max_by(F.struct("is_deleted", *value), F.struct("at", *version)).alias("row"))
-    return found.select("t", key, "row.*").filter(~F.col("is_deleted")).drop("is_deleted")
-
-
-def stake_shares(states: DataFrame) -> DataFrame:
-    """(t, on_stake, total_stake, share_pct, n_on) from states (t, node, stake, is_on)."""
-    sums = states.groupBy("t").agg(F.sum(F.when(F.col("is_on"), F.col("stake")).otherwise(0.0)).alias("on_stake"), F.sum("stake").alias("total_stake"), F.count_if("is_on").alias("n_on"))
-    return sums.withColumn("share_pct", ratio(F.col("on_stake") * 100, F.col("total_stake")))
-
-
-def stake_overview(shares: DataFrame, now: Column) -> DataFrame:
-    """The newest shares beside the change since each earlier instant."""
-    current = shares.filter(F.col("t") == now).select(F.col("on_stake").alias("now_stake"), F.col("share_pct").alias("now_pct"))
-    return shares.crossJoin(F.broadcast(current)).select("t", "on_stake", "share_pct", (F.col("now_stake") - F.col("on_stake")).alias("stake_change"), (F.col("now_pct") - F.col("share_pct")).alias("share_change"))
-
-
 def joined_or_left(before: DataFrame, after: DataFrame) -> DataFrame:
     """Nodes of one state that the other lacks, with their stake."""
     gone = before.join(after.select("node"), "node", "left_anti").select("node", "stake", F.lit("left").alias("change"))
@@ -99,26 +154,13 @@ def stake_change_events(stakes: DataFrame, *, min_abs: float, min_pct: float, st
     return rows.filter((F.col("change") != 0) & big).select("node", "at", "version", "previous", "stake", "change", "change_pct")
 
 
-def attribution(states: DataFrame) -> DataFrame:
-    """Why the connected total changed between consecutive instants: nodes that joined, left or changed stake.
-
-    states: (t, node, stake) of connected nodes. Each state meets the next by node; instants are linked in a small table.
-    """
-    w = Window.orderBy("t")
-    pairs = states.select("t").distinct().withColumn("next_t", F.lead("t").over(w)).filter("next_t IS NOT NULL")
-    old = states.join(F.broadcast(pairs), "t").select("next_t", "node", F.col("stake").alias("old"))
-    new = states.join(F.broadcast(pairs.select(F.col("next_t").alias("t"))), "t").select(F.col("t").alias("next_t"), "node", F.col("stake").alias("new"))
-    both = old.join(new, ["next_t", "node"], "full")
-    kind = F.when(F.col("old").isNull(), "joined").when(F.col("new").isNull(), "left").when(F.col("old") != F.col("new"), "stake_changed")
-    change = F.coalesce("new", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))
-    return both.withColumn("kind", kind).filter("kind IS NOT NULL").select(F.col("next_t").alias("t"), "node", "kind", change.alias("change"))
-
-
-def share_walkback(events: DataFrame, current_pct: Column, total: Column) -> DataFrame:
-    """The connected share after each event, walking back in time from the current one."""
-    per = events.groupBy("t").agg(F.sum("change").alias("change"))
-    later = F.coalesce(F.sum("change").over(Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return per.withColumn("share_pct", current_pct - later * 100 / total)
+def walkback(steps: DataFrame, now: DataFrame) -> DataFrame:
+    """(t, change, share_pct): the connected share after each step, walking back from the last one. steps: stake_moves(); now: one row
+    of stake_series(), whose share and total are the present ones. Steps are summed by instant before one window orders them."""
+    per = steps.groupBy("t").agg(F.sum(F.col("change").cast("decimal(30,6)")).alias("change"))
+    later = F.coalesce(F.sum("change").over(Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = per.withColumn("later", later.cast("double")).crossJoin(F.broadcast(now.select("share_pct", "total_stake")))  # one row
+    return rows.select("t", F.col("change").cast("double").alias("change"), (F.col("share_pct") - ratio(F.col("later") * 100, F.col("total_stake"))).alias("share_pct"))
 
 
 def region_counts(validators: DataFrame, metros: DataFrame, group: str) -> DataFrame:

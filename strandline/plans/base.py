@@ -51,6 +51,13 @@ VIEWS = {
         'activated' AS status, o_orderpriority AS priority, o_orderstatus = 'F' AS is_deleted FROM {orders}""",
     "contributor_versions": """SELECT CAST(user_id AS STRING) AS entity_id, CAST(ts AS TIMESTAMP) AS snapshot_ts, CAST(ts AS TIMESTAMP) AS ingested_at, event_id AS op_id,
         CASE WHEN value > 100 THEN 'suspended' ELSE 'activated' END AS status, event_type AS priority, event_type = 'error' AS is_deleted FROM {events}""",
+    # customers as users with an address, and line items as versions of gossip nodes (suppliers) at addresses and of their vote accounts
+    "user_versions": """SELECT o_custkey AS user_pk, CAST(o_custkey AS STRING) AS address, o_custkey % 40 AS device_pk, CASE o_orderstatus WHEN 'O' THEN 'activated' ELSE 'suspended' END AS status,
+        o_orderdate AS at, o_orderkey AS version, o_orderstatus = 'F' AS is_deleted FROM {orders}""",
+    "gossip_versions": """SELECT l_suppkey AS node, CAST(l_partkey AS STRING) AS address, CAST(l_shipdate AS TIMESTAMP) AS at, l_orderkey * 8 + l_linenumber AS version, l_tax > 0.07 AS is_deleted
+        FROM {lineitem} WHERE l_linenumber % 2 = 0""",
+    "vote_versions": """SELECT CAST(l_suppkey AS STRING) AS vote_pubkey, l_suppkey AS node, CAST(l_quantity * 100 AS DOUBLE) AS stake, CAST(l_shipdate AS TIMESTAMP) AS at, l_orderkey * 8 + l_linenumber AS version,
+        l_discount >= 0.09 AS is_deleted FROM {lineitem} WHERE l_linenumber % 2 = 1""",
     # the cheap ones, as a sparse network
     "trunks": "SELECT * FROM {edges} WHERE metric <= 6",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import validators as v
+from ..sources.shared import durable
 from .base import query, ts
 
 ON = """WITH active AS (SELECT o_custkey AS node, max(o_orderdate) AS connected_ts FROM orders WHERE o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '2001-01-01' GROUP BY 1),
@@ -22,9 +23,29 @@ def _on(t):
     return v.on_net(_users(t), t.validators, t.metros.select("metro_pk", "code"))
 
 
-@query(ON + "SELECT node, stake, code AS metro, connected_ts FROM on_net")
+SPANS = """WITH u AS (SELECT user_pk, address, device_pk, status, is_deleted, "at" AS s, lead("at") OVER (PARTITION BY user_pk ORDER BY "at", version) AS e FROM user_versions),
+g AS (SELECT node, address, is_deleted, "at" AS s, lead("at") OVER (PARTITION BY node ORDER BY "at", version) AS e FROM gossip_versions),
+v AS (SELECT vote_pubkey, node, stake, is_deleted, "at" AS s, lead("at") OVER (PARTITION BY vote_pubkey ORDER BY "at", version) AS e FROM vote_versions),
+live_v AS (SELECT * FROM v WHERE NOT is_deleted AND stake > 0 AND (e IS NULL OR e > s)),
+spans AS (SELECT v.vote_pubkey, v.node, u.user_pk, u.device_pk, v.stake, greatest(u.s, g.s, v.s) AS s, nullif(least(coalesce(u.e, TIMESTAMP '9999-01-01'), coalesce(g.e, TIMESTAMP '9999-01-01'), coalesce(v.e, TIMESTAMP '9999-01-01')), TIMESTAMP '9999-01-01') AS e
+  FROM u JOIN g USING (address) JOIN live_v v ON g.node = v.node
+  WHERE u.status = 'activated' AND NOT u.is_deleted AND NOT g.is_deleted AND greatest(u.s, g.s, v.s) < least(coalesce(u.e, TIMESTAMP '9999-01-01'), coalesce(g.e, TIMESTAMP '9999-01-01'), coalesce(v.e, TIMESTAMP '9999-01-01'))),
+connected AS (SELECT vote_pubkey, node, max(s) AS connected_ts, max(stake) AS stake, count(DISTINCT user_pk) AS n_users FROM spans WHERE s <= TIMESTAMP '1997-06-01' AND (e IS NULL OR e > TIMESTAMP '1997-06-01') GROUP BY ALL),
+reach AS (SELECT vote_pubkey, s, coalesce(e, TIMESTAMP '9999-01-01') AS e, max(coalesce(e, TIMESTAMP '9999-01-01')) OVER (PARTITION BY vote_pubkey ORDER BY s, coalesce(e, TIMESTAMP '9999-01-01') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM spans),
+numbered AS (SELECT *, sum(CASE WHEN upto >= s THEN 0 ELSE 1 END) OVER (PARTITION BY vote_pubkey ORDER BY s, e) AS run FROM reach),
+runs AS (SELECT vote_pubkey, min(s) AS s, nullif(max(e), TIMESTAMP '9999-01-01') AS e FROM numbered GROUP BY vote_pubkey, run),
+own AS (SELECT r.vote_pubkey, v.stake, greatest(r.s, v.s) AS s, CASE WHEN r.e IS NULL THEN v.e WHEN v.e IS NULL THEN r.e ELSE least(r.e, v.e) END AS e FROM runs r JOIN live_v v USING (vote_pubkey)
+  WHERE r.s < coalesce(v.e, TIMESTAMP '9999-01-01') AND v.s < coalesce(r.e, TIMESTAMP '9999-01-01'))
+"""
+
+
+def _spans(t):
+    return durable(v.connected_spans(t.user_versions, t.gossip_versions, t.vote_versions))
+
+
+@query(SPANS + "SELECT * FROM connected")
 def validators_on_net(t):
-    return _on(t).select("node", "stake", F.col("code").alias("metro"), "connected_ts")
+    return v.connected_at(_spans(t), ts("1997-06-01"))
 
 
 @query(ON + "SELECT x.node, x.stake, m.code AS metro FROM validators x JOIN metros m USING (metro_pk) WHERE stake > 0 AND node NOT IN (SELECT node FROM on_net)")
@@ -40,23 +61,34 @@ def _history(t):
 FIRST = "WITH first AS (SELECT o_custkey AS node, min(o_orderdate) AS first_connected, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS kind, count(*) AS n_connections FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)\n"
 
 
-@query(FIRST + "SELECT f.*, x.stake FROM first f JOIN validators x USING (node)")
+@query(SPANS + "SELECT vote_pubkey, node, min(s) AS first_connected, count(*) AS n_connections, arg_max(user_pk, (s, user_pk)) AS user_pk, arg_max(device_pk, (s, user_pk)) AS device_pk, arg_max(stake, (s, user_pk)) AS stake FROM spans GROUP BY ALL")
 def validator_connections(t):
-    return v.connections(_history(t), t.validators)
+    return v.first_connections(_spans(t))
+
+
+def _first(t):
+    """Each customer's first connection, for the views that carry users by node."""
+    active = _history(t).filter("status = 'activated'")
+    return active.groupBy("node").agg(F.min("at").alias("first_connected"), F.count("*").alias("n_connections"))
 
 
 @query(FIRST + ", " + ON[5:] + "SELECT n.node, n.stake, f.first_connected, f.n_connections FROM on_net n JOIN first f USING (node)")
 def validator_new_connections(t):
-    return _on(t).select("node", "stake").join(v.connections(_history(t), t.validators).drop("stake", "kind"), "node")
+    return _on(t).select("node", "stake").join(_first(t), "node")
 
 
 @query(
-    ON
-    + """, lagged AS (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS was FROM orders)
-SELECT o_custkey AS node, max(o_orderdate) AS disconnected FROM lagged WHERE was = 'O' AND o_orderstatus <> 'O' AND o_custkey NOT IN (SELECT node FROM on_net) GROUP BY 1"""
+    SPANS
+    + """SELECT vote_pubkey, node, max(e) AS disconnected, arg_max(s, (e, s, user_pk)) AS connected_ts, arg_max(user_pk, (e, s, user_pk)) AS user_pk FROM spans
+WHERE e <= TIMESTAMP '1997-06-01' AND vote_pubkey NOT IN (SELECT vote_pubkey FROM connected) GROUP BY ALL"""
 )
 def validator_disconnections(t):
-    return v.disconnections(_history(t), _on(t))
+    return v.disconnections(_spans(t), ts("1997-06-01"))
+
+
+@query(SPANS + "SELECT vote_pubkey, CAST(vote_pubkey AS BIGINT) AS node, s AS \"at\", 'joined' AS event FROM runs UNION ALL SELECT vote_pubkey, CAST(vote_pubkey AS BIGINT), e, 'left' FROM runs WHERE e IS NOT NULL")
+def validator_join_leave_events(t):
+    return v.join_leave_events(_spans(t))
 
 
 PERF = ON + """, votes AS (SELECT user_id AS node, avg(CASE WHEN event_type <> 'error' THEN value END) AS avg_lag, min(CASE WHEN event_type <> 'error' THEN value END) AS min_lag, max(CASE WHEN event_type <> 'error' THEN value END) AS max_lag,
@@ -105,45 +137,46 @@ def validator_detail(t):
     return one.join(n, "node", "left").select("node", "vote_pubkey", "stake", F.coalesce("is_on", F.lit(False)).alias("is_on"), F.coalesce("n_sessions", F.lit(0)).alias("n_sessions"))
 
 
-STATES = """WITH times AS (SELECT unnest([TIMESTAMP '1998-01-01', TIMESTAMP '1998-01-08', TIMESTAMP '1998-02-01', TIMESTAMP '1999-01-01']) AS t),
-at_t AS (SELECT t, o_custkey AS node, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS status FROM times JOIN orders ON o_orderdate <= t GROUP BY ALL),
-states AS (SELECT t, node, stake, status = 'O' AS is_on FROM at_t JOIN validators USING (node) WHERE status <> 'F'),
-shares AS (SELECT t, sum(CASE WHEN is_on THEN stake ELSE 0 END) AS on_stake, sum(stake) AS total_stake, count(*) FILTER (is_on) AS n_on FROM states GROUP BY t)
-"""
+SERIES = SPANS + """, instants AS (SELECT unnest(generate_series(TIMESTAMP '1992-01-01', TIMESTAMP '1998-12-31', INTERVAL 1 HOUR)) AS t),
+steps AS (SELECT t, on_stake, n_on, total FROM (
+  SELECT {place_s} AS t, stake AS on_stake, 1 AS n_on, 0 AS total FROM own UNION ALL SELECT {place_e}, -stake, -1, 0 FROM own WHERE e IS NOT NULL
+  UNION ALL SELECT {place_s}, 0, 0, stake FROM live_v UNION ALL SELECT {place_e}, 0, 0, -stake FROM live_v WHERE e IS NOT NULL)),
+step_sums AS (SELECT t, sum(CAST(on_stake AS DECIMAL(18,2))) AS o, sum(n_on) AS n, sum(CAST(total AS DECIMAL(18,2))) AS a FROM steps GROUP BY t),
+series AS (SELECT t, CAST(sum(coalesce(o, 0)) OVER (ORDER BY t) AS DOUBLE) AS on_stake, CAST(sum(coalesce(a, 0)) OVER (ORDER BY t) AS DOUBLE) AS total_stake, CAST(sum(coalesce(n, 0)) OVER (ORDER BY t) AS BIGINT) AS n_on FROM instants LEFT JOIN step_sums USING (t)),
+shared AS (SELECT *, coalesce(on_stake * 100 / nullif(total_stake, 0), 0) AS share_pct FROM series)
+""".replace("{place_s}", "greatest(date_trunc('hour', s + INTERVAL 59 MINUTE + INTERVAL 59 SECOND), TIMESTAMP '1992-01-01')").replace("{place_e}", "greatest(date_trunc('hour', e + INTERVAL 59 MINUTE + INTERVAL 59 SECOND), TIMESTAMP '1992-01-01')")
 
 
-def _states(t):
-    times = t.spark.sql("SELECT explode(array(TIMESTAMP '1998-01-01', TIMESTAMP '1998-01-08', TIMESTAMP '1998-02-01', TIMESTAMP '1999-01-01')) AS t")
-    history = _history(t).withColumn("is_deleted", F.lit(False))
-    raw = t.orders.select(F.col("o_orderkey").alias("version"), (F.col("o_orderstatus") == "F").alias("is_deleted"))
-    history = history.drop("is_deleted").join(raw, "version")
-    rows = v.state_at(history, times, "node", ["status"], ["version"])
-    return rows.join(t.validators.select("node", "stake"), "node").select("t", "node", "stake", (F.col("status") == "activated").alias("is_on"))
+def _series(t, spans=None):
+    return v.stake_series(spans if spans is not None else _spans(t), t.vote_versions, start=ts("1992-01-01"), end=ts("1998-12-31"), step="1 HOUR")
 
 
-@query(STATES + "SELECT t, round(on_stake, 4) AS on_stake, round(total_stake, 4) AS total_stake, n_on, round(on_stake * 100 / total_stake, 9) AS share_pct FROM shares")
+@query(SERIES + "SELECT t, on_stake, total_stake, n_on, round(share_pct, 9) AS share_pct FROM shared")
 def stake_history(t):
-    return v.stake_shares(_states(t)).withColumns({"on_stake": F.round("on_stake", 4), "total_stake": F.round("total_stake", 4), "share_pct": F.round("share_pct", 9)})
+    return _series(t).withColumn("share_pct", F.round("share_pct", 9))
 
 
 @query(
-    STATES
-    + """SELECT s.t, round(s.on_stake, 4) AS on_stake, round(s.on_stake * 100 / s.total_stake, 9) AS share_pct, round(c.on_stake - s.on_stake, 4) AS stake_change, round(c.on_stake * 100 / c.total_stake - s.on_stake * 100 / s.total_stake, 9) AS share_change
-FROM shares s, shares c WHERE c.t = TIMESTAMP '1999-01-01'"""
+    SERIES
+    + """SELECT n.on_stake, n.total_stake, round(n.share_pct, 9) AS share_pct, d.on_stake AS on_stake_24h, n.on_stake - d.on_stake AS on_stake_change_24h, d.total_stake AS total_stake_24h, n.total_stake - d.total_stake AS total_stake_change_24h,
+  round(d.share_pct, 9) AS share_pct_24h, round(n.share_pct - d.share_pct, 9) AS share_change_24h, w.on_stake AS on_stake_7d, n.on_stake - w.on_stake AS on_stake_change_7d, w.total_stake AS total_stake_7d, n.total_stake - w.total_stake AS total_stake_change_7d,
+  round(w.share_pct, 9) AS share_pct_7d, round(n.share_pct - w.share_pct, 9) AS share_change_7d
+FROM shared n, shared d, shared w WHERE n.t = TIMESTAMP '1997-06-01' AND d.t = TIMESTAMP '1997-05-31' AND w.t = TIMESTAMP '1997-05-25'"""
 )
 def stake_overview(t):
-    rows = v.stake_overview(v.stake_shares(_states(t)), ts("1999-01-01"))
-    return rows.withColumns({"on_stake": F.round("on_stake", 4), "share_pct": F.round("share_pct", 9), "stake_change": F.round("stake_change", 4), "share_change": F.round("share_change", 9)})
+    rows = v.stake_overview(_series(t), ts("1997-06-01"), {"24h": "24 HOURS", "7d": "7 DAYS"})
+    return rows.withColumns({c: F.round(c, 9) for c in rows.columns if "share" in c})
 
 
-@query(
-    STATES
-    + """, b AS (SELECT * FROM states WHERE t = TIMESTAMP '1998-01-01' AND is_on), a AS (SELECT * FROM states WHERE t = TIMESTAMP '1999-01-01' AND is_on)
-SELECT node, stake, 'left' AS change FROM b WHERE node NOT IN (SELECT node FROM a) UNION ALL SELECT node, stake, 'joined' FROM a WHERE node NOT IN (SELECT node FROM b)"""
-)
+CHANGES_SQL = SPANS + """, b AS (SELECT DISTINCT vote_pubkey, stake FROM own WHERE s <= TIMESTAMP '1996-06-01' AND (e IS NULL OR e > TIMESTAMP '1996-06-01')), a AS (SELECT DISTINCT vote_pubkey, stake FROM own WHERE s <= TIMESTAMP '1997-06-01' AND (e IS NULL OR e > TIMESTAMP '1997-06-01'))
+SELECT vote_pubkey AS node, stake, 'left' AS change FROM b WHERE vote_pubkey NOT IN (SELECT vote_pubkey FROM a) UNION ALL SELECT vote_pubkey, stake, 'joined' FROM a WHERE vote_pubkey NOT IN (SELECT vote_pubkey FROM b)"""
+
+
+@query(CHANGES_SQL)
 def stake_changes(t):
-    states = _states(t).filter("is_on")
-    return v.joined_or_left(states.filter(F.col("t") == ts("1998-01-01")), states.filter(F.col("t") == ts("1999-01-01")))
+    on = durable(v.own_stake(_spans(t), t.vote_versions).withColumnRenamed("vote_pubkey", "node"))
+    at = lambda when: on.filter((F.col("start") <= ts(when)) & (F.col("end").isNull() | (F.col("end") > ts(when)))).select("node", "stake")
+    return v.joined_or_left(at("1996-06-01"), at("1997-06-01"))
 
 
 @query(
@@ -157,22 +190,32 @@ def stake_change_events(t):
     return rows.withColumns({c: F.round(c, 6) for c in ("change", "change_pct")})
 
 
-ATTRIBUTION = STATES + """, live AS (SELECT * FROM states WHERE is_on), steps AS (SELECT t, lead(t) OVER (ORDER BY t) AS next_t FROM times),
-o AS (SELECT next_t AS t, node, stake AS old FROM live JOIN steps USING (t) WHERE next_t IS NOT NULL), n AS (SELECT t, node, stake AS new FROM live WHERE t > TIMESTAMP '1998-01-01'),
-moves AS (SELECT coalesce(o.t, n.t) AS t, coalesce(o.node, n.node) AS node, CASE WHEN old IS NULL THEN 'joined' WHEN new IS NULL THEN 'left' WHEN old <> new THEN 'stake_changed' END AS kind, coalesce(new, 0) - coalesce(old, 0) AS change FROM o FULL JOIN n ON o.t = n.t AND o.node = n.node),
-reasons AS (SELECT * FROM moves WHERE kind IS NOT NULL)
+ATTRIBUTION = SERIES + """, own_steps AS (SELECT vote_pubkey, t, sum(x) AS x, sum(n) AS n FROM (
+  SELECT vote_pubkey, greatest(date_trunc('hour', s + INTERVAL 59 MINUTE + INTERVAL 59 SECOND), TIMESTAMP '1992-01-01') AS t, stake AS x, 1 AS n FROM own
+  UNION ALL SELECT vote_pubkey, greatest(date_trunc('hour', e + INTERVAL 59 MINUTE + INTERVAL 59 SECOND), TIMESTAMP '1992-01-01'), -stake, -1 FROM own WHERE e IS NOT NULL) WHERE t <= TIMESTAMP '1998-12-31' GROUP BY ALL),
+run AS (SELECT *, sum(x) OVER w AS after, sum(n) OVER w AS n_after FROM own_steps WINDOW w AS (PARTITION BY vote_pubkey ORDER BY t)),
+reasons AS (SELECT vote_pubkey, t, CASE WHEN n_after - n = 0 THEN 'joined' WHEN n_after = 0 THEN 'left' ELSE 'stake_changed' END AS kind, x AS change FROM run WHERE t > TIMESTAMP '1992-01-01' AND (x <> 0 OR (n_after > 0) <> (n_after - n > 0)))
 """
 
 
-@query(ATTRIBUTION + "SELECT t, node, kind, change FROM reasons")
+def _moves(t, spans):
+    return v.stake_moves(v.own_stake(spans, t.vote_versions), start=ts("1992-01-01"), end=ts("1998-12-31"), step="1 HOUR")
+
+
+@query(ATTRIBUTION + "SELECT t, vote_pubkey, kind, change FROM reasons")
 def stake_attribution(t):
-    return v.attribution(_states(t).filter("is_on"))
+    return _moves(t, _spans(t))
 
 
-@query(ATTRIBUTION + "SELECT t, round(sum(change), 4) AS change, round(60 - coalesce(sum(sum(change)) OVER (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 100 / 1e7, 9) AS share_pct FROM reasons GROUP BY t")
+@query(
+    ATTRIBUTION
+    + """, per AS (SELECT t, sum(change) AS change FROM reasons GROUP BY t)
+SELECT p.t, p.change, round(n.share_pct - coalesce(sum(p.change) OVER (ORDER BY p.t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 100 / n.total_stake, 9) AS share_pct FROM per p, shared n WHERE n.t = TIMESTAMP '1998-12-31'"""
+)
 def share_walkback(t):
-    rows = v.share_walkback(v.attribution(_states(t).filter("is_on")), F.lit(60.0), F.lit(1e7))
-    return rows.withColumns({"change": F.round("change", 4), "share_pct": F.round("share_pct", 9)})
+    spans = _spans(t)
+    now = _series(t, spans).filter(F.col("t") == ts("1998-12-31"))
+    return v.walkback(_moves(t, spans), now).withColumn("share_pct", F.round("share_pct", 9))
 
 
 @query(ON + "SELECT m.region_pk, count(*) AS n, round(sum(stake), 4) AS stake FROM on_net o JOIN metros m USING (metro_pk) GROUP BY 1")

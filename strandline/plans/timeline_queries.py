@@ -80,25 +80,9 @@ def timeline_feed(t):
     return timeline.feed([_feed(t)], severities=["warning", "critical"])
 
 
-@query(FEED + "SELECT * FROM feed ORDER BY ts DESC, category, kind, entity LIMIT 100 OFFSET 100")
-def timeline_page(t):
-    from ..functions.filters import page
-
-    return page(_feed(t), [F.col("ts").desc(), "category", "kind", "entity"], 100, 100)
 
-
-@query(FEED + "SELECT * FROM feed WHERE contains(entity, '77') OR contains(lower(kind), 'recovered') OR contains(lower(category), 'recovered') OR contains(lower(entity), 'recovered')")
-def event_search(t):
-    return _feed(t).filter(typed_terms({"entity": "entity"}, ["kind", "category", "entity"], ["entity:77", "Recovered"]))
-
-
-@query(FEED + "SELECT b AS bucket, count(f.ts) AS n FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) g(b) LEFT JOIN feed f ON f.ts >= b AND f.ts < b + INTERVAL 1 DAY GROUP BY b")
-def event_histogram(t):
-    return timeline.histogram(_feed(t), start=ts("2024-01-01"), end=ts("2024-02-01"), bucket="1 DAY", one_row=t.region.limit(1))
-
-
-@query("SELECT o_custkey AS node, o_orderdate AS at, CASE WHEN o_orderstatus = 'O' THEN 'joined' ELSE 'left' END AS event, stake > 0 AS is_validator FROM (SELECT *, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS was FROM orders) JOIN validators ON node = o_custkey WHERE was IS NOT NULL AND (was = 'O') <> (o_orderstatus = 'O')")
-def validator_join_leave_events(t):
+def _customer_moves(t):
+    """Customers whose orders begin or cease to be open, as nodes that join and leave."""
     state = t.history.withColumn("state", F.when(F.col("status") == "activated", "joined").otherwise("left"))
     moves = scd2.status_transitions(state, "state")
     stakes = t.validators.select(F.col("node").cast("string").alias("entity_id"), "node", (F.col("stake") > 0).alias("is_validator"))
@@ -140,7 +124,7 @@ node_events AS (SELECT ts, category, category || '_' || event AS kind, entity, C
 
 
 def _node_events(t):
-    moves = validator_join_leave_events(t)
+    moves = _customer_moves(t)
     return timeline.node_events(moves.select(F.col("at").alias("ts"), F.col("node").cast("string").alias("entity"), "event", "is_validator"))
 
 
@@ -177,12 +161,12 @@ def stake_events(t):
     return timeline.stake_events(stake_queries.stake_change_events(t))
 
 
-ATTRIBUTED = stake_queries.ATTRIBUTION + ", attributed AS (SELECT t AS ts, 'attribution' AS category, 'validator_' || kind AS kind, CAST(node AS VARCHAR) AS entity, CASE WHEN change < 0 THEN 'warning' ELSE 'info' END AS severity FROM reasons)\n"
+ATTRIBUTED = stake_queries.ATTRIBUTION + ", attributed AS (SELECT t AS ts, 'attribution' AS category, 'validator_' || kind AS kind, vote_pubkey AS entity, CASE WHEN change < 0 THEN 'warning' ELSE 'info' END AS severity FROM reasons)\n"
 
 
 @query(ATTRIBUTED + "SELECT * FROM attributed")
 def attribution_events(t):
-    return timeline.attribution_events(stake_queries.stake_attribution(t))
+    return timeline.attribution_events(stake_queries.stake_attribution(t).withColumnRenamed("vote_pubkey", "node"))
 
 
 TROUBLE = INTF[5:].replace("lagged", "intf_lagged") + ", trouble AS (SELECT DISTINCT ts, 'interface' AS category, 'interface_' || kind AS kind, CAST(device_pk AS VARCHAR) AS entity, CASE WHEN kind LIKE '%started' THEN 'warning' ELSE 'success' END AS severity FROM intf_events WHERE kind IS NOT NULL)\n"
@@ -191,10 +175,34 @@ ALL_FEEDS = ATTRIBUTED + ", " + ", ".join([FEED[5:], MOVES, ACCOUNTS, STAKES, TR
   UNION ALL SELECT * FROM stake_events UNION ALL SELECT * FROM trouble""" + "".join(f" UNION ALL SELECT ts, category, kind, entity, severity FROM changes_{k}" for k in KINDS) + ")\n"
 
 
-def _all_feeds(t):
+def _feeds(t):
     trouble = timeline.trouble_events(timeline.group_interface_events(timeline.interface_events(t.counters, grain="month")))
     feeds = [_feed(t), attribution_events(t), _node_events(t), _account_events(t), stake_events(t), trouble, *(_kind_changes(t, k) for k in KINDS)]
-    return timeline.feed(feeds).select("ts", "category", "kind", "entity", "severity")
+    return [f.select("ts", "category", "kind", "entity", "severity") for f in feeds]
+
+
+def _all_feeds(t):
+    return timeline.feed(_feeds(t))
+
+
+IDS = ALL_FEEDS + """, named AS (SELECT *, left(sha256(entity || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || rtrim(rtrim(strftime(ts, '.%f'), '0'), '.') || 'Z:' || kind), 16) AS event_id FROM all_feeds)
+"""
+
+
+@query(IDS + "SELECT * FROM named ORDER BY ts DESC, event_id, category, severity LIMIT 100 OFFSET 100")
+def timeline_page(t):
+    return timeline.feed_page(_feeds(t), 100, 100)
+
+
+@query(IDS + "SELECT * FROM named WHERE contains(entity, '77') OR contains(lower(kind), 'recovered') OR contains(lower(category), 'recovered') OR contains(lower(entity), 'recovered')")
+def event_search(t):
+    found = _all_feeds(t).filter(typed_terms({"entity": "entity"}, ["kind", "category", "entity"], ["entity:77", "Recovered"]))
+    return timeline.with_id(found)
+
+
+@query(ALL_FEEDS + "SELECT b AS bucket, count(f.ts) AS n FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '1995-12-31', INTERVAL 1 DAY) g(b) LEFT JOIN all_feeds f ON f.ts >= b AND f.ts < b + INTERVAL 1 DAY GROUP BY b")
+def event_histogram(t):
+    return timeline.histogram(_all_feeds(t), start=ts("1995-01-01"), end=ts("1996-01-01"), bucket="1 DAY", one_row=t.region.limit(1))
 
 
 @query(ALL_FEEDS + "SELECT * FROM all_feeds WHERE kind LIKE '%\\_created%' ESCAPE '\\' OR kind LIKE '%\\_joined%' ESCAPE '\\' OR kind LIKE '%\\_stopped%' ESCAPE '\\' OR kind LIKE '%\\_recovered%' ESCAPE '\\' OR kind LIKE '%\\_stake\\_decreased%' ESCAPE '\\'")
@@ -213,7 +221,7 @@ SELECT r.* FROM related r LEFT JOIN validators v ON CAST(v.node AS VARCHAR) = r.
 
 
 def _related(t):
-    nodes = t.validators.join(stake_queries.validators_on_net(t).select("node", F.lit(True).alias("is_on")), "node", "left")
+    nodes = t.validators.join(stake_queries._on(t).select("node", F.lit(True).alias("is_on")), "node", "left")
     events = timeline.feed([_node_events(t), stake_events(t).withColumn("category", F.lit("validator")), _account_events(t)])
     return events, nodes.select(F.col("node").cast("string").alias("entity"), "stake", "is_on")
 

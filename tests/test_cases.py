@@ -174,11 +174,12 @@ def test_drained_links_give_no_adjacency(spark):
     assert rows(graph.adjacency(heard, links).select("src", "dst", "metric")) == [(2, 3, 8)]
 
 
-def test_attribution_and_walkback(spark):
-    s = spark.createDataFrame([(at(0), 1, 10.0), (at(0), 2, 5.0), (at(1), 1, 12.0), (at(1), 3, 4.0)], "t timestamp, node int, stake double")
-    moves = validators.attribution(s)
-    assert rows(moves.select("node", "kind", "change"), "node") == [(1, "stake_changed", 2.0), (2, "left", -5.0), (3, "joined", 4.0)]
-    assert rows(validators.share_walkback(moves, F.lit(50.0), F.lit(100.0)).select("share_pct")) == [(50.0,)]
+def test_moves_and_walkback(spark):
+    on = spark.createDataFrame([("1", 10.0, at(-5), at(1)), ("1", 12.0, at(1), None), ("2", 5.0, at(-5), at(1)), ("3", 4.0, at(1), None), ("4", 7.0, at(0), at(0))], "vote_pubkey string, stake double, start timestamp, end timestamp")
+    moves = validators.stake_moves(on, start=F.lit(at(0)), end=F.lit(at(2)), step="1 MINUTE")
+    assert rows(moves.select("vote_pubkey", "kind", "change"), "vote_pubkey") == [("1", "stake_changed", 2.0), ("2", "left", -5.0), ("3", "joined", 4.0)]
+    now = spark.createDataFrame([(50.0, 100.0)], "share_pct double, total_stake double")
+    assert rows(validators.walkback(moves, now).select("change", "share_pct")) == [(1.0, 50.0)]
 
 
 @pytest.mark.parametrize(("text", "kind", "yes", "no"), [(">10k", "number", 10001.0, 10000.0), ("<= 5", "bandwidth", 5e9, 5.1e9), (">=2mbps", "bandwidth", 2e6, 1.9e6), ("==3m", "stake", 3e6, 3.0)])
