@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import durable
@@ -160,10 +160,11 @@ def compare(configured: DataFrame, adjacency_edges: DataFrame) -> DataFrame:
 
 
 def affected_pairs(edges: DataFrame, base: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """(scenario, src, dst, before, after): ordered pairs whose best path uses what a scenario leaves out, with the cost before and
+    """(scenario, src, dst, before, after, path, way): ordered pairs whose best path uses what a scenario leaves out, with the cost before and
     after, null where they are cut. base: best_paths() of all sources. Pairs of a node that is left out don't count.
 
-    All other pairs keep their path and cost, so only the sources of these are searched again.
+    All other pairs keep their path and cost. The affected part of each source's tree is repaired from its border (repaired()).
+    way: the path before and after.
     """
     paths = base.filter("src <> dst").select("src", "dst", F.col("cost").alias("before"), "path")
     nodes = paths.select("src", "dst", F.explode(F.slice("path", 2, F.greatest(F.size("path") - 2, F.lit(0)))).alias("node"))
@@ -171,9 +172,81 @@ def affected_pairs(edges: DataFrame, base: DataFrame, scenarios: DataFrame) -> D
     by_node = scenarios.select("scenario", F.explode("no_nodes").alias("node")).join(nodes, "node").select("scenario", "src", "dst")
     by_edge = scenarios.select("scenario", F.explode("no_edges").alias("x")).join(steps, F.col("x") == F.col("step").cast("struct<src:int,dst:int>")).select("scenario", "src", "dst")
     hit = durable(by_node.unionByName(by_edge).distinct().join(scenarios, "scenario").filter(~F.array_contains("no_nodes", F.col("src").cast("int")) & ~F.array_contains("no_nodes", F.col("dst").cast("int"))))
-    again = best_paths(edges, hit.select("src"), scenarios=hit.select("scenario", "no_nodes", "no_edges", "src").distinct())
-    after = again.select("scenario", "src", "dst", F.col("cost").alias("after"))
-    return hit.select("scenario", "src", "dst").join(paths.drop("path"), ["src", "dst"]).join(after, ["scenario", "src", "dst"], "left")
+    after = repaired(edges, base, hit).select("scenario", "src", "dst", F.col("cost").alias("after"), F.col("path").alias("way"))
+    return hit.select("scenario", "src", "dst").join(paths, ["src", "dst"]).join(after, ["scenario", "src", "dst"], "left")
+
+
+def repaired(edges: DataFrame, base: DataFrame, hit: DataFrame) -> DataFrame:
+    """(scenario, src, dst, cost, hops, path): new best paths by metric to the nodes that lost theirs; none where they are cut.
+
+    hit: (scenario, src, dst, no_nodes, no_edges), every pair whose path in base uses what its scenario leaves out. The border are the
+    edges that lead from nodes with their old path into these. From there, rounds go on over edges among the hit nodes alone, from those
+    that the round before made better; so the work is that of what changes, and not of whole trees.
+    """
+    key = ["scenario", "src", "node"]
+    lost = hit.withColumnRenamed("dst", "node")
+    used = F.struct(F.col("u").cast("int").alias("src"), F.col("node").cast("int").alias("dst"))
+    into = lost.join(edges.groupBy(F.col("src").alias("u"), F.col("dst").alias("node")).agg(F.min("metric").alias("metric")), "node")
+    into = into.filter(~F.array_contains("no_nodes", F.col("u").cast("int")) & ~F.array_contains("no_edges", used)).select(*key, "u", "metric")
+    among = into.join(lost.select("scenario", "src", F.col("node").alias("u"), F.lit(True).alias("also")), ["scenario", "src", "u"], "left")
+    among = durable(among)
+    old = base.select("src", F.col("dst").alias("u"), "cost", "hops", "path")
+    grown = F.struct((F.col("cost") + F.col("metric")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("node")).alias("path")).alias("p")
+    start = among.filter("also IS NULL").join(old, ["src", "u"]).select(*key, grown)
+    fresh = durable(start.groupBy(*key).agg(F.min("p").alias("p")))
+    inner, best = among.filter("also").drop("also"), fresh
+    while not fresh.isEmpty():
+        now = fresh.select("scenario", "src", F.col("node").alias("u"), "p.cost", "p.hops", "p.path")
+        step = inner.join(now, ["scenario", "src", "u"]).filter(~F.array_contains("path", F.col("node"))).select(*key, grown)
+        found = step.groupBy(*key).agg(F.min("p").alias("q"))
+        fresh = durable(found.join(best, key, "left").filter(F.col("p").isNull() | (F.col("q") < F.col("p"))).select(*key, F.col("q").alias("p")))
+        best = durable(best.unionByName(fresh).groupBy(*key).agg(F.min("p").alias("p")))
+    return best.select("scenario", "src", F.col("node").alias("dst"), "p.cost", "p.hops", "p.path")
+
+
+def active(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges between nodes (node, status) that are activated."""
+    live = nodes.filter("status = 'activated'").select("node").distinct()
+    return edges.join(live.withColumnRenamed("node", "src"), "src", "left_semi").join(live.withColumnRenamed("node", "dst"), "dst", "left_semi")
+
+
+def predecessors(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(src, node, before, hops, n_paths): every edge that lies on some path with the fewest hops from a source, and how many such paths the
+    node has from it. n_paths is added up level by level, over all sources at once."""
+    far = durable(best_paths(edges, sources, cost="hops").select("src", F.col("dst").alias("node"), "hops"))
+    near = far.select("src", F.col("node").alias("before"), F.col("hops").alias("h"))
+    pairs = edges.select(F.col("src").alias("before"), F.col("dst").alias("node")).distinct()
+    steps = durable(near.join(pairs, "before").join(far, ["src", "node"]).filter(F.col("h") + 1 == F.col("hops")).select("src", "node", "before", "hops"))
+    counts = durable(far.filter("hops = 0").select("src", "node", F.lit(1).cast("long").alias("n_paths"), F.lit(True).alias("fresh")))
+    out, level = steps.limit(0).withColumn("n_paths", F.lit(0).cast("long")), 0
+    while True:
+        level += 1
+        met = steps.filter(F.col("hops") == level).join(counts.select("src", F.col("node").alias("before"), "n_paths"), ["src", "before"])
+        counts = durable(met.groupBy("src", "node").agg(F.sum("n_paths").alias("n_paths")))
+        if counts.isEmpty():
+            return out
+        out = out.unionByName(steps.filter(F.col("hops") == level).join(counts, ["src", "node"]).select(*out.columns))
+
+
+def equal_hop_paths(steps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(src, dst, hops, n_paths, path): all paths with the fewest hops of each pair (src, dst), unrolled from predecessors() backwards. A
+    pair has n_paths rows; ask for pairs whose n_paths is not too many."""
+    ends = steps.select("src", F.col("node").alias("dst"), "hops", "n_paths").distinct().join(pairs.select("src", "dst").distinct(), ["src", "dst"])
+    open_ = durable(ends.select("src", "dst", "hops", "n_paths", F.array("dst").alias("path"), F.col("dst").alias("at")))
+    done, back = open_.limit(0).drop("at"), steps.select("src", F.col("node").alias("at"), "before")
+    while not open_.isEmpty():
+        open_ = durable(open_.join(back, ["src", "at"]).select("src", "dst", "hops", "n_paths", F.concat(F.array("before"), "path").alias("path"), F.col("before").alias("at")))
+        done = done.unionByName(open_.filter("at = src").drop("at"))
+        open_ = open_.filter("at <> src")
+    return done
+
+
+def maintenance(edges: DataFrame, base: DataFrame, items: DataFrame, regions: DataFrame) -> DataFrame:
+    """impact() of items of maintenance, nodes and links together, with the place in which to do them: what cuts least first, then what makes
+    least longer. items: (scenario, kind, no_nodes, no_edges), see scenario(). One row an item."""
+    found = impact(items.select("scenario", "kind"), affected_pairs(edges, base, items.drop("kind")), regions)
+    place = F.row_number().over(Window.orderBy("n_cut", "n_longer", "added_cost", "scenario"))
+    return items.select("scenario", "kind").join(found, "scenario").withColumn("place", place.cast("long"))
 
 
 def impact(scenarios: DataFrame, affected: DataFrame, regions: DataFrame) -> DataFrame:

@@ -58,8 +58,8 @@ VIEWS = {
         FROM {lineitem} WHERE l_linenumber % 2 = 0""",
     "vote_versions": """SELECT CAST(l_suppkey AS STRING) AS vote_pubkey, l_suppkey AS node, CAST(l_quantity * 100 AS DOUBLE) AS stake, CAST(l_shipdate AS TIMESTAMP) AS at, l_orderkey * 8 + l_linenumber AS version,
         l_discount >= 0.09 AS is_deleted FROM {lineitem} WHERE l_linenumber % 2 = 1""",
-    # the cheap ones, as a sparse network
-    "trunks": "SELECT * FROM {edges} WHERE metric <= 6",
+    # suppliers and customers that had two or more shipments, as a sparse network that grows with the tables
+    "mesh": """SELECT o_custkey AS src, -l_suppkey AS dst, CAST(count(*) AS BIGINT) AS metric FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey HAVING count(*) >= 2""",
 }
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")

@@ -75,9 +75,13 @@ def build_adjacency(t):
     return graph.adjacency(heard, links).select("src", "dst", "metric")
 
 
-@query(G.replace("edges", "trunks") + HOPS + "SELECT src, dst AS node, p[2] AS hops FROM few WHERE p[2] <= 3")
+LIVE = "(SELECT e.* FROM edges e WHERE src IN (SELECT metro_pk FROM devices WHERE status = 'activated') AND dst IN (SELECT metro_pk FROM devices WHERE status = 'activated'))"
+
+
+@query(G.replace("FROM edges", f"FROM {LIVE}") + HOPS + "SELECT src, dst AS node, p[2] AS hops FROM few WHERE p[2] <= 3")
 def reachable(t):
-    return graph.reachable(durable(t.trunks), _nodes(t), 3).select("src", F.col("dst").alias("node"), "hops")
+    live = graph.active(t.edges, t.devices.select(F.col("metro_pk").alias("node"), "status"))
+    return graph.reachable(durable(live), _nodes(t), 3).select("src", F.col("dst").alias("node"), "hops")
 
 
 @query(
@@ -182,9 +186,9 @@ def _down(t, edges):
     return _impact(t, t.nation.select(node.alias("scenario"), *graph.scenario(nodes=[node])), durable(edges)).withColumnRenamed("scenario", "node")
 
 
-@query(DOWN.replace("edges", "trunks") + "SELECT node, n_cut, n_nodes_cut FROM impact WHERE n_cut > 0")
+@query(DOWN + "SELECT node, n_cut, n_nodes_cut FROM impact WHERE n_cut > 0")
 def unreachable_if_down(t):
-    return _down(t, t.trunks).filter("n_cut > 0").select("node", "n_cut", "n_nodes_cut")
+    return _down(t, t.edges).filter("n_cut > 0").select("node", "n_cut", "n_nodes_cut")
 
 
 @query(DOWN + "SELECT node, n_affected, n_cut, n_longer, added_cost FROM impact")
@@ -192,34 +196,59 @@ def failure_impact(t):
     return _down(t, t.edges).select("node", "n_affected", "n_cut", "n_longer", "added_cost")
 
 
-@query(DOWN + "SELECT node, n_affected, n_regions, n_cut, row_number() OVER (ORDER BY n_cut, n_longer, added_cost, node) AS place FROM impact")
+ITEMS = _gone(
+    "pairs",
+    """SELECT 'node-' || n_nationkey AS scenario, n_nationkey AS a, n_nationkey AS b FROM nation UNION ALL SELECT DISTINCT 'link-' || least(src, dst) || '-' || greatest(src, dst), least(src, dst), greatest(src, dst) FROM edges WHERE abs(src - dst) <= 2""",
+    "CASE WHEN w.a = w.b THEN e.dst <> w.a AND w.src <> w.a ELSE NOT (e.src = w.a AND e.dst = w.b) AND NOT (e.src = w.b AND e.dst = w.a) END",
+)
+
+
+@query(
+    ITEMS
+    + """, used AS (SELECT p.*, CASE WHEN starts_with(scenario, 'node') THEN list_contains(path, split_part(scenario, '-', 2)::INT) ELSE contains('>' || array_to_string(path, '>') || '>', '>' || split_part(scenario, '-', 2) || '>' || split_part(scenario, '-', 3) || '>')
+    OR contains('>' || array_to_string(path, '>') || '>', '>' || split_part(scenario, '-', 3) || '>' || split_part(scenario, '-', 2) || '>') END AS hit FROM pairs p WHERE NOT (starts_with(scenario, 'node') AND (src = split_part(scenario, '-', 2)::INT OR dst = split_part(scenario, '-', 2)::INT))),
+report AS (SELECT scenario, count(*) FILTER (hit) AS n_affected, count(*) FILTER (after IS NULL) AS n_cut, count(*) FILTER (after > before) AS n_longer, CAST(coalesce(sum(after - before) FILTER (after > before), 0) AS BIGINT) AS added_cost,
+  count(DISTINCT x.n_regionkey * 5 + y.n_regionkey) FILTER (hit AND x.n_regionkey <> y.n_regionkey) AS n_regions FROM used JOIN nation x ON x.n_nationkey = src JOIN nation y ON y.n_nationkey = dst GROUP BY 1)
+SELECT scenario, split_part(scenario, '-', 1) AS kind, n_affected, n_regions, n_cut, row_number() OVER (ORDER BY n_cut, n_longer, added_cost, scenario) AS place FROM report"""
+)
 def maintenance_report(t):
-    from pyspark.sql import Window
+    edges, n = _edges(t), F.col("n_nationkey")
+    a, z = F.least("src", "dst"), F.greatest("src", "dst")
+    nodes = t.nation.select(F.concat_ws("-", F.lit("node"), n).alias("scenario"), F.lit("node").alias("kind"), *graph.scenario(nodes=[n]))
+    links = edges.filter("abs(src - dst) <= 2").select(a.alias("a"), z.alias("z")).distinct()
+    links = links.select(F.concat_ws("-", F.lit("link"), "a", "z").alias("scenario"), F.lit("link").alias("kind"), *graph.scenario(edges=[(F.col("a"), F.col("z"))]))
+    found = graph.maintenance(edges, durable(graph.best_paths(edges, _nodes(t))), durable(nodes.unionByName(links)), _regions(t))
+    return found.select("scenario", "kind", "n_affected", "n_regions", "n_cut", "place")
 
-    order = Window.orderBy("n_cut", "n_longer", "added_cost", "node")  # one row for each node
-    return _down(t, t.edges).select("node", "n_affected", "n_regions", "n_cut", F.row_number().over(order).cast("long").alias("place"))
+
+@query(DOWN + "SELECT scenario AS node, src, dst, before, after FROM pairs WHERE list_contains(path, scenario) AND src <> scenario AND dst <> scenario")
+def failure_paths(t):
+    edges, node = _edges(t), F.col("n_nationkey")
+    cases = durable(t.nation.select(node.alias("scenario"), *graph.scenario(nodes=[node])))
+    found = graph.affected_pairs(edges, durable(graph.best_paths(edges, _nodes(t))), cases)
+    return found.select(F.col("scenario").alias("node"), "src", "dst", "before", "after")
 
 
 @query(
-    _gone("pairs", "SELECT DISTINCT least(src, dst) || '-' || greatest(src, dst) AS scenario, least(src, dst) AS a, greatest(src, dst) AS b FROM trunks", "NOT (e.src = w.a AND e.dst = w.b) AND NOT (e.src = w.b AND e.dst = w.a)").replace("FROM edges", "FROM trunks")
+    _gone("pairs", "SELECT DISTINCT least(src, dst) || '-' || greatest(src, dst) AS scenario, least(src, dst) AS a, greatest(src, dst) AS b FROM edges", "NOT (e.src = w.a AND e.dst = w.b) AND NOT (e.src = w.b AND e.dst = w.a)")
     + """SELECT scenario AS link, count(*) FILTER (after IS NULL) AS n_cut, count(*) FILTER (after > before) AS n_longer, CAST(coalesce(sum(after - before) FILTER (after > before), 0) AS BIGINT) AS added_cost FROM pairs GROUP BY 1"""
 )
 def removal_impact(t):
-    e = durable(t.trunks)
+    e = durable(t.edges)
     a, z = F.least("src", "dst"), F.greatest("src", "dst")
     cases = e.select(F.concat_ws("-", a, z).alias("scenario"), a.alias("a"), z.alias("z")).distinct().select("scenario", *graph.scenario(edges=[(F.col("a"), F.col("z"))]))
     return _impact(t, cases, e).select(F.col("scenario").alias("link"), "n_cut", "n_longer", "added_cost")
 
 
-CRITICAL = """WITH deg AS (SELECT node, count(DISTINCT other) AS n FROM (SELECT src AS node, dst AS other FROM trunks UNION ALL SELECT dst, src FROM trunks) GROUP BY node),
-pairs AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS z FROM trunks),
+CRITICAL = """WITH deg AS (SELECT node, count(DISTINCT other) AS n FROM (SELECT src AS node, dst AS other FROM edges UNION ALL SELECT dst, src FROM edges) GROUP BY node),
+pairs AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS z FROM edges),
 crit AS (SELECT a, z, x.n AS a_degree, y.n AS z_degree, CASE least(x.n, y.n) WHEN 1 THEN 'critical' WHEN 2 THEN 'important' ELSE 'redundant' END AS state FROM pairs JOIN deg x ON x.node = a JOIN deg y ON y.node = z)
 """
 
 
 @query(CRITICAL + "SELECT * FROM crit")
 def critical_links(t):
-    return graph.critical_links(durable(t.trunks))
+    return graph.critical_links(durable(t.edges))
 
 
 @query(
@@ -229,7 +258,7 @@ UNION ALL SELECT 'region', CAST(x.n_regionkey AS VARCHAR), 'warning' FROM (SELEC
 WHERE x.n_regionkey <> y.n_regionkey GROUP BY x.n_regionkey HAVING count(DISTINCT a) = 1"""
 )
 def redundancy_report(t):
-    return graph.redundancy(durable(t.trunks), _regions(t))
+    return graph.redundancy(durable(t.edges), _regions(t))
 
 
 @query(
@@ -293,3 +322,25 @@ def addition_impact(t):
     b = (a + 9) % 25
     cand = t.nation.select((a * 100 + b).alias("scenario"), a.alias("a"), b.alias("b"), F.lit(1000).cast("long").alias("metric"))
     return graph.addition_impact(graph.best_paths(_edges(t), _nodes(t)), cand)
+
+
+@query()  # SQL has no search without one removal a link; tests compare with that on random graphs
+def bridge_links(t):
+    from ..operators.bridges import bridges
+
+    return bridges(durable(t.mesh))
+
+
+@query(
+    G
+    + HOPS
+    + """, lens AS (SELECT src, dst, p[2] AS hops FROM few WHERE src <> dst),
+one AS (SELECT src, dst, src::VARCHAR || '>' || dst::VARCHAR AS path, 1 AS n FROM g), two AS (SELECT a.src, b.dst, a.path || '>' || b.dst::VARCHAR AS path, 2 AS n FROM one a JOIN g b ON a.dst = b.src),
+three AS (SELECT a.src, b.dst, a.path || '>' || b.dst::VARCHAR AS path, 3 AS n FROM two a JOIN g b ON a.dst = b.src),
+found AS (SELECT p.src, p.dst, hops, path FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three) p JOIN lens l ON l.src = p.src AND l.dst = p.dst AND l.hops = p.n)
+SELECT src, dst, hops, count(*) OVER (PARTITION BY src, dst) AS n_paths, path FROM found"""
+)
+def equal_hop_paths(t):
+    steps = durable(graph.predecessors(_edges(t), _nodes(t)))
+    rows = graph.equal_hop_paths(steps, steps.select("src", F.col("node").alias("dst")))
+    return rows.select("src", "dst", "hops", "n_paths", _text("path").alias("path"))

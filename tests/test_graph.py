@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import graph
+from strandline.operators.bridges import bridges
 
 EDGES = "src int, dst int, metric long, bandwidth long"
 
@@ -86,3 +87,65 @@ def test_region_matrix_is_symmetric_and_takes_least_hops(spark):
     regions = spark.createDataFrame([(0, 0), (1, 1), (2, 2)], "node int, region int")
     got = {(r.from_region, r.to_region): (r.min_hops, r.min_metric) for r in graph.region_matrix(graph.best_paths(e, n), graph.best_paths(e, n, cost="hops"), graph.best_paths(e, n, cost="bottleneck"), regions).collect()}
     assert got == {(0, 1): (1, 2), (0, 2): (1, 1), (1, 2): (1, 1)}
+
+
+def parts(links, nodes):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    return len({find(n) for n in nodes})
+
+
+@pytest.mark.parametrize("n,m,seed", [(12, 12, 1), (30, 34, 2), (40, 30, 3), (9, 30, 4)])
+def test_bridges_against_removal_of_each_link(spark, n, m, seed):
+    r = random.Random(seed)
+    pairs = {tuple(sorted(r.sample(range(n), 2))) for _ in range(m)}
+    rows = [(*(p if r.random() < 0.5 else p[::-1]), 1, 1) for p in pairs] + [(0, 0, 1, 1)]
+    rows += [rows[0], (rows[1][1], rows[1][0], 5, 1)]
+    nodes = {x for p in pairs for x in p}
+    want = {p for p in pairs if parts(pairs - {p}, nodes) > parts(pairs, nodes)}
+    assert {tuple(x) for x in bridges(spark.createDataFrame(rows, EDGES)).collect()} == want
+
+
+def test_bridges_of_a_long_path_and_of_nothing(spark):
+    rows = [(i, i + 1, 1, 1) for i in range(40)] + [(7, 9, 1, 1)]
+    got = {tuple(x) for x in bridges(spark.createDataFrame(rows, EDGES)).collect()}
+    assert got == {(i, i + 1) for i in range(40)} - {(7, 8), (8, 9)}
+    assert bridges(spark.createDataFrame([], EDGES)).count() == 0
+
+
+def test_repair_gives_the_paths_of_a_new_search(spark):
+    r = random.Random(6)
+    rows = [(a, b, r.randrange(1, 9)) for a in range(14) for b in range(14) if a != b and r.random() < 0.22]
+    e = table(spark, rows)
+    base = graph.best_paths(e, sources(spark, range(14)))
+    cases = spark.createDataFrame([(f"{a}-{b}", a, b, n) for a, b, n in [(0, 1, 2), (3, 4, 5), (6, 7, None), (8, 9, 10), (11, 12, 0)]], "scenario string, a int, b int, n int")
+    cases = cases.select("scenario", F.expr("IF(n IS NULL, array(), array(n))").cast(graph.NO_NODES).alias("no_nodes"), graph.scenario(edges=[(F.col("a"), F.col("b"))])[1])
+    again = {(x.scenario, x.src, x.dst): (x.cost, list(x.path)) for x in graph.best_paths(e, sources(spark, range(14)), scenarios=cases).collect()}
+    old = {(x.src, x.dst): (x.cost, list(x.path)) for x in base.collect()}
+    got = {(x.scenario, x.src, x.dst): x for x in graph.affected_pairs(e, base, cases).collect()}
+    assert got
+    for k, x in got.items():
+        assert (x.before, list(x.path)) == old[k[1:]] and ((x.after, list(x.way)) if x.way else None) == again.get(k)
+    for k, v in again.items():
+        assert k in got or v == old[k[1:]]
+
+
+def test_equal_hop_paths(spark, small):
+    steps = graph.predecessors(table(spark, small), sources(spark, range(6)))
+    pairs = spark.createDataFrame([(a, b) for a in range(6) for b in range(6) if a != b], "src int, dst int")
+    got = {}
+    for x in graph.equal_hop_paths(steps, pairs).collect():
+        got.setdefault((x.src, x.dst), []).append(list(x.path))
+        assert x.hops == len(x.path) - 1
+    for a, b in permutations(range(6), 2):
+        ways = [p for _, h, p in simple_paths(small, a, b, range(6))]
+        least = min(map(len, ways), default=0)
+        assert sorted(got.get((a, b), [])) == sorted(p for p in ways if len(p) == least)
+    assert all(x.n_paths == len(got[x.src, x.node]) for x in steps.collect())
