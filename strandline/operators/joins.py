@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import durable
 from .intervals import overlapping
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], tie: list[str] | None = None, tolerance_seconds: int | None = None) -> DataFrame:
+def asof_join(
+    left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, values: list[str], tie: list[str] | None = None, tolerance_seconds: int | None = None, part_rows: int = 200_000
+) -> DataFrame:
     """left with the values of the latest right row of its key at or before its time.
 
-    Both sides are shuffled once and a window carries the last right row forward. Rights at the same time count, the last by
-    `tie`. Left rows without a match, or with one older than the tolerance, get nulls.
+    The rows of both sides are cut by key and time into parts of about part_rows, whose numbers are kept before they are used twice. Within a
+    part a window carries the last right row forward; the last one of a key's earlier parts comes from a table with one row a key and
+    part. So a key with a third of all rows is spread over its parts. Rights at the same time count, the last by `tie`. Left rows without
+    a match, or with one older than the tolerance, get nulls; null keys are a key like any other.
     """
     r = right.select(*by, F.col(right_ts).alias("__ts"), F.lit(0).alias("__side"), F.struct(F.col(right_ts).alias("at"), *values).alias("__right"), F.struct(*(tie or values)).alias("__tie"))
     l = left.select(*by, F.col(left_ts).alias("__ts"), F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in left.columns]).alias("__left"))  # noqa: E741
-    rows = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("__ts", "__side", "__tie").rowsBetween(Window.unboundedPreceding, -1)
+    rows = durable(l.unionByName(r, allowMissingColumns=True))
+    parts, place = max(1, math.ceil(rows.count() / part_rows)), ["__ts", "__side", "__tie"]
+    if parts > 1:
+        rows = durable(rows.repartitionByRange(parts, *by, *place).withColumn("__part", F.spark_partition_id()))
+    else:
+        rows = rows.withColumn("__part", F.lit(0))
+    w = Window.partitionBy("__part", *by).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     found = rows.withColumn("__found", F.last("__right", ignorenulls=True).over(w)).filter("__side = 1")
+    if parts > 1:
+        # Structs compare with nulls in them, so that a null key finds its earlier parts too.
+        ends = rows.filter("__side = 0").groupBy("__part", F.struct(*by).alias("__key")).agg(F.max_by("__right", F.struct("__ts", "__tie")).alias("__end"))
+        lists = rows.select("__part", F.struct(*by).alias("__key")).distinct().join(ends, ["__part", "__key"], "left")
+        before = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = lists.select("__part", "__key", F.last("__end", ignorenulls=True).over(before).alias("__carry"))
+        found = found.withColumn("__key", F.struct(*by)).join(carried, ["__part", "__key"], "left").withColumn("__found", F.coalesce("__found", "__carry"))
     if tolerance_seconds is not None:
         fresh = F.unix_micros("__ts") - F.unix_micros("__found.at") <= tolerance_seconds * 1_000_000
         found = found.withColumn("__found", F.when(fresh, F.col("__found")))

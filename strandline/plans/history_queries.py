@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.keys import event_id, surrogate_key
-from ..operators import scd2
+from ..operators import scd2, state_table
+from ..sources.shared import shared_dir
 from .base import query, ts
 
 LATEST = "row_number() OVER (PARTITION BY entity_id ORDER BY snapshot_ts DESC, ingested_at DESC, op_id DESC)"
@@ -54,7 +57,7 @@ def _cut(t):
     return old, new
 
 
-@query(
+DELTA_SQL = (
     CUT
     + """SELECT coalesce(n.entity_id, o.entity_id) AS entity_id,
   CASE WHEN n.entity_id IS NULL THEN 'deleted' WHEN o.entity_id IS NULL THEN 'created' ELSE 'updated' END AS change,
@@ -62,12 +65,29 @@ def _cut(t):
 FROM new_state n FULL JOIN old_state o ON n.entity_id = o.entity_id
 WHERE n.entity_id IS NULL OR o.entity_id IS NULL OR n.status <> o.status OR n.priority <> o.priority"""
 )
+
+
+@query(DELTA_SQL)
 def scd2_delta(t):
     old, new = _cut(t)
     rows = scd2.delta(old, new, ["status", "priority"], at=ts("1998-01-01"), op_id=F.lit(-1), missing_means_deleted=True)
     return rows.select("entity_id", "change", "status", "priority", "is_deleted")
 
 
+@query(DELTA_SQL)
+def scd2_delta_from_state(t):
+    """As scd2_delta, from a snapshot of the first half of the history and the log since."""
+    old, new = _cut(t)
+    root, schema = f"{shared_dir(t.spark)}/state-{uuid.uuid4().hex}", "entity_id string, snapshot_ts timestamp, ingested_at timestamp, op_id long, status string, priority string, is_deleted boolean"
+    rows = old.select("entity_id", "snapshot_ts", "ingested_at", "op_id", "status", "priority", "is_deleted")
+    early = F.col("snapshot_ts") <= ts("1995-01-01")
+    state_table.append(rows.filter(early), root, 0)
+    state_table.compact(t.spark, root, schema)
+    state_table.append(rows.filter(~early), root, 1)
+    found = state_table.delta(t.spark, root, schema, new, ["status", "priority"], at=ts("1998-01-01"), op_id=F.lit(-1), missing_means_deleted=True)
+    return found.select("entity_id", "change", "status", "priority", "is_deleted")
+
+
 @query(CUT + "SELECT entity_id, snapshot_ts, op_id, status FROM new_state")
 def scd2_staging_dedup(t):
     return scd2.dedup_snapshot(_cut(t)[1]).select("entity_id", "snapshot_ts", "op_id", "status")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import facts, joins
+from ..functions import sketches
+from ..operators import facts, geo, joins
 from .base import query, ts
 
 SAMPLE_ORDER = ["event_ts", "sample_index"]
@@ -205,3 +206,43 @@ def top_n_per_group(t):
 @query("SELECT link_pk FROM links WHERE side_a = 3 OR side_z = 3")
 def either_side_filter(t):
     return t.links.filter(joins.either_side("side_a", "side_z", 3)).select("link_pk")
+
+
+@query(
+    """WITH nets AS (SELECT n_nationkey, 167772160 + n_nationkey * 8192 AS base, 20 AS len FROM nation UNION ALL SELECT n_nationkey + 100, 167772160 + n_nationkey * 8192 + 1024, 22 FROM nation UNION ALL SELECT 999, 167772160, 8),
+ips AS (SELECT DISTINCT 167772160 + user_id * 977 AS ip FROM events UNION SELECT 167772160 + c_custkey * 331 FROM customer)
+SELECT ip, arg_max(n_nationkey, len) AS place, max(len) AS length FROM ips JOIN nets ON ip >> (32 - len) = base >> (32 - len) GROUP BY ip"""
+)
+def geoip_longest_prefix(t):
+    base = F.lit(167772160).cast("long")
+    said = lambda n: F.concat_ws(".", *[(F.shiftright(n, k) % 256).cast("string") for k in (24, 16, 8, 0)])
+    key = F.col("n_nationkey")
+    nets = [
+        t.nation.select(F.concat(said(base + key * 8192), F.lit("/20")).alias("network"), key.cast("int").alias("place"), F.lit(20).alias("length")),
+        t.nation.select(F.concat(said(base + key * 8192 + 1024), F.lit("/22")).alias("network"), (key + 100).cast("int").alias("place"), F.lit(22).alias("length")),
+        t.region.limit(1).select(F.lit("10.0.0.0/8").alias("network"), F.lit(999).alias("place"), F.lit(8).alias("length")),
+    ]
+    users, gossip = t.events.select(said(base + F.col("user_id") * 977).alias("ip")), t.customer.select(said(base + F.col("c_custkey") * 331).alias("ip"))
+    found = geo.longest_prefix(geo.addresses([users, gossip]), nets[0].unionByName(nets[1]).unionByName(nets[2]))
+    return found.select(joins.ip_to_long(F.col("ip")).alias("ip"), "place", "length")
+
+
+SKETCH = """WITH v AS (SELECT link_pk, date_trunc('day', event_ts) AS day, CAST(round(rtt_us * 1000) AS BIGINT) AS v FROM latency WHERE NOT loss AND rtt_us > 0),
+low AS (SELECT link_pk, day, (v >> greatest(length(bin(v)) - 8, 0)) << greatest(length(bin(v)) - 8, 0) AS low FROM v)
+"""
+
+
+@query(SKETCH + "SELECT link_pk, count(*) AS n, quantile_disc(low, 0.5) / 1000.0::DOUBLE AS p50, quantile_disc(low, 0.9375) / 1000.0::DOUBLE AS p94 FROM low GROUP BY link_pk")
+def rtt_sketch_by_link(t):
+    """Daily sketches of round trips, merged over all days."""
+    good = t.latency.filter("NOT loss AND rtt_us > 0").withColumn("day", F.date_trunc("day", "event_ts"))
+    daily = sketches.sketch(good, ["link_pk", "day"], F.col("rtt_us"), scale=1000.0)
+    return sketches.quantiles(daily, ["link_pk"], {"p50": 0.5, "p94": 0.9375}, scale=1000.0)
+
+
+@query(SKETCH + "SELECT day, count(*) AS n, quantile_disc(low, 0.5) / 1000.0::DOUBLE AS p50, quantile_disc(low, 0.9375) / 1000.0::DOUBLE AS p94 FROM low GROUP BY day")
+def rtt_sketch_by_day(t):
+    """The same sketches, merged over all links."""
+    good = t.latency.filter("NOT loss AND rtt_us > 0").withColumn("day", F.date_trunc("day", "event_ts"))
+    daily = sketches.sketch(good, ["link_pk", "day"], F.col("rtt_us"), scale=1000.0)
+    return sketches.quantiles(daily, ["day"], {"p50": 0.5, "p94": 0.9375}, scale=1000.0)

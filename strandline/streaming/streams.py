@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.shared import durable, shared_dir
 
@@ -57,32 +59,46 @@ def sessions(stream: DataFrame, ts: str, delay: str, gap: str, key: str) -> Data
     return rows.select(key, F.col("w.start").alias("start_ts"), F.col("w.end").alias("end_ts"), "n")
 
 
+def _previous(key: str, order: list[str], value: str):
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """The rows of one key in a batch, in order, each with the last kept value before it; the key's own state goes on from there."""
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+        watermark = state.getCurrentWatermarkMs()
+        last, seen = state.get if state.exists else (None, -1)
+        if seen < watermark:
+            last = None  # run out, though rows came before the timeout did
+        kept = rows[value].where(rows["__keep"]).ffill()
+        previous = kept.shift(1)
+        if last is not None:
+            previous = previous.fillna(last)
+        yield rows[[key, *order, value]].assign(previous=previous)
+        now = kept.iloc[-1]
+        last = float(now) if pd.notna(now) else last
+        newest = int(rows["__seen"].max())
+        state.update((last, max(seen, newest)))
+        state.setTimeoutTimestamp(max(seen, newest, watermark + 1))
+
+    return run
+
+
 def with_previous(stream: DataFrame, key: str, order: list[str], value: str, keep: Column, *, ts: str, ttl: str, root: str) -> DataFrame:
     """(key, order, value, previous): the value of the key's last row before this one for which keep holds, over all batches.
 
-    State is a table of one row per key, written by each batch beside its rows; a key of which nothing came for `ttl` is dropped. Batch
-    numbers name the tables, so that a repeated batch overwrites its own. Rows of a batch are sorted by order; rows that come in
-    a later batch than their successors see the newer state, and belong to the backfill. No task holds a key in Python memory.
+    State is one value and one time for each key, in the stream's state store, of which a batch reads and writes its own keys alone. A key
+    of which nothing came for `ttl` runs out, by the watermark of ts. Rows of a batch are sorted by order; rows that come in a
+    later batch than their successors see the newer state, and belong to the backfill; rows older than `ttl` before the newest are
+    dropped. A task holds the rows of one key in one batch, which files_per_batch bounds. key must not be null.
     """
-    state_schema = f"{key} long, last double, seen timestamp"
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        state = spark.read.schema(state_schema).parquet(f"{root}/state/batch={number - 1}") if number else spark.createDataFrame([], state_schema)
-        rows = batch.select(F.col(key).cast("long").alias(key), *order, F.col(value).cast("double").alias(value), F.col(ts).alias("seen"), keep.alias("__keep"))
-        rows = durable(rows)
-        w = Window.partitionBy(key).orderBy(*order)
-        inside = F.last(F.when(F.col("__keep"), F.col(value)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        out = rows.withColumn("inside", inside).join(state.select(key, "last").hint("merge"), key, "left")
-        out.select(key, *order, value, F.coalesce("inside", "last").alias("previous")).write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
-        newest = rows.groupBy(key).agg(F.max_by(F.when(F.col("__keep"), F.col(value)), F.when(F.col("__keep"), F.struct(*order))).alias("now"), F.max("seen").alias("at"))
-        both = state.join(newest, key, "full").select(key, F.coalesce("now", "last").alias("last"), F.greatest("seen", "at").alias("seen"))
-        top = both.agg(F.max("seen").alias("top"))
-        kept = both.crossJoin(F.broadcast(top)).filter(F.col("seen") >= F.col("top") - F.expr(f"INTERVAL {ttl}"))  # one row
-        kept.select(key, "last", "seen").write.mode("overwrite").parquet(f"{root}/state/batch={number}")
-
-    apply_batches(stream, step, root=f"{root}/checkpoint")
-    return stream.sparkSession.read.option("basePath", f"{root}/rows").parquet(f"{root}/rows").drop("batch")
+    kinds = dict(stream.dtypes)
+    rows = stream.withWatermark(ts, ttl).select(
+        key, *order, *[c for c in (ts,) if c not in order], F.col(value).cast("double").alias(value), F.coalesce(keep, F.lit(False)).alias("__keep"), F.unix_millis(ts).alias("__seen")
+    )
+    out = ", ".join([f"{key} {kinds[key]}", *[f"{c} {kinds[c]}" for c in order], f"{value} double", "previous double"])
+    found = rows.filter(F.col(key).isNotNull()).groupBy(key).applyInPandasWithState(_previous(key, order, value), out, "last double, seen long", "append", GroupStateTimeout.EventTimeTimeout)
+    return run_available(found, root=root)
 
 
 def apply_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], *, root: str | None = None) -> None:
