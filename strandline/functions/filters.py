@@ -83,22 +83,24 @@ def time_range(preset: str | None = None, start: datetime | None = None, end: da
     return start, end, bucket or next((s for h, s in BUCKETS if hours <= h), BUCKETS[-1][1])
 
 
-def search(entities: list[tuple[str, DataFrame, str, str, list[str]]], text: str, n: int, order: str | None = None) -> DataFrame:
+def search(entities: list[tuple[str, DataFrame, str, str, list[str]]], text: str, n: int, order: dict[str, str] | None = None) -> DataFrame:
     """The first n rows of each kind that match all words, with the total of the kind.
 
-    entities: (kind, rows, id column, label column, searched columns). 'kind:words' searches one kind.
+    entities: (kind, rows, id column, label column, searched columns). 'kind:words' searches one kind. order: kinds whose rows come by
+    a column, the greatest first, before the label.
     """
+    order = order or {}
     scope, sep, rest = text.partition(":")
     kinds = [e[0] for e in entities]
     if sep and scope in kinds:
         entities, text = [e for e in entities if e[0] == scope], rest
     parts = [
-        df.filter(all_terms(columns, text)).select(F.lit(kind).alias("kind"), F.col(pk).cast("string").alias("pk"), F.col(label).alias("label"))
+        df.filter(all_terms(columns, text)).select(F.lit(kind).alias("kind"), F.col(pk).cast("string").alias("pk"), F.col(label).alias("label"), (F.col(order[kind]).cast("double") if kind in order else F.lit(0.0)).alias("weight"))
         for kind, df, pk, label, columns in entities
     ]
     found = reduce(DataFrame.unionByName, parts)
     w = Window.partitionBy("kind")
-    ranked = found.withColumn("n", F.row_number().over(w.orderBy("label", "pk")).cast("long")).withColumn("total", F.count("*").over(w))
+    ranked = found.withColumn("n", F.row_number().over(w.orderBy(F.col("weight").desc(), "label", "pk")).cast("long")).withColumn("total", F.count("*").over(w))
     return ranked.filter(F.col("n") <= n).select("kind", "pk", "label", "n", "total")
 
 

@@ -103,6 +103,31 @@ def hops_of(paths: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("running_metric", F.sum("metric").over(w))
 
 
+def link_figures(links: DataFrame, latency: DataFrame) -> DataFrame:
+    """(a, b, rtt_us, jitter_us, n_samples, bandwidth_bps, n_drained): what is known of the links between two nodes, in both directions.
+
+    links: link_pk, side_a, side_z, bandwidth_bps, status; latency: link_pk, rtt_us, loss, ipdv_us. Lost samples have no round trip.
+    """
+    good = latency.filter("NOT loss AND rtt_us > 0").groupBy("link_pk").agg(F.sum("rtt_us").alias("s"), F.count("*").alias("n"), F.sum("ipdv_us").alias("j"), F.count("ipdv_us").alias("nj"))
+    both = links.select("link_pk", F.col("side_a").alias("a"), F.col("side_z").alias("b"), "bandwidth_bps", "status")
+    both = both.unionByName(both.withColumns({"a": F.col("b"), "b": F.col("a")})).filter("a <> b").join(good, "link_pk", "left")
+    return both.groupBy("a", "b").agg(
+        (F.sum("s") / F.sum("n")).alias("rtt_us"), (F.sum("j") / F.nullif(F.sum("nj"), F.lit(0))).alias("jitter_us"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_samples"),
+        F.sum("bandwidth_bps").alias("bandwidth_bps"), F.count_if(F.col("status") != "activated").alias("n_drained"),
+    )
+
+
+def region_paths(edges: DataFrame, sources: DataFrame, regions: DataFrame, mode: str) -> DataFrame:
+    """(mode, from_region, to_region, cost, hops, path): the best path between any two nodes of two regions. mode: 'hops', 'latency' (least
+    metric) or 'bandwidth' (widest; cost is the width). regions: node, region."""
+    kind = {"hops": "hops", "latency": "metric", "bandwidth": "bottleneck"}[mode]
+    side = lambda c, n: regions.select(F.col("node").alias(c), F.col("region").alias(n))
+    rows = best_paths(edges, sources, cost=kind).join(side("src", "from_region"), "src").join(side("dst", "to_region"), "dst").filter("from_region <> to_region")
+    best = rows.groupBy("from_region", "to_region").agg(F.min(F.struct("cost", "hops", "path")).alias("p"))
+    cost = -F.col("p.cost") if mode == "bandwidth" else F.col("p.cost")
+    return best.select(F.lit(mode).alias("mode"), "from_region", "to_region", cost.alias("cost"), "p.hops", "p.path")
+
+
 def _prefix(path: Column, n: Column) -> Column:
     return F.slice(path, 1, n)
 

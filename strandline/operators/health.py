@@ -160,6 +160,14 @@ def interface_history(counters: DataFrame, *, bucket: str) -> DataFrame:
     )
 
 
+def jitter(latency: DataFrame) -> dict[str, Column]:
+    """Mean, 95th percentile and maximum of the change between samples, if latency has it (ipdv_us)."""
+    if "ipdv_us" not in latency.columns:
+        return {}
+    c = F.col("ipdv_us")
+    return {"avg_jitter_us": F.avg(c), "p95_jitter_us": F.percentile(c, F.lit(0.95)), "max_jitter_us": F.max(c)}
+
+
 def network_performance(latency: DataFrame, links: DataFrame, *, as_of: Column, lookback: str) -> DataFrame:
     """One row over WAN links; loss is counted before lost samples are left out."""
     wan = latency.filter((F.col("event_ts") <= as_of) & (F.col("event_ts") > as_of - F.expr(f"INTERVAL {lookback}"))).join(links.filter("link_type = 'WAN'").select("link_pk"), "link_pk", "left_semi")
@@ -167,7 +175,7 @@ def network_performance(latency: DataFrame, links: DataFrame, *, as_of: Column,
     good = F.when(~lost, F.col("rtt_us"))
     return wan.agg(
         F.avg(good).alias("avg_rtt_us"), F.percentile(good, F.lit(0.95)).alias("p95_rtt_us"), F.min(good).alias("min_rtt_us"), F.max(good).alias("max_rtt_us"),
-        ratio(F.count_if(lost) * 100.0, F.count("*")).alias("loss_pct"), F.count("*").alias("n"),
+        ratio(F.count_if(lost) * 100.0, F.count("*")).alias("loss_pct"), F.count("*").alias("n"), *[c.alias(k) for k, c in jitter(latency).items()],
     )
 
 
@@ -193,7 +201,8 @@ def overlay_vs_other(a: DataFrame, b: DataFrame) -> DataFrame:
         lost = is_lost(F.col("loss"), F.col("rtt_us"))
         good = F.when(~lost, F.col("rtt_us"))
         return df.groupBy(F.least("x", "y").alias("metro1"), F.greatest("x", "y").alias("metro2")).agg(
-            F.avg(good).alias(f"{name}_avg"), F.percentile(good, F.lit(0.95)).alias(f"{name}_p95"), (F.count_if(lost) * 100.0 / F.count("*")).alias(f"{name}_loss_pct"), F.count("*").alias(f"{name}_n")
+            F.avg(good).alias(f"{name}_avg"), F.percentile(good, F.lit(0.95)).alias(f"{name}_p95"), (F.count_if(lost) * 100.0 / F.count("*")).alias(f"{name}_loss_pct"), F.count("*").alias(f"{name}_n"),
+            *[c.alias(f"{name}_{k}") for k, c in jitter(df).items() if k == "avg_jitter_us"],
         )
 
     both = stats(a, "overlay").join(stats(b, "other"), ["metro1", "metro2"], "full")
@@ -215,14 +224,19 @@ def latency_series(latency: DataFrame, links: DataFrame, *, bucket: str, sub: st
     rows = latency.join(links.select("link_pk"), "link_pk", "left_semi").withColumn("bucket", F.date_trunc(bucket, "event_ts")).withColumn("sub", F.date_trunc(sub, "event_ts"))
     worst = rows.groupBy("link_pk", "bucket", "sub").agg((F.count_if(lost) * 100.0 / F.count("*")).alias("p")).groupBy("link_pk", "bucket").agg(F.max("p").alias("loss_pct"))
     stats = rows.groupBy("link_pk", "bucket").agg(
-        F.avg(good).alias("avg_rtt_us"), F.percentile(good, F.lit(0.95)).alias("p95_rtt_us"), F.avg(F.when(a_to_z, good)).alias("a_to_z_us"), F.avg(F.when(~a_to_z, good)).alias("z_to_a_us")
+        F.avg(good).alias("avg_rtt_us"), F.percentile(good, F.lit(0.95)).alias("p95_rtt_us"), F.avg(F.when(a_to_z, good)).alias("a_to_z_us"), F.avg(F.when(~a_to_z, good)).alias("z_to_a_us"),
+        *[c.alias(k) for k, c in jitter(rows).items()],
     )
     return stats.join(worst, ["link_pk", "bucket"])
 
 
-def historical_loss(latency: DataFrame, *, grain: str, least_pct: float) -> DataFrame:
-    lost = is_lost(F.col("loss"), F.col("rtt_us"))
-    rows = latency.groupBy("link_pk", F.date_trunc(grain, "event_ts").alias("bucket")).agg((F.count_if(lost) * 100.0 / F.count("*")).alias("loss_pct"), F.count("*").alias("n"))
+def historical_loss(latency: DataFrame, *, grain: str, least_pct: float, metros: DataFrame | None = None) -> DataFrame:
+    """Loss per link and bucket from least_pct on; or, with metros (link_pk, side_a, side_z), per pair of metros in either order."""
+    lost, by = is_lost(F.col("loss"), F.col("rtt_us")), ["link_pk"]
+    if metros is not None:
+        pairs = metros.select("link_pk", F.least("side_a", "side_z").alias("metro1"), F.greatest("side_a", "side_z").alias("metro2"))
+        latency, by = latency.join(pairs, "link_pk"), ["metro1", "metro2"]
+    rows = latency.groupBy(*by, F.date_trunc(grain, "event_ts").alias("bucket")).agg((F.count_if(lost) * 100.0 / F.count("*")).alias("loss_pct"), F.count("*").alias("n"))
     return rows.filter(F.col("loss_pct") >= least_pct)
 
 
@@ -274,7 +288,7 @@ def busiest_links(usage: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def non_activated(links: DataFrame, devices: DataFrame) -> DataFrame:
-    """Links and devices that are not activated; an activated link with a delay override counts as soft-drained."""
+    """Links and devices that are not activated; an activated link with a delay override counts as soft-drained. since: see alerts_since()."""
     state = F.when((F.col("status") == "activated") & (F.col("delay_override_ns") > 0), "soft-drained").otherwise(F.col("status"))
     feeds = [
         links.select(F.lit("link").alias("kind"), F.col("link_pk").alias("pk"), "code", state.alias("status")),
@@ -283,6 +297,13 @@ def non_activated(links: DataFrame, devices: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, feeds).filter("status <> 'activated'")
 
 
+def alerts_since(alerts: DataFrame, moves: DataFrame, limit: int | None = None) -> DataFrame:
+    """non_activated() with since, the newest change of each one's status, the newest first. moves: (kind, pk, at), see scd2.status_transitions()."""
+    newest = moves.groupBy("kind", "pk").agg(F.max("at").alias("since"))
+    rows = alerts.join(newest, ["kind", "pk"], "left").orderBy(F.col("since").desc_nulls_last(), "kind", "pk")
+    return rows if limit is None else rows.limit(limit)
+
+
 def latency_history_pair(overlay: DataFrame, other: DataFrame, *, start: Column, end: Column, bucket: str, spark_frame: DataFrame) -> DataFrame:
     """A row for every bucket, with the means of both networks where they have samples. spark_frame: any frame of one row."""
 

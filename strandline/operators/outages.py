@@ -106,5 +106,21 @@ def outage_report(*feeds: DataFrame) -> DataFrame:
     return out.withColumn("ongoing", F.col("end_ts").isNull())
 
 
+def for_items(report: DataFrame, links: DataFrame, *, metro: int | None = None, link: int | None = None, contributor: int | None = None, device: int | None = None, ends: DataFrame | None = None) -> DataFrame:
+    """The report with each link's code, for links of a metro, link, contributor or device; all filters that are given hold.
+
+    links: link_pk, code, side_a, side_z, contributor_pk. ends: (link_pk, device_pk), the devices of links, asked for by `device` alone.
+    """
+    if metro is not None:
+        links = links.filter((F.col("side_a") == metro) | (F.col("side_z") == metro))
+    if link is not None:
+        links = links.filter(F.col("link_pk") == link)
+    if contributor is not None:
+        links = links.filter(F.col("contributor_pk") == contributor)
+    if device is not None:
+        links = links.join(ends.filter(F.col("device_pk") == device).select("link_pk").distinct(), "link_pk", "left_semi")
+    return report.join(links.select("link_pk", "code"), "link_pk").select("kind", "link_pk", "code", "start_ts", "end_ts", "ongoing")
+
+
 def outage_counts(report: DataFrame) -> DataFrame:
     return report.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("ongoing").alias("n_ongoing"), F.count_distinct("link_pk").alias("n_links"))

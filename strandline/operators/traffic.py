@@ -36,13 +36,23 @@ def total_throughput(counters: DataFrame) -> DataFrame:
     return per.agg(F.sum("in_bps").alias("in_bps"), F.sum("out_bps").alias("out_bps"), F.count("*").alias("n_interfaces"))
 
 
-def stress(counters: DataFrame, bandwidth: DataFrame, dims: DataFrame, *, group: str, bucket: str, threshold: float) -> DataFrame:
-    """Per bucket and group: percentiles of the peak use of interfaces, in and out apart, and how many are over the threshold.
+def stress(counters: DataFrame, bandwidth: DataFrame, dims: DataFrame, *, group: str, bucket: str, threshold: float, metric: str = "utilization") -> DataFrame:
+    """Per bucket and group: percentiles of the peak of interfaces, in and out apart, and how many are over the threshold.
 
-    Interfaces are reduced to one row per bucket before the dimensions are joined.
+    metric: 'utilization' in percent of the bandwidth, 'throughput' in bits, or 'packets', per second. Interfaces are reduced to one row per
+    bucket before the dimensions are joined.
     """
-    per = interface_rates(counters, ["device_pk", "intf", "link_pk"], bucket).join(bandwidth, "link_pk").join(dims, "device_pk")
-    used = per.select("bucket", group, ratio(F.col("peak_in_bps") * 100, F.col("bandwidth_bps")).alias("i"), ratio(F.col("peak_out_bps") * 100, F.col("bandwidth_bps")).alias("o"))
+    if metric not in ("utilization", "throughput", "packets"):
+        raise ValueError(metric)
+    keys = ["device_pk", "intf", "link_pk"]
+    if metric == "packets":
+        peak = lambda c: F.max(ratio(F.col(c), F.col("seconds")))
+        per = valid(counters).groupBy(*keys, F.date_trunc(bucket, "event_ts").alias("bucket")).agg(peak("in_packets").alias("i"), peak("out_packets").alias("o"))
+    else:
+        per = interface_rates(counters, keys, bucket).withColumns({"i": F.col("peak_in_bps"), "o": F.col("peak_out_bps")})
+    if metric == "utilization":
+        per = per.join(bandwidth, "link_pk").withColumns({c: ratio(F.col(c) * 100, F.col("bandwidth_bps")) for c in ("i", "o")})
+    used = per.join(dims, "device_pk").select("bucket", group, "i", "o")
     p = lambda c, q: F.percentile(c, F.lit(q))
     return used.groupBy("bucket", group).agg(
         p("i", 0.5).alias("p50_in"), p("i", 0.95).alias("p95_in"), F.max("i").alias("max_in"), p("o", 0.5).alias("p50_out"), p("o", 0.95).alias("p95_out"), F.max("o").alias("max_out"),
@@ -57,6 +67,48 @@ def top(counters: DataFrame, by: list[str], *, bucket: str, k: int, metric: str
     return found.orderBy(F.col(metric).desc(), *by).limit(k)
 
 
+def headroom(counters: DataFrame, bandwidth: DataFrame, *, bucket: str, k: int) -> DataFrame:
+    """The k interfaces with the least room left at their busiest bucket, with the 95th percentile of their use. bandwidth: (link_pk, bandwidth_bps)."""
+    busy = interface_rates(counters, ["device_pk", "intf", "link_pk"], bucket).withColumn("bps", F.greatest("in_bps", "out_bps")).join(bandwidth, "link_pk")
+    use = ratio(F.col("bps") * 100, F.col("bandwidth_bps"))
+    found = busy.groupBy("device_pk", "intf", "link_pk").agg(F.max("bps").alias("max_bps"), F.percentile(use, F.lit(0.95)).alias("p95_pct"), F.first("bandwidth_bps").alias("bandwidth_bps"))
+    rows = found.withColumn("headroom_bps", F.col("bandwidth_bps") - F.col("max_bps"))
+    return rows.orderBy("headroom_bps", "device_pk", "intf", "link_pk").limit(k)
+
+
+def burstiness_of_use(counters: DataFrame, bandwidth: DataFrame, *, bucket: str, least_pct: float) -> DataFrame:
+    """(device_pk, intf, p50_pct, p99_pct, spread_pct): how far the 99th percentile of use lies above the median, from least_pct on."""
+    rates = interface_rates(counters, ["device_pk", "intf", "link_pk"], bucket).join(bandwidth, "link_pk")
+    use = ratio(F.greatest("in_bps", "out_bps") * 100, F.col("bandwidth_bps"))
+    found = rates.groupBy("device_pk", "intf").agg(F.percentile(use, F.lit(0.5)).alias("p50_pct"), F.percentile(use, F.lit(0.99)).alias("p99_pct"))
+    return found.withColumn("spread_pct", F.col("p99_pct") - F.col("p50_pct")).filter(F.col("spread_pct") >= least_pct)
+
+
+def item_rates(counters: DataFrame, kind: str, item, bucket: str) -> DataFrame:
+    """(bucket, rates, packets per second) of one link, device or tunnel; those of a device are sums of its interfaces' rates."""
+    column = {"link": "link_pk", "device": "device_pk", "tunnel": "tunnel_id"}[kind]
+    per = packet_rates(counters.filter(F.col(column) == item), ["device_pk", "intf"], bucket)
+    return per.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("in_bps", "out_bps", "in_pps", "out_pps")])
+
+
+def packet_rates(counters: DataFrame, by: list[str], bucket: str) -> DataFrame:
+    """Mean bits and packets per second of each key and bucket."""
+    per = lambda c: ratio(F.sum(c), F.sum("seconds"))
+    return valid(counters).groupBy(*by, F.date_trunc(bucket, "event_ts").alias("bucket")).agg(
+        (per("in_octets") * 8).alias("in_bps"), (per("out_octets") * 8).alias("out_bps"), per("in_packets").alias("in_pps"), per("out_packets").alias("out_pps")
+    )
+
+
+def interface_issues(counters: DataFrame, devices: DataFrame, links: DataFrame, *, start: Column) -> DataFrame:
+    """Interfaces with errors, FCS errors, discards or carrier changes since a time: sums, first and last sight, and device and link by name."""
+    kinds = ("errors", "fcs", "discards", "carrier")
+    bad = F.when(F.greatest(*kinds) > 0, F.col("event_ts"))
+    rows = counters.filter(F.col("event_ts") >= start).groupBy("device_pk", "intf", "link_pk")
+    found = rows.agg(*[clamped_sum(F.col(c)).alias(c) for c in kinds], F.min(bad).alias("first_seen"), F.max(bad).alias("last_seen")).filter(F.greatest(*kinds) > 0)
+    names = devices.select("device_pk", F.col("code").alias("device")), links.select("link_pk", F.col("code").alias("link"))
+    return found.join(names[0], "device_pk", "left").join(names[1], "link_pk", "left")
+
+
 def burstiness(counters: DataFrame, by: list[str], *, bucket: str, threshold_bps: float, least_bps: float) -> DataFrame:
     """p99 over p50 less 1, share of buckets over the threshold, and the direction and bucket of the peak."""
     rates = interface_rates(counters, by, bucket).withColumn("bps", F.greatest("in_bps", "out_bps"))
@@ -68,8 +120,10 @@ def burstiness(counters: DataFrame, by: list[str], *, bucket: str, threshold_bps
 
 
 def health_rank(counters: DataFrame, by: list[str], k: int) -> DataFrame:
-    sums = counters.groupBy(*by).agg(*[clamped_sum(F.col(c)).alias(c) for c in ("errors", "discards", "carrier")])
-    total = F.col("errors") + F.col("discards") + F.col("carrier")
+    """The k interfaces with the most errors, FCS errors, discards and carrier changes."""
+    kinds = [c for c in ("errors", "fcs", "discards", "carrier") if c in counters.columns]
+    sums = counters.groupBy(*by).agg(*[clamped_sum(F.col(c)).alias(c) for c in kinds])
+    total = sum((F.col(c) for c in kinds), F.lit(0).cast("long"))
     return sums.withColumn("total", total).filter("total > 0").orderBy(F.col("total").desc(), *by).limit(k)
 
 

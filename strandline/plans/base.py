@@ -23,6 +23,9 @@ VIEWS = {
     # events as latency samples of links
     "latency": """SELECT ts AS event_ts, user_id AS link_pk, event_id AS sample_index, CASE WHEN event_type = 'error' THEN CAST(0 AS DOUBLE) ELSE value END AS rtt_us,
         event_type = 'error' AS loss, event_id % 2 AS direction FROM {events}""",
+    # the same with the change from the link's sample before, where both came through
+    "jittered": """SELECT *, CASE WHEN rtt_us > 0 AND NOT loss AND was > 0 THEN abs(rtt_us - was) END AS ipdv_us
+        FROM (SELECT *, lag(rtt_us) OVER (PARTITION BY link_pk ORDER BY event_ts, sample_index) AS was FROM {latency}) j""",
     # customers as links: nation and region of both sides, what was promised and whether they are drained
     "links": """SELECT c_custkey AS link_pk, c_name AS code, c_nationkey AS side_a, CAST((c_nationkey + c_custkey) % 25 AS INT) AS side_z,
         CAST(100 + c_custkey % 150 AS DOUBLE) AS committed_rtt_us, CAST(1000 * (1 + c_custkey % 10) AS DOUBLE) AS bandwidth_bps,
@@ -35,7 +38,8 @@ VIEWS = {
     "counters": """SELECT l_shipdate AS event_ts, l_suppkey AS device_pk, CAST(l_linenumber AS STRING) AS intf, l_partkey AS link_pk,
         l_quantity * 1000 AS in_octets, l_quantity * (1 + l_linenumber) * 100 AS out_octets, CAST(1 + l_linenumber AS DOUBLE) AS seconds,
         CASE WHEN l_returnflag = 'R' THEN CAST(l_linenumber AS BIGINT) ELSE CAST(0 AS BIGINT) END AS errors, CASE WHEN l_discount >= 0.09 THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS discards,
-        CASE WHEN l_tax > 0.07 THEN CAST(-1 AS BIGINT) ELSE CAST(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS BIGINT) END AS carrier FROM {lineitem}""",
+        CASE WHEN l_tax > 0.07 THEN CAST(-1 AS BIGINT) ELSE CAST(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS BIGINT) END AS carrier,
+        CASE WHEN l_returnflag = 'A' THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS fcs, l_quantity * 2 AS in_packets, l_quantity AS out_packets, 500 + l_linenumber AS tunnel_id FROM {lineitem}""",
     # customers as validators
     "validators": """SELECT c_custkey AS node, c_name AS vote_pubkey, c_nationkey AS metro_pk, greatest(c_acctbal, CAST(0 AS DOUBLE)) AS stake, c_mktsegment AS kind FROM {customer}""",
     # routes from a supplier's nation to a customer's, as a network

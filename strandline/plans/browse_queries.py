@@ -53,13 +53,19 @@ def search_entities(t):
 @query(
     """WITH hits AS (SELECT 'link' AS kind, CAST(link_pk AS VARCHAR) AS pk, code AS label FROM links WHERE contains(lower(code || ' ' || status || ' ' || link_type), '1')
   UNION ALL SELECT 'device', CAST(device_pk AS VARCHAR), code FROM devices WHERE contains(lower(code), '1') UNION ALL SELECT 'metro', CAST(metro_pk AS VARCHAR), code FROM metros WHERE contains(lower(code), '1')
-  UNION ALL SELECT 'validator', CAST(node AS VARCHAR), vote_pubkey FROM validators WHERE stake > 0 AND contains(lower(vote_pubkey), '1') UNION ALL SELECT 'gossip', CAST(node AS VARCHAR), vote_pubkey FROM validators WHERE contains(lower(vote_pubkey), '1'))
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY label, pk) AS n, count(*) OVER (PARTITION BY kind) AS total FROM hits) WHERE n <= 10"""
+  UNION ALL SELECT 'validator', CAST(node AS VARCHAR), vote_pubkey FROM validators WHERE stake > 0 AND contains(lower(vote_pubkey), '1') UNION ALL SELECT 'gossip', CAST(node AS VARCHAR), vote_pubkey FROM validators WHERE contains(lower(vote_pubkey), '1')
+  UNION ALL SELECT 'contributor', CAST(s_suppkey AS VARCHAR), s_name FROM supplier WHERE contains(lower(s_name), '1') UNION ALL SELECT 'user', CAST(user_pk AS VARCHAR), 'user ' || user_pk FROM (SELECT DISTINCT user_pk, address FROM user_versions) WHERE contains('user ' || user_pk || ' ' || address, '1')
+  UNION ALL SELECT 'multicast_group', CAST(p_partkey AS VARCHAR), p_name FROM part WHERE contains(lower(p_name || ' ' || p_brand), '1'))
+SELECT kind, pk, label, n, total FROM (SELECT h.*, row_number() OVER (PARTITION BY h.kind ORDER BY CASE WHEN h.kind = 'validator' THEN v.stake ELSE 0 END DESC, label, pk) AS n, count(*) OVER (PARTITION BY h.kind) AS total
+  FROM hits h LEFT JOIN validators v ON h.kind = 'validator' AND CAST(v.node AS VARCHAR) = h.pk) WHERE n <= 10"""
 )
 def search_network(t):
     staked = t.validators.filter("stake > 0")
     kinds = [("link", t.links, "link_pk", "code", ["code", "status", "link_type"]), ("device", t.devices, "device_pk", "code", ["code"]), ("metro", t.metros, "metro_pk", "code", ["code"])]
-    return f.search([*kinds, ("validator", staked, "node", "vote_pubkey", ["vote_pubkey"]), ("gossip", t.validators, "node", "vote_pubkey", ["vote_pubkey"])], "1", 10)
+    kinds += [("validator", staked, "node", "vote_pubkey", ["vote_pubkey"]), ("gossip", t.validators, "node", "vote_pubkey", ["vote_pubkey"]), ("contributor", t.supplier, "s_suppkey", "s_name", ["s_name"])]
+    users = t.user_versions.select("user_pk", "address").distinct().withColumn("label", F.concat(F.lit("user "), F.col("user_pk").cast("string")))
+    kinds += [("user", users, "user_pk", "label", ["label", "address"]), ("multicast_group", t.part, "p_partkey", "p_name", ["p_name", "p_brand"])]
+    return f.search(kinds, "1", 10, order={"validator": "stake"})
 
 
 @query("SELECT DISTINCT p_brand AS value FROM part WHERE p_size > 20 ORDER BY 1 LIMIT 100")

@@ -108,15 +108,26 @@ def widest_path(t):
     return graph.best_paths(_edges(t), _nodes(t), cost="bottleneck").filter("src <> dst").select("src", "dst", (-F.col("cost")).alias("width"))
 
 
+FIGURES = """, figures AS (SELECT a, b, sum(s) / sum(n) AS rtt_us, sum(j) / nullif(sum(nj), 0) AS jitter_us, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_samples, sum(bandwidth_bps) AS bandwidth_bps, count(*) FILTER (status <> 'activated') AS n_drained
+  FROM (SELECT link_pk, side_a AS a, side_z AS b, bandwidth_bps, status FROM links UNION ALL SELECT link_pk, side_z, side_a, bandwidth_bps, status FROM links) LEFT JOIN
+  (SELECT link_pk, sum(rtt_us) AS s, count(*) AS n, sum(ipdv_us) AS j, count(ipdv_us) AS nj FROM jittered WHERE NOT loss AND rtt_us > 0 GROUP BY 1) USING (link_pk) WHERE a <> b GROUP BY a, b),
+hops AS (SELECT b.src, b.dst, i - 1 AS hop, p[3][i] AS a, p[3][i + 1] AS b FROM best b, range(1, len(p[3])) r(i))
+"""
+
+
 @query(
     BEST
-    + """, hops AS (SELECT b.src, b.dst, i - 1 AS hop, p[3][i] AS a, p[3][i + 1] AS b FROM best b, range(1, len(p[3])) r(i))
-SELECT h.src, h.dst, h.hop, h.a, h.b, g.metric, CAST(sum(g.metric) OVER (PARTITION BY h.src, h.dst ORDER BY h.hop) AS BIGINT) AS running_metric FROM hops h JOIN g ON g.src = h.a AND g.dst = h.b"""
+    + FIGURES
+    + """SELECT h.src, h.dst, h.hop, h.a, h.b, g.metric, CAST(sum(g.metric) OVER (PARTITION BY h.src, h.dst ORDER BY h.hop) AS BIGINT) AS running_metric, round(rtt_us, 6) AS rtt_us, round(jitter_us, 6) AS jitter_us, f.bandwidth_bps, coalesce(n_drained, 0) AS n_drained
+FROM hops h JOIN g ON g.src = h.a AND g.dst = h.b LEFT JOIN figures f ON f.a = h.a AND f.b = h.b"""
 )
 def explain_route(t):
     e = _edges(t)
-    rows = graph.hops_of(graph.best_paths(e, _nodes(t)), e, ["src", "dst"])
-    return rows.select("src", "dst", F.col("hop").cast("long").alias("hop"), "a", "b", "metric", "running_metric")
+    rows = graph.hops_of(graph.best_paths(e, _nodes(t)), e, ["src", "dst"]).join(graph.link_figures(t.links, t.jittered), ["a", "b"], "left")
+    return rows.select(
+        "src", "dst", F.col("hop").cast("long").alias("hop"), "a", "b", "metric", "running_metric", F.round("rtt_us", 6).alias("rtt_us"), F.round("jitter_us", 6).alias("jitter_us"),
+        "bandwidth_bps", F.coalesce("n_drained", F.lit(0)).alias("n_drained"),
+    )
 
 
 @query()  # SQL would have to list all simple paths; tests compare with that on a small graph
@@ -126,17 +137,25 @@ def k_shortest_paths(t):
     return rows.select("src", "dst", F.col("n").cast("long").alias("n"), "cost", "hops", _text("path").alias("path"))
 
 
-@query(
-    BEST
-    + """, hops AS (SELECT b.src, b.dst, p[3][i] AS a, p[3][i + 1] AS b FROM best b, range(1, len(p[3])) r(i)),
-rtt AS (SELECT link_pk % 25 AS a, avg(rtt_us) AS rtt, count(*) AS n FROM latency WHERE rtt_us > 0 GROUP BY 1)
-SELECT src, dst, round(sum(rtt), 6) AS rtt_us, min(n) AS min_samples, count(*) AS n_hops FROM hops LEFT JOIN rtt USING (a) GROUP BY ALL"""
-)
+@query(BEST + FIGURES + "SELECT src, dst, round(sum(rtt_us), 6) AS rtt_us, min(coalesce(n_samples, 0)) AS min_samples, count(*) AS n_hops, count(rtt_us) AS n_measured FROM hops LEFT JOIN figures USING (a, b) GROUP BY src, dst")
 def path_measured_latency(t):
     e = _edges(t)
-    rtt = t.latency.filter("rtt_us > 0").groupBy((F.col("link_pk") % 25).cast("int").alias("a")).agg(F.avg("rtt_us").alias("rtt"), F.count("*").alias("n"))
-    hops = graph.hops_of(graph.best_paths(e, _nodes(t)), e, ["src", "dst"]).join(rtt, "a", "left")
-    return hops.groupBy("src", "dst").agg(F.round(F.sum("rtt"), 6).alias("rtt_us"), F.min("n").alias("min_samples"), F.count("*").alias("n_hops"))
+    hops = graph.hops_of(graph.best_paths(e, _nodes(t)), e, ["src", "dst"]).join(graph.link_figures(t.links, t.jittered), ["a", "b"], "left")
+    sums = hops.groupBy("src", "dst").agg(F.sum("rtt_us").alias("rtt_us"), F.min(F.coalesce("n_samples", F.lit(0))).alias("min_samples"), F.count("*").alias("n_hops"), F.count("rtt_us").alias("n_measured"))
+    return sums.withColumn("rtt_us", F.round("rtt_us", 6))
+
+
+@query(
+    BEST + ", " + HOPS + ", " + WIDE
+    + f""", modes AS (SELECT 'latency' AS mode, src, dst, p FROM best UNION ALL SELECT 'hops', src, dst, p FROM few UNION ALL SELECT 'bandwidth', src, dst, p FROM wide),
+ranked AS (SELECT mode, a.n_regionkey AS from_region, b.n_regionkey AS to_region, p, row_number() OVER (PARTITION BY mode, a.n_regionkey, b.n_regionkey ORDER BY p) AS n FROM modes JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst WHERE a.n_regionkey <> b.n_regionkey)
+SELECT mode, from_region, to_region, CASE WHEN mode = 'bandwidth' THEN -p[1] ELSE p[1] END AS cost, p[2] AS hops, {PATH_TEXT} AS path FROM ranked WHERE n = 1"""
+)
+def metro_path_modes(t):
+    e, n, r = _edges(t), _nodes(t), _regions(t)
+    rows = [graph.region_paths(e, n, r, mode) for mode in ("hops", "latency", "bandwidth")]
+    both = rows[0].unionByName(rows[1]).unionByName(rows[2])
+    return both.select("mode", "from_region", "to_region", "cost", "hops", _text("path").alias("path"))
 
 
 @query(
@@ -240,25 +259,27 @@ def removal_impact(t):
     return _impact(t, cases, e).select(F.col("scenario").alias("link"), "n_cut", "n_longer", "added_cost")
 
 
-CRITICAL = """WITH deg AS (SELECT node, count(DISTINCT other) AS n FROM (SELECT src AS node, dst AS other FROM edges UNION ALL SELECT dst, src FROM edges) GROUP BY node),
-pairs AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS z FROM edges),
+CRITICAL = """WITH deg AS (SELECT node, count(DISTINCT other) AS n FROM (SELECT src AS node, dst AS other FROM mesh UNION ALL SELECT dst, src FROM mesh) GROUP BY node),
+pairs AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS z FROM mesh),
+places AS (SELECT c_custkey AS node, c_nationkey AS region FROM customer UNION ALL SELECT -s_suppkey, s_nationkey FROM supplier),
 crit AS (SELECT a, z, x.n AS a_degree, y.n AS z_degree, CASE least(x.n, y.n) WHEN 1 THEN 'critical' WHEN 2 THEN 'important' ELSE 'redundant' END AS state FROM pairs JOIN deg x ON x.node = a JOIN deg y ON y.node = z)
 """
 
 
 @query(CRITICAL + "SELECT * FROM crit")
 def critical_links(t):
-    return graph.critical_links(durable(t.edges))
+    return graph.critical_links(durable(t.mesh))
 
 
 @query(
     CRITICAL
     + """SELECT 'leaf' AS kind, CAST(node AS VARCHAR) AS name, 'critical' AS severity FROM deg WHERE n = 1 UNION ALL SELECT 'link', a || '-' || z, 'critical' FROM crit WHERE state = 'critical'
-UNION ALL SELECT 'region', CAST(x.n_regionkey AS VARCHAR), 'warning' FROM (SELECT a, z FROM pairs UNION ALL SELECT z, a FROM pairs) p JOIN nation x ON x.n_nationkey = a JOIN nation y ON y.n_nationkey = z
-WHERE x.n_regionkey <> y.n_regionkey GROUP BY x.n_regionkey HAVING count(DISTINCT a) = 1"""
+UNION ALL SELECT 'region', CAST(x.region AS VARCHAR), 'warning' FROM (SELECT a, z FROM pairs UNION ALL SELECT z, a FROM pairs) p JOIN places x ON x.node = a JOIN places y ON y.node = z
+WHERE x.region <> y.region GROUP BY x.region HAVING count(DISTINCT a) = 1"""
 )
 def redundancy_report(t):
-    return graph.redundancy(durable(t.edges), _regions(t))
+    regions = t.customer.select(F.col("c_custkey").alias("node"), F.col("c_nationkey").alias("region")).unionByName(t.supplier.select((-F.col("s_suppkey")).alias("node"), F.col("s_nationkey").alias("region")))
+    return graph.redundancy(durable(t.mesh), regions)
 
 
 @query(

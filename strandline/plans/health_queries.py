@@ -150,12 +150,12 @@ def device_interface_history(t):
 
 @query(
     """SELECT round(avg(rtt_us) FILTER (NOT lost), 6) AS avg_rtt_us, round(quantile_cont(rtt_us, 0.95) FILTER (NOT lost), 6) AS p95_rtt_us, min(rtt_us) FILTER (NOT lost) AS min_rtt_us, max(rtt_us) FILTER (NOT lost) AS max_rtt_us,
-  round(count(*) FILTER (lost) * 100.0::DOUBLE / count(*), 6) AS loss_pct, count(*) AS n
-FROM (SELECT *, loss OR rtt_us = 0 AS lost FROM latency WHERE event_ts <= TIMESTAMP '2024-01-30' AND event_ts > TIMESTAMP '2024-01-20' AND link_pk IN (SELECT link_pk FROM links WHERE link_type = 'WAN'))"""
+  round(count(*) FILTER (lost) * 100.0::DOUBLE / count(*), 6) AS loss_pct, count(*) AS n, round(avg(ipdv_us), 6) AS avg_jitter_us, round(quantile_cont(ipdv_us, 0.95), 6) AS p95_jitter_us, max(ipdv_us) AS max_jitter_us
+FROM (SELECT *, loss OR rtt_us = 0 AS lost FROM jittered WHERE event_ts <= TIMESTAMP '2024-01-30' AND event_ts > TIMESTAMP '2024-01-20' AND link_pk IN (SELECT link_pk FROM links WHERE link_type = 'WAN'))"""
 )
 def network_performance(t):
-    rows = health.network_performance(t.latency, t.links, as_of=ts(AS_OF), lookback="10 DAYS")
-    return R4(rows, "avg_rtt_us", "p95_rtt_us", "loss_pct")
+    rows = health.network_performance(t.jittered, t.links, as_of=ts(AS_OF), lookback="10 DAYS")
+    return R4(rows, "avg_rtt_us", "p95_rtt_us", "loss_pct", "avg_jitter_us", "p95_jitter_us")
 
 
 @query(
@@ -167,18 +167,18 @@ def issue_since(t):
     return health.issue_since(t.latency, as_of=ts(AS_OF), lookback="20 DAYS", bucket="day")
 
 
-PAIRS = """WITH samples AS (SELECT l.event_ts, k.side_a AS x, k.side_z AS y, l.rtt_us, l.loss, e.event_type FROM latency l JOIN links k USING (link_pk) JOIN events e ON e.event_id = l.sample_index WHERE k.side_a <> k.side_z),
+PAIRS = """WITH samples AS (SELECT l.event_ts, k.side_a AS x, k.side_z AS y, l.rtt_us, l.loss, l.ipdv_us, e.event_type FROM jittered l JOIN links k USING (link_pk) JOIN events e ON e.event_id = l.sample_index WHERE k.side_a <> k.side_z),
 agg AS (SELECT least(x, y) AS metro1, greatest(x, y) AS metro2, event_type = 'click' AS overlay, avg(rtt_us) FILTER (NOT loss AND rtt_us > 0) AS a, quantile_cont(rtt_us, 0.95) FILTER (NOT loss AND rtt_us > 0) AS p,
-  count(*) FILTER (loss OR rtt_us = 0) * 100.0::DOUBLE / count(*) AS l, count(*) AS n FROM samples WHERE event_type IN ('click', 'view') GROUP BY ALL),
-pairs AS (SELECT coalesce(o.metro1, i.metro1) AS metro1, coalesce(o.metro2, i.metro2) AS metro2, o.a AS overlay_avg, o.p AS overlay_p95, o.l AS overlay_loss_pct, o.n AS overlay_n, i.a AS other_avg, i.p AS other_p95, i.l AS other_loss_pct, i.n AS other_n,
+  count(*) FILTER (loss OR rtt_us = 0) * 100.0::DOUBLE / count(*) AS l, count(*) AS n, avg(ipdv_us) AS j FROM samples WHERE event_type IN ('click', 'view') GROUP BY ALL),
+pairs AS (SELECT coalesce(o.metro1, i.metro1) AS metro1, coalesce(o.metro2, i.metro2) AS metro2, o.a AS overlay_avg, o.p AS overlay_p95, o.l AS overlay_loss_pct, o.n AS overlay_n, i.a AS other_avg, i.p AS other_p95, i.l AS other_loss_pct, i.n AS other_n, o.j AS overlay_avg_jitter_us, i.j AS other_avg_jitter_us,
   (i.a - o.a) * 100 / i.a AS improvement_pct FROM (SELECT * FROM agg WHERE overlay) o FULL JOIN (SELECT * FROM agg WHERE NOT overlay) i ON o.metro1 = i.metro1 AND o.metro2 = i.metro2)
 """
 
 
 def _samples(t):
     kind = t.events.select(F.col("event_id").alias("sample_index"), "event_type")
-    rows = t.latency.join(t.links, "link_pk").filter("side_a <> side_z").join(kind, "sample_index")
-    return rows.select("event_ts", F.col("side_a").alias("x"), F.col("side_z").alias("y"), "rtt_us", "loss", "event_type")
+    rows = t.jittered.join(t.links, "link_pk").filter("side_a <> side_z").join(kind, "sample_index")
+    return rows.select("event_ts", F.col("side_a").alias("x"), F.col("side_z").alias("y"), "rtt_us", "loss", "ipdv_us", "event_type")
 
 
 def _pairs(t):
@@ -186,7 +186,7 @@ def _pairs(t):
     return health.overlay_vs_other(rows.filter("event_type = 'click'"), rows.filter("event_type = 'view'"))
 
 
-NUMBERS = ("overlay_avg", "overlay_p95", "overlay_loss_pct", "other_avg", "other_p95", "other_loss_pct", "improvement_pct")
+NUMBERS = ("overlay_avg", "overlay_p95", "overlay_loss_pct", "other_avg", "other_p95", "other_loss_pct", "improvement_pct", "overlay_avg_jitter_us", "other_avg_jitter_us")
 
 
 @query(PAIRS + f"SELECT * REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in NUMBERS)}) FROM pairs")
@@ -213,13 +213,13 @@ def latency_history_pair(t):
 
 
 @query(
-    """WITH rows AS (SELECT *, loss OR rtt_us = 0 AS lost, date_trunc('week', event_ts) AS bucket, date_trunc('day', event_ts) AS sub FROM latency WHERE link_pk IN (SELECT link_pk FROM links)),
+    """WITH rows AS (SELECT *, loss OR rtt_us = 0 AS lost, date_trunc('week', event_ts) AS bucket, date_trunc('day', event_ts) AS sub FROM jittered WHERE link_pk IN (SELECT link_pk FROM links)),
 worst AS (SELECT link_pk, bucket, max(p) AS loss_pct FROM (SELECT link_pk, bucket, sub, count(*) FILTER (lost) * 100.0::DOUBLE / count(*) AS p FROM rows GROUP BY ALL) GROUP BY ALL)
 SELECT link_pk, bucket, round(avg(rtt_us) FILTER (NOT lost), 6) AS avg_rtt_us, round(quantile_cont(rtt_us, 0.95) FILTER (NOT lost), 6) AS p95_rtt_us, round(avg(rtt_us) FILTER (NOT lost AND direction = 0), 6) AS a_to_z_us,
-  round(avg(rtt_us) FILTER (NOT lost AND direction = 1), 6) AS z_to_a_us, round(any_value(loss_pct), 6) AS loss_pct FROM rows JOIN worst USING (link_pk, bucket) GROUP BY link_pk, bucket"""
+  round(avg(rtt_us) FILTER (NOT lost AND direction = 1), 6) AS z_to_a_us, round(any_value(loss_pct), 6) AS loss_pct, round(avg(ipdv_us), 6) AS avg_jitter_us, round(quantile_cont(ipdv_us, 0.95), 6) AS p95_jitter_us, max(ipdv_us) AS max_jitter_us FROM rows JOIN worst USING (link_pk, bucket) GROUP BY link_pk, bucket"""
 )
 def link_latency_series(t):
-    return R4(health.latency_series(t.latency, t.links, bucket="week", sub="day"), "avg_rtt_us", "p95_rtt_us", "a_to_z_us", "z_to_a_us", "loss_pct")
+    return R4(health.latency_series(t.jittered, t.links, bucket="week", sub="day"), "avg_rtt_us", "p95_rtt_us", "a_to_z_us", "z_to_a_us", "loss_pct", "avg_jitter_us", "p95_jitter_us")
 
 
 @query("SELECT link_pk, date_trunc('day', event_ts) AS bucket, round(count(*) FILTER (loss OR rtt_us = 0) * 100.0::DOUBLE / count(*), 6) AS loss_pct, count(*) AS n FROM latency GROUP BY ALL HAVING count(*) FILTER (loss OR rtt_us = 0) * 100.0 / count(*) >= 1")
@@ -227,6 +227,28 @@ def historical_loss(t):
     return R4(health.historical_loss(t.latency, grain="day", least_pct=1.0), "loss_pct")
 
 
+@query(
+    """SELECT least(side_a, side_z) AS metro1, greatest(side_a, side_z) AS metro2, date_trunc('day', event_ts) AS bucket, round(count(*) FILTER (loss OR rtt_us = 0) * 100.0::DOUBLE / count(*), 6) AS loss_pct, count(*) AS n
+FROM latency JOIN links USING (link_pk) GROUP BY ALL HAVING count(*) FILTER (loss OR rtt_us = 0) * 100.0 / count(*) >= 1"""
+)
+def historical_loss_metros(t):
+    return R4(health.historical_loss(t.latency, grain="day", least_pct=1.0, metros=t.links), "loss_pct")
+
+
+@query(
+    """WITH alerts AS (SELECT 'link' AS kind, link_pk AS pk, code, CASE WHEN status = 'activated' THEN 'soft-drained' ELSE status END AS status FROM links WHERE status <> 'activated' OR delay_override_ns > 0
+  UNION ALL SELECT 'device', device_pk, code, status FROM devices WHERE status <> 'activated'),
+lg AS (SELECT entity_id, snapshot_ts, status, lag(status) OVER (PARTITION BY entity_id ORDER BY snapshot_ts, ingested_at, op_id) AS was FROM history),
+since AS (SELECT CAST(entity_id AS BIGINT) AS pk, max(snapshot_ts) AS since FROM lg WHERE was IS NOT NULL AND status <> was GROUP BY 1)
+SELECT a.kind, a.pk, a.code, a.status, s.since FROM alerts a LEFT JOIN since s ON a.kind = 'link' AND s.pk = a.pk ORDER BY s.since DESC NULLS LAST, a.kind, a.pk LIMIT 50"""
+)
+def alerts_since(t):
+    from ..operators import scd2
+
+    moves = scd2.status_transitions(t.history, "status").select(F.lit("link").alias("kind"), F.col("entity_id").cast("long").alias("pk"), "at")
+    return health.alerts_since(health.non_activated(t.links, t.devices), moves, 50).select("kind", "pk", "code", "status", "since")
+
+
 @query("SELECT 'link' AS kind, link_pk AS pk, code, CASE WHEN status = 'activated' THEN 'soft-drained' ELSE status END AS status FROM links WHERE status <> 'activated' OR delay_override_ns > 0 UNION ALL SELECT 'device', device_pk, code, status FROM devices WHERE status <> 'activated'")
 def non_activated_alerts(t):
     return health.non_activated(t.links, t.devices)

@@ -132,8 +132,12 @@ def _report(t):
 
 @query(REPORT + "SELECT r.kind, r.link_pk, l.code, r.start_ts, r.end_ts, r.end_ts IS NULL AS ongoing FROM report r JOIN links l USING (link_pk) WHERE l.side_a = 3 OR l.side_z = 3")
 def outage_report(t):
-    at = t.links.filter(joins.either_side("side_a", "side_z", 3)).select("link_pk", "code")
-    return _report(t).join(at, "link_pk").select("kind", "link_pk", "code", "start_ts", "end_ts", "ongoing")
+    return outages.for_items(_report(t), t.links, metro=3)
+
+
+@query(REPORT + "SELECT r.kind, r.link_pk, l.code, r.start_ts, r.end_ts, r.end_ts IS NULL AS ongoing FROM report r JOIN links l USING (link_pk) WHERE l.contributor_pk = 2 AND l.link_pk IN (SELECT link_pk FROM counters WHERE device_pk = 5)")
+def outage_report_items(t):
+    return outages.for_items(_report(t), t.links, contributor=2, device=5, ends=t.counters.select("link_pk", "device_pk"))
 
 
 @query(REPORT + "SELECT kind, count(*) AS n, count(*) FILTER (end_ts IS NULL) AS n_ongoing, count(DISTINCT link_pk) AS n_links FROM report GROUP BY kind")

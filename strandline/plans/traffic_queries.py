@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numbers import clamped_sum
 from ..operators import traffic
 from .base import query
 
@@ -29,6 +28,14 @@ def total_throughput(t):
     return traffic.total_throughput(t.counters).withColumns({c: F.round(c, 2) for c in ("in_bps", "out_bps")})
 
 
+def _bandwidth(t):
+    return t.part.select(F.col("p_partkey").alias("link_pk"), (F.col("p_retailprice") * 1000).alias("bandwidth_bps"))
+
+
+def _dims(t):
+    return t.devices.join(t.metros.select("metro_pk", "region_pk"), "metro_pk").select("device_pk", "region_pk")
+
+
 @query(
     """WITH per AS (SELECT device_pk, intf, link_pk, date_trunc('quarter', event_ts) AS bucket, max(in_octets * 8 / seconds) AS i, max(out_octets * 8 / seconds) AS o FROM counters GROUP BY ALL),
 used AS (SELECT bucket, m.region_pk, i * 100 / (p_retailprice * 1000) AS i, o * 100 / (p_retailprice * 1000) AS o FROM per JOIN part ON p_partkey = link_pk JOIN devices d USING (device_pk) JOIN metros m ON m.metro_pk = d.metro_pk)
@@ -36,9 +43,7 @@ SELECT bucket, region_pk, round(quantile_cont(i, 0.5), 6) AS p50_in, round(quant
   count(*) FILTER (i >= 15 OR o >= 15) AS n_stressed, count(*) AS n FROM used GROUP BY ALL"""
 )
 def traffic_stress(t):
-    bandwidth = t.part.select(F.col("p_partkey").alias("link_pk"), (F.col("p_retailprice") * 1000).alias("bandwidth_bps"))
-    dims = t.devices.join(t.metros.select("metro_pk", "region_pk"), "metro_pk").select("device_pk", "region_pk")
-    rows = traffic.stress(t.counters, bandwidth, dims, group="region_pk", bucket="quarter", threshold=15.0)
+    rows = traffic.stress(t.counters, _bandwidth(t), _dims(t), group="region_pk", bucket="quarter", threshold=15.0)
     return R3(rows, "p50_in", "p95_in", "max_in", "p50_out", "p95_out", "max_out")
 
 
@@ -66,19 +71,67 @@ def traffic_burstiness(t):
     return R3(rows, "p50_bps", "p99_bps", "stressed_pct", "burstiness")
 
 
-@query("SELECT device_pk, intf, CAST(e AS BIGINT) AS errors, CAST(d AS BIGINT) AS discards, CAST(c AS BIGINT) AS carrier, CAST(e + d + c AS BIGINT) AS total FROM (SELECT device_pk, intf, sum(greatest(errors, 0)) AS e, sum(greatest(discards, 0)) AS d, sum(greatest(carrier, 0)) AS c FROM counters GROUP BY ALL) WHERE e + d + c > 0 ORDER BY e + d + c DESC, device_pk, intf LIMIT 50")
+@query(
+    """SELECT device_pk, intf, CAST(e AS BIGINT) AS errors, CAST(f AS BIGINT) AS fcs, CAST(d AS BIGINT) AS discards, CAST(c AS BIGINT) AS carrier, CAST(e + f + d + c AS BIGINT) AS total
+FROM (SELECT device_pk, intf, sum(greatest(errors, 0)) AS e, sum(greatest(fcs, 0)) AS f, sum(greatest(discards, 0)) AS d, sum(greatest(carrier, 0)) AS c FROM counters GROUP BY ALL) WHERE e + f + d + c > 0 ORDER BY e + f + d + c DESC, device_pk, intf LIMIT 50"""
+)
 def interface_health_rank(t):
     return traffic.health_rank(t.counters, ["device_pk", "intf"], 50)
 
 
 @query(
-    """SELECT device_pk, intf, CAST(sum(greatest(errors, 0)) AS BIGINT) AS errors, CAST(sum(greatest(carrier, 0)) AS BIGINT) AS carrier, min(event_ts) FILTER (errors > 0 OR carrier > 0) AS first_seen, max(event_ts) FILTER (errors > 0 OR carrier > 0) AS last_seen
-FROM counters WHERE event_ts >= TIMESTAMP '1999-01-01' GROUP BY ALL HAVING sum(greatest(errors, 0)) > 0 OR sum(greatest(carrier, 0)) > 0"""
+    """WITH s AS (SELECT device_pk, intf, link_pk, CAST(sum(greatest(errors, 0)) AS BIGINT) AS errors, CAST(sum(greatest(fcs, 0)) AS BIGINT) AS fcs, CAST(sum(greatest(discards, 0)) AS BIGINT) AS discards, CAST(sum(greatest(carrier, 0)) AS BIGINT) AS carrier,
+  min(event_ts) FILTER (greatest(errors, fcs, discards, carrier) > 0) AS first_seen, max(event_ts) FILTER (greatest(errors, fcs, discards, carrier) > 0) AS last_seen FROM counters WHERE event_ts >= TIMESTAMP '1997-01-01' GROUP BY ALL)
+SELECT s.*, d.code AS device, l.code AS link FROM s LEFT JOIN devices d USING (device_pk) LEFT JOIN links l USING (link_pk) WHERE greatest(errors, fcs, discards, carrier) > 0"""
 )
 def interface_issues(t):
-    bad = F.when((F.col("errors") > 0) | (F.col("carrier") > 0), F.col("event_ts"))
-    rows = t.counters.filter(F.col("event_ts") >= F.to_timestamp(F.lit("1999-01-01"))).groupBy("device_pk", "intf")
-    return rows.agg(clamped_sum(F.col("errors")).alias("errors"), clamped_sum(F.col("carrier")).alias("carrier"), F.min(bad).alias("first_seen"), F.max(bad).alias("last_seen")).filter("errors > 0 OR carrier > 0")
+    return traffic.interface_issues(t.counters, t.devices, t.links, start=F.to_timestamp(F.lit("1997-01-01")))
+
+
+@query(
+    """WITH per AS (SELECT device_pk, intf, link_pk, date_trunc('quarter', event_ts) AS bucket, max(in_packets / seconds) AS i, max(out_packets / seconds) AS o FROM counters GROUP BY ALL),
+used AS (SELECT bucket, m.region_pk, i, o FROM per JOIN devices d USING (device_pk) JOIN metros m ON m.metro_pk = d.metro_pk)
+SELECT bucket, region_pk, round(quantile_cont(i, 0.5), 6) AS p50_in, round(quantile_cont(i, 0.95), 6) AS p95_in, round(max(i), 6) AS max_in, round(quantile_cont(o, 0.5), 6) AS p50_out, round(quantile_cont(o, 0.95), 6) AS p95_out, round(max(o), 6) AS max_out,
+  count(*) FILTER (i >= 40 OR o >= 40) AS n_stressed, count(*) AS n FROM used GROUP BY ALL"""
+)
+def traffic_stress_packets(t):
+    rows = traffic.stress(t.counters, _bandwidth(t), _dims(t), group="region_pk", bucket="quarter", threshold=40.0, metric="packets")
+    return R3(rows, "p50_in", "p95_in", "max_in", "p50_out", "p95_out", "max_out")
+
+
+ROOM = """WITH busy AS (SELECT device_pk, intf, link_pk, date_trunc('month', event_ts) AS bucket, sum(in_octets) * 8 / sum(seconds) AS i, sum(out_octets) * 8 / sum(seconds) AS o, greatest(i, o) AS bps FROM counters GROUP BY device_pk, intf, link_pk, bucket),
+use AS (SELECT b.*, p_retailprice * 1000 AS bandwidth_bps, bps * 100 / (p_retailprice * 1000) AS pct FROM busy b JOIN part ON p_partkey = link_pk)
+"""
+
+
+@query(ROOM + """SELECT device_pk, intf, link_pk, round(max(bps), 6) AS max_bps, round(quantile_cont(pct, 0.95), 6) AS p95_pct, round(any_value(bandwidth_bps), 6) AS bandwidth_bps, round(any_value(bandwidth_bps) - max(bps), 6) AS headroom_bps
+FROM use GROUP BY device_pk, intf, link_pk ORDER BY any_value(bandwidth_bps) - max(bps), device_pk, intf, link_pk LIMIT 30""")
+def traffic_top_headroom(t):
+    return R3(traffic.headroom(t.counters, _bandwidth(t), bucket="month", k=30), "max_bps", "p95_pct", "bandwidth_bps", "headroom_bps")
+
+
+@query(ROOM + "SELECT * FROM (SELECT device_pk, intf, round(quantile_cont(pct, 0.5), 6) AS p50_pct, round(quantile_cont(pct, 0.99), 6) AS p99_pct, round(quantile_cont(pct, 0.99) - quantile_cont(pct, 0.5), 6) AS spread_pct FROM use GROUP BY device_pk, intf) WHERE spread_pct >= 5")
+def traffic_burstiness_use(t):
+    return R3(traffic.burstiness_of_use(t.counters, _bandwidth(t), bucket="month", least_pct=5.0), "p50_pct", "p99_pct", "spread_pct")
+
+
+ITEM = """SELECT kind, bucket, round(sum(i), 6) AS in_bps, round(sum(o), 6) AS out_bps, round(sum(ip), 6) AS in_pps, round(sum(op), 6) AS out_pps FROM (
+  SELECT kind, device_pk, intf, date_trunc('month', event_ts) AS bucket, sum(in_octets) / sum(seconds) * 8 AS i, sum(out_octets) / sum(seconds) * 8 AS o, sum(in_packets) / sum(seconds) AS ip, sum(out_packets) / sum(seconds) AS op
+  FROM (SELECT 'link' AS kind, * FROM counters WHERE link_pk = 11 UNION ALL SELECT 'device', * FROM counters WHERE device_pk = 3 UNION ALL SELECT 'tunnel', * FROM counters WHERE tunnel_id = 503) GROUP BY ALL) GROUP BY kind, bucket"""
+
+
+@query(ITEM)
+def item_traffic_kinds(t):
+    from functools import reduce
+
+    rows = [traffic.item_rates(t.counters, kind, item, "month").withColumn("kind", F.lit(kind)) for kind, item in (("link", 11), ("device", 3), ("tunnel", 503))]
+    return R3(reduce(lambda a, b: a.unionByName(b), rows), "in_bps", "out_bps", "in_pps", "out_pps")
+
+
+@query("SELECT tunnel_id, bucket, round(i, 6) AS out_bps, round(o, 6) AS in_bps, round(ip, 6) AS in_pps, round(op, 6) AS out_pps FROM (SELECT tunnel_id, date_trunc('month', event_ts) AS bucket, sum(in_octets) * 8 / sum(seconds) AS i, sum(out_octets) * 8 / sum(seconds) AS o, sum(in_packets) / sum(seconds) AS ip, sum(out_packets) / sum(seconds) AS op FROM counters GROUP BY ALL)")
+def user_traffic_tunnels(t):
+    rates = traffic.packet_rates(t.counters, ["tunnel_id"], "month")
+    return R3(traffic.perspective(rates, "user"), "in_bps", "out_bps", "in_pps", "out_pps")
 
 
 @query(f"SELECT device_pk, intf, bucket, {ROUND_SQL}, round(avg(in_bps) OVER w, 6) AS mean_in_bps, round(avg(out_bps) OVER w, 6) AS mean_out_bps FROM (SELECT device_pk, intf, date_trunc('quarter', event_ts) AS bucket, {RATE_SQL} FROM counters GROUP BY ALL) WINDOW w AS (PARTITION BY device_pk, intf)")
