@@ -59,10 +59,17 @@ def links_with_metrics(t):
     return t.edges.select("src", "dst", "metric", F.col("bandwidth").cast("long").alias("bandwidth"))
 
 
-@query("SELECT 'node' AS kind, CAST(n_nationkey AS BIGINT) AS a, CAST(n_regionkey AS BIGINT) AS b FROM nation UNION ALL SELECT 'edge', src, dst FROM edges")
+@query(
+    """SELECT 'metro' AS kind, CAST(n_nationkey AS BIGINT) AS a, CAST(n_regionkey AS BIGINT) AS b FROM nation UNION ALL SELECT 'device', device_pk, metro_pk FROM devices UNION ALL SELECT 'edge', src, dst FROM edges
+UNION ALL SELECT 'link', side_a, side_z FROM links UNION ALL SELECT DISTINCT 'user', user_pk, device_pk FROM user_versions WHERE status = 'activated'"""
+)
 def build_topology(t):
-    nodes = t.nation.select(F.lit("node").alias("kind"), F.col("n_nationkey").cast("long").alias("a"), F.col("n_regionkey").cast("long").alias("b"))
-    return nodes.unionByName(t.edges.select(F.lit("edge").alias("kind"), F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b")))
+    from ..operators import lists
+
+    pair = lambda df, a, b: df.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    users = t.user_versions.filter("status = 'activated'").select("user_pk", "device_pk").distinct()
+    nodes = {"metro": pair(t.nation, "n_nationkey", "n_regionkey"), "device": pair(t.devices, "device_pk", "metro_pk")}
+    return lists.topology(nodes, {"edge": pair(t.edges, "src", "dst"), "link": pair(t.links, "side_a", "side_z"), "user": pair(users, "user_pk", "device_pk")})
 
 
 @query("SELECT a AS src, b AS dst, metric FROM (SELECT src AS a, dst AS b, metric FROM edges WHERE (src + dst) % 6 <> 0 UNION ALL SELECT dst, src, metric FROM edges WHERE (src + dst) % 6 <> 0)")

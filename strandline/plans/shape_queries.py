@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
-from ..operators import facts, outages, scd2, traffic
+from ..functions.filters import page
+from ..operators import facts, geo, lists, outages, scd2, traffic
 from ..sources import tables
 from .base import query, ts
 
@@ -219,17 +220,27 @@ def scalar_json_arrays(t):
 # Lists and sums that combine them
 
 
-@query(
-    """WITH lat AS (SELECT link_pk, round(avg(rtt_us) FILTER (rtt_us > 0), 6) AS avg_rtt_us, round(count(*) FILTER (loss) * 100.0::DOUBLE / count(*), 6) AS loss_pct FROM latency GROUP BY 1),
-rates AS (SELECT link_pk, sum(in_octets) * 8 / sum(seconds) AS i, sum(out_octets) * 8 / sum(seconds) AS o FROM counters GROUP BY 1)
-SELECT l.link_pk, l.code, a.code AS a, z.code AS z, l.status, avg_rtt_us, loss_pct, round(greatest(i, o) * 100 / bandwidth_bps, 6) AS used_pct FROM links l JOIN metros a ON a.metro_pk = side_a JOIN metros z ON z.metro_pk = side_z LEFT JOIN lat USING (link_pk) LEFT JOIN rates USING (link_pk)"""
-)
+LINKS = """WITH lat AS (SELECT link_pk, avg(rtt_us) FILTER (rtt_us > 0) AS r, avg(rtt_us) FILTER (rtt_us > 0 AND direction = 0) AS az, avg(rtt_us) FILTER (rtt_us > 0 AND direction = 1) AS za, count(*) FILTER (loss) * 100.0::DOUBLE / count(*) AS loss, count(*) AS n
+  FROM latency WHERE event_ts <= TIMESTAMP '2024-01-20' GROUP BY 1),
+rates AS (SELECT link_pk, sum(in_octets) * 8 / sum(seconds) AS i, sum(out_octets) * 8 / sum(seconds) AS o FROM counters GROUP BY 1),
+rows AS (SELECT l.link_pk, l.code, a.code AS a, z.code AS z, l.status, round(r, 6) AS avg_rtt_us, round(az, 6) AS a_to_z_us, round(za, 6) AS z_to_a_us, round(loss, 6) AS loss_pct, coalesce(n, 0) AS n_samples, round(i * 100 / bandwidth_bps, 6) AS in_pct,
+  round(o * 100 / bandwidth_bps, 6) AS out_pct FROM links l JOIN metros a ON a.metro_pk = side_a JOIN metros z ON z.metro_pk = side_z LEFT JOIN lat USING (link_pk) LEFT JOIN rates USING (link_pk))
+"""
+
+
+def _links(t):
+    rows = lists.links(t.links, t.latency, traffic.interface_rates(t.counters, ["link_pk"]), t.metros, as_of=ts("2024-01-20"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("avg_rtt_us", "a_to_z_us", "z_to_a_us", "loss_pct", "in_pct", "out_pct")})
+
+
+@query(LINKS + "SELECT * FROM rows")
 def links_list(t):
-    lat = t.latency.groupBy("link_pk").agg(F.round(F.avg(F.when(F.col("rtt_us") > 0, F.col("rtt_us"))), 6).alias("avg_rtt_us"), F.round(numbers.percent(F.col("loss")), 6).alias("loss_pct"))
-    rates = traffic.interface_rates(t.counters, ["link_pk"]).select("link_pk", F.greatest("in_bps", "out_bps").alias("bps"))
-    code = lambda k, n: t.metros.select(F.col("metro_pk").alias(k), F.col("code").alias(n))
-    rows = t.links.join(code("side_a", "a"), "side_a").join(code("side_z", "z"), "side_z").join(lat, "link_pk", "left").join(rates, "link_pk", "left")
-    return rows.select("link_pk", "code", "a", "z", "status", "avg_rtt_us", "loss_pct", F.round(F.col("bps") * 100 / F.col("bandwidth_bps"), 6).alias("used_pct"))
+    return _links(t)
+
+
+@query(LINKS + "SELECT * FROM rows ORDER BY loss_pct DESC NULLS LAST, link_pk LIMIT 20 OFFSET 20")
+def links_page(t):
+    return page(_links(t), [F.col("loss_pct").desc_nulls_last(), "link_pk"], 20, 20)
 
 
 @query("SELECT l.link_pk, l.code, l.committed_rtt_us, count(s.sample_index) AS n_samples, min(s.rtt_us) FILTER (s.rtt_us > 0) AS min_rtt_us FROM links l LEFT JOIN latency s USING (link_pk) WHERE l.link_pk = 12 GROUP BY ALL")
@@ -245,26 +256,44 @@ def device_detail(t):
     return t.devices.filter("device_pk = 9").join(stats, "device_pk").select("device_pk", "code", "max_users", "n_rows", "errors")
 
 
-@query(
-    """SELECT v.node, v.vote_pubkey, m.code AS metro, v.stake > 0 AS is_validator, v.stake, EXISTS (SELECT 1 FROM orders WHERE o_custkey = v.node AND o_orderstatus = 'O' AND o_orderdate >= TIMESTAMP '2001-01-01') AS is_on
-FROM validators v JOIN metros m USING (metro_pk) ORDER BY stake DESC, node LIMIT 100"""
-)
+NODES = """WITH nodes AS (SELECT c_custkey AS node, '10.' || (c_custkey % 250) || '.' || (c_custkey % 7) || '.9' AS address, c_custkey % 250 AS net FROM customer), held AS (SELECT node, sum(stake) AS stake FROM validators GROUP BY node),
+live AS (SELECT DISTINCT user_pk AS node FROM user_versions WHERE status = 'activated' AND "at" >= TIMESTAMP '2001-01-01'),
+rows AS (SELECT n.node, n.address, coalesce(h.stake, 0) AS stake, coalesce(h.stake, 0) > 0 AS is_validator, l.node IS NOT NULL AS is_on, m.n_name AS place FROM nodes n LEFT JOIN held h USING (node) LEFT JOIN live l USING (node) LEFT JOIN nation m ON m.n_nationkey * 9 = n.net)
+"""
+
+
+def _nodes(t):
+    key = F.col("c_custkey")
+    nodes = t.customer.select(key.alias("node"), F.concat(F.lit("10."), key % 250, F.lit("."), key % 7, F.lit(".9")).alias("address"))
+    networks = t.nation.select(F.concat(F.lit("10."), F.col("n_nationkey") * 9, F.lit(".0.0/16")).alias("network"), F.col("n_name").alias("place"))
+    live = t.user_versions.filter((F.col("status") == "activated") & (F.col("at") >= ts("2001-01-01"))).select(F.col("user_pk").alias("node"))
+    places = geo.longest_prefix(geo.addresses([nodes.select(F.col("address").alias("ip"))]), networks).drop("network")
+    return lists.gossip_nodes(nodes, t.validators.select("node", "stake"), live, places)
+
+
+@query(NODES + "SELECT * FROM rows ORDER BY stake DESC, node LIMIT 100")
 def gossip_nodes_list(t):
-    on = t.orders.filter((F.col("o_orderstatus") == "O") & (F.col("o_orderdate") >= ts("2001-01-01"))).select(F.col("o_custkey").alias("node"), F.lit(True).alias("is_on")).distinct()
-    rows = t.validators.join(t.metros.select("metro_pk", F.col("code").alias("metro")), "metro_pk").join(on, "node", "left")
-    rows = rows.select("node", "vote_pubkey", "metro", (F.col("stake") > 0).alias("is_validator"), "stake", F.coalesce("is_on", F.lit(False)).alias("is_on"))
-    return rows.orderBy(F.col("stake").desc(), "node").limit(100)
+    return page(_nodes(t), [F.col("stake").desc(), "node"], 100)
+
+
+@query(NODES + "SELECT * FROM rows WHERE node = 36")
+def gossip_node_detail(t):
+    return _nodes(t).filter("node = 36")
 
 
 @query(
-    """SELECT (SELECT count(*) FROM links WHERE status = 'activated') AS n_links, (SELECT count(*) FROM devices) AS n_devices, (SELECT count(*) FROM metros) AS n_metros, (SELECT count(DISTINCT contributor_pk) FROM links) AS n_contributors,
-  (SELECT sum(bandwidth_bps) FROM links) AS bandwidth_bps, (SELECT count(*) FROM validators WHERE stake > 0) AS n_validators"""
+    """WITH live AS (SELECT DISTINCT user_pk FROM user_versions WHERE status = 'activated' AND "at" >= TIMESTAMP '2001-01-01'), users AS (SELECT user_pk, arg_max(status, ("at", version)) AS status FROM user_versions GROUP BY 1),
+tunnels AS (SELECT sum(in_octets) * 8 / sum(seconds) AS bps FROM counters GROUP BY device_pk, tunnel_id)
+SELECT (SELECT count(*) FROM links WHERE status = 'activated') AS n_links, (SELECT count(*) FROM devices) AS n_devices, (SELECT count(*) FROM metros) AS n_metros, (SELECT count(DISTINCT contributor_pk) FROM links) AS n_contributors,
+  (SELECT sum(bandwidth_bps) FROM links) AS bandwidth_bps, (SELECT count(*) FROM validators WHERE stake > 0) AS n_validators, (SELECT count(*) FROM users WHERE status = 'activated') AS n_users, (SELECT round(avg(bps), 4) FROM tunnels) AS user_bps,
+  (SELECT round(sum(stake), 4) FROM validators WHERE node IN (SELECT user_pk FROM live)) AS on_stake, (SELECT round(sum(CASE WHEN node IN (SELECT user_pk FROM live) THEN stake ELSE 0 END) * 100 / sum(stake), 6) FROM validators) AS stake_share_pct"""
 )
 def summary_stats(t):
-    one = lambda df, *aggs: df.agg(*aggs)
-    links = one(t.links, F.count_if(F.col("status") == "activated").alias("n_links"), F.count_distinct("contributor_pk").alias("n_contributors"), F.sum("bandwidth_bps").alias("bandwidth_bps"))
-    rows = links.crossJoin(one(t.devices, F.count("*").alias("n_devices"))).crossJoin(one(t.metros, F.count("*").alias("n_metros"))).crossJoin(one(t.validators, F.count_if(F.col("stake") > 0).alias("n_validators")))  # one row each
-    return rows.select("n_links", "n_devices", "n_metros", "n_contributors", "bandwidth_bps", "n_validators")
+    live = t.user_versions.filter((F.col("status") == "activated") & (F.col("at") >= ts("2001-01-01"))).select(F.col("user_pk").alias("node"), F.lit(True).alias("is_on")).distinct()
+    stakes = t.validators.select("node", "stake").join(live, "node", "left")
+    users = t.user_versions.groupBy("user_pk").agg(F.max_by("status", F.struct("at", "version")).alias("status"))
+    rows = lists.summary(t.links, t.devices, t.metros, stakes, users, traffic.interface_rates(t.counters, ["device_pk", "tunnel_id"]))
+    return rows.withColumns({"user_bps": F.round("user_bps", 4), "on_stake": F.round("on_stake", 4), "stake_share_pct": F.round("stake_share_pct", 6)})
 
 
 @query(

@@ -122,12 +122,30 @@ def stake_validators(t):
     return v.ranked(t.validators, _on(t), limit=50).select("node", "stake", "is_on", F.round("share_pct", 9).alias("share_pct"))
 
 
-@query(ON + "SELECT node, stake, round(stake * 100 / (SELECT sum(stake) FROM validators), 9) AS share_pct FROM on_net ORDER BY stake DESC, node LIMIT 20 OFFSET 20")
+PROFILE = PERF + """, rates AS (SELECT link_pk AS node, sum(in_octets) * 8 / sum(seconds) AS i, sum(out_octets) * 8 / sum(seconds) AS o FROM counters GROUP BY 1),
+profile AS (SELECT x.node, x.stake, round(x.stake * 100 / (SELECT sum(stake) FROM validators), 9) AS share_pct, o.node IS NOT NULL AS is_on, round(p.avg_lag, 6) AS avg_lag, round(p.skip_pct, 6) AS skip_pct, p.is_delinquent, round(i, 6) AS in_bps, round(r.o, 6) AS out_bps
+  FROM validators x LEFT JOIN on_net o USING (node) LEFT JOIN perf p USING (node) LEFT JOIN rates r USING (node) WHERE x.stake > 0)
+"""
+
+
+def _profile(t):
+    from ..operators import lists, traffic
+
+    rates = traffic.interface_rates(t.counters, ["link_pk"]).withColumnRenamed("link_pk", "node")
+    rows = lists.validators(v.ranked(t.validators, _on(t)).select("node", "stake", "share_pct", "is_on"), _performance(t), rates)
+    return rows.withColumns({"share_pct": F.round("share_pct", 9), **{c: F.round(c, 6) for c in ("avg_lag", "skip_pct", "in_bps", "out_bps")}})
+
+
+@query(PROFILE + "SELECT * FROM profile WHERE is_on ORDER BY stake DESC, node LIMIT 20 OFFSET 20")
 def validators_list(t):
     from ..functions.filters import page
 
-    rows = v.ranked(t.validators, _on(t), only="on").select("node", "stake", F.round("share_pct", 9).alias("share_pct"))
-    return page(rows, [F.col("stake").desc(), "node"], 20, 20)
+    return page(_profile(t).filter("is_on"), [F.col("stake").desc(), "node"], 20, 20)
+
+
+@query(PROFILE + "SELECT * FROM profile WHERE node IN (42, 43, 44)")
+def validator_profile(t):
+    return _profile(t).filter("node IN (42, 43, 44)")
 
 
 @query(ON + "SELECT v.node, v.vote_pubkey, v.stake, v.node IN (SELECT node FROM on_net) AS is_on, count(o_orderkey) AS n_sessions FROM validators v LEFT JOIN orders ON o_custkey = v.node WHERE v.node = 42 GROUP BY ALL")

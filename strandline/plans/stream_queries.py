@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import scd2
+from ..operators import state_table
 from ..sources.shared import shared_dir
 from ..streaming import streams
 from .base import query, ts
@@ -85,20 +85,20 @@ FROM grid WHERE level IS DISTINCT FROM was"""
 )
 def stream_scd2(t):
     """Each delivery is a snapshot of the users with errors and of their last level; who is missing is deleted."""
-    path = f"{shared_dir(t.spark)}/history-{uuid.uuid4().hex}"
+    root = f"{shared_dir(t.spark)}/history-{uuid.uuid4().hex}"
     schema = "entity_id string, snapshot_ts timestamp, ingested_at timestamp, op_id long, is_deleted boolean, level long, change string"
-    t.spark.createDataFrame([], schema).write.parquet(path)
 
     def step(batch, number):
-        history = batch.sparkSession.read.schema(schema).parquet(path)
         rows = batch.filter("event_type = 'error'")
         snapshot = rows.select(F.col("user_id").cast("string").alias("entity_id"), F.col("ts").alias("snapshot_ts"), F.col("ts").alias("ingested_at"), F.col("event_id").alias("op_id"), F.lit(False).alias("is_deleted"), F.floor(F.col("value") / 20).alias("level"))
         at = ts("2024-01-01") + F.make_interval(days=F.lit(number))
-        new = scd2.delta(history, snapshot, ["level"], at=at, op_id=F.lit(number).cast("long"), missing_means_deleted=True)
-        new.withColumn("ingested_at", F.col("snapshot_ts")).select(*history.columns).write.mode("append").parquet(path)
+        new = state_table.delta(batch.sparkSession, root, schema, snapshot, ["level"], at=at, op_id=F.lit(number).cast("long"), missing_means_deleted=True)
+        columns = [c.split(" ")[0] for c in schema.split(", ")]
+        state_table.append(new.withColumn("ingested_at", F.col("snapshot_ts")).select(*columns), root, number)
+        state_table.compact(batch.sparkSession, root, schema)
 
-    _deliveries(t, lambda rows, root: streams.apply_batches(rows, step, root=root))
-    return t.spark.read.schema(schema).parquet(path).select("entity_id", "op_id", "change", "level")
+    _deliveries(t, lambda rows, at: streams.apply_batches(rows, step, root=at))
+    return t.spark.read.schema(schema).parquet(f"{root}/log").select("entity_id", "op_id", "change", "level")
 
 
 @query(

@@ -194,18 +194,23 @@ def users_list(t):
     """WITH stats AS (SELECT link_pk, round(avg(rtt_us) FILTER (rtt_us > 0), 6) AS avg_rtt_us, count(*) AS n FROM latency GROUP BY ALL)
 SELECT 'link' AS kind, l.link_pk AS pk, a.code AS a, z.code AS z, s.avg_rtt_us AS value, coalesce(s.n, 0) AS n FROM links l JOIN metros a ON a.metro_pk = l.side_a JOIN metros z ON z.metro_pk = l.side_z LEFT JOIN stats s USING (link_pk)
 UNION ALL SELECT 'device', device_pk, m.code, NULL, CAST(max_users AS DOUBLE), 1 FROM devices JOIN metros m USING (metro_pk)
-UNION ALL SELECT 'metro', metro_pk, code, NULL, NULL, 1 FROM metros"""
+UNION ALL SELECT 'metro', metro_pk, code, NULL, NULL, 1 FROM metros
+UNION ALL SELECT 'validator', node, code, NULL, stake, 1 FROM validators JOIN metros USING (metro_pk) WHERE stake > 0
+UNION ALL SELECT 'user', user_pk, CAST(arg_max(device_pk, ("at", version)) AS VARCHAR), NULL, NULL, count(*) FROM user_versions GROUP BY user_pk"""
 )
 def topology_snapshot(t):
     stats = t.latency.groupBy("link_pk").agg(F.round(F.avg(F.when(F.col("rtt_us") > 0, F.col("rtt_us"))), 6).alias("value"), F.count("*").alias("n"))
     code = lambda k, n: t.metros.select(F.col("metro_pk").alias(k), F.col("code").alias(n))
     links = t.links.select("link_pk", "side_a", "side_z").join(code("side_a", "a"), "side_a").join(code("side_z", "z"), "side_z").join(stats, "link_pk", "left")
+    users = t.user_versions.groupBy("user_pk").agg(F.max_by("device_pk", F.struct("at", "version")).cast("string").alias("a"), F.count("*").alias("n"))
     none = F.lit(None)
     one = F.lit(1).cast("long").alias("n")
     return (
         links.select(F.lit("link").alias("kind"), F.col("link_pk").alias("pk"), "a", "z", "value", F.coalesce("n", F.lit(0)).alias("n"))
         .unionByName(t.devices.join(code("metro_pk", "a"), "metro_pk").select(F.lit("device").alias("kind"), F.col("device_pk").alias("pk"), "a", none.cast("string").alias("z"), F.col("max_users").cast("double").alias("value"), one))
         .unionByName(t.metros.select(F.lit("metro").alias("kind"), F.col("metro_pk").cast("long").alias("pk"), F.col("code").alias("a"), none.cast("string").alias("z"), none.cast("double").alias("value"), one))
+        .unionByName(t.validators.filter("stake > 0").join(code("metro_pk", "a"), "metro_pk").select(F.lit("validator").alias("kind"), F.col("node").alias("pk"), "a", none.cast("string").alias("z"), F.col("stake").alias("value"), one))
+        .unionByName(users.select(F.lit("user").alias("kind"), F.col("user_pk").alias("pk"), "a", none.cast("string").alias("z"), none.cast("double").alias("value"), "n"))
     )
 
 
