@@ -337,3 +337,12 @@ def addition_impact(all_pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     rows = via.join(d.select(F.col("src").alias("u"), F.col("dst").alias("v"), "d"), ["u", "v"], "left")
     better = F.col("d").isNull() | (F.col("after") < F.col("d"))
     return rows.groupBy("scenario").agg(F.count_if(better).alias("n_improved"), F.sum(F.when(F.col("after") < F.col("d"), F.col("d") - F.col("after")).otherwise(0)).alias("saved"))
+
+
+def redundancy_gains(edges: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(scenario, node): ends of a new edge (scenario, a, b) that have one neighbour now and would have two. Both sides meet by node."""
+    near = edges.filter("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("other"))
+    near = near.unionByName(near.select(F.col("other").alias("node"), F.col("node").alias("other")))
+    leaves = near.groupBy("node").agg(F.min("other").alias("only"), F.max("other").alias("last")).filter(F.col("only") == F.col("last"))
+    ends = candidates.select("scenario", F.col("a").alias("node"), F.col("b").alias("to")).unionByName(candidates.select("scenario", F.col("b").alias("node"), F.col("a").alias("to")))
+    return ends.join(leaves, "node").filter((F.col("to") != F.col("only")) & (F.col("to") != F.col("node"))).select("scenario", "node").distinct()

@@ -59,9 +59,9 @@ VIEWS = {
     "user_versions": """SELECT o_custkey AS user_pk, CAST(o_custkey AS STRING) AS address, o_custkey % 40 AS device_pk, CASE o_orderstatus WHEN 'O' THEN 'activated' ELSE 'suspended' END AS status,
         o_orderdate AS at, o_orderkey AS version, o_orderstatus = 'F' AS is_deleted FROM {orders}""",
     "gossip_versions": """SELECT l_suppkey AS node, CAST(l_partkey AS STRING) AS address, CAST(l_shipdate AS TIMESTAMP) AS at, l_orderkey * 8 + l_linenumber AS version, l_tax > 0.07 AS is_deleted
-        FROM {lineitem} WHERE l_linenumber % 2 = 0""",
+        FROM {lineitem}""",
     "vote_versions": """SELECT CAST(l_suppkey AS STRING) AS vote_pubkey, l_suppkey AS node, CAST(l_quantity * 100 AS DOUBLE) AS stake, CAST(l_shipdate AS TIMESTAMP) AS at, l_orderkey * 8 + l_linenumber AS version,
-        l_discount >= 0.09 AS is_deleted FROM {lineitem} WHERE l_linenumber % 2 = 1""",
+        l_discount >= 0.09 AS is_deleted FROM {lineitem}""",
     # suppliers and customers that had two or more shipments, as a sparse network that grows with the tables
     "mesh": """SELECT o_custkey AS src, -l_suppkey AS dst, CAST(count(*) AS BIGINT) AS metric FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey HAVING count(*) >= 2""",
 }

@@ -224,7 +224,7 @@ def failure_impact(t):
 
 ITEMS = _gone(
     "pairs",
-    """SELECT 'node-' || n_nationkey AS scenario, n_nationkey AS a, n_nationkey AS b FROM nation UNION ALL SELECT DISTINCT 'link-' || least(src, dst) || '-' || greatest(src, dst), least(src, dst), greatest(src, dst) FROM edges WHERE abs(src - dst) <= 2""",
+    """SELECT 'node-' || n_nationkey AS scenario, n_nationkey AS a, n_nationkey AS b FROM nation UNION ALL SELECT DISTINCT 'link-' || least(src, dst) || '-' || greatest(src, dst), least(src, dst), greatest(src, dst) FROM edges""",
     "CASE WHEN w.a = w.b THEN e.dst <> w.a AND w.src <> w.a ELSE NOT (e.src = w.a AND e.dst = w.b) AND NOT (e.src = w.b AND e.dst = w.a) END",
 )
 
@@ -241,7 +241,7 @@ def maintenance_report(t):
     edges, n = _edges(t), F.col("n_nationkey")
     a, z = F.least("src", "dst"), F.greatest("src", "dst")
     nodes = t.nation.select(F.concat_ws("-", F.lit("node"), n).alias("scenario"), F.lit("node").alias("kind"), *graph.scenario(nodes=[n]))
-    links = edges.filter("abs(src - dst) <= 2").select(a.alias("a"), z.alias("z")).distinct()
+    links = edges.select(a.alias("a"), z.alias("z")).distinct()
     links = links.select(F.concat_ws("-", F.lit("link"), "a", "z").alias("scenario"), F.lit("link").alias("kind"), *graph.scenario(edges=[(F.col("a"), F.col("z"))]))
     found = graph.maintenance(edges, durable(graph.best_paths(edges, _nodes(t))), durable(nodes.unionByName(links)), _regions(t))
     return found.select("scenario", "kind", "n_affected", "n_regions", "n_cut", "place")
@@ -372,3 +372,15 @@ def equal_hop_paths(t):
     steps = durable(graph.predecessors(_edges(t), _nodes(t)))
     rows = graph.equal_hop_paths(steps, steps.select("src", F.col("node").alias("dst")))
     return rows.select("src", "dst", "hops", "n_paths", _text("path").alias("path"))
+
+
+@query(
+    """WITH two AS (SELECT src AS node, dst AS other FROM mesh UNION SELECT dst, src FROM mesh), leaves AS (SELECT node, min(other) AS sole FROM two GROUP BY node HAVING count(*) = 1),
+cand AS (SELECT c_custkey AS scenario, c_custkey AS a, -min(s_suppkey) AS b FROM customer JOIN supplier ON s_nationkey = c_nationkey GROUP BY c_custkey),
+ends AS (SELECT scenario, a AS node, b AS "to" FROM cand UNION ALL SELECT scenario, b, a FROM cand)
+SELECT DISTINCT scenario, node FROM ends JOIN leaves USING (node) WHERE "to" <> sole"""
+)
+def addition_gains(t):
+    """What a link from each customer to its nation's first supplier would make redundant."""
+    near = t.customer.join(t.supplier, F.col("s_nationkey") == F.col("c_nationkey")).groupBy("c_custkey").agg((-F.min("s_suppkey")).alias("b"))
+    return graph.redundancy_gains(durable(t.mesh), near.select(F.col("c_custkey").alias("scenario"), F.col("c_custkey").alias("a"), "b"))

@@ -149,3 +149,9 @@ def test_equal_hop_paths(spark, small):
         least = min(map(len, ways), default=0)
         assert sorted(got.get((a, b), [])) == sorted(p for p in ways if len(p) == least)
     assert all(x.n_paths == len(got[x.src, x.node]) for x in steps.collect())
+
+
+def test_new_links_make_leaves_redundant(spark):
+    e = table(spark, [(0, 1, 1), (1, 2, 1), (2, 0, 1), (2, 3, 1), (4, 3, 1), (5, 0, 1)])
+    cases = spark.createDataFrame([("x", 4, 0), ("y", 4, 3), ("z", 5, 4), ("w", 1, 3)], "scenario string, a int, b int")
+    assert {tuple(r) for r in graph.redundancy_gains(e, cases).collect()} == {("x", 4), ("z", 5), ("z", 4)}
