@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers
 from ..functions.filters import page
 from ..operators import facts, geo, lists, outages, scd2, traffic
-from ..sources import tables
+from ..sources import snapshots, tables
 from .base import query, ts
 
 # Joins
@@ -344,10 +344,35 @@ def fact_append(t):
     return t.spark.read.parquet(path).drop("month")
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS entity_id, c_name AS code, n_name AS metro FROM customer JOIN nation ON n_nationkey = c_nationkey")
+@query(
+    """SELECT 'contributors' AS kind, CAST(r_regionkey AS VARCHAR) AS entity_id, r_name AS code, NULL AS status, NULL AS place FROM region
+UNION ALL SELECT 'devices', CAST(device_pk AS VARCHAR), code, status, CAST(metro_pk AS VARCHAR) FROM devices
+UNION ALL SELECT 'users', CAST(user_pk AS VARCHAR), NULL, arg_max(status, ("at", version)), CAST(arg_max(device_pk, ("at", version)) AS VARCHAR) FROM user_versions GROUP BY user_pk
+UNION ALL SELECT 'metros', CAST(metro_pk AS VARCHAR), code, NULL, NULL FROM metros
+UNION ALL SELECT 'links', CAST(link_pk AS VARCHAR), code, status, CASE WHEN link_pk % 3 <> 0 THEN '10.' || side_a || '.' || (link_pk % 200) || '.1' END FROM links
+UNION ALL SELECT 'multicast_groups', CAST(p_partkey AS VARCHAR), p_name, CASE p_size % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'activated' WHEN 2 THEN 'suspended' WHEN 3 THEN 'deleted' ELSE 'unknown' END, NULL FROM part"""
+)
 def snapshot_entities(t):
-    users = tables.require_rows(t.customer, "users").join(tables.require_rows(t.nation, "metros"), F.col("n_nationkey") == F.col("c_nationkey"))
-    return users.select(F.col("c_custkey").cast("string").alias("entity_id"), F.col("c_name").alias("code"), F.col("n_name").alias("metro"))
+    """All six kinds; links get the address of the interface at their first side, where it has one."""
+    side = F.concat(F.lit("if"), F.col("link_pk").cast("string"))
+    ends = t.links.select(F.col("link_pk").alias("pk"), "status", "code", F.col("side_a").alias("side_a_pk"), F.col("side_z").alias("side_z_pk"), side.alias("side_a_iface"), side.alias("side_z_iface"))
+    interfaces = t.links.filter("link_pk % 3 <> 0").select(F.col("side_a").alias("device_pk"), side.alias("intf"), F.concat(F.lit("10."), "side_a", F.lit("."), F.col("link_pk") % 200, F.lit(".1/31")).alias("ip"))
+    newest = F.struct("at", "version")
+    sources = {
+        "contributors": t.region.select(F.col("r_regionkey").alias("pk"), F.col("r_name").alias("code")),
+        "devices": t.devices.withColumnRenamed("device_pk", "pk"),
+        "users": t.user_versions.groupBy(F.col("user_pk").alias("pk")).agg(F.max_by("status", newest).alias("status"), F.max_by("device_pk", newest).alias("device_pk")),
+        "metros": t.metros.withColumnRenamed("metro_pk", "pk"),
+        "links": snapshots.with_addresses(ends, interfaces),
+        "multicast_groups": t.part.select(F.col("p_partkey").alias("pk"), F.col("p_name").alias("code"), (F.col("p_size") % 6).alias("status")),
+    }
+    places = {"devices": "metro_pk", "users": "device_pk", "links": "side_a_ip"}
+    out = None
+    for kind, df in snapshots.snapshots(sources).items():
+        pick = lambda c, df=df: F.col(c) if c in df.columns else F.lit(None).cast("string")
+        rows = df.select(F.lit(kind).alias("kind"), "entity_id", pick("code").alias("code"), pick("status").alias("status"), pick(places.get(kind, "")).alias("place"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query("SELECT entity_id, count(*) AS n_versions FROM history GROUP BY 1 HAVING count(*) >= 10")

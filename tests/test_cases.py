@@ -238,3 +238,19 @@ def test_fact_append_checks_columns(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "f")).count() == 2
     with pytest.raises(ValueError, match="differ"):
         facts.append(df.drop("x"), str(tmp_path / "f"), df)
+
+
+def test_snapshots_are_refused_as_a_whole(spark):
+    from strandline.sources import snapshots
+
+    one = lambda: spark.createDataFrame([(1, "x")], "pk int, code string")
+    full = {k: one() for k in snapshots.REQUIRED}
+    groups = spark.createDataFrame([(k, k) for k in (0, 1, 2, 3, 7)], "pk int, status int")
+    got = snapshots.snapshots({**full, "users": one().limit(0), "multicast_groups": groups})
+    assert got["users"].count() == 0 and got["metros"].first().longitude is None
+    assert [r.status for r in got["multicast_groups"].orderBy("entity_id").collect()] == ["pending", "activated", "suspended", "deleted", "unknown"]
+    for kind in snapshots.REQUIRED:
+        with pytest.raises(ValueError, match=f"{kind} is empty"):
+            snapshots.snapshots({**full, kind: one().limit(0)})
+    with pytest.raises(ValueError, match="no such kind"):
+        snapshots.snapshots({**full, "routers": one()})
