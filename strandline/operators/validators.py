@@ -143,6 +143,12 @@ def joined_or_left(before: DataFrame, after: DataFrame) -> DataFrame:
     return gone.unionByName(after.join(before.select("node"), "node", "left_anti").select("node", "stake", F.lit("joined").alias("change")))
 
 
+def changes_summary(changes: DataFrame) -> DataFrame:
+    """joined_or_left() by change: how many nodes, their stake, and the largest."""
+    exact = F.sum(F.col("stake").cast("decimal(30,6)")).cast("double")
+    return changes.groupBy("change").agg(F.count("*").alias("n"), exact.alias("stake"), F.max("stake").alias("largest"))
+
+
 def stake_change_events(stakes: DataFrame, *, min_abs: float, min_pct: float, start: Column, end: Column) -> DataFrame:
     """Changes of an account's stake from its previous row, by an amount or a percentage."""
     w = Window.partitionBy("node").orderBy("at", "version")

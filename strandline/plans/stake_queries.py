@@ -186,17 +186,27 @@ def stake_overview(t):
     return rows.withColumns({c: F.round(c, 9) for c in rows.columns if "share" in c})
 
 
-CHANGES_SQL = SPANS + """, b AS (SELECT DISTINCT vote_pubkey, stake FROM own WHERE s <= TIMESTAMP '1996-06-01' AND (e IS NULL OR e > TIMESTAMP '1996-06-01')), a AS (SELECT DISTINCT vote_pubkey, stake FROM own WHERE s <= TIMESTAMP '1997-06-01' AND (e IS NULL OR e > TIMESTAMP '1997-06-01'))
-SELECT vote_pubkey AS node, stake, 'left' AS change FROM b WHERE vote_pubkey NOT IN (SELECT vote_pubkey FROM a) UNION ALL SELECT vote_pubkey, stake, 'joined' FROM a WHERE vote_pubkey NOT IN (SELECT vote_pubkey FROM b)"""
+CHANGES_SQL = SPANS + """, b AS (SELECT DISTINCT vote_pubkey, stake FROM own WHERE s <= TIMESTAMP '1996-06-01' AND (e IS NULL OR e > TIMESTAMP '1996-06-01')), a AS (SELECT DISTINCT vote_pubkey, stake FROM own WHERE s <= TIMESTAMP '1997-06-01' AND (e IS NULL OR e > TIMESTAMP '1997-06-01')),
+changed AS (SELECT vote_pubkey AS node, stake, 'left' AS change FROM b WHERE vote_pubkey NOT IN (SELECT vote_pubkey FROM a) UNION ALL SELECT vote_pubkey, stake, 'joined' FROM a WHERE vote_pubkey NOT IN (SELECT vote_pubkey FROM b))
+"""
 
 
-@query(CHANGES_SQL)
-def stake_changes(t):
+def _changes(t):
     on = durable(v.own_stake(_spans(t), t.vote_versions).withColumnRenamed("vote_pubkey", "node"))
     at = lambda when: on.filter((F.col("start") <= ts(when)) & (F.col("end").isNull() | (F.col("end") > ts(when)))).select("node", "stake")
     return v.joined_or_left(at("1996-06-01"), at("1997-06-01"))
 
 
+@query(CHANGES_SQL + "SELECT * FROM changed")
+def stake_changes(t):
+    return _changes(t)
+
+
+@query(CHANGES_SQL + "SELECT change, count(*) AS n, sum(stake) AS stake, max(stake) AS largest FROM changed GROUP BY change")
+def stake_changes_summary(t):
+    return v.changes_summary(_changes(t))
+
+
 @query(
     """WITH stakes AS (SELECT user_id AS node, ts AS at, event_id AS version, value AS stake FROM events), l AS (SELECT *, lag(stake) OVER (PARTITION BY node ORDER BY "at", version) AS previous FROM stakes)
 SELECT node, "at", version, previous, stake, round(stake - previous, 6) AS change, round(abs(stake - previous) * 100 / previous, 6) AS change_pct FROM l
