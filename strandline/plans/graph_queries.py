@@ -382,5 +382,6 @@ SELECT DISTINCT scenario, node FROM ends JOIN leaves USING (node) WHERE "to" <>
 )
 def addition_gains(t):
     """What a link from each customer to its nation's first supplier would make redundant."""
-    near = t.customer.join(t.supplier, F.col("s_nationkey") == F.col("c_nationkey")).groupBy("c_custkey").agg((-F.min("s_suppkey")).alias("b"))
+    first = t.supplier.groupBy("s_nationkey").agg((-F.min("s_suppkey")).alias("b"))
+    near = t.customer.join(F.broadcast(first), F.col("s_nationkey") == F.col("c_nationkey"))  # a row a nation
     return graph.redundancy_gains(durable(t.mesh), near.select(F.col("c_custkey").alias("scenario"), F.col("c_custkey").alias("a"), "b"))
