@@ -256,8 +256,9 @@ def non_activated_alerts(t):
 
 @query("SELECT device_pk, CAST(n AS BIGINT) AS n_users, max_users, round(n * 100.0::DOUBLE / max_users, 6) AS used_pct FROM (SELECT device_pk, max_users, count(*) AS n FROM devices d JOIN links l ON l.side_a = d.metro_pk AND l.link_pk % 7 = d.device_pk % 7 GROUP BY ALL) ORDER BY n * 100.0 / max_users DESC, device_pk LIMIT 100")
 def top_device_utilization(t):
-    users = t.links.select(F.col("side_a").alias("metro_pk"), (F.col("link_pk") % 7).alias("k"))
+    users = t.links.groupBy(F.col("side_a").alias("metro_pk"), (F.col("link_pk") % 7).alias("k")).agg(F.count("*").alias("n_users"))
     devices = t.devices.withColumn("k", F.col("device_pk") % 7)
-    rows = devices.join(users, ["metro_pk", "k"]).groupBy("device_pk", "max_users").agg(F.count("*").alias("n_users"))
+    rows = devices.join(F.broadcast(users), ["metro_pk", "k"])  # a row for each of 25 metros and 7 remainders
+    rows = rows.groupBy("device_pk", "max_users").agg(F.sum("n_users").alias("n_users"))
     rows = rows.withColumn("used_pct", F.col("n_users") * 100.0 / F.col("max_users"))
     return R4(rows.orderBy(F.col("used_pct").desc(), "device_pk").limit(100), "used_pct")
