@@ -45,3 +45,16 @@ def test_a_nation_is_no_product(spark, tmp_path, name):
     """Customers and suppliers of one nation don't meet in pairs."""
     data = one_nation(tmp_path, 1400)
     assert max(rows_out(spark, QUERIES[name](spark, data).collect)) <= 8 * 1400
+
+
+#: On the smallest tables, whose spine has 61,345 instants.
+LIMITS = {
+    "stake_history": 1_250_000, "stake_overview": 1_200_000, "share_walkback": 1_000_000, "stake_attribution": 300_000, "stake_changes": 100_000, "stake_changes_summary": 100_000,
+    "validator_join_leave_events": 240_000, "validator_connections": 240_000, "validator_disconnections": 200_000, "validators_on_net": 100_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(LIMITS))
+def test_stake_moves_few_rows(spark, name):
+    """Histories are joined once, under few levels, and only what holds at the times that are asked for."""
+    assert sum(rows_out(spark, QUERIES[name](spark, "/root/testdata/sf0.001").collect)) <= LIMITS[name]
