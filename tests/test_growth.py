@@ -58,3 +58,20 @@ LIMITS = {
 def test_stake_moves_few_rows(spark, name):
     """Histories are joined once, under few levels, and only what holds at the times that are asked for."""
     assert sum(rows_out(spark, QUERIES[name](spark, "/root/testdata/sf0.001").collect)) <= LIMITS[name]
+
+
+def test_a_year_of_attribution_moves_few_rows(spark):
+    """What moved the connected total in a time span is found from the connections of that span, with the same rows."""
+    from pyspark.sql import functions as F
+
+    from strandline.plans import stake_queries
+    from strandline.plans.base import Tables, ts
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    start, end = ts("1995-01-01"), ts("1996-01-01")
+    inside = lambda df: sorted(map(tuple, df.filter((F.col("t") >= start) & (F.col("t") < end)).collect()))
+    found = []
+    all_moved = sum(rows_out(spark, lambda: found.append(inside(stake_queries._attribution(t)))))
+    moved = sum(rows_out(spark, lambda: found.append(inside(stake_queries._attribution(t, since=start - F.expr("INTERVAL 2 HOURS"), until=end)))))
+    assert found[0] == found[1] and found[0]
+    assert moved <= 0.6 * all_moved, (moved, all_moved)
