@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +30,33 @@ def _star(near: DataFrame) -> DataFrame:
     return near.withColumn("s", salt("v", parts)).join(least.hint("merge"), ["u", "s"]).select("u", "v", "m")
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, root) of the edges (a, b) of one partition, by union and find."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = x = above[y]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+            x, y = sorted((root(a), root(b)))
+            above[y] = x
+    yield pd.DataFrame({"node": list(above), "root": [root(x) for x in list(above)]}, dtype="int64")
+
+
+def components(edges: DataFrame, max_rounds: int = 40, *, few: int = 0) -> DataFrame:
     """(node, root): the least node reachable from each node that has an edge. edges: (a, b), integers, any order.
 
+    few: up to so many edges meet in one task, which takes less than the many small tasks of a round; they are counted first, so
+    what they are made of should be kept already. More go through rounds.
+
     Rounds of large stars and small stars (Kiveris et al. 2014), whose number grows with the logarithm of the
     longest path; each round's edges are kept in the shared folder. Loops, repeated and null edges change nothing.
     """
+    if few and edges.count() <= few:
+        return durable(edges.filter("a <> b").select("a", "b").coalesce(1).mapInPandas(_joined, "node long, root long"))
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = durable(e)
     last = None
