@@ -87,6 +87,10 @@ def text_counts(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(counts_of(text.tolist()), columns=list(COUNTS))
 
 
+#: They are the same each time, but only so are a text's counts made once where a filter asks for them too, and a task has one worker.
+text_counts = text_counts.asNondeterministic()
+
+
 def _share(part: str, whole: str, scale: int) -> Column:
     return F.coalesce(F.expr(f"try_divide(c.{part} * {scale}L, c.{whole})").cast("long"), F.lit(0).cast("long"))
 
